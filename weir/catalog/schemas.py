@@ -207,7 +207,7 @@ _VERSIONS = """
 """
 
 
-@query(_VERSIONS + "SELECT dataset, CAST(version AS INTEGER) AS version, "column", kind, classification FROM listed")
+@query(_VERSIONS + 'SELECT dataset, CAST(version AS INTEGER) AS version, "column", kind, classification FROM listed')
 def schema_versions_history(t):
     return schema_history(_versions(t)).select("dataset", "version", "column", "kind", "classification")
 

@@ -8,22 +8,17 @@ from weir.operators import capped, distinct_rows, keyset_page, limit_offset, ord
 
 @query(
     """
-    SELECT c_custkey, segment, c_acctbal, CAST(row_number() OVER (ORDER BY segment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey) AS INTEGER) AS place
+    SELECT c_custkey, segment, c_acctbal
     FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, nullif(c_acctbal, 1863.84) AS c_acctbal FROM customer)
     WHERE segment IS NULL OR c_acctbal IS NULL OR c_acctbal > 5000
-    ORDER BY place LIMIT 200
+    ORDER BY segment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey LIMIT 200
     """
 )
 def order_nulls(t):
     customers = t.customer.select(
         "c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.nullif("c_acctbal", F.lit(1863.84)).alias("c_acctbal")
     ).where("segment IS NULL OR c_acctbal IS NULL OR c_acctbal > 5000")
-    # The first 200 places in sort order, numbered after the cut.
-    head = top_k(customers, ["segment", ("c_acctbal", "desc"), "c_custkey"], 200)
-    from pyspark.sql import Window
-
-    window = Window.orderBy(F.asc_nulls_last("segment"), F.desc_nulls_first("c_acctbal"), "c_custkey")
-    return head.withColumn("place", F.row_number().over(window))
+    return top_k(customers, ["segment", ("c_acctbal", "desc"), "c_custkey"], 200)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25")

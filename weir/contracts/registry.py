@@ -59,9 +59,9 @@ def schema_history(versions: DataFrame) -> DataFrame:
     newer = versions.select("dataset", "version", "name", "type", "nullable")
     # Versions are numbered without gaps, so the previous one is found by an equi-join.
     older = newer.withColumn("version", F.col("version") + 1)
-    known = newer.select("dataset", "version").distinct()
-    older = older.join(known, ["dataset", "version"], "left_semi")
-    followed = newer.where(F.col("version") > 1)
+    both = newer.select("dataset", "version").distinct().join(older.select("dataset", "version").distinct(), ["dataset", "version"])
+    older = older.join(both, ["dataset", "version"], "left_semi")
+    followed = newer.join(both, ["dataset", "version"], "left_semi")
     return diff_schemas(older, followed, ["dataset", "version"])
 
 

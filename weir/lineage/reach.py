@@ -14,8 +14,9 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down") -> D
     """(type, id, distance) of all that can be reached from `starts` (type, id), the starts left out.
 
     Breadth first: each round joins the edges with the nodes found last and drops those already
-    known, so cycles end by themselves. Rounds are checkpointed; the driver only asks whether a
-    round found anything.
+    known, so cycles end by themselves. Each round is written out, so Spark knows its size and
+    broadcasts a small frontier instead of shuffling the edges; the driver only asks whether a round
+    found anything.
     """
     if direction not in ("up", "down"):
         raise ConfigError("direction must be up or down")

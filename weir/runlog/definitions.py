@@ -45,17 +45,16 @@ def diff_settings(before: DataFrame, after: DataFrame) -> DataFrame:
 
     Both sides hold one definition (JSON text) per pipeline.
     """
-    old, new = _nodes(before), _nodes(after)
-    shared = old.select("pipeline_id", "node_id").join(new.select("pipeline_id", "node_id"), ["pipeline_id", "node_id"])
-    keys = ["pipeline_id", "node_id", "path"]
-
-    def paths(nodes: DataFrame, name: str) -> DataFrame:
-        entries = nodes.join(shared, ["pipeline_id", "node_id"], "left_semi").select(
-            "pipeline_id", "node_id", F.explode(flatten_paths("config")).alias("path", name)
-        )
-        return entries.where(F.col("path") != "")
-
-    return paths(old, "before").join(paths(new, "after"), keys, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    keys = ["pipeline_id", "node_id"]
+    old = _nodes(before).select(*keys, F.coalesce("config", F.lit("{}")).alias("old"))
+    new = _nodes(after).select(*keys, F.coalesce("config", F.lit("{}")).alias("new"))
+    # Only nodes whose settings differ as text go through Python.
+    edited = old.join(new, keys).where(F.col("old") != F.col("new"))
+    maps = edited.select(*keys, flatten_paths("old").alias("old"), flatten_paths("new").alias("new"))
+    paths = F.array_union(F.map_keys("old"), F.map_keys("new"))
+    changed = F.filter(paths, lambda path: (path != "") & ~F.col("old")[path].eqNullSafe(F.col("new")[path]))
+    exploded = maps.select(*keys, "old", "new", F.explode(changed).alias("path"))
+    return exploded.select(*keys, "path", F.col("old")[F.col("path")].alias("before"), F.col("new")[F.col("path")].alias("after"))
 
 
 def diff_nodes(before: DataFrame, after: DataFrame) -> DataFrame:

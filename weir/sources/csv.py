@@ -118,8 +118,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = Tru
     flat = df.select(
         *[(F.to_json(F.col(f"`{f.name}`")) if is_nested(f.dataType) else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields]
     )
-    flat.write.mode(mode).csv(
+    flat.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").csv(
         path, sep=delimiter, header=header, quote='"', escape='"', nullValue="", emptyValue="",
-        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSS",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSXXX", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
