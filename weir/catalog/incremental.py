@@ -116,13 +116,13 @@ def backfill_expand(t):
 
 _PLAN = """
     b AS (SELECT o_custkey AS schedule_id, min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders GROUP BY 1),
-    planned AS (SELECT schedule_id, unnest(generate_series(a, z, INTERVAL 1 DAY)) AS logical_date FROM b)
+    planned AS (SELECT schedule_id, unnest(generate_series(a, z, INTERVAL 7 DAY)) AS logical_date FROM b)
 """
 
 
 def _planned(t):
     ranges = t.orders.groupBy(F.col("o_custkey").alias("schedule_id")).agg(F.min("o_orderdate").alias("range_start"), F.max("o_orderdate").alias("range_end"))
-    return expand_ranges(ranges)
+    return expand_ranges(ranges, 7 * 86_400)
 
 
 def _order_runs(t):

@@ -97,7 +97,8 @@ def landed_pages(t):
     """
 )
 def landed_cursor_pages(t):
-    return landed_records(_responses(t), "data.items", "cursor").select("source", "id")
+    schema = "STRUCT<id: BIGINT, meta: STRUCT<kind: STRING>>"
+    return landed_records(_responses(t), "data.items", "cursor", schema=schema).select("source", "id")
 
 
 def _fraction(preset: str, field: int) -> str:

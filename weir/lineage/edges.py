@@ -20,85 +20,91 @@ _DEFINITION = (
 )
 
 EDGE_KEY = ["from_type", "from_id", "to_type", "to_id"]
+WHO = ["pipeline_id", "pipeline_version_id"]
 
 
-def parse_definitions(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and DAG edges of a table (pipeline_id, pipeline_version_id, definition as JSON text)."""
-    parsed = definitions.withColumn("d", F.from_json("definition", _DEFINITION, {"mode": "FAILFAST"}))
-    who = ["pipeline_id", "pipeline_version_id"]
-    nodes = parsed.select(*who, F.col("d.name").alias("pipeline_name"), F.inline("d.nodes")).select(
-        *who, "pipeline_name", F.col("id").alias("node_id"), F.col("type").alias("node_type"),
-        F.coalesce("metadata.label", "id").alias("label"), _named(F.col("config")).alias("dataset"),
-    )
-    edges = parsed.select(*who, F.inline("d.edges")).select(
-        *who, F.col("from").alias("from_node"), F.col("to").alias("to_node"), F.coalesce("port", F.lit("default")).alias("port")
-    )
-    return nodes, edges
+def parse_definitions(definitions: DataFrame) -> DataFrame:
+    """One row per definition of a table (pipeline_id, pipeline_version_id, definition as JSON text).
+
+    Its nodes and edges stay arrays in the row: all that is derived from one definition is derived
+    in place, so the whole derivation needs no join and no shuffle.
+    """
+    parsed = definitions.select(*WHO, F.from_json("definition", _DEFINITION, {"mode": "FAILFAST"}).alias("d"))
 
+    def node(n: Column) -> Column:
+        # The dataset a node names: its dataset, else its table, else its object key.
+        dataset = F.coalesce(*[F.nullif(n["config"][f], F.lit("")) for f in ("dataset", "table", "key")])
+        publishes = dataset.isNotNull() & n["type"].isin(*DESTINATIONS, *PUBLISHING_TRANSFORMS)
+        return F.struct(
+            n["id"].alias("node_id"), n["type"].alias("node_type"), F.coalesce(n["metadata"]["label"], n["id"]).alias("label"),
+            dataset.alias("dataset"), F.when(publishes, dataset).alias("published"),
+        )
+
+    return parsed.select(
+        *WHO, F.col("d.name").alias("pipeline_name"), F.transform("d.nodes", node).alias("nodes"),
+        F.coalesce("d.edges", F.array().cast("array<struct<from:string,to:string,port:string>>")).alias("edges"),
+    )
 
-def _named(config: Column) -> Column:
-    """The dataset a node names: its dataset, else its table, else its object key."""
-    return F.coalesce(*[F.nullif(config.getField(f), F.lit("")) for f in ("dataset", "table", "key")])
 
+def _edge(from_type, from_id, to_type, to_id, node_id, transformation=None) -> Column:
+    def column(value) -> Column:
+        return value if isinstance(value, Column) else F.lit(value).cast("string")
 
-def _publishes() -> Column:
-    return F.col("dataset").isNotNull() & F.col("node_type").isin(*DESTINATIONS, *PUBLISHING_TRANSFORMS)
+    values = {
+        "from_type": from_type, "from_id": from_id, "to_type": to_type, "to_id": to_id, "node_id": node_id, "transformation": transformation,
+    }
+    return F.struct(*[column(v).alias(k) for k, v in values.items()])
 
 
-def lineage_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def lineage_edges(parsed: DataFrame) -> DataFrame:
     """Edges between datasets and nodes; an edge is only claimed where the definition names something."""
-    who = ["pipeline_id", "pipeline_version_id"]
-
-    def edge(from_type, from_id, to_type, to_id, node_id, transformation) -> list[Column]:
-        return [
-            *[F.col(w) for w in who], F.lit(from_type).alias("from_type"), from_id.alias("from_id"), F.lit(to_type).alias("to_type"),
-            to_id.alias("to_id"), node_id.alias("node_id"), transformation.alias("transformation"),
-        ]
-
-    none = F.lit(None).cast("string")
-    node_id, dataset = F.col("node_id"), F.col("dataset")
-    read = nodes.where(F.col("node_type").isin(*SOURCES) & dataset.isNotNull()).select(
-        *edge("dataset", dataset, "node", node_id, node_id, none)
+    read = F.transform(
+        F.filter("nodes", lambda n: n["node_type"].isin(*SOURCES) & n["dataset"].isNotNull()),
+        lambda n: _edge("dataset", n["dataset"], "node", n["node_id"], n["node_id"]),
     )
-    written = nodes.where(_publishes()).select(*edge("node", node_id, "dataset", dataset, node_id, F.col("node_type")))
-    ends = nodes.select(*who, "node_id", "node_type", F.when(_publishes(), dataset).alias("published"))
-    start = ends.select(*who, F.col("node_id").alias("from_node"), "published", F.lit(True).alias("known"))
-    stop = ends.select(*who, F.col("node_id").alias("to_node"), F.col("node_type").alias("to_node_type"))
-    flow = edges.join(start, [*who, "from_node"]).join(stop, [*who, "to_node"])
-    routed = F.col("published").isNotNull()
-    between = flow.select(
-        *who, F.when(routed, "dataset").otherwise("node").alias("from_type"),
-        F.when(routed, F.col("published")).otherwise(F.col("from_node")).alias("from_id"),
-        F.lit("node").alias("to_type"), F.col("to_node").alias("to_id"), F.col("to_node").alias("node_id"),
-        F.when(~routed, F.col("to_node_type")).alias("transformation"),
+    written = F.transform(
+        F.filter("nodes", lambda n: n["published"].isNotNull()),
+        lambda n: _edge("node", n["node_id"], "dataset", n["published"], n["node_id"], n["node_type"]),
     )
-    return read.unionByName(written).unionByName(between).dropDuplicates([*who, *EDGE_KEY])
+    by_id = F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["node_id"], F.struct(n["node_type"], n["published"]))))
+
+    def between(e: Column) -> Column:
+        source, target = F.try_element_at("by_id", e["from"]), F.try_element_at("by_id", e["to"])
+        published = source["published"]
+        # A node that publishes a dataset feeds the next node through it.
+        routed = published.isNotNull()
+        edge = _edge(
+            F.when(routed, "dataset").otherwise("node"), F.coalesce(published, e["from"]), "node", e["to"], e["to"],
+            F.when(~routed, target["node_type"]),
+        )
+        return F.when(source.isNotNull() & target.isNotNull(), edge)
+
+    known = parsed.withColumn("by_id", by_id)
+    all_edges = F.array_distinct(F.concat(read, written, F.array_compact(F.transform("edges", between))))
+    return known.select(*WHO, F.inline(all_edges))
 
 
-def lineage_nodes(nodes: DataFrame) -> DataFrame:
+def lineage_nodes(parsed: DataFrame) -> DataFrame:
     """One row per pipeline node, and one per dataset and pipeline with the type of a node that names it."""
-    own = nodes.select(
-        F.lit("node").alias("type"), F.col("node_id").alias("id"), "label", "node_type", "pipeline_id", "pipeline_name"
-    )
-    touching = nodes.where(F.col("dataset").isNotNull() & F.col("node_type").isin(*SOURCES, *DESTINATIONS, *PUBLISHING_TRANSFORMS))
-    datasets = touching.groupBy("pipeline_id", "pipeline_name", "dataset").agg(F.min_by("node_type", "node_id").alias("node_type"))
-    return own.unionByName(
-        datasets.select(
-            F.lit("dataset").alias("type"), F.col("dataset").alias("id"), F.col("dataset").alias("label"), "node_type",
-            "pipeline_id", "pipeline_name",
-        )
+    own = parsed.select(*WHO, "pipeline_name", F.inline("nodes"))
+    touching = F.col("dataset").isNotNull() & (F.col("node_type").isin(*SOURCES) | F.col("published").isNotNull())
+    entry = F.array(
+        F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("label").alias("label")),
+        F.when(touching, F.struct(F.lit("dataset").alias("type"), F.col("dataset").alias("id"), F.col("dataset").alias("label"))),
     )
+    rows = own.select("pipeline_id", "pipeline_name", "node_type", "node_id", F.inline(F.array_compact(entry)))
+    return rows.groupBy("type", "id", "pipeline_id", "pipeline_name").agg(
+        F.min_by("label", "node_id").alias("label"), F.min_by("node_type", "node_id").alias("node_type")
+    ).select("type", "id", "label", "node_type", "pipeline_id", "pipeline_name")
 
 
-def unresolved(nodes: DataFrame) -> DataFrame:
+def unresolved(parsed: DataFrame) -> DataFrame:
     """Sources and destinations that name nothing, so that a gap is visible."""
-    is_source = F.col("node_type").isin(*SOURCES)
-    reason = F.when(is_source, "Source does not name a dataset, so its upstream origin is unknown").otherwise(
-        "Destination does not name a dataset, so its downstream target is unknown"
-    )
-    return nodes.where(F.col("node_type").isin(*SOURCES, *DESTINATIONS) & F.col("dataset").isNull()).select(
-        "pipeline_id", "node_id", "node_type", reason.alias("reason")
-    )
+    reason = F.when(
+        F.col("node_type").isin(*SOURCES), "Source does not name a dataset, so its upstream origin is unknown"
+    ).otherwise("Destination does not name a dataset, so its downstream target is unknown")
+    nameless = F.filter("nodes", lambda n: n["dataset"].isNull() & n["node_type"].isin(*SOURCES, *DESTINATIONS))
+    return parsed.select("pipeline_id", F.inline(nameless)).select("pipeline_id", "node_id", "node_type", reason.alias("reason"))
 
 
 def merge_edges(*tables: DataFrame) -> DataFrame:

@@ -73,9 +73,12 @@ def look_back(
     if largest <= slice_rows:
         return _with_windows(df, keys, order_by, build)
 
-    hot_keys = per_key.where(F.col("__rows") > slice_rows).select(*keys, F.lit(True).alias("__hot"))
-    same_key = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot_keys[k]) for k in keys])
-    flagged = df.join(hot_keys, same_key, "left").select(*[df[c] for c in df.columns], "__hot")
+    names = [f"__hot_{i}" for i in range(len(keys))]
+    hot_keys = per_key.where(F.col("__rows") > slice_rows).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(True).alias("__hot")
+    )
+    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    flagged = df.join(hot_keys, same_key, "left").drop(*names)
     cold = flagged.where("__hot IS NULL").drop("__hot")
     hot = flagged.where("__hot").drop("__hot")
     sliced = _slice(hot, order_by[0], slice_rows)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _NODES = (
     "nodes ARRAY<STRUCT<id: STRING, type: STRING, config: STRING, retry: STRING, timeoutSeconds: STRING, "
@@ -31,77 +31,93 @@ def flatten_paths(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: dict(_leaves(json.loads(text), "")) if text else {})
 
 
-def _nodes(definitions: DataFrame) -> DataFrame:
-    parsed = definitions.select("pipeline_id", F.from_json("definition", _NODES).alias("d"))
-    return parsed.select("pipeline_id", F.inline("d.nodes")).select(
-        "pipeline_id", F.col("id").alias("node_id"), F.col("type").alias("node_type"), "config",
-        F.coalesce("retry", F.lit("null")).alias("retry"), F.coalesce("timeoutSeconds", F.lit("null")).alias("timeout"),
-        F.coalesce("metadata.position", F.lit("null")).alias("position"),
+def _pairs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Both versions of each definition in one row, nodes by id. One join serves every comparison."""
+
+    def side(definitions: DataFrame, name: str) -> DataFrame:
+        parsed = definitions.select("pipeline_id", F.from_json("definition", _NODES).alias("d"))
+
+        def entry(n: Column) -> Column:
+            text = {f: F.coalesce(n[f], F.lit("null")) for f in ("type", "retry", "timeoutSeconds")}
+            fields = F.struct(
+                *[c.alias(f) for f, c in text.items()], F.coalesce(n["metadata"]["position"], F.lit("null")).alias("position"),
+                F.coalesce(n["config"], F.lit("{}")).alias("config"),
+            )
+            return F.struct(n["id"], fields)
+
+        edges = F.transform("d.edges", lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"), F.coalesce(e["port"], F.lit("default")).alias("port")))
+        none = F.array().cast("array<struct<from:string,to:string,port:string>>")
+        return parsed.select(
+            "pipeline_id", F.map_from_entries(F.transform("d.nodes", entry)).alias(name), F.coalesce(edges, none).alias(f"{name}_edges")
+        )
+
+    return side(before, "old").join(side(after, "new"), "pipeline_id")
+
+
+def _explode_nodes(pairs: DataFrame) -> DataFrame:
+    ids = F.array_union(F.map_keys("old"), F.map_keys("new"))
+    exploded = pairs.select("pipeline_id", "old", "new", F.explode(ids).alias("node_id"))
+    return exploded.select(
+        "pipeline_id", "node_id", F.try_element_at("old", F.col("node_id")).alias("old"), F.try_element_at("new", F.col("node_id")).alias("new")
     )
 
 
 def diff_settings(before: DataFrame, after: DataFrame) -> DataFrame:
     """Settings that changed in nodes both sides have: pipeline_id, node_id, path, before, after.
 
-    Both sides hold one definition (JSON text) per pipeline.
+    Both sides hold one definition (JSON text) per pipeline; pipelines on one side only are not compared.
     """
-    keys = ["pipeline_id", "node_id"]
-    old = _nodes(before).select(*keys, F.coalesce("config", F.lit("{}")).alias("old"))
-    new = _nodes(after).select(*keys, F.coalesce("config", F.lit("{}")).alias("new"))
     # Only nodes whose settings differ as text go through Python.
-    edited = old.join(new, keys).where(F.col("old") != F.col("new"))
-    maps = edited.select(*keys, flatten_paths("old").alias("old"), flatten_paths("new").alias("new"))
+    edited = _explode_nodes(_pairs(before, after)).where(F.col("old.config") != F.col("new.config"))
+    maps = edited.select("pipeline_id", "node_id", flatten_paths("old.config").alias("old"), flatten_paths("new.config").alias("new"))
     paths = F.array_union(F.map_keys("old"), F.map_keys("new"))
     changed = F.filter(paths, lambda path: (path != "") & ~F.col("old")[path].eqNullSafe(F.col("new")[path]))
-    exploded = maps.select(*keys, "old", "new", F.explode(changed).alias("path"))
-    return exploded.select(*keys, "path", F.col("old")[F.col("path")].alias("before"), F.col("new")[F.col("path")].alias("after"))
+    exploded = maps.select("pipeline_id", "node_id", "old", "new", F.explode(changed).alias("path"))
+    return exploded.select(
+        "pipeline_id", "node_id", "path", F.col("old")[F.col("path")].alias("before"), F.col("new")[F.col("path")].alias("after")
+    )
 
 
 def diff_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Nodes added, removed or changed outside their settings: pipeline_id, node_id, change, before, after."""
-    old = _nodes(before).select("pipeline_id", "node_id", F.struct("node_type", "retry", "timeout", "position").alias("old"))
-    new = _nodes(after).select("pipeline_id", "node_id", F.struct("node_type", "retry", "timeout", "position").alias("new"))
-    both = old.join(new, ["pipeline_id", "node_id"], "full")
 
-    def change(name: str, condition, field: str):
+    def change(name: str, condition: Column, field: str) -> Column:
         return F.when(
             condition,
             F.struct(F.lit(name).alias("change"), F.col(f"old.{field}").alias("before"), F.col(f"new.{field}").alias("after")),
         )
 
     present = F.col("old").isNotNull() & F.col("new").isNotNull()
-    changes = F.array(
-        change("added", F.col("old").isNull(), "node_type"),
-        change("removed", F.col("new").isNull(), "node_type"),
-        change("type", present & (F.col("old.node_type") != F.col("new.node_type")), "node_type"),
-        change("retry", present & (F.col("old.retry") != F.col("new.retry")), "retry"),
-        change("timeout", present & (F.col("old.timeout") != F.col("new.timeout")), "timeout"),
-        change("position", present & (F.col("old.position") != F.col("new.position")), "position"),
-    )
-    return both.select("pipeline_id", "node_id", F.inline(F.array_compact(changes)))
+    changes = [change("added", F.col("old").isNull(), "type"), change("removed", F.col("new").isNull(), "type")]
+    for name, field in (("type", "type"), ("retry", "retry"), ("timeout", "timeoutSeconds"), ("position", "position")):
+        changes.append(change(name, present & (F.col(f"old.{field}") != F.col(f"new.{field}")), field))
+    nodes = _explode_nodes(_pairs(before, after))
+    return nodes.select("pipeline_id", "node_id", F.inline(F.array_compact(F.array(*changes))))
 
 
 def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
     """Edges added or removed: pipeline_id, from, to, port, change."""
 
-    def edges(definitions: DataFrame) -> DataFrame:
-        parsed = definitions.select("pipeline_id", F.from_json("definition", _NODES).alias("d"))
-        return parsed.select("pipeline_id", F.inline("d.edges")).withColumn("port", F.coalesce("port", F.lit("default"))).distinct()
+    def marked(edges: Column, change: str) -> Column:
+        return F.transform(edges, lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"), e["port"].alias("port"), F.lit(change).alias("change")))
 
-    old, new = edges(before), edges(after)
-    keys = ["pipeline_id", "from", "to", "port"]
-    added = new.join(old, keys, "left_anti").withColumn("change", F.lit("added"))
-    removed = old.join(new, keys, "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    old, new = F.col("old_edges"), F.col("new_edges")
+    changes = F.concat(marked(F.array_except(new, old), "added"), marked(F.array_except(old, new), "removed"))
+    return _pairs(before, after).select("pipeline_id", F.inline(changes))
 
 
 def semantically_equal(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per pipeline: does anything differ that affects execution? Moved positions do not count."""
-    differing = (
-        diff_settings(before, after).select("pipeline_id")
-        .unionByName(diff_nodes(before, after).where(F.col("change") != "position").select("pipeline_id"))
-        .unionByName(diff_edges(before, after).select("pipeline_id"))
-        .distinct().withColumn("differs", F.lit(True))
+    """Per pipeline: does nothing differ that affects execution? Moved positions do not count."""
+    pairs = _pairs(before, after)
+
+    def shape(nodes: str) -> Column:
+        entries = F.transform(F.map_entries(nodes), lambda n: F.struct(n["key"], n["value"]["type"], n["value"]["retry"], n["value"]["timeoutSeconds"]))
+        return F.array_sort(entries)
+
+    same_shape = (
+        (shape("old") == shape("new")) & (F.size(F.array_except("old_edges", "new_edges")) == 0) & (F.size(F.array_except("new_edges", "old_edges")) == 0)
+    )
+    settings = diff_settings(before, after).select("pipeline_id").distinct().withColumn("edited", F.lit(True))
+    return pairs.select("pipeline_id", same_shape.alias("same_shape")).join(settings, "pipeline_id", "left").select(
+        "pipeline_id", (F.col("same_shape") & F.col("edited").isNull()).alias("equal")
     )
-    pipelines = before.select("pipeline_id").unionByName(after.select("pipeline_id")).distinct()
-    return pipelines.join(differing, "pipeline_id", "left").select("pipeline_id", F.col("differs").isNull().alias("equal"))
