@@ -238,6 +238,22 @@ def test_datasets(spark, folder):
         datasets.write("Bad Name", rows)
 
 
+def test_partitioned_datasets(spark, folder):
+    datasets = Datasets(spark, folder)
+    rows = spark.createDataFrame([(1, "01", "a"), (2, "01", "b"), (3, "02", "c"), (4, None, "n")], "id BIGINT, p STRING, v STRING")
+    datasets.write("d", rows, partition_by=["p"])
+    assert dict(datasets.read("d").dtypes) == {"id": "bigint", "p": "string", "v": "string"}
+    untouched = {f.name: f.stat().st_mtime_ns for f in Path(f"{folder}/d/p=02").glob("part-*")}
+    incoming = spark.createDataFrame([(2, "01", "B"), (9, "03", "new"), (5, None, "m")], rows.schema)
+    datasets.write("d", incoming, "upsert", ["id", "p"])
+    assert rows_of(datasets.read("d")) == [(1, "01", "a"), (2, "01", "B"), (3, "02", "c"), (4, None, "n"), (5, None, "m"), (9, "03", "new")]
+    assert {f.name: f.stat().st_mtime_ns for f in Path(f"{folder}/d/p=02").glob("part-*")} == untouched
+    datasets.write("d", incoming.where("id = 9"), "append")
+    assert datasets.read("d").count() == 7 and datasets.catalog().head().row_count == 7
+    with pytest.raises(ConfigError):
+        datasets.write("d", incoming, "upsert", ["id"])
+
+
 def test_publish_checked(spark, folder):
     datasets = Datasets(spark, folder)
     rows = spark.createDataFrame([(1, 5), (2, -5), (3, 7)], "id BIGINT, v BIGINT")

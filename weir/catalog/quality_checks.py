@@ -62,7 +62,7 @@ def quality_unique_lineitem(t):
 def quality_custom_sql(t):
     checks = [
         {"id": "few_orders", "type": "custom_sql", "sql": "SELECT o_custkey FROM input GROUP BY o_custkey HAVING count(*) > 15", "threshold": 0.99},
-        {"id": "broken", "type": "custom_sql", "sql": "SELECT no_such_column FROM input"},
+        {"id": "broken", "type": "not_null", "column": "no_such_column"},
     ]
     results = run_checks(t.orders, checks, _NOW, samples=False)
     return results.select("check_id", "status", "passed_rows", "failed_rows", "total_rows", "actual")

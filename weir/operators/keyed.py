@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from weir.errors import ConfigError
 from weir.functions.ordering import sort_columns
+from weir.session import cut_lineage
 
 # Time bins a hot key is cut into before neighbouring bins are merged; bounds what the driver sees.
 MAX_BINS = 65_536
@@ -73,6 +74,9 @@ def look_back(
     if largest <= slice_rows:
         return _with_windows(df, keys, order_by, build)
 
+    # The slices are planned from the data, so it is read several times; computed once.
+    df = cut_lineage(df, "look-back")
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     names = [f"__hot_{i}" for i in range(len(keys))]
     hot_keys = per_key.where(F.col("__rows") > slice_rows).select(
         *[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(True).alias("__hot")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weir.operators.keyed import count_by_state, latest_per_key
 from weir.operators.sort import top_k
@@ -45,12 +45,23 @@ def duration_percentile(
 ) -> DataFrame:
     """The interpolated percentile of durations.
 
-    The exact form keeps one counter per distinct duration of a group; durations are whole
-    milliseconds, so that stays small. `exact=False` uses a sketch of fixed size instead.
+    Exact: runs are counted per distinct duration first, in the map tasks, so what is sorted per group
+    is the distinct durations and not the runs. `exact=False` uses a sketch of fixed size instead.
     """
     windowed = in_window(runs, "queued_at", since, until).where(F.col("duration_ms").isNotNull())
-    value = F.percentile("duration_ms", F.lit(fraction)) if exact else F.percentile_approx("duration_ms", F.lit(fraction), F.lit(accuracy))
-    return windowed.groupBy(*by).agg(value.cast("double").alias("p_duration_ms"))
+    if not exact:
+        value = F.percentile_approx("duration_ms", F.lit(fraction), F.lit(accuracy))
+        return windowed.groupBy(*by).agg(value.cast("double").alias("p_duration_ms"))
+    counts = windowed.groupBy(*by, "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    ranked = counts.select(
+        *by, "duration_ms", F.sum("n").over(group.orderBy("duration_ms")).alias("upto"),
+        (F.lit(fraction) * (F.sum("n").over(group) - 1)).alias("position"),
+    )
+    low = F.min(F.when(F.col("upto") > F.floor("position"), F.col("duration_ms")))
+    high = F.min(F.when(F.col("upto") > F.ceil("position"), F.col("duration_ms")))
+    share = F.max(F.col("position") - F.floor("position"))
+    return ranked.groupBy(*by).agg((low + (high - low) * share).cast("double").alias("p_duration_ms"))
 
 
 def daily_series(runs: DataFrame, since=None, until=None) -> DataFrame:

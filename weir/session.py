@@ -68,6 +68,26 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target = hadoop_fs(spark, path)
+    stream = fs.create(target, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, target = hadoop_fs(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def swap_path(spark: SparkSession, staged: str, final: str) -> None:
     """Puts a finished directory in the place of `final`; the old content is removed last."""
     fs, source = hadoop_fs(spark, staged)

@@ -53,15 +53,19 @@ def read_csv(
     infer_types: bool = True,
     limit: int | None = None,
     columns: Sequence[ColumnSpec] | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Reads RFC 4180 text. Short rows are padded with NULL; a row longer than the header is an error.
 
-    Files are split over tasks unless a quoted field spans lines. With `columns` given the types are
-    taken from there and the inference scan is skipped.
+    Files are split over tasks unless a quoted field spans lines, which one scan of the text finds
+    out; saying `multi_line` skips that scan. With `columns` given the types are taken from there and the
+    inference scan is skipped.
     """
     if len(delimiter) != 1:
         raise ConfigError(f'CSV delimiter must be a single character, got "{delimiter}"')
-    multi_line, broken = _quote_layout(spark, path)
+    broken = None
+    if multi_line is None:
+        multi_line, broken = _quote_layout(spark, path)
     if broken:
         raise ValidationError(f"CSV ended inside a quoted field: {broken}")
     options = _options(delimiter, multi_line)

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from weir.errors import ConfigError, GateBlocked
 from weir.operators.keyed import latest_per_key, merge_rows
 from weir.quality.checks import run_checks
 from weir.quality.gate import GateDecision, evaluate_gate
 from weir.quality.quarantine import quarantine
-from weir.session import delete_path, path_exists, swap_path
+from weir.session import cut_lineage, delete_path, path_exists, read_text, swap_path, write_text
 
 # What a dataset may be called, and rows kept for a preview.
 NAME_PATTERN = r"[a-z0-9][a-z0-9_.-]{0,127}"
 RETAIN_ROWS = 1000
 
+# Side file of a partitioned dataset; Spark's readers skip names that start with an underscore.
+_LAYOUT = "_layout.json"
+
 LOG_SCHEMA = (
     "name STRING, source_type STRING, write_mode STRING, rows_written BIGINT, row_count BIGINT, run_id STRING, "
     "quality_status STRING, updated_at TIMESTAMP"
@@ -45,12 +50,25 @@ class Datasets:
         return f"{self.root.rstrip('/')}/_datasets_log"
 
     def read(self, name: str, limit: int | None = None) -> DataFrame:
-        path = self.path(name)
-        if not path_exists(self.spark, path):
+        df = self._open(self.path(name))
+        if df is None:
             raise ConfigError(f'Dataset "{name}" does not exist')
-        df = self.spark.read.parquet(path)
         return df if limit is None else df.limit(limit)
 
+    def _open(self, path: str) -> DataFrame | None:
+        if not path_exists(self.spark, path):
+            return None
+        # Partition values are only text in directory names; the side file knows their types.
+        layout = read_text(self.spark, f"{path}/{_LAYOUT}")
+        if layout is None:
+            return self.spark.read.parquet(path)
+        schema = T.StructType.fromJson(json.loads(layout)["schema"])
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+
+    def _partitioning(self, path: str) -> list[str]:
+        layout = read_text(self.spark, f"{path}/{_LAYOUT}")
+        return json.loads(layout)["partition_by"] if layout else []
+
     def write(
         self,
         name: str,
@@ -61,38 +79,78 @@ class Datasets:
         source_type: str | None = None,
         quality_status: str | None = None,
         order_by: Sequence = (),
+        partition_by: Sequence[str] = (),
         now: datetime | None = None,
     ) -> int:
-        """append, replace or upsert; returns the rows written. All rows are kept."""
+        """append, replace or upsert; returns the rows written. All rows are kept.
+
+        An append adds files and a replace swaps directories. An upsert rewrites the dataset, or, when it
+        is partitioned by some of the keys, only the partitions that the incoming rows fall into.
+        """
         path = self.path(name)
-        exists = path_exists(self.spark, path)
         if mode not in ("append", "replace", "upsert"):
             raise ConfigError("write mode must be append, replace or upsert")
         if mode == "upsert" and not keys:
             raise ConfigError("Upsert requires at least one key column")
+        existing = self._open(path)
+        layout = list(partition_by) if existing is None or mode == "replace" else self._partitioning(path)
+        if mode == "upsert" and not set(layout) <= set(keys):
+            raise ConfigError("a partitioned dataset can only be upserted by keys that include its partition columns")
+        if mode == "append" and existing is not None:
+            written = self._save(df, path, layout, "append")
+            total = self._logged_rows(name, written)
+        elif mode == "upsert" and existing is not None and layout:
+            written = self._upsert_partitions(existing, df, path, layout, keys, order_by)
+            total = self._open(path).count()
+        else:
+            rows = df
+            if mode == "upsert":
+                incoming = cut_lineage(df)
+                rows = merge_rows(incoming.limit(0) if existing is None else existing, incoming, keys, order_by)
+            written = total = self._replace(rows, path, layout, name)
+        self._log(name, source_type, mode, written, total, run_id, quality_status, now)
+        return written
+
+    def _save(self, df: DataFrame, path: str, layout: Sequence[str], mode: str) -> int:
+        """Writes and counts on the way."""
+        observation = Observation()
+        writer = df.observe(observation, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+        if mode == "overwrite":
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        (writer.partitionBy(*layout) if layout else writer).parquet(path)
+        return observation.get["rows"]
+
+    def _replace(self, df: DataFrame, path: str, layout: Sequence[str], name: str) -> int:
         staged = f"{self.root.rstrip('/')}/_staged/{name}-{uuid.uuid4().hex[:12]}"
         try:
-            if mode == "upsert" and exists:
-                rows = merge_rows(self.spark.read.parquet(path), df, keys, order_by)
-            elif mode == "upsert":
-                rows = merge_rows(df.limit(0), df, keys, order_by)
-            else:
-                rows = df
-            rows.write.parquet(staged)
-            # Counting reads only the footers of the staged files.
-            written = self.spark.read.parquet(staged).count()
-            if mode == "append" and exists:
-                self._append(staged, path)
-            else:
-                swap_path(self.spark, staged, path)
+            written = self._save(df, staged, layout, "errorifexists")
+            if layout:
+                write_text(self.spark, f"{staged}/{_LAYOUT}", json.dumps({"schema": df.schema.jsonValue(), "partition_by": list(layout)}))
+            swap_path(self.spark, staged, path)
+            return written
         finally:
             delete_path(self.spark, staged)
-        total = self.spark.read.parquet(path).count() if mode == "append" else written
-        self._log(name, source_type, mode, written, total, run_id, quality_status, now)
-        return written
 
-    def _append(self, staged: str, path: str) -> None:
-        self.spark.read.parquet(staged).write.mode("append").parquet(path)
+    def adopt(self, name: str, staged: str, rows: int, run_id: str | None, quality_status: str | None, now: datetime | None) -> int:
+        """Makes files that are already written below the root the new content of a dataset."""
+        swap_path(self.spark, staged, self.path(name))
+        self._log(name, None, "replace", rows, rows, run_id, quality_status, now)
+        return rows
+
+    def _upsert_partitions(self, existing, df, path, layout, keys, order_by) -> int:
+        incoming = cut_lineage(df)
+        names = [f"__p{i}" for i in range(len(layout))]
+        touched = incoming.select(*[F.col(c).alias(n) for c, n in zip(layout, names)]).distinct()
+        # NULL is a partition too, and its old rows must be written again.
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(layout, names)])
+        affected = existing.join(touched, same, "left_semi")
+        return self._save(merge_rows(affected, incoming, keys, order_by), path, layout, "overwrite")
+
+    def _logged_rows(self, name: str, written: int) -> int:
+        if not path_exists(self.spark, self.log_path):
+            return self.read(name).count()
+        last = self.catalog().where(F.col("name") == name).select("row_count").head()
+        return written + last.row_count if last else self.read(name).count()
 
     def _log(self, name, source_type, mode, written, total, run_id, quality_status, now) -> None:
         moment = now or datetime.now(timezone.utc)
@@ -155,7 +213,11 @@ def publish_checked(
         if decision.blocked:
             raise GateBlocked(decision.reason, decision.failed_checks)
         status = "PASSED" if all(r.status == "PASSED" for r in rows) else "FAILED"
-        written = datasets.write(name, good, mode, run_id=run_id, quality_status=status, now=now)
+        if mode == "replace" and quarantine_name is None:
+            # The checked files themselves become the dataset; nothing is written twice.
+            written = datasets.adopt(name, staged, good.count(), run_id, status, now)
+        else:
+            written = datasets.write(name, good, mode, run_id=run_id, quality_status=status, now=now)
         return Published(written, decision, results, moved)
     finally:
         delete_path(spark, staged)

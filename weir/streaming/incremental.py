@@ -16,16 +16,17 @@ from weir.sources.dataset import Datasets
 
 
 def upsert_stream(
-    stream: DataFrame, datasets: Datasets, name: str, keys: Sequence[str], checkpoint: str, order_by: Sequence = ()
+    stream: DataFrame, datasets: Datasets, name: str, keys: Sequence[str], checkpoint: str, order_by: Sequence = (), partition_by: Sequence[str] = ()
 ) -> StreamingQuery:
     """Upserts each micro-batch into a dataset.
 
     The checkpoint is the watermark of what was read. A batch that is repeated after a failure
-    upserts the same rows again, so the result is exactly-once.
+    upserts the same rows again, so the result is exactly-once. With `partition_by` a batch rewrites
+    only the partitions it falls into.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        datasets.write(name, batch, "upsert", keys, run_id=f"batch-{batch_id}", order_by=order_by)
+        datasets.write(name, batch, "upsert", keys, run_id=f"batch-{batch_id}", order_by=order_by, partition_by=partition_by)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
