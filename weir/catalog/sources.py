@@ -87,7 +87,8 @@ def _responses(t):
     """
 )
 def landed_pages(t):
-    return landed_records(_responses(t), "data.items").select("source", "id", "meta_kind")
+    schema = "STRUCT<id: BIGINT, meta: STRUCT<kind: STRING>>"
+    return landed_records(_responses(t), "data.items", schema=schema).select("source", "id", "meta_kind")
 
 
 @query(

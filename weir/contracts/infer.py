@@ -50,11 +50,22 @@ def unify(types: Iterable[str]) -> str:
 
 
 def _class_bit(column: Column) -> Column:
-    """The bit of the first pattern the text matches."""
-    cases = F.when(column.rlike(TEXT_CLASSES[0][1]), _BITS[TEXT_CLASSES[0][0]])
-    for name, pattern in TEXT_CLASSES[1:]:
-        cases = cases.when(column.rlike(pattern), _BITS[name])
-    return cases.otherwise(_BITS["string"])
+    """The bit of the first pattern the text matches.
+
+    Length and first character rule most patterns out without running them.
+    """
+    patterns = dict(TEXT_CLASSES)
+    length, first = F.length(column), F.substring(column, 1, 1)
+    numeric_start = first.isin(*"0123456789+-.")
+    return (
+        F.when(length.isin(4, 5) & F.lower(column).isin("true", "false"), _BITS["boolean"])
+        .when(~numeric_start, _BITS["string"])
+        .when((length >= 16) & column.rlike(patterns["timestamp"]), _BITS["timestamp"])
+        .when((length == 10) & column.rlike(patterns["date"]), _BITS["date"])
+        .when((length <= 16) & column.rlike(patterns["integer"]), _BITS["integer"])
+        .when(column.rlike(patterns["float"]), _BITS["float"])
+        .otherwise(_BITS["string"])
+    )
 
 
 def _type_of_bits(bits: Column) -> Column:

@@ -26,8 +26,9 @@ def profile(df: DataFrame, exact_distinct: bool = True, samples: bool = False) -
     for i, field in enumerate(df.schema.fields):
         column, text = F.col(f"`{field.name}`"), is_text(field.dataType)
         blank = is_blank(column, field.dataType)
-        value = F.when(~blank, as_text(column, field.dataType))
         kind = logical_type(field.dataType)
+        # Only nested values need a text form to be compared; others are cheaper as they are.
+        value = F.when(~blank, as_text(column, field.dataType) if kind == "json" else column)
         measures += [
             F.count_if(blank).alias(f"b{i}"),
             (F.count_distinct(value) if exact_distinct else F.approx_count_distinct(value)).alias(f"u{i}"),

@@ -202,6 +202,8 @@ _SQL_FUNCTIONS = {
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Adds the `w_*` functions to the session; Spark inlines them, so they cost nothing extra."""
+    if spark.catalog.functionExists(sorted(_SQL_FUNCTIONS)[-1]):
+        return sorted(_SQL_FUNCTIONS)
     for name, (arguments, result, body) in _SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
     return sorted(_SQL_FUNCTIONS)
