@@ -62,15 +62,18 @@ def compare(df, connection, sql: str) -> list[str]:
 
 
 def main() -> int:
+    from pyspark.sql import SparkSession
+
     from weir.catalog import ORACLES, QUERIES
     from weir.session import local_session
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--plain", action="store_true", help="a session with Spark's defaults")
     parser.add_argument("names", nargs="*")
     options = parser.parse_args()
     folder = f"/root/testdata/sf{options.sf}"
-    spark = local_session(cores="8")
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if options.plain else local_session(cores="8")
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
     failed = 0

@@ -2,7 +2,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from weir.contracts import coerce, diff_schemas, fingerprints, infer_columns, infer_schema, latest_changes, preview, profile, register, schema_history, unify, validate
+from weir.contracts import coerce, diff_schemas, fingerprints, infer_columns, infer_schema, latest_changes, preview, probe, profile, register, schema_history, unify, validate
 from weir.contracts.evolve import classify_type_change, worst_classification
 from weir.contracts.infer import ColumnSpec, columns_table
 from weir.contracts.registry import VERSIONS_SCHEMA
@@ -42,6 +42,7 @@ def test_inference_over_columns(spark):
         ("o", "json", False),
     ]
     assert infer_columns(df.select("id"), null_values=["1"])[0].nullable
+    assert probe(df, 1)[1] == ColumnSpec("name", "string", False)
     typed = coerce(df, infer_columns(df))
     assert dict(typed.dtypes)["id"] == "bigint" and dict(typed.dtypes)["active"] == "boolean" and typed.agg(F.sum("score")).head()[0] == 3.5
 

@@ -110,6 +110,20 @@ def test_evidence(spark):
     assert found["r1"].recent_failures == 2 and found["r1"].failing_since == T0 + timedelta(hours=1) and r.recent_failures == 1
 
 
+def test_version_changes(spark):
+    runs = make_runs(spark, [("p", "SUCCESS", 0, 1), ("p", "FAILED", 1, 1), ("p", "FAILED", 2, 1)])
+    runs = runs.withColumn("pipeline_version_id", F.when(F.col("id") == "r2", "v2").otherwise("v1"))
+    tasks = runs.where("state = 'FAILED'").select(F.concat(F.lit("t"), "id").alias("id"), F.col("id").alias("run_id"), F.lit("n").alias("node_id"), F.lit("x").alias("node_type"), "state", F.col("queued_at").alias("finished_at"), "error")
+    empty = tasks.where("false")
+    attempts = empty.select(F.col("id").alias("task_run_id"), F.lit(1).alias("attempt"), "state", "error")
+    logs = empty.select("id", F.col("id").alias("task_run_id"), F.col("finished_at").alias("ts"), F.lit("error").alias("level"), F.col("error").alias("message"))
+    results = empty.select("run_id", F.lit("c").alias("check_id"), F.lit("FAILED").alias("status"))
+    found = evidence.failure_evidence(runs, tasks, attempts, logs, results)
+    node = lambda n: json.dumps({"nodes": [{"id": "a", "type": "x", "config": {"limit": n}}], "edges": []})
+    versions = spark.createDataFrame([("v1", node(1)), ("v2", node(2))], "pipeline_version_id STRING, definition STRING")
+    assert rows_of(evidence.version_changes(found, versions), "run_id", "path", "before", "after") == [("r2", "limit", "1", "2")]
+
+
 def test_search(spark):
     table = spark.createDataFrame([("1", "sales"), ("2", "Sales daily"), ("3", "all SALES"), ("4", "other")], "id STRING, name STRING")
     hits = search.search_catalog({"pipeline": (table, "id", "name", ["name"])}, " SALES ")

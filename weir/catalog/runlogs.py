@@ -102,7 +102,7 @@ def run_daily_series(t):
     SELECT id, pipeline_id, state, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY queued_at DESC, id DESC) AS r FROM runs) WHERE r = 1
     """
 )
-def latest_per_pipeline(t):
+def latest_run_per_key(t):
     return analytics.latest_runs(runs_of(t)).select("id", "pipeline_id", "state", "duration_ms")
 
 

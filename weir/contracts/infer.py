@@ -117,6 +117,11 @@ def infer_columns(df: DataFrame, null_values: Sequence[str] = ()) -> list[Column
     return [ColumnSpec(r.name, r.type, r.nullable) for r in infer_schema(df, null_values).orderBy("position").collect()]
 
 
+def probe(df: DataFrame, rows: int = 200) -> list[ColumnSpec]:
+    """A first look at a source: the columns and types its first rows show."""
+    return infer_columns(df.limit(rows))
+
+
 def columns_table(df_or_session, columns: Iterable[ColumnSpec | Mapping], dataset: str | None = None) -> DataFrame:
     """A contract given as a list, as a table like the one `infer_schema` returns."""
     spark = df_or_session.sparkSession if isinstance(df_or_session, DataFrame) else df_or_session

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weir.operators.keyed import latest_per_key
+from weir.runlog.definitions import diff_settings
 
 # Log lines kept per failed task, and runs looked at for recurrence.
 LOG_LIMIT = 50
@@ -20,7 +21,10 @@ def failure_evidence(
     Every list is bounded: attempts by the retry policy, logs by twice the limit, checks and tasks by
     the definition of the pipeline.
     """
-    failed_runs = runs.where(F.col("state") == "FAILED").select(F.col("id").alias("run_id"), "pipeline_id", "queued_at", "error")
+    run_version = F.col("pipeline_version_id") if "pipeline_version_id" in runs.columns else F.lit(None).cast("string")
+    failed_runs = runs.where(F.col("state") == "FAILED").select(
+        F.col("id").alias("run_id"), "pipeline_id", "queued_at", "error", run_version.alias("version_id")
+    )
     run_ids = failed_runs.select("run_id")
     failed_tasks = tasks.where(F.col("state") == "FAILED").join(run_ids, "run_id", "left_semi")
     first_failed = failed_tasks.groupBy("run_id").agg(
@@ -41,8 +45,10 @@ def failure_evidence(
         .agg(F.array_sort(F.collect_list(F.struct("ts", "id", "level", "message"))).alias("logs"))
     )
 
+    newest = F.struct("queued_at", "id")
     succeeded = runs.where(F.col("state") == "SUCCESS").groupBy("pipeline_id").agg(
-        F.max_by("id", F.struct("queued_at", "id")).alias("last_success_run_id"), F.max("queued_at").alias("last_success_at")
+        F.max_by("id", newest).alias("last_success_run_id"), F.max("queued_at").alias("last_success_at"),
+        F.max_by(run_version, newest).alias("last_success_version_id"),
     )
     checks = (
         results.where(F.col("status") != "PASSED").join(run_ids, "run_id", "left_semi").groupBy("run_id")
@@ -59,7 +65,7 @@ def failure_evidence(
         .agg(F.count(F.lit(1)).alias("recent_failures"), F.min("queued_at").alias("failing_since"))
     )
     with_task = failed_runs.join(first_failed, "run_id", "left").select(
-        "run_id", "pipeline_id", "queued_at", "error", F.col("failed_task.task_run_id").alias("task_run_id"),
+        "run_id", "pipeline_id", "queued_at", "error", "version_id", F.col("failed_task.task_run_id").alias("task_run_id"),
         F.col("failed_task.node_id").alias("node_id"), F.col("failed_task.error").alias("task_error"),
     )
     return (
@@ -71,7 +77,21 @@ def failure_evidence(
         .join(recurrence, ["pipeline_id", "node_id"], "left")
         .select(
             "run_id", "pipeline_id", "queued_at", "error", "node_id", "task_error", F.coalesce("attempts", F.lit(0)).alias("attempts"),
-            "attempt_list", "logs", "last_success_run_id", "last_success_at", "failed_checks", "affected_nodes",
+            "attempt_list", "logs", "last_success_run_id", "last_success_at", "version_id", "last_success_version_id", "failed_checks", "affected_nodes",
             F.coalesce("recent_failures", F.lit(0)).alias("recent_failures"), "failing_since",
         )
     )
+
+
+def version_changes(found: DataFrame, versions: DataFrame) -> DataFrame:
+    """Settings that differ between a failed run's definition and that of the last successful run.
+
+    `found` comes from `failure_evidence`, `versions` has pipeline_version_id and definition (JSON text).
+    """
+    changed = found.where(F.col("version_id") != F.col("last_success_version_id"))
+
+    def side(column: str) -> DataFrame:
+        wanted = changed.select(F.col("run_id").alias("pipeline_id"), F.col(column).alias("pipeline_version_id"))
+        return wanted.join(versions.select("pipeline_version_id", "definition"), "pipeline_version_id").select("pipeline_id", "definition")
+
+    return diff_settings(side("last_success_version_id"), side("version_id")).withColumnRenamed("pipeline_id", "run_id")

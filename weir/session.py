@@ -34,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing exists there yet."""
-    return f"{shared_dir(spark)}/weir-{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/weir-{label}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what this process left in the shared folder; only once no DataFrame needs it any more."""
+    count = len(_scratch)
+    while _scratch:
+        delete_path(spark, _scratch.pop())
+    return count
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
