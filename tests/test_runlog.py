@@ -56,6 +56,23 @@ def test_duration_spike(spark):
     assert incidents.duration_spike(runs.where("id <> 'r7'")).count() == 0
 
 
+@pytest.mark.parametrize("slice_rows", [3, 1_000_000])
+def test_missing_data_of_other_runs(spark, slice_rows):
+    import random
+
+    random.seed(11)
+    states = [random.choice(["SUCCESS", "SUCCESS", "FAILED"]) for _ in range(80)]
+    reads = [random.choice([0, 0, 0, 0, 0, 9]) for _ in range(80)]
+    runs = make_runs(spark, [("p", s, i, 1) for i, s in enumerate(states)])
+    tasks = spark.createDataFrame([(f"r{i}", "src", "csv.source", "SUCCESS", n) for i, n in enumerate(reads)], "run_id STRING, node_id STRING, node_type STRING, state STRING, rows_read BIGINT")
+    want = []
+    for i in range(80):
+        earlier = [reads[j] for j in range(i) if states[j] == "SUCCESS"]
+        if reads[i] == 0 and any(earlier[-(4 if states[i] == "SUCCESS" else 5) :]):
+            want.append((f"r{i}",))
+    assert rows_of(incidents.missing_data(tasks, runs, slice_rows), "run_id") == sorted(want)
+
+
 def test_missing_data(spark):
     runs = make_runs(spark, [("p", "SUCCESS", i, 1) for i in range(7)])
     reads = [10, 0, 0, 0, 0, 0, 3]

@@ -206,11 +206,14 @@ def incident_duration_spike(t):
 
 @query(
     f"""
-    WITH {_RUNS}, {_TASKS}, w AS (SELECT t.run_id, r.pipeline_id, t.node_id, t.rows_read,
-           max(t.rows_read) OVER (PARTITION BY r.pipeline_id, t.node_id ORDER BY r.queued_at, t.run_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS recent
-         FROM tasks t JOIN runs r ON t.run_id = r.id WHERE t.state = 'SUCCESS' AND r.state = 'SUCCESS')
+    WITH {_RUNS}, {_TASKS}, reads AS (SELECT t.run_id, r.pipeline_id, t.node_id, t.rows_read, r.queued_at, r.state = 'SUCCESS' AS good
+                                  FROM tasks t JOIN runs r ON t.run_id = r.id WHERE t.state = 'SUCCESS'),
+         g AS (SELECT *, row_number() OVER (PARTITION BY pipeline_id, node_id ORDER BY queued_at, run_id) AS place FROM reads WHERE good),
+         c AS (SELECT r.*, (SELECT count(*) FROM g WHERE g.pipeline_id = r.pipeline_id AND g.node_id = r.node_id AND (g.queued_at, g.run_id) < (r.queued_at, r.run_id)) + 1 AS place
+               FROM reads r WHERE r.rows_read = 0)
     SELECT run_id, 'missing_data:' || pipeline_id || ':' || node_id AS fingerprint, node_id || ' read 0 rows in pipeline ' || pipeline_id AS title
-    FROM w WHERE rows_read = 0 AND recent > 0
+    FROM c WHERE EXISTS (SELECT 1 FROM g WHERE g.pipeline_id = c.pipeline_id AND g.node_id = c.node_id AND g.rows_read > 0
+                         AND g.place BETWEEN c.place - CASE WHEN c.good THEN 4 ELSE 5 END AND c.place - 1)
     """
 )
 def incident_missing_data(t):

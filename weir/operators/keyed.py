@@ -61,18 +61,21 @@ def look_back(
     rows: int,
     build: Callable[[WindowSpec], dict[str, Column]],
     slice_rows: int = 5_000_000,
+    relevant: Column | None = None,
+    then: Callable[[list[str]], dict[str, Column]] | None = None,
 ) -> DataFrame:
-    """Adds window columns that look at most `rows` rows back within each key.
+    """Adds window columns that depend on at most `rows` earlier rows of each key.
 
     `order_by` starts with a time or number column. Keys of up to `slice_rows` rows are one window
     partition each. A larger key is cut into slices of about that many rows along the first order
     column, and each slice gets the last `rows` rows before it as a prefix, so the result is the same
-    as with one window and no task sees the whole key.
+    as with one window and no task sees the whole key. With `relevant` only the rows it holds for are looked
+    back at. `then` gets the partition columns and may build on the columns of the first step.
     """
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     largest = per_key.agg(F.max("__rows")).head()[0] or 0
     if largest <= slice_rows:
-        return _with_windows(df, keys, order_by, build)
+        return _with_windows(df, keys, order_by, build, then)
 
     # The slices are planned from the data, so it is read several times; computed once.
     df = cut_lineage(df, "look-back")
@@ -86,14 +89,17 @@ def look_back(
     cold = flagged.where("__hot IS NULL").drop("__hot")
     hot = flagged.where("__hot").drop("__hot")
     sliced = _slice(hot, order_by[0], slice_rows)
-    prefixed = sliced.withColumn("__prefix", F.lit(False)).unionByName(_prefixes(sliced, keys, order_by, rows))
-    done = _with_windows(prefixed, [*keys, "__slice"], order_by, build)
-    return _with_windows(cold, keys, order_by, build).unionByName(done.where("NOT __prefix").drop("__prefix", "__slice"))
+    prefixes = _prefixes(sliced, keys, order_by, rows, F.lit(True) if relevant is None else relevant)
+    prefixed = sliced.withColumn("__prefix", F.lit(False)).unionByName(prefixes)
+    done = _with_windows(prefixed, [*keys, "__slice"], order_by, build, then)
+    rest = _with_windows(cold, keys, order_by, build, then)
+    return rest.unionByName(done.where("NOT __prefix").drop("__prefix", "__slice"))
 
 
-def _with_windows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], build) -> DataFrame:
+def _with_windows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], build, then) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order_by])
-    return df.withColumns(build(window))
+    first = df.withColumns(build(window))
+    return first if then is None else first.withColumns(then(list(keys)))
 
 
 def _slice(df: DataFrame, column: str, slice_rows: int) -> DataFrame:
@@ -123,14 +129,20 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def _prefixes(sliced: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int) -> DataFrame:
-    """For each slice of each key, the last `rows` rows of the slices before it."""
+def _prefixes(sliced: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int, relevant: Column) -> DataFrame:
+    """For each slice of each key, the last `rows` relevant rows of the slices before it."""
     columns = [c for c in sliced.columns if c != "__slice"]
-    tails = latest_per_key(sliced, [*keys, "__slice"], [(c, "desc", "last") for c in order_by], rows)
+    newest_first = [(c, "desc", "last") for c in order_by]
+    tails = latest_per_key(sliced.where(relevant), [*keys, "__slice"], newest_first, rows)
     per_slice = tails.groupBy(*keys, "__slice").agg(F.collect_list(F.struct(*columns)).alias("__tail"))
-    # Every slice holds at least one row, so `rows` slices always hold `rows` rows.
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(-rows, -1)
-    gathered = per_slice.select(*keys, "__slice", F.flatten(F.collect_list("__tail").over(before)).alias("__before"))
+    # Every slice listed here holds at least one row, so `rows` slices hold `rows` rows.
+    recent = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(-(rows - 1), 0)
+    state = per_slice.withColumn("__state", F.flatten(F.collect_list("__tail").over(recent))).drop("__tail")
+    slices = sliced.select(*keys, "__slice").distinct()
+    same = reduce(lambda a, b: a & b, [slices[k].eqNullSafe(state[k]) for k in [*keys, "__slice"]])
+    listed = slices.join(state, same, "left").select(*[slices[k] for k in [*keys, "__slice"]], "__state")
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    gathered = listed.select("__slice", F.last("__state", ignorenulls=True).over(before).alias("__before"))
     exploded = gathered.select("__slice", F.explode("__before").alias("__row")).select("__row.*", "__slice")
-    newest = latest_per_key(exploded, [*keys, "__slice"], [(c, "desc", "last") for c in order_by], rows)
+    newest = latest_per_key(exploded, [*keys, "__slice"], newest_first, rows)
     return newest.withColumn("__prefix", F.lit(True))

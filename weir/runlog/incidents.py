@@ -6,7 +6,7 @@ kind, severity, title, fingerprint, pipeline_id, run_id, dataset, evidence (JSON
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weir.operators.keyed import look_back
 
@@ -86,22 +86,37 @@ def duration_spike(
 
 
 def missing_data(tasks: DataFrame, runs: DataFrame, slice_rows: int = 5_000_000) -> DataFrame:
-    """Sources that read nothing although one of the four runs before read something.
+    """Sources that read nothing although one of the five newest successful runs read something.
 
-    Looks at the tasks of successful runs that report `rows_read`.
+    A successful run is one of the five itself, so it looks four runs back, and a run of another
+    state five. Only tasks that succeeded and report `rows_read` count.
     """
-    good = runs.where(F.col("state") == "SUCCESS").select(
-        F.col("id").alias("run_id"), "pipeline_id", "pipeline_name", "queued_at"
-    )
+    known = runs.select(F.col("id").alias("run_id"), "pipeline_id", "pipeline_name", "queued_at", (F.col("state") == "SUCCESS").alias("good"))
     reads = (
         tasks.where((F.col("state") == "SUCCESS") & F.col("rows_read").isNotNull())
-        .select("run_id", "node_id", "node_type", "rows_read").join(good, "run_id")
+        .select("run_id", "node_id", "node_type", "rows_read").join(known, "run_id")
+        # Other runs matter only where they read nothing.
+        .where(F.col("good") | (F.col("rows_read") <= 0))
     )
+    good = F.col("good")
 
     def build(window):
-        return {"recent_rows": F.max("rows_read").over(window.rowsBetween(-MISSING_DATA_HISTORY, -1))}
+        # The place of the row among the successful runs of its node.
+        before = F.count_if(good).over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return {"place": F.coalesce(before, F.lit(0)) + 1}
 
-    seen = look_back(reads, ["pipeline_id", "node_id"], ["queued_at", "run_id"], MISSING_DATA_HISTORY, build, slice_rows)
+    def then(keys):
+        by_place = Window.partitionBy(*keys).orderBy("place")
+        rows_read = F.max(F.when(good, F.col("rows_read")))
+        return {
+            "recent_rows": F.when(good, rows_read.over(by_place.rangeBetween(-MISSING_DATA_HISTORY, -1))).otherwise(
+                rows_read.over(by_place.rangeBetween(-MISSING_DATA_HISTORY - 1, -1))
+            )
+        }
+
+    seen = look_back(
+        reads, ["pipeline_id", "node_id"], ["queued_at", "run_id"], MISSING_DATA_HISTORY + 1, build, slice_rows, good, then
+    )
     hits = seen.where((F.col("rows_read") <= 0) & (F.col("recent_rows") > 0))
     evidence = F.struct(F.col("node_id").alias("nodeId"), F.col("node_type").alias("nodeType"), F.lit(0).alias("rowsRead"), F.col("run_id").alias("runId"))
     title = F.concat(F.col("node_id"), F.lit(" read 0 rows in "), F.col("pipeline_name"))
