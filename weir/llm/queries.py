@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.llm.dedup import near_duplicates
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.registry import ORACLES, QUERIES, query, table
@@ -41,3 +42,30 @@ def pieces_digest(pieces: DataFrame) -> DataFrame:
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, one row for each piece."""
     return pieces_digest(pack(table(spark, folder, "documents")))
+
+
+@query(
+    """
+    WITH RECURSIVE tokens AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ), grams AS (
+        SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+        FROM tokens
+    ), one AS (SELECT doc_id, unnest(s) AS g FROM grams),
+    rare AS (SELECT g FROM one GROUP BY g HAVING count(*) > 1),
+    shared AS (
+        SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM (SELECT * FROM one SEMI JOIN rare USING (g)) a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT u, v FROM shared JOIN grams x ON x.doc_id = u JOIN grams y ON y.doc_id = v WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+    ), reach(doc_id, seen) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT links.u, seen FROM reach JOIN links ON links.v = reach.doc_id
+    )
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+    FROM grams JOIN reach USING (doc_id) GROUP BY doc_id, s
+    """
+)
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_duplicates(table(spark, folder, "documents")).drop("n_links")
