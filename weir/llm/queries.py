@@ -9,6 +9,7 @@ from weir.llm.dedup import near_duplicates
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.registry import ORACLES, QUERIES, query, table
+from weir.llm.toxicity import toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -69,3 +70,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, folder, "documents")).drop("n_links")
+
+
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document."""
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
