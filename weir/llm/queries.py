@@ -9,6 +9,7 @@ from weir.llm.dedup import near_duplicates
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.registry import ORACLES, QUERIES, query, table
+from weir.llm.secrets import find_secrets, joined_spans
 from weir.llm.toxicity import toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,3 +77,14 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score of every document."""
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text."""
+    spans = F.col("spans")
+    count = {f"n_{kind}": F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long") for kind in ("assign", "access", "hex")}
+    return find_secrets(table(spark, folder, "documents")).select(
+        "doc_id", *[column.alias(name) for name, column in count.items()],
+        F.sha2(joined_spans(spans, "assign", "access", "hex"), 256).alias("base_sha256"), joined_spans(spans).alias("spans"),
+    )
