@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weir.llm.text import need
 
@@ -38,7 +41,9 @@ MARGIN = 1.0
 #: Bytes of text handled at once.
 CHUNK = 2_000_000
 
-SPANS = "array<struct<kind:string,start:long,end:long,value:long>>"
+SPANS = T.ArrayType(T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.LongType()),
+]))
 Span = tuple[int, int, int, int]
 
 
@@ -129,6 +134,24 @@ def _learn(texts: DataFrame) -> np.ndarray:
     return ratios(secret, every)
 
 
+def finder(df: DataFrame, text: str = "text") -> Callable[[Column], Column]:
+    """The function that gives the spans of a text column, with models of all texts of `df`; it can be used beside any other columns."""
+    texts = need(df, text).toDF("text").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(_learn(texts))
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = shared.value
+        for texts in batches:
+            rows = []
+            for text in texts:
+                spans = base_spans(text or "")
+                spans = sorted(spans + model_spans(text or "", spans, table), key=lambda s: (s[1], s[0]))
+                rows.append([{"kind": KINDS[k], "start": a, "end": b, "value": v} for k, a, b, v in spans])
+            yield pd.Series(rows, dtype=object)
+
+    return F.pandas_udf(scan, SPANS)
+
+
 def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, text, spans (kind, start, end, value: where the secret itself starts).
 
@@ -136,21 +159,7 @@ def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     repeated rows have equal spans; a null id is kept. No rows give none.
     """
     texts = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(_learn(texts))
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
-
-    def scan(batches):
-        table = shared.value
-        for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                text = value.as_py()
-                spans = base_spans(text)
-                spans = sorted(spans + model_spans(text, spans, table), key=lambda s: (s[1], s[0]))
-                rows.append([{"kind": KINDS[k], "start": a, "end": b, "value": v} for k, a, b, v in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["doc_id", "text", "spans"])
-
-    return texts.mapInArrow(scan, f"doc_id long, text string, spans {SPANS}")
+    return texts.withColumn("spans", finder(df, text)(F.col("text")))
 
 
 def joined_spans(spans, *kinds: str):
