@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm.dedup import near_duplicates
+from weir.llm.language import language_scores
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.registry import ORACLES, QUERIES, query, table
@@ -88,3 +89,9 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[column.alias(name) for name, column in count.items()],
         F.sha2(joined_spans(spans, "assign", "access", "hex"), 256).alias("base_sha256"), joined_spans(spans).alias("spans"),
     )
+
+
+@query()
+def op5_language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probabilities of every text."""
+    return language_scores(table(spark, folder, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -34,13 +35,19 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        spare = itertools.count(256)
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        #: The letter that stands for each byte in the vocabulary (a rule of the format: visible ones for themselves, then from 256 up).
+        self.signs = [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError(f"{path} has ids beyond 16 bits")
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        ids = self[piece] = self._whole(piece)
+        data = piece.encode()
+        letters = piece if data.isascii() else "".join(map(self.signs.__getitem__, data))
+        ids = self[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype="<u2").tobytes()
         return ids
 
     def _whole(self, text: str) -> bytes:
