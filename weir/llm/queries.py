@@ -10,6 +10,7 @@ from weir.llm.language import language_scores
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.registry import ORACLES, QUERIES, query, table
+from weir.llm.search import top_k
 from weir.llm.secrets import find_secrets, joined_spans
 from weir.llm.toxicity import toxicity
 
@@ -95,3 +96,20 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op5_language_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Log-probabilities of every text."""
     return language_scores(table(spark, folder, "documents"))
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+    ), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """
+)
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best matches of every hundredth vector."""
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -18,18 +18,21 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-from collections.abc import Iterable
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weir.llm.text import HASHED_WORDS, need
 
 #: Labelled documents of each class that the machine is fitted on, at most: those with the least hashes of their ids.
-SAMPLE = 2_500
+SAMPLE = 2_000
 LANDMARKS = 160
 #: A document is judged by so many of its worst distinct words.
 WORST = 3
@@ -114,33 +117,49 @@ def norms(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def triple_sums(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums over each row's triples of letters of `table` (a row for each triple), weighted by the letters and gaps spanned."""
-    table = table.reshape(ALPHABET**3, -1).astype(np.float32)
-    out = np.zeros((len(codes), table.shape[1]), dtype=np.float32)
-    for rows, c in by_length(codes):
-        c = c.astype(np.int32)
-        total = np.zeros((len(c), table.shape[1]), dtype=np.float32)
-        for i, j, k in itertools.combinations(range(c.shape[1]), 3):
-            total += np.float32(DECAY ** (k - i + 1)) * table[(c[:, i] * ALPHABET + c[:, j]) * ALPHABET + c[:, k]]
-        out[rows] = total
-    return out
+class Triples:
+    """Rows of numbers for triples of letters; the triples that have none share the first row, which is zero."""
+
+    def __init__(self, used: np.ndarray, rows: np.ndarray):
+        self.index = np.zeros(ALPHABET**3, dtype=np.int32)
+        self.index[used] = np.arange(1, len(used) + 1)
+        self.rows = np.vstack([np.zeros((1, rows.shape[1])), rows]).astype(np.float32)
+
+    def times(self, vector: np.ndarray) -> Triples:
+        """The table with one column that the rows make with weights of their columns."""
+        return Triples(np.flatnonzero(self.index), (self.rows[self.index[self.index > 0]] @ vector)[:, None])
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """For each coded word the sum over its triples of letters, weighted by the letters and gaps that each spans."""
+        out = np.zeros((len(codes), self.rows.shape[1]), dtype=np.float32)
+        for rows, c in by_length(codes):
+            c = c.astype(np.int32)
+            total = np.zeros((len(c), self.rows.shape[1]), dtype=np.float32)
+            for i, j, k in itertools.combinations(range(c.shape[1]), 3):
+                total += np.float32(DECAY ** (k - i + 1)) * self.rows[self.index[(c[:, i] * ALPHABET + c[:, j]) * ALPHABET + c[:, k]]]
+            out[rows] = total
+        return out
 
 
-def triple_table(codes: np.ndarray) -> np.ndarray:
-    """Each row's weights of triples: a table with a column for each row; triples with a sign that is no letter have none."""
-    table = np.zeros((ALPHABET**3, len(codes)), dtype=np.float32)
+def triples_of(codes: np.ndarray, length: np.ndarray) -> Triples:
+    """A column for each coded word with its triples' weights over its norm; triples with a sign that is no letter have none."""
+    found: dict[int, dict[int, float]] = {}
     for n, c in enumerate(codes.astype(np.int64)):
         for i, j, k in itertools.combinations(np.flatnonzero(c), 3):
-            table[(c[i] * ALPHABET + c[j]) * ALPHABET + c[k], n] += DECAY ** (k - i + 1)
-    return table
+            row = found.setdefault(int((c[i] * ALPHABET + c[j]) * ALPHABET + c[k]), {})
+            row[n] = row.get(n, 0.0) + DECAY ** (k - i + 1)
+    used = np.array(sorted(found), dtype=np.int64)
+    rows = np.zeros((len(used), len(codes)), dtype=np.float32)
+    for at, triple in enumerate(used.tolist()):
+        rows[at, list(found[triple])] = list(found[triple].values())
+    return Triples(used, rows / length)
 
 
 @dataclass
 class Model:
     """triples and bias score a word; slope and offset turn a document's worst words into a probability; floor is the score of no word."""
 
-    triples: np.ndarray
+    triples: Triples
     bias: float
     slope: np.ndarray
     offset: float
@@ -150,7 +169,7 @@ class Model:
         codes, owner = coded(words)
         best = np.full(len(words), self.floor, dtype=np.float32)
         if len(owner):
-            np.maximum.at(best, owner, triple_sums(codes, self.triples)[:, 0] / norms(codes) + np.float32(self.bias))
+            np.maximum.at(best, owner, self.triples.sums(codes)[:, 0] / norms(codes) + np.float32(self.bias))
         return best
 
     def worst(self, scores: Iterable[float]) -> list[float]:
@@ -166,7 +185,7 @@ class Model:
 def _constant(share: float) -> Model:
     """The model that gives every document the same probability."""
     share = min(max(share, 1e-6), 1 - 1e-6)
-    return Model(np.zeros(ALPHABET**3, dtype=np.float32), 0.0, np.zeros(WORST), float(np.log(share / (1 - share))), FLOOR)
+    return Model(Triples(np.empty(0, dtype=np.int64), np.empty((0, 1))), 0.0, np.zeros(WORST), float(np.log(share / (1 - share))), FLOOR)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -247,19 +266,19 @@ def fit(bags: list[tuple[bool, bool, list[str]]]) -> Model:
     score = row_signal
     for _ in range(ROUNDS):
         chosen = np.unique(np.concatenate([marks, ordinary, confusing]))
-        table = triple_table(codes[chosen]) / length[chosen]
-        values, vectors = np.linalg.eigh((triple_sums(codes[chosen], table) / length[chosen, None]).astype(float) + 1e-6 * np.eye(len(chosen)))
+        table = triples_of(codes[chosen], length[chosen])
+        values, vectors = np.linalg.eigh((table.sums(codes[chosen]) / length[chosen, None]).astype(float) + 1e-6 * np.eye(len(chosen)))
         white = vectors / np.sqrt(np.maximum(values, 1e-6))
         picked = [b[marking[b] | (np.arange(len(b)) == score[b].argmax())] for b in hot_bags]
         witness, times = np.unique(np.concatenate(picked), return_counts=True)
         hard = negative[np.lexsort((negative, -score[negative]))[: NEGATIVES // 4]]
         clean = np.union1d(common, hard)
         rows = np.concatenate([witness, clean])
-        x = (triple_sums(codes[rows], table) / length[rows, None]).astype(float) @ white
+        x = (table.sums(codes[rows]) / length[rows, None]).astype(float) @ white
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(clean))])
         w = _machine(x, y, np.concatenate([times / up, pair[owner[clean], 0] / down]))
-        triples = (table @ (white @ w[:-1])).astype(np.float32)
-        score = triple_sums(codes, triples)[:, 0] / length + w[-1]
+        triples = table.times(white @ w[:-1])
+        score = triples.sums(codes)[:, 0] / length + w[-1]
         blame = np.where(marking[negative], 0, np.maximum(score[negative] + 0.5, 0) * pair[owner[negative], 0])
         confusing = negative[np.lexsort((negative, -blame))[:third]]
     model = Model(triples, float(w[-1]), np.zeros(WORST), 0.0, FLOOR)
@@ -288,26 +307,22 @@ def sample_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
 
     picked = docs.join(chosen, "doc_id").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text")
     rows = picked.mapInArrow(words, "doc_id long, toxic int, words array<string>").collect()
-    return [(bool(r["toxic"]), i % 10 < 3, r["words"]) for i, r in enumerate(sorted(rows, key=lambda r: (r["doc_id"], r["words"])))]
+    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
+    return [(bool(r["toxic"]), i % 10 < 3, [*map(sys.intern, r["words"])]) for i, r in enumerate(rows)]
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
-
-    A null or empty text, or one without a word of three letters, has the score of the least toxic word possible. Without labels
-    of both classes all scores are the same. Repeated rows get equal scores; a null id is scored and not held out. No rows give none.
-    """
+def scorer(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Callable[[Column], Column]:
+    """The function that scores a text column, fitted on the labelled rows of `df`; it can be used beside any other columns."""
     docs = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shared = df.sparkSession.sparkContext.broadcast(fit(sample_bags(docs, labels, sample)))
 
-    def score(batches):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, memory = shared.value, {}
-        for batch in batches:
+        for texts in batches:
             worst, pending, size = [], [], 0
-            texts = batch.column(1)
-            for n, t in enumerate(texts):
-                pending.append(tokens(t.as_py()))
-                size += len(t.as_py() or "")
+            for n, text in enumerate(texts):
+                pending.append(tokens(text))
+                size += len(text or "")
                 if size >= CHUNK or n + 1 == len(texts):
                     new = sorted(set().union(*pending).difference(memory))
                     if len(memory) + len(new) > HASHED_WORDS:
@@ -316,8 +331,18 @@ def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
                     memory.update(zip(new, model.words(new).tolist()))
                     worst += [model.worst(map(memory.__getitem__, words)) for words in pending]
                     pending, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(worst), pa.float64())], names=["doc_id", "score"])
+            yield pd.Series(model.probability(worst))
+
+    return F.pandas_udf(score, T.DoubleType())
+
 
-    scored = docs.mapInArrow(score, "doc_id long, score double")
+def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+
+    A null or empty text, or one without a word of three letters, has the score of the least toxic words possible. Without labels
+    of both classes all scores are the same. Repeated rows get equal scores; a null id is scored and not held out. No rows give none.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    docs = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = docs.select("doc_id", held.alias("held_out"), scorer(df, labels, id, text, sample)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
