@@ -9,6 +9,7 @@ from weir.llm.dedup import near_duplicates
 from weir.llm.language import language_scores
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
+from weir.llm.personal import find_personal, joined
 from weir.llm.registry import ORACLES, QUERIES, query, table
 from weir.llm.search import top_k
 from weir.llm.secrets import find_secrets, joined_spans
@@ -113,3 +114,12 @@ def op5_language_scores(spark: SparkSession, folder: str) -> DataFrame:
 def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best matches of every hundredth vector."""
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op6_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    spans = F.col("spans")
+    base = ("email", "ip", "card", "phone")
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in base]
+    return find_personal(table(spark, folder, "documents")).select("doc_id", *counts, F.sha2(joined(spans, base), 256).alias("base_sha256"), joined(spans).alias("spans"))
