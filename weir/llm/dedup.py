@@ -5,7 +5,8 @@ empty bins borrow from bins chosen by a hash that is the same for all documents
 in a bin with a probability equal to their similarity. Bands of the signature are buckets.
 
 Documents with equal sets form a class, and one of each class goes on. In each bucket one member is the hub and is compared with
-the others; nothing else is, so a bucket of n members gives n - 1 pairs. Pairs are confirmed on full sets. A star can miss a link
+the others; nothing else is, so a bucket of n members gives n - 1 pairs. The hub is the member that meets most others over all its
+buckets, which is the original of a group of copies where it is there. Pairs are confirmed on full sets. A star can miss a link
 between two members that are not linked with the hub, so further rounds look at the buckets whose members are still in several
 components, take a hub out of the smallest of these, and compare it with the members of the others, until a round finds nothing.
 """
@@ -28,7 +29,7 @@ BANDS, ROWS_PER_BAND = 32, 4
 #: Attempts of the densification before an empty bin takes the next filled one to its right.
 ATTEMPTS = 512
 #: Rounds after the first that look for links which stars missed; more follow as long as a round finds some.
-LEAST_ROUNDS = 2
+LEAST_ROUNDS = 3
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -154,14 +155,15 @@ def near_duplicates(
         signed.where("n_shingles > 0").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("class_id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     )
-    hubs = (
-        members.groupBy("key").agg(F.min("class_id").alias("class_id"), F.min_by("n", "class_id").alias("n"), F.count("*").alias("many"))
-        .where("many > 1").select("key", F.struct("class_id", "n").alias("hub"))
-    )
-    shared = cut_lineage(members.join(hubs, "key"), "buckets")
+    sizes = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    met = cut_lineage(members.join(sizes, "key"), "buckets")
+    weights = met.groupBy("class_id").agg(F.sum("many").alias("weight"))
+    shared = cut_lineage(met.join(weights, "class_id").drop("many"), "buckets")
+    hubs = shared.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("down"), "class_id", "n")).alias("hub"))
 
     fits = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent) & (F.col("class_id") != F.col("hub.class_id"))
-    tried = cut_lineage(shared.where(fits).select(F.col("hub.class_id").alias("u"), F.col("class_id").alias("v")).distinct(), "pairs")
+    ends = [F.col("hub.class_id"), F.col("class_id")]
+    tried = cut_lineage(shared.join(hubs, "key").where(fits).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct(), "pairs")
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
     sets = cut_lineage(_sets(texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
     links = cut_lineage(_confirm(tried, sets, percent), "confirmed")

@@ -65,14 +65,14 @@ def with_offsets(staged: DataFrame, amount: str, start_in_task: str, name: str)
     return staged.join(F.broadcast(bases), "task").withColumn(name, F.col("base") + F.col(start_in_task)).drop("base"), starts[-1]
 
 
-def cut(placed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Cuts documents with a global `position` at the multiples of `window`; each piece has its ids as 32-bit little-endian bytes."""
+def cut(placed: DataFrame, window: int = WINDOW, width: str = "<u4") -> DataFrame:
+    """Cuts documents with a global `position` at the multiples of `window`; each piece has its ids as bytes, 32-bit little-endian by default."""
 
     def pieces(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for doc, total, position, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
+                ids = np.frombuffer(raw, dtype="<u2").astype(width)
                 first = position - position % window
                 for left in range(first, position + total, window):
                     a, b = max(left, position), min(left + window, position + total)

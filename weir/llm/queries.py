@@ -13,6 +13,7 @@ from weir.llm.personal import find_personal, joined
 from weir.llm.registry import ORACLES, QUERIES, query, table
 from weir.llm.search import top_k
 from weir.llm.secrets import find_secrets, joined_spans
+from weir.llm.shards import sequences, write_shards
 from weir.llm.toxicity import toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -123,3 +124,9 @@ def op6_personal(spark: SparkSession, folder: str) -> DataFrame:
     base = ("email", "ip", "card", "phone")
     counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in base]
     return find_personal(table(spark, folder, "documents")).select("doc_id", *counts, F.sha2(joined(spans, base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+@query()
+def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token shards in training order, one row for each sequence as read back."""
+    return sequences(write_shards(table(spark, folder, "documents")))

@@ -54,6 +54,8 @@ CHUNK = 1_000_000
 
 #: Digits and signs that stand for letters (fixed values).
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Signs at the ends of words that say nothing.
+MARKS = ".,;:!?%&*#|()\"'-"
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _CODES = np.zeros(0x110000, dtype=np.uint8)
 _CODES[97:123] = np.arange(1, 27)
@@ -64,27 +66,31 @@ _CODES[0xDF:0x100] = np.arange(28, ALPHABET)
 def tokens(text: str | None) -> set[str]:
     """The distinct words in lower case, and words spelt letter by letter with spaces between."""
     lower = (text or "").lower()
-    found = set(lower.split())
+    found = {word.strip(MARKS) for word in set(lower.split())}
     found.update("".join(run.split()) for run in SPACED.findall(lower))
     return found
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter numbers of the windows of all words (0: no letter), one row each, and each row's word."""
-    rows, owner = [], []
-    for n, word in enumerate(words):
-        codes = _CODES[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        letters = np.flatnonzero(codes)
-        if len(letters) < 3:
-            continue
-        codes = np.r_[np.uint8(_START), codes[letters[0] : letters[-1] + 1]]
-        for at in range(0, max(1, len(codes) - WINDOW // 2), WINDOW // 2):
-            rows.append(codes[at : at + WINDOW])
-            owner.append(n)
-    out = np.zeros((len(rows), WINDOW), dtype=np.uint8)
-    for n, row in enumerate(rows):
-        out[n, : len(row)] = row
-    return out, np.array(owner, dtype=np.int64)
+    if not words:
+        return np.zeros((0, WINDOW), dtype=np.uint8), np.empty(0, dtype=np.int64)
+    flat = _CODES[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    letters = np.flatnonzero(flat)
+    of = np.searchsorted(ends, letters, side="right")
+    word, at, many = np.unique(of, return_index=True, return_counts=True)
+    first, last = letters[at], letters[at + many - 1]
+    enough = many >= 3
+    word, first, length = word[enough], first[enough], (last - first + 2)[enough]  # with the sign of the start
+    windows = np.maximum(1, -(-(length - WINDOW // 2) // (WINDOW // 2)))
+    owner = np.repeat(word, windows)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    offset = turn[:, None] * (WINDOW // 2) + np.arange(WINDOW)[None, :]
+    inside = offset < np.repeat(length, windows)[:, None]
+    source = np.where(inside & (offset > 0), np.repeat(first, windows)[:, None] + offset - 1, 0)
+    out = np.where(inside, np.where(offset > 0, flat[source], _START), 0).astype(np.uint8)
+    return out, owner
 
 
 def by_length(codes: np.ndarray):
@@ -132,11 +138,19 @@ class Triples:
     def sums(self, codes: np.ndarray) -> np.ndarray:
         """For each coded word the sum over its triples of letters, weighted by the letters and gaps that each spans."""
         out = np.zeros((len(codes), self.rows.shape[1]), dtype=np.float32)
+        single = self.rows[self.index, 0] if self.rows.shape[1] == 1 else None
         for rows, c in by_length(codes):
-            c = c.astype(np.int32)
+            third = np.ascontiguousarray(c.T).astype(np.int32)
+            second, first = third * ALPHABET, third * ALPHABET**2
             total = np.zeros((len(c), self.rows.shape[1]), dtype=np.float32)
-            for i, j, k in itertools.combinations(range(c.shape[1]), 3):
-                total += np.float32(DECAY ** (k - i + 1)) * self.rows[self.index[(c[:, i] * ALPHABET + c[:, j]) * ALPHABET + c[:, k]]]
+            for i, j in itertools.combinations(range(len(third)), 2):
+                pair = first[i] + second[j]
+                for k in range(j + 1, len(third)):
+                    at = pair + third[k]
+                    if single is None:
+                        total += np.float32(DECAY ** (k - i + 1)) * self.rows[self.index[at]]
+                    else:
+                        total[:, 0] += np.float32(DECAY ** (k - i + 1)) * single[at]
             out[rows] = total
         return out
 
