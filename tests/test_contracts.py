@@ -58,9 +58,12 @@ def test_profile(spark):
     assert rows_of(profile(df, samples=True), "name", "type", "nullable", "null_count", "unique_count", "min", "max") == [
         ("n", "integer", True, 1, 2, "1", "3"), ("s", "string", True, 1, 1, None, None), ("t", "integer", True, 1, 2, "5.0", "40.0"),
     ]
-    assert {r.name: r.sample for r in profile(df, exact_distinct=False, samples=True).collect()}["s"] == ["a", "a"]
+    assert {r.name: r.sample for r in profile(df, exact_distinct=False, samples=True).collect()}["s"] == ["a"]
+    late = spark.range(3000).select(F.when(F.col("id") > 2990, F.col("id").cast("string")).alias("x"))
+    assert len(profile(late, samples=True).head().sample) > 1
     shown = preview(spark.range(150))
     assert shown.rows.count() == 100 and shown.truncated
+    assert preview(spark.range(150), 120).rows.count() == 120
 
 
 # ---- evolution

@@ -31,6 +31,29 @@ def test_demo(spark, folder):
     assert datasets.catalog().head().quality_status == "PASSED"
 
 
+def test_row_metrics_after_decisions(spark, folder):
+    """A branch and an onEmpty filter look at the data before the sink does, and the counts are still those of the whole run."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    kept = orders.where("o_totalprice >= 100000").count()
+    flow = spec(
+        [
+            ("src", "dataset.source", {"dataset": "orders"}), ("many", "condition.branch", {"expression": "row_count_gt", "value": 10}),
+            ("dear", "filter.transform", {"predicates": [{"column": "o_totalprice", "op": "gte", "value": 100000}], "onEmpty": "fail"}),
+            ("some", "condition.branch", {"expression": "row_count_gt", "value": 3}),
+            ("per", "aggregate.transform", {"measures": [{"fn": "count", "as": "n"}], "groupBy": ["o_orderstatus"]}), ("out", "dataset.destination", {"dataset": "d"}),
+        ],
+        [("src", "many"), ("many", "dear", "true"), ("dear", "some"), ("some", "per", "true"), ("per", "out")],
+    )
+    result = run_flow(spark, flow, {"orders": orders}, Datasets(spark, folder))
+    groups = orders.where("o_totalprice >= 100000").select("o_orderstatus").distinct().count()
+    total = orders.count()
+    assert result.metrics("src") == {"rows_in": 0, "rows_out": total}
+    assert result.metrics("many") == {"rows_in": total, "rows_out": total}
+    assert result.metrics("dear") == {"rows_in": total, "rows_out": kept, "rows_removed": total - kept}
+    assert result.metrics("per") == {"rows_in": kept, "rows_out": groups, "groups": groups}
+    assert result.metrics("out") == {"rows_in": groups, "rows_out": groups}
+
+
 def test_blocked_gate_leaves_no_data(spark, folder):
     flow = spec(
         [

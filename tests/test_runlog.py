@@ -123,7 +123,9 @@ def test_evidence(spark):
     found = {r.run_id: r for r in evidence.failure_evidence(runs, tasks, attempts, logs, results).collect()}
     r = found["r2"]
     assert (r.node_id, r.task_error, r.attempts, r.last_success_run_id, r.failed_checks, r.affected_nodes) == ("clean", "first", 2, "r0", ["c1"], ["out"])
-    assert [a.error for a in r.attempt_list] == ["a", "b"] and len(r.logs) == 60 and r.logs[0].message == "m0" and r.logs[-1].message == "m99"
+    assert [a.error for a in r.attempt_list] == ["a", "b"] and len(r.logs) == r.log_lines_total == 100 and r.logs[0].message == "m0" and r.logs[-1].message == "m99"
+    cut = evidence.failure_evidence(runs, tasks, attempts, logs, results, log_limit=50, recent_runs=1).where("run_id = 'r2'").head()
+    assert len(cut.logs) == 60 and cut.log_lines_total == 100
     assert found["r1"].recent_failures == 2 and found["r1"].failing_since == T0 + timedelta(hours=1) and r.recent_failures == 1
 
 

@@ -115,4 +115,9 @@ def agg_having(t):
     """
 )
 def agg_string_agg(t):
+    return string_agg(t.part, ["p_type"], "p_brand", "brands", distinct=True)
+
+
+@query("SELECT p_type, string_agg(p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY p_type")
+def agg_string_agg_all(t):
     return string_agg(t.part, ["p_type"], "p_brand", "brands")

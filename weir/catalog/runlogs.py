@@ -136,7 +136,7 @@ def quality_failure_count(t):
 @query(
     """
     SELECT event_id AS check_id, CAST(user_id AS VARCHAR) AS dataset, CASE WHEN value > 200 THEN 'FAILED' ELSE 'PASSED' END AS status FROM events
-    WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 500
+    WHERE user_id = 7
     """
 )
 def quality_results_history(t):
@@ -314,9 +314,8 @@ def incident_roll_up(t):
     WITH {_RUNS}, {_TASKS}, failed AS (SELECT id AS run_id, pipeline_id FROM runs WHERE state = 'FAILED'),
          logs AS (SELECT event_id AS task_id, count(*) AS lines FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE value > 50) GROUP BY 1),
          good AS (SELECT pipeline_id, max_by(id, queued_at) AS last_success FROM runs WHERE state = 'SUCCESS' GROUP BY 1),
-         recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY queued_at DESC, id DESC) AS r FROM runs) WHERE r <= 20),
-         rec AS (SELECT r.pipeline_id, t.node_id, count(*) AS n FROM recent r JOIN tasks t ON t.run_id = r.id WHERE t.state = 'FAILED' GROUP BY ALL)
-    SELECT f.run_id, f.pipeline_id, t.node_id, CAST(2 AS BIGINT) AS attempts, CAST(l.lines AS INTEGER) AS log_lines, g.last_success AS last_success_run_id,
+         rec AS (SELECT r.pipeline_id, t.node_id, count(*) AS n FROM runs r JOIN tasks t ON t.run_id = r.id WHERE t.state = 'FAILED' GROUP BY ALL)
+    SELECT f.run_id, f.pipeline_id, t.node_id, CAST(2 AS BIGINT) AS attempts, CAST(l.lines AS INTEGER) AS log_lines, l.lines AS log_lines_total, g.last_success AS last_success_run_id,
            coalesce(rec.n, 0) AS recent_failures, CASE WHEN e.value > 200 THEN 'value_range' ELSE '' END AS failed_checks
     FROM failed f JOIN tasks t ON t.run_id = f.run_id JOIN logs l ON l.task_id = f.run_id JOIN events e ON e.event_id = f.run_id
     LEFT JOIN good g ON g.pipeline_id = f.pipeline_id LEFT JOIN rec ON rec.pipeline_id = f.pipeline_id AND rec.node_id = t.node_id
@@ -332,7 +331,7 @@ def failure_evidence(t):
     results = e.select(F.col("event_id").alias("run_id"), F.lit("value_range").alias("check_id"), F.when(F.col("value") > 200, "FAILED").otherwise("PASSED").alias("status"))
     found = evidence.failure_evidence(runs_of(t), tasks_of(t), attempts, error.unionByName(info), results)
     return found.select(
-        "run_id", "pipeline_id", "node_id", "attempts", F.size("logs").alias("log_lines"), "last_success_run_id", "recent_failures",
+        "run_id", "pipeline_id", "node_id", "attempts", F.size("logs").alias("log_lines"), "log_lines_total", "last_success_run_id", "recent_failures",
         F.coalesce(F.array_join("failed_checks", ","), F.lit("")).alias("failed_checks"),
     )
 
@@ -346,7 +345,7 @@ def failure_evidence(t):
                UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), r_name, lower(r_name), '' FROM region),
          s AS (SELECT kind, id, title, greatest(CASE WHEN a = 'small' THEN 3 WHEN starts_with(a, 'small') THEN 2 WHEN contains(a, 'small') THEN 1 ELSE 0 END,
                                                 CASE WHEN b = 'small' THEN 3 WHEN starts_with(b, 'small') THEN 2 WHEN contains(b, 'small') THEN 1 ELSE 0 END) AS score FROM e)
-    SELECT * FROM s WHERE score > 0 ORDER BY score DESC, title, kind, id LIMIT 20
+    SELECT * FROM s WHERE score > 0
     """
 )
 def catalog_search(t):

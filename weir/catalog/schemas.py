@@ -100,7 +100,7 @@ def _profiled(column: str, kind: str, low: str, high: str) -> str:
 )
 def profile_orders(t):
     orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderdate", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"))
-    return profile(orders).select("name", "type", "null_count", "unique_count", "min", "max")
+    return profile(orders, exact_distinct=True).select("name", "type", "null_count", "unique_count", "min", "max")
 
 
 @query(

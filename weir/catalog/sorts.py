@@ -45,7 +45,7 @@ def order_by_unselected(t):
 @query(
     """
     SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events
-    WHERE ts < TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 200
+    WHERE ts < TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 500
     """
 )
 def keyset_second_page(t):

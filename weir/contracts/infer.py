@@ -117,9 +117,9 @@ def infer_columns(df: DataFrame, null_values: Sequence[str] = ()) -> list[Column
     return [ColumnSpec(r.name, r.type, r.nullable) for r in infer_schema(df, null_values).orderBy("position").collect()]
 
 
-def probe(df: DataFrame, rows: int = 200) -> list[ColumnSpec]:
-    """A first look at a source: the columns and types its first rows show."""
-    return infer_columns(df.limit(rows))
+def probe(df: DataFrame, rows: int | None = None) -> list[ColumnSpec]:
+    """A look at a source: the columns and types that all rows show, or the first `rows` if the caller wants no more."""
+    return infer_columns(df if rows is None else df.limit(rows))
 
 
 def columns_table(df_or_session, columns: Iterable[ColumnSpec | Mapping], dataset: str | None = None) -> DataFrame:

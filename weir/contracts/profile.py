@@ -10,17 +10,16 @@ from weir.contracts.infer import _class_bit, _type_of_bits
 from weir.functions.types import as_text, is_blank, is_text, logical_type
 from weir.operators.sort import capped
 
-# Samples per column, rows they are taken from, rows of a preview.
+# Samples per column, and rows of a preview unless the caller says otherwise.
 SAMPLES = 5
-SAMPLE_ROWS = 1_000
 PREVIEW_ROWS = 100
 
 
-def profile(df: DataFrame, exact_distinct: bool = True, samples: bool = False) -> DataFrame:
+def profile(df: DataFrame, exact_distinct: bool = False, samples: bool = False) -> DataFrame:
     """name, type, nullable, null_count, unique_count, min, max (as text), and optionally samples.
 
-    Exact distinct counts shuffle every value of every column; on large or wide tables ask for
-    `exact_distinct=False`, which keeps the whole profile to one partial aggregation.
+    The profile is one partial aggregation; distinct counts are estimates unless `exact_distinct` asks for a
+    shuffle of every value of every column.
     """
     measures, entries = [F.count(F.lit(1)).alias("n")], []
     for i, field in enumerate(df.schema.fields):
@@ -63,15 +62,15 @@ def profile(df: DataFrame, exact_distinct: bool = True, samples: bool = False) -
 
 
 def _samples(df: DataFrame) -> DataFrame:
-    """A few values per column out of the first rows; the collected lists are bounded by SAMPLE_ROWS."""
-    head = df.limit(SAMPLE_ROWS)
+    """A few distinct values per column out of all rows: the least one of each of SAMPLES groups of hashes."""
     lists = []
     for i, field in enumerate(df.schema.fields):
         column = F.col(f"`{field.name}`")
         value = F.when(~is_blank(column, field.dataType), as_text(column, field.dataType))
-        lists.append(F.slice(F.collect_list(value), 1, SAMPLES).alias(f"s{i}"))
+        group = F.pmod(F.xxhash64(value), F.lit(SAMPLES))
+        lists.append(F.array_sort(F.array_compact(F.array(*[F.min(F.when(group == g, value)) for g in range(SAMPLES)]))).alias(f"s{i}"))
     entries = [F.struct(F.lit(f.name).alias("name"), F.col(f"s{i}").alias("sample")) for i, f in enumerate(df.schema.fields)]
-    return head.agg(*lists).select(F.inline(F.array(*entries)))
+    return df.agg(*lists).select(F.inline(F.array(*entries)))
 
 
 @dataclass(frozen=True)
@@ -82,6 +81,6 @@ class Preview:
 
 
 def preview(df: DataFrame, limit: int = PREVIEW_ROWS) -> Preview:
-    """At most 100 rows, with the profile of those rows."""
-    head = capped(df, min(limit, PREVIEW_ROWS))
-    return Preview(head.df, profile(head.df, samples=True), head.truncated)
+    """The first rows, with the profile of those rows."""
+    head = capped(df, limit)
+    return Preview(head.df, profile(head.df, exact_distinct=True, samples=True), head.truncated)

@@ -105,12 +105,12 @@ def aggregate(
     return source.groupBy(*[F.col(f"`{g}`") for g in group_by]).agg(*columns)
 
 
-def string_agg(df: DataFrame, group_by: Sequence[str], column: str, name: str, separator: str = ",") -> DataFrame:
-    """Distinct values of each group, sorted and joined.
+def string_agg(df: DataFrame, group_by: Sequence[str], column: str, name: str, separator: str = ",", distinct: bool = False) -> DataFrame:
+    """The values of each group, sorted and joined; NULLs are left out.
 
-    Duplicates go first, in a partial aggregation, so the final task sees each value once.
+    With `distinct` duplicates go first, in a partial aggregation, so the final task sees each value once.
     """
-    distinct = df.select(*group_by, F.col(column).cast("string").alias("__value")).distinct()
-    return distinct.groupBy(*group_by).agg(
+    values = df.select(*group_by, F.col(column).cast("string").alias("__value"))
+    return (values.distinct() if distinct else values).groupBy(*group_by).agg(
         F.expr(f"listagg(__value, '{separator.replace(chr(39), chr(39) * 2)}') WITHIN GROUP (ORDER BY __value)").alias(name)
     )

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from weir.errors import ConfigError
 from weir.functions.ordering import sort_columns
 
-# Page sizes.
+# Rows of a page unless the caller says otherwise.
 DEFAULT_PAGE = 50
-MAX_PAGE = 200
 
 
 def order_by(df: DataFrame, keys: Iterable) -> DataFrame:
@@ -68,7 +67,9 @@ def decode_cursor(cursor: str | None) -> tuple[str, str] | None:
 
 
 def page_size(limit: int | None) -> int:
-    return DEFAULT_PAGE if not limit or limit < 1 else min(int(limit), MAX_PAGE)
+    if limit is not None and limit < 1:
+        raise ConfigError("a page has at least one row")
+    return DEFAULT_PAGE if limit is None else int(limit)
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ class Page:
     size: int
 
     def next_cursor(self) -> str | None:
-        """Runs the page (at most 201 rows) and names the place where the next one starts."""
+        """Runs the page, one row more than its size, and names the place where the next one starts."""
         rows = self.df.select(
             F.col(self.value_column).cast("string"), F.col(self.id_column).cast("string")
         ).take(self.size + 1)

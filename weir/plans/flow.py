@@ -42,10 +42,27 @@ class FlowResult:
     results: dict[str, DataFrame] = field(default_factory=dict)
     decisions: dict[str, GateDecision] = field(default_factory=dict)
     observations: dict[str, Observation] = field(default_factory=dict)
+    inputs: dict[str, list[str]] = field(default_factory=dict)
 
     def rows_out(self, node: str) -> int:
-        """Rows a node produced, as counted on the way while a sink ran; no job of its own."""
-        return self.observations[node].get["rows"]
+        """Rows a node passed on, as counted on the way while a sink ran; no job of its own."""
+        if node in self.observations:
+            return self.observations[node].get["rows"]
+        return self.rows_in(node)
+
+    def rows_in(self, node: str) -> int:
+        """Rows a node was given by all nodes before it."""
+        return sum(self.rows_out(source) for source in self.inputs[node])
+
+    def metrics(self, node: str) -> dict[str, int]:
+        """rows_in and rows_out of a node that ran, and for a filter rows_removed, for an aggregate groups."""
+        found = {"rows_in": self.rows_in(node), "rows_out": self.rows_out(node)}
+        kind = self.details[node].get("kind")
+        if kind == "filter.transform":
+            found["rows_removed"] = found["rows_in"] - found["rows_out"]
+        if kind == "aggregate.transform":
+            found["groups"] = found["rows_out"]
+        return found
 
 
 @dataclass
@@ -282,6 +299,8 @@ def run_flow(
         [(s, t) for s, t, _ in edges],
     )
     ports: dict[str, str] = {}
+    # Decisions look at frames without observations: an observation keeps what its first action counted.
+    bare: dict[str, DataFrame] = {}
     try:
         sequence = list(order.static_order())
     except CycleError as error:
@@ -300,20 +319,26 @@ def run_flow(
             result.states[node_id] = "SKIPPED"
             continue
         given = {s: result.outputs[s] for s in live}
+        plain = {s: bare[s] for s in live}
+        result.inputs[node_id] = live
         details: dict[str, Any] = {}
+        looked_at: DataFrame | None = None
         if kind.endswith(".source"):
             output = _source(ctx, node_id, kind, config)
         elif kind == "sql.transform":
-            output = _sql(ctx, node_id, config, given)
+            output, looked_at = (_sql(ctx, node_id, config, side) for side in (given, plain))
         elif kind == "filter.transform":
-            source = _one(node_id, given)
-            output = filter_rows(source, config.get("predicates") or [], config.get("combine", "and"), config.get("onEmpty", "continue"))
+            settings = config.get("predicates") or [], config.get("combine", "and")
+            looked_at = filter_rows(_one(node_id, plain), *settings, config.get("onEmpty", "continue"))
+            output = filter_rows(_one(node_id, given), *settings)
         elif kind == "aggregate.transform":
-            output = aggregate(_one(node_id, given), config.get("measures") or [], config.get("groupBy") or [], config.get("orderBy") or [])
+            output, looked_at = (
+                aggregate(_one(node_id, side), config.get("measures") or [], config.get("groupBy") or [], config.get("orderBy") or []) for side in (given, plain)
+            )
         elif kind == "join.transform":
-            output = _join(ctx, node_id, config, given)
+            output, looked_at = (_join(ctx, node_id, config, side) for side in (given, plain))
         elif kind == "python.transform":
-            output = _python(ctx, node_id, config, given)
+            output, looked_at = (_python(ctx, node_id, config, side) for side in (given, plain))
         elif kind == "schema.validate":
             contract = validate(
                 _one(node_id, given), config.get("dataset", ""), ctx.versions, config.get("expected") or (),
@@ -325,12 +350,12 @@ def run_flow(
             output = cut_lineage(_one(node_id, given))
             _check(ctx, node_id, config, output)
         elif kind == "quality.gate":
-            output = _one(node_id, given)
+            output, looked_at = _one(node_id, given), _one(node_id, plain)
             result.decisions[node_id] = _gate(ctx, node_id, config)
             details = {"blocked": result.decisions[node_id].blocked, "reason": result.decisions[node_id].reason}
         elif kind == "condition.branch":
-            output = next(iter(given.values()))
-            ports[node_id] = "true" if _branch(ctx, config, output) else "false"
+            output, looked_at = next(iter(given.values())), next(iter(plain.values()))
+            ports[node_id] = "true" if _branch(ctx, config, looked_at) else "false"
             details = {"outcome": ports[node_id]}
         elif kind.endswith(".destination"):
             output = _one(node_id, given)
@@ -338,6 +363,8 @@ def run_flow(
         else:
             raise ConfigError(f'No operator for node type "{kind}"')
         consumed = {t for s, t, _ in edges if s == node_id}
+        bare[node_id] = output if looked_at is None else looked_at
+        details = {"kind": kind, **details}
         if kind.endswith((".source", ".transform")):
             output = _observed(ctx, node_id, output)
         if len(consumed) > 1 and kind.endswith(".transform"):
@@ -353,5 +380,5 @@ def landed_source(responses: DataFrame, config: Mapping[str, Any]) -> DataFrame:
     """The records of an HTTP source's landed responses, read the way its config asks for."""
     return landed_records(
         responses, config.get("recordPath"), config.get("pagination", "none"), config.get("cursorPath", "next_cursor"),
-        config.get("maxPages", 10) if config.get("pagination", "none") != "none" else None,
+        config.get("maxPages") if config.get("pagination", "none") != "none" else None,
     )

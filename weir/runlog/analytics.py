@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weir.operators.keyed import count_by_state, latest_per_key
-from weir.operators.sort import top_k
+from weir.operators.sort import order_by, top_k
 
 # The states of a run.
 RUN_STATES = ("PENDING", "QUEUED", "RUNNING", "SUCCESS", "FAILED", "CANCELLED")
@@ -98,14 +98,15 @@ def quality_failures(results: DataFrame, since=None, until=None) -> DataFrame:
 
 
 def quality_history(
-    results: DataFrame, run_id: str | None = None, dataset: str | None = None, pipeline_id: str | None = None, since=None, limit: int = 500
+    results: DataFrame, run_id: str | None = None, dataset: str | None = None, pipeline_id: str | None = None, since=None, limit: int | None = None
 ) -> DataFrame:
-    """The newest recorded results that match, latest first."""
+    """The recorded results that match, latest first; the newest `limit` of them if one is given."""
     for column, value in (("run_id", run_id), ("dataset", dataset), ("pipeline_id", pipeline_id)):
         if value is not None:
             results = results.where(F.col(column) == value)
     order = [("created_at", "desc"), *[(c, "asc") for c in ("run_id", "check_id") if c in results.columns]]
-    return top_k(in_window(results, "created_at", since), order, limit)
+    found = in_window(results, "created_at", since)
+    return order_by(found, order) if limit is None else top_k(found, order, limit)
 
 
 def dashboard(pipelines: DataFrame, runs: DataFrame, schedules: DataFrame, incidents: DataFrame, since) -> DataFrame:

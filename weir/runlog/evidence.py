@@ -7,19 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from weir.operators.keyed import latest_per_key
 from weir.runlog.definitions import diff_settings
 
-# Log lines kept per failed task, and runs looked at for recurrence.
-LOG_LIMIT = 50
-RECENT_RUNS = 20
-
-
 def failure_evidence(
-    runs: DataFrame, tasks: DataFrame, attempts: DataFrame, logs: DataFrame, results: DataFrame, log_limit: int = LOG_LIMIT
+    runs: DataFrame,
+    tasks: DataFrame,
+    attempts: DataFrame,
+    logs: DataFrame,
+    results: DataFrame,
+    log_limit: int | None = None,
+    recent_runs: int | None = None,
 ) -> DataFrame:
     """For every FAILED run: its first failed task with attempts and logs, the last successful run of the
-    pipeline, checks that failed, tasks held back, and how often the node failed in the newest runs.
+    pipeline, checks that failed, tasks held back, and how often the node failed before.
 
-    Every list is bounded: attempts by the retry policy, logs by twice the limit, checks and tasks by
-    the definition of the pipeline.
+    All log lines of the failed task are listed, and all runs of the pipeline count, unless the caller asks for
+    the newest `log_limit` errors and lines, or the newest `recent_runs`; `log_lines_total` has the full number.
     """
     run_version = F.col("pipeline_version_id") if "pipeline_version_id" in runs.columns else F.lit(None).cast("string")
     failed_runs = runs.where(F.col("state") == "FAILED").select(
@@ -38,12 +39,12 @@ def failure_evidence(
     )
     lines = logs.join(task_ids.select("task_run_id"), "task_run_id", "left_semi").select("id", "task_run_id", "ts", "level", "message")
     order = ["ts", "id"]
-    errors = latest_per_key(lines.where(F.col("level") == "error"), ["task_run_id"], order, log_limit)
-    context = latest_per_key(lines, ["task_run_id"], order, log_limit)
-    log_lists = (
-        errors.unionByName(context).distinct().groupBy("task_run_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "id", "level", "message"))).alias("logs"))
-    )
+    kept = lines
+    if log_limit is not None:
+        errors = latest_per_key(lines.where(F.col("level") == "error"), ["task_run_id"], order, log_limit)
+        kept = errors.unionByName(latest_per_key(lines, ["task_run_id"], order, log_limit)).distinct()
+    log_lists = kept.groupBy("task_run_id").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "level", "message"))).alias("logs"))
+    log_counts = lines.groupBy("task_run_id").agg(F.count(F.lit(1)).alias("log_lines_total"))
 
     newest = F.struct("queued_at", "id")
     succeeded = runs.where(F.col("state") == "SUCCESS").groupBy("pipeline_id").agg(
@@ -58,7 +59,9 @@ def failure_evidence(
         tasks.where(F.col("state").isin("BLOCKED", "SKIPPED")).join(run_ids, "run_id", "left_semi").groupBy("run_id")
         .agg(F.array_sort(F.collect_list("node_id")).alias("affected_nodes"))
     )
-    recent = latest_per_key(runs.select("id", "pipeline_id", "queued_at"), ["pipeline_id"], [("queued_at", "desc"), ("id", "desc")], RECENT_RUNS)
+    recent = runs.select("id", "pipeline_id", "queued_at")
+    if recent_runs is not None:
+        recent = latest_per_key(recent, ["pipeline_id"], [("queued_at", "desc"), ("id", "desc")], recent_runs)
     failing_nodes = tasks.where(F.col("state") == "FAILED").select(F.col("run_id").alias("id"), "node_id").distinct()
     recurrence = (
         recent.join(failing_nodes, "id").groupBy("pipeline_id", "node_id")
@@ -71,13 +74,14 @@ def failure_evidence(
     return (
         with_task.join(tried, "task_run_id", "left")
         .join(log_lists, "task_run_id", "left")
+        .join(log_counts, "task_run_id", "left")
         .join(succeeded, "pipeline_id", "left")
         .join(checks, "run_id", "left")
         .join(held, "run_id", "left")
         .join(recurrence, ["pipeline_id", "node_id"], "left")
         .select(
             "run_id", "pipeline_id", "queued_at", "error", "node_id", "task_error", F.coalesce("attempts", F.lit(0)).alias("attempts"),
-            "attempt_list", "logs", "last_success_run_id", "last_success_at", "version_id", "last_success_version_id", "failed_checks", "affected_nodes",
+            "attempt_list", "logs", F.coalesce("log_lines_total", F.lit(0)).alias("log_lines_total"), "last_success_run_id", "last_success_at", "version_id", "last_success_version_id", "failed_checks", "affected_nodes",
             F.coalesce("recent_failures", F.lit(0)).alias("recent_failures"), "failing_since",
         )
     )

@@ -7,12 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weir.operators.sort import Page, keyset_page, top_k
+from weir.operators.sort import Page, keyset_page, order_by, top_k
 from weir.runlog.analytics import in_window
 
-# Hits shown by default.
-SEARCH_LIMIT = 20
-
 
 def find_runs(
     runs: DataFrame,
@@ -63,8 +60,8 @@ def match_score(column: Column | str, needle: str) -> Column:
     return F.when(text == needle, 3).when(text.startswith(needle), 2).when(text.contains(needle), 1).otherwise(0)
 
 
-def search_catalog(entities: Mapping[str, tuple[DataFrame, str, str, Sequence[str]]], query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """The best hits over several tables: `{kind: (table, id column, title column, searched columns)}`."""
+def search_catalog(entities: Mapping[str, tuple[DataFrame, str, str, Sequence[str]]], query: str, limit: int | None = None) -> DataFrame:
+    """The hits over several tables, best first, or the best `limit` of them: `{kind: (table, id column, title column, searched columns)}`."""
     needle = query.strip().lower()
     branches = []
     for kind, (table, id_column, title, searched) in entities.items():
@@ -74,4 +71,5 @@ def search_catalog(entities: Mapping[str, tuple[DataFrame, str, str, Sequence[st
             table.select(F.lit(kind).alias("kind"), F.col(id_column).cast("string").alias("id"), F.col(title).alias("title"), score.alias("score"))
         )
     found = reduce(DataFrame.unionByName, branches).where(F.col("score") > (0 if needle else 99))
-    return top_k(found, [("score", "desc"), "title", "kind", "id"], limit)
+    order = [("score", "desc"), "title", "kind", "id"]
+    return order_by(found, order) if limit is None else top_k(found, order, limit)
