@@ -2,13 +2,12 @@
 
 One model stands for random strings, the other for ordinary identifiers; a run of identifier characters is a secret if the first
 explains it better by a margin for each character. Both learn from the corpus: the values that the fixed patterns find are the samples
-labelled secret, all other runs of all texts those labelled ordinary. The model of random strings is half its samples and half a
-fair draw of characters, so that it also knows alphabets that no sample has.
+labelled secret; the other runs of all texts, but for those that are themselves up for judgement, are labelled ordinary. The model of
+random strings is half its samples and half a fair draw of characters, so that it also knows alphabets that no sample has.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -38,6 +37,8 @@ _CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(1, SIZE)
 LEAST_RUN, LEAST_DIFFERENT = 20, 10
 #: Natural logarithm of the likelihood ratio, for each character, from which a run is a secret.
 MARGIN = 1.0
+#: Observations that the frequency of a character alone stands for beside those of the pair.
+BACK_OFF = 20.0
 #: Bytes of text handled at once.
 CHUNK = 2_000_000
 
@@ -79,17 +80,22 @@ def ratios(secret: np.ndarray, every: np.ndarray) -> np.ndarray:
     size = len(ALPHABET)
 
     def chances(counts: np.ndarray) -> np.ndarray:
-        counts = counts.reshape(SIZE, SIZE)[:, 1:] + 0.5 / size
+        counts = counts.reshape(SIZE, SIZE)[:, 1:]
+        alone = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * size)
+        counts = counts + BACK_OFF * alone
         return counts / counts.sum(axis=1, keepdims=True)
 
     ordinary = chances(np.maximum(every - secret, 0).astype(float))
     return np.log((0.5 * chances(secret.astype(float)) + 0.5 / size) / ordinary)
 
 
+def judged(run: bytes) -> bool:
+    """Whether a long run is not too plain to be a secret."""
+    return len(set(run)) >= LEAST_DIFFERENT and (any(48 <= c <= 57 for c in run) or (run.upper() != run and run.lower() != run))
+
+
 def margin(run: bytes, table: np.ndarray) -> float:
-    """The log-likelihood ratio for each character of a run; minus infinity for one that is too plain to be judged."""
-    if len(set(run)) < LEAST_DIFFERENT or not (any(48 <= c <= 57 for c in run) or (run.upper() != run and run.lower() != run)):
-        return -math.inf
+    """The log-likelihood ratio for each character of a run."""
     codes = np.concatenate(([0], _CODES[np.frombuffer(run, dtype=np.uint8)]))
     return float(table[codes[:-1], codes[1:] - 1].mean())
 
@@ -99,7 +105,7 @@ def model_spans(text: str, taken: list[Span], table: np.ndarray) -> list[Span]:
     data = text.encode()
     found = []
     for start, end in long_runs(data):
-        if margin(data[start:end], table) >= MARGIN:
+        if judged(data[start:end]) and margin(data[start:end], table) >= MARGIN:
             at = len(data[:start].decode())
             if not any(a < at + end - start and at < b for _, a, b, _ in taken):
                 found.append((3, at, at + end - start, at))
@@ -118,6 +124,9 @@ def _learn(texts: DataFrame) -> np.ndarray:
                 data = text.encode()
                 for _, _, end, start in base_spans(text):
                     secret += pair_counts(text[start:end].encode())
+                for start, end in long_runs(data):
+                    if judged(data[start:end]):
+                        every -= pair_counts(data[start:end])
                 waiting.append(data)
                 size += len(data)
                 if size >= CHUNK:
