@@ -22,12 +22,13 @@ ROWS = [{"id": 1, "v": 5, "k": "a"}, {"id": 2, "v": -1, "k": "b"}, {"id": 3, "v"
 
 
 def test_demo(spark, folder):
-    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     datasets = Datasets(spark, folder)
-    result = run_flow(spark, DEMO, {"orders": orders}, datasets)
+    result = run_flow(spark, DEMO, {"lines": lines}, datasets)
     assert set(result.states.values()) == {"SUCCESS"}
-    assert datasets.read("customer_revenue").count() == orders.select("o_custkey").distinct().count()
-    assert result.details["publish"]["rowsWritten"] == 150 and result.rows_out("known") == orders.count()
+    suppliers = lines.select("l_suppkey").distinct().count()
+    assert datasets.read("supplier_load").count() == suppliers
+    assert result.details["store"]["rowsWritten"] == suppliers and result.rows_out("shipped") == lines.count()
     assert datasets.catalog().head().quality_status == "PASSED"
 
 

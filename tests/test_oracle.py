@@ -25,4 +25,4 @@ def test_every_query_has_sql():
 
 
 def test_entry(spark):
-    assert entry(spark).columns == ["customer_id", "order_count", "priorities", "revenue"]
+    assert entry(spark).columns == ["supplier", "orders_served", "largest", "discounts"]

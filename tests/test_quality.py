@@ -31,7 +31,7 @@ def result(df, **check):
 def test_row_checks(customers):
     r = result(customers, type="not_null", column="customer_id")
     assert (r.status, r.passed_rows, r.failed_rows, r.total_rows, r.pass_rate) == ("FAILED", 4, 1, 5, 0.8)
-    assert r.expected == "NOT NULL, expected 100%" and r.actual == "80%" and r.message == "1/5 rows failed" and r.failed_samples == [None]
+    assert r.expected == "NOT NULL, expected 100%" and r.actual == "80%" and r.message == "1/5 rows not fine" and r.failed_samples == [None]
     assert result(customers, type="not_null", column="email").failed_samples == [""]
     r = result(customers, type="range", column="revenue", min=0)
     assert (r.failed_rows, r.failed_samples, r.expected) == (1, ["-5"], "BETWEEN 0 AND +inf, expected 100%")
@@ -44,8 +44,8 @@ def test_row_checks(customers):
 
 def test_unique(customers):
     r = result(customers, type="unique", column="customer_id")
-    assert (r.status, r.failed_rows, r.passed_rows, r.failed_samples, r.message) == ("FAILED", 2, 3, ["c1"], "2 rows share a duplicated value")
-    assert result(customers, type="unique", column="email").message == "5 distinct values, no duplicates"
+    assert (r.status, r.failed_rows, r.passed_rows, r.failed_samples, r.message) == ("FAILED", 2, 3, ["c1"], "2 rows have a value that others have")
+    assert result(customers, type="unique", column="email").message == "5 different values, each once"
 
 
 def test_counts_freshness_sql(customers):
@@ -54,11 +54,11 @@ def test_counts_freshness_sql(customers):
     assert (r.status, r.passed_rows, r.failed_rows, r.actual, r.pass_rate) == ("FAILED", 0, 5, "5", 0.0)
     r = result(customers, type="freshness", column="updated_at", maxAgeSeconds=7200)
     assert (r.status, r.actual, r.failed_samples) == ("PASSED", "3600s old", ["2026-03-31T11:00:00.000Z"])
-    assert result(customers, type="freshness", column="updated_at", maxAgeSeconds=60).message.startswith("Data is stale")
-    assert result(customers, type="freshness", column="region", maxAgeSeconds=60).actual == "no timestamps found"
+    assert result(customers, type="freshness", column="updated_at", maxAgeSeconds=60).message.startswith("too old")
+    assert result(customers, type="freshness", column="region", maxAgeSeconds=60).actual == "no time found"
     r = result(customers, type="custom_sql", sql="SELECT customer_id FROM input WHERE revenue < 0")
-    assert (r.status, r.failed_rows, r.actual, r.failed_samples) == ("FAILED", 1, "1 violating row(s)", ['{"customer_id":"c3"}'])
-    assert result(customers, type="custom_sql", sql="SELECT 1 FROM input WHERE false").message == "No violations"
+    assert (r.status, r.failed_rows, r.actual, r.failed_samples) == ("FAILED", 1, "1 rows against the rule", ['{"customer_id":"c3"}'])
+    assert result(customers, type="custom_sql", sql="SELECT 1 FROM input WHERE false").message == "nothing against the rule"
 
 
 def test_large_rate_text(spark):
@@ -86,7 +86,7 @@ def test_empty_input(customers):
         {"id": "s", "type": "custom_sql", "sql": "SELECT * FROM input"},
     ]
     found = {r.check_id: r for r in run_checks(customers.where("false"), checks, NOW).collect()}
-    assert found["a"].message == "No rows to check" and found["a"].status == "PASSED" and found["u"].status == "PASSED" and found["s"].status == "PASSED"
+    assert found["a"].message == "no rows" and found["a"].status == "PASSED" and found["u"].status == "PASSED" and found["s"].status == "PASSED"
     assert found["f"].status == "FAILED"
     assert run_checks(customers, []).count() == 0
 
@@ -141,12 +141,12 @@ def test_summary(results):
 
 def test_gates(results):
     every = evaluate_gate(results)
-    assert every.blocked and every.reason == "2 of 3 quality check(s) did not pass: b, c" and every.failed_checks == ["b", "c"]
-    assert evaluate_gate(results.where("check_id = 'a'")).reason == "All 1 quality check(s) passed"
+    assert every.blocked and every.reason == "2 of 3 checks failed: b, c" and every.failed_checks == ["b", "c"]
+    assert evaluate_gate(results.where("check_id = 'a'")).reason == "All 1 checks passed"
     errors = evaluate_gate(results.where("check_id <> 'c'"), "error_only")
-    assert not errors.blocked and errors.reason == "No error-severity failures (1 warning(s))"
+    assert not errors.blocked and errors.reason == "nothing of severity error failed (1 of lesser severity)"
     low = evaluate_gate(results, "score_below", 0.6)
-    assert low.blocked and low.reason == "Quality score 50.00% is below the required 60.00%" and low.failed_checks == ["b", "c"]
+    assert low.blocked and low.reason == "score 50.00% under the minimum 60.00%" and low.failed_checks == ["b", "c"]
     fine = evaluate_gate(results, "score_below", 0.5)
     assert not fine.blocked and fine.failed_checks == []
     empty = evaluate_gate(results.where("false"))

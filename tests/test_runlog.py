@@ -89,7 +89,7 @@ def test_quality_drift_stale(spark):
         results = results.withColumn(name, F.lit("x"))
     results = results.withColumn("failed_rows", F.lit(1)).withColumn("total_rows", F.lit(2)).withColumn("created_at", F.lit(T0))
     assert rows_of(incidents.quality_failure(results), "dataset", "severity", "title") == [
-        ("(unnamed dataset)", "low", "1 data quality check(s) failed on (unnamed dataset)"), ("d", "high", "2 data quality check(s) failed on d"),
+        ("(unnamed dataset)", "low", "1 checks failed on dataset (unnamed dataset)"), ("d", "high", "2 checks failed on dataset d"),
     ]
     datasets = spark.createDataFrame([("old", T0 - timedelta(days=30), "r0"), ("fresh", T0 - timedelta(hours=3), "r0"), ("orphan", T0 - timedelta(days=30), None)], "name STRING, last_updated_at TIMESTAMP_NTZ, last_run_id STRING")
     schedules = spark.createDataFrame([("s1", "p", True, None), ("s2", "p", False, 60)], "id STRING, pipeline_id STRING, enabled BOOLEAN, interval_seconds INT")

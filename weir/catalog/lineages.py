@@ -50,7 +50,7 @@ def lineage_from_definitions(t):
 
 @query(
     """
-    SELECT o_orderkey AS pipeline_id, 'read' AS node_id, 'Source does not name a dataset, so its upstream origin is unknown' AS reason
+    SELECT o_orderkey AS pipeline_id, 'read' AS node_id, 'reads from a place without a dataset name' AS reason
     FROM orders WHERE o_orderstatus = 'P'
     """
 )

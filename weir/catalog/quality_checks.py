@@ -40,7 +40,7 @@ def quality_fused_lineitem(t):
     WITH k AS (SELECT l_orderkey || '-' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY 1),
          f AS (SELECT coalesce(sum(n) FILTER (n > 1), 0) AS failed, sum(n) AS total, count(*) AS groups FROM k)
     SELECT 'key_unique' AS check_id, 'FAILED' AS status, CAST(failed AS BIGINT) AS failed_rows, CAST(total AS BIGINT) AS total_rows,
-           CAST(failed AS BIGINT) || ' rows share a duplicated value' AS message,
+           CAST(failed AS BIGINT) || ' rows have a value that others have' AS message,
            (SELECT string_agg(key, ',' ORDER BY key) FROM (SELECT key FROM k WHERE n > 1 ORDER BY key LIMIT 5)) AS samples
     FROM f
     """
@@ -55,7 +55,7 @@ def quality_unique_lineitem(t):
     """
     WITH v AS (SELECT count(*) AS bad FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 15)), n AS (SELECT count(*) AS n FROM orders)
     SELECT 'few_orders' AS check_id, CASE WHEN (n - bad) / n >= 0.99 THEN 'PASSED' ELSE 'FAILED' END AS status, CAST(n - bad AS BIGINT) AS passed_rows,
-           bad AS failed_rows, n AS total_rows, bad || ' violating row(s)' AS actual FROM v, n
+           bad AS failed_rows, n AS total_rows, bad || ' rows against the rule' AS actual FROM v, n
     UNION ALL SELECT 'broken', 'ERRORED', 0, 0, n, 'error' FROM n
     """
 )
@@ -137,10 +137,10 @@ def quality_summary(t):
                  avg(pass_rate) AS score, string_agg(check_id, ', ' ORDER BY check_id) FILTER (status <> 'PASSED') AS ids,
                  string_agg(check_id, ', ' ORDER BY check_id) FILTER (status <> 'PASSED' AND severity = 'error') AS hard_ids FROM r GROUP BY user_id)
     SELECT user_id, 'any_failure' AS rule, bad > 0 AS blocked,
-           CASE WHEN bad > 0 THEN bad || ' of ' || n || ' quality check(s) did not pass: ' || ids ELSE 'All ' || n || ' quality check(s) passed' END AS reason,
+           CASE WHEN bad > 0 THEN bad || ' of ' || n || ' checks failed: ' || ids ELSE 'All ' || n || ' checks passed' END AS reason,
            coalesce(ids, '') AS failed_checks, n AS evaluated_checks FROM g
     UNION ALL SELECT user_id, 'error_only', hard > 0,
-           CASE WHEN hard > 0 THEN hard || ' error-severity check(s) did not pass: ' || hard_ids ELSE 'No error-severity failures (' || bad || ' warning(s))' END,
+           CASE WHEN hard > 0 THEN hard || ' checks of severity error failed: ' || hard_ids ELSE 'nothing of severity error failed (' || bad || ' of lesser severity)' END,
            coalesce(hard_ids, ''), n FROM g
     UNION ALL SELECT user_id, 'score_below', score < 0.97, '', CASE WHEN score < 0.97 THEN coalesce(ids, '') ELSE '' END, n FROM g
     """

@@ -223,7 +223,7 @@ def incident_missing_data(t):
 @query(
     """
     SELECT event_id AS run_id, 'quality_failure:' || user_id || ':' || coalesce(dataset, '(unnamed dataset)') AS fingerprint,
-           CASE WHEN value > 250 THEN 'high' ELSE 'low' END AS severity, '1 data quality check(s) failed on ' || coalesce(dataset, '(unnamed dataset)') AS title
+           CASE WHEN value > 250 THEN 'high' ELSE 'low' END AS severity, '1 checks failed on dataset ' || coalesce(dataset, '(unnamed dataset)') AS title
     FROM (SELECT *, nullif(event_type, 'view') AS dataset FROM events) WHERE value > 200
     """
 )

@@ -101,8 +101,8 @@ def lineage_nodes(parsed: DataFrame) -> DataFrame:
 def unresolved(parsed: DataFrame) -> DataFrame:
     """Sources and destinations that name nothing, so that a gap is visible."""
     reason = F.when(
-        F.col("node_type").isin(*SOURCES), "Source does not name a dataset, so its upstream origin is unknown"
-    ).otherwise("Destination does not name a dataset, so its downstream target is unknown")
+        F.col("node_type").isin(*SOURCES), "reads from a place without a dataset name"
+    ).otherwise("writes to a place without a dataset name")
     nameless = F.filter("nodes", lambda n: n["dataset"].isNull() & n["node_type"].isin(*SOURCES, *DESTINATIONS))
     return parsed.select("pipeline_id", F.inline(nameless)).select("pipeline_id", "node_id", "node_type", reason.alias("reason"))
 

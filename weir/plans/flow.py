@@ -211,7 +211,7 @@ def _gate(ctx: FlowContext, node: str, config: Mapping[str, Any]) -> GateDecisio
     wanted = set(ctx.result.results) if scope == "run" else ancestors(ctx.edges, node) & set(ctx.result.results)
     tables = [ctx.result.results[n] for n in sorted(wanted)]
     if not tables:
-        return GateDecision(False, "No quality results in scope; nothing to gate on", [], 1.0, 0)
+        return GateDecision(False, "no results to judge", [], 1.0, 0)
     merged = tables[0]
     for table in tables[1:]:
         merged = merged.unionByName(table)

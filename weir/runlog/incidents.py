@@ -137,7 +137,7 @@ def quality_failure(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("severity") == "error").alias("hard"),
         F.array_sort(F.collect_list(check)).alias("checks"), F.max("created_at").alias("seen"),
     )
-    title = F.concat(F.col("n").cast("string"), F.lit(" data quality check(s) failed on "), F.col("dataset"))
+    title = F.concat(F.col("n").cast("string"), F.lit(" checks failed on dataset "), F.col("dataset"))
     return grouped.select(
         *_incident(
             "quality_failure", F.when(F.col("hard"), "high").otherwise("low"), title, [F.col("pipeline_id"), F.col("dataset")],
