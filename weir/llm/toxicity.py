@@ -38,7 +38,7 @@ LANDMARKS = 160
 WORST = 3
 #: Scores below this say nothing more, and a document with fewer words is filled up with it.
 FLOOR = -0.5
-DECAY = 0.75
+DECAY = 0.85
 #: Longer words are scored in overlapping windows of so many characters.
 WINDOW = 24
 #: a to z, the start of a word, ß to ÿ, and 0 for any other sign.
@@ -46,6 +46,8 @@ ALPHABET = 61
 ROUNDS = 4
 #: A word that is in so many toxic documents, and in so many times the share of clean ones, is a witness wherever it stands.
 LEAST_SUPPORT, LEAST_RATIO = 4, 8
+#: What a clean document's word counts for beside a toxic one's witness, so that words which stand in both are called clean.
+CLEAN_WEIGHT = 16
 #: Words of clean documents that the machine sees: the commonest, and a quarter as many of those that it scores highest.
 NEGATIVES = 12_000
 THRESHOLD = 0.3
@@ -290,7 +292,7 @@ def fit(bags: list[tuple[bool, bool, list[str]]]) -> Model:
         rows = np.concatenate([witness, clean])
         x = (table.sums(codes[rows]) / length[rows, None]).astype(float) @ white
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(clean))])
-        w = _machine(x, y, np.concatenate([times / up, pair[owner[clean], 0] / down]))
+        w = _machine(x, y, np.concatenate([times / up, CLEAN_WEIGHT * pair[owner[clean], 0] / down]))
         triples = table.times(white @ w[:-1])
         score = triples.sums(codes)[:, 0] / length + w[-1]
         blame = np.where(marking[negative], 0, np.maximum(score[negative] + 0.5, 0) * pair[owner[negative], 0])
