@@ -29,7 +29,7 @@ def test_stages(spark, sf, stages):
     assert {r["doc_id"] for r in after.collect()} == kept and after.columns == before.columns
 
     before, after = stages["near_dedup"]
-    from test_dedup import brute
+    from llm.test_dedup import brute
 
     components = brute([(r["doc_id"], r["text"]) for r in before.collect()])
     assert {r["doc_id"] for r in after.collect()} == {i for i, (_, c) in components.items() if i == c} and after.columns == before.columns
