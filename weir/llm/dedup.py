@@ -165,7 +165,9 @@ def near_duplicates(
     ends = [F.col("hub.class_id"), F.col("class_id")]
     tried = cut_lineage(shared.join(hubs, "key").where(fits).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct(), "pairs")
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
-    sets = cut_lineage(_sets(texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    # the same plan at every size: the ids grow with the data, and the texts are dealt by them
+    picked = texts.where("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut_lineage(_sets(picked, size), "sets")
     links = cut_lineage(_confirm(tried, sets, percent), "confirmed")
     joined = components(links)
 
