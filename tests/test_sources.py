@@ -80,6 +80,7 @@ def test_csv_write(spark, folder):
 
 def test_unique_header():
     assert unique_header(["a", "a", "", None, "b ", "a"]) == ["a", "a_2", "column_3", "column_4", "b", "a_3"]
+    assert unique_header(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
 
 
 # ---- JSON
@@ -266,3 +267,11 @@ def test_publish_checked(spark, folder):
     assert rows_of(datasets.read("d")) == [(1, 5), (3, 7)] and rows_of(datasets.read("d_bad"), "id") == [(2,)]
     warned = publish_checked(datasets, "d", rows, [checks[0] | {"severity": "warn"}], rule="error_only")
     assert warned.rows_written == 3 and rows_of(datasets.catalog(), "name", "quality_status")[0] == ("d", "FAILED")
+
+
+def test_partitioned_csv_keeps_blanks_times_and_nested_values(spark, folder):
+    rows = [("x", "  a ", datetime(2024, 1, 2, 3, 4, 5), [1, 2]), ("y", "b", None, None)]
+    df = spark.createDataFrame(rows, "k STRING, t STRING, at TIMESTAMP_NTZ, list ARRAY<INT>")
+    write_object(df, f"{folder}/out", RunInfo(), "csv", ["k"])
+    back = read_csv(spark, f"{folder}/out/k=x", infer_types=False)
+    assert [tuple(r) for r in back.collect()] == [("  a ", "2024-01-02T03:04:05.000", "[1,2]")]

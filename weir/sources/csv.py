@@ -17,13 +17,15 @@ _RAW = "__raw_record"
 
 
 def unique_header(names: Sequence[str | None]) -> list[str]:
-    """Blank names become `column_N`, repeats get `_2`, `_3`, ..."""
-    seen: dict[str, int] = {}
-    header = []
-    for number, raw in enumerate(names, start=1):
-        base = (raw or "").strip() or f"column_{number}"
-        seen[base] = seen.get(base, 0) + 1
-        header.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
+    """Blank names become `column_N`, repeats get `_2`, `_3`, ..., the first that no column has."""
+    given = [(raw or "").strip() or f"column_{number}" for number, raw in enumerate(names, start=1)]
+    header: list[str] = []
+    for base in given:
+        name, number = base, 1
+        while name in header or (number > 1 and name in given):
+            number += 1
+            name = f"{base}_{number}"
+        header.append(name)
     return header
 
 
@@ -117,12 +119,20 @@ def _reject_long_rows(rows: DataFrame, header: Sequence[str], delimiter: str) ->
     return rows.select(first.alias(header[0]), *others, _RAW)
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, mode: str = "overwrite") -> None:
-    """Quotes only where needed; NULL and empty text are both empty fields; nested values are JSON."""
+def write_csv(
+    df: DataFrame, path: str, delimiter: str = ",", header: bool = True, mode: str = "overwrite", partition_by: Sequence[str] = ()
+) -> None:
+    """Quotes only where needed; NULL and empty text are both empty fields; nested values are JSON.
+
+    With `partition_by` an overwrite replaces only the partitions that the data has.
+    """
     flat = df.select(
         *[(F.to_json(F.col(f"`{f.name}`")) if is_nested(f.dataType) else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields]
     )
-    flat.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").csv(
+    writer = flat.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer.csv(
         path, sep=delimiter, header=header, quote='"', escape='"', nullValue="", emptyValue="",
         timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSXXX", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )

@@ -72,14 +72,11 @@ def write_object(df: DataFrame, key: str, run: RunInfo, fmt: str = "csv", partit
     if fmt not in FORMATS:
         raise ConfigError(f"format must be one of: {', '.join(FORMATS)}")
     path = render(key, run)
-    if partition_by:
+    if fmt == "csv":
+        write_csv(df, path, partition_by=partition_by)
+    elif partition_by:
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-        if fmt == "csv":
-            writer.csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
-        else:
-            writer.option("ignoreNullFields", "false").json(path)
-    elif fmt == "csv":
-        write_csv(df, path)
+        writer.option("ignoreNullFields", "false").json(path)
     elif fmt == "ndjson":
         write_ndjson(df, path)
     else:
