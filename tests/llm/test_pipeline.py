@@ -5,6 +5,7 @@ import sys
 
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -34,11 +35,14 @@ def test_stages(spark, sf, stages):
     components = brute([(r["doc_id"], r["text"]) for r in before.collect()])
     assert {r["doc_id"] for r in after.collect()} == {i for i, (_, c) in components.items() if i == c} and after.columns == before.columns
 
-    before, after = stages["secrets"]
+    before = stages["secrets"][0]
+    planted = before.limit(4).withColumns({"doc_id": F.col("doc_id") + 10**6, "text": F.concat("text", F.lit(' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'))})
+    before = before.unionByName(planted)
+    after = corpus_pipeline.blank_secrets(spark, before, sf)
     assert after.columns == before.columns and after.count() == before.count()
     old, new = ({r["doc_id"]: r for r in df.collect()} for df in (before, after))
     hit = {r["doc_id"] for r in find_secrets(before).where("size(spans) > 0").collect()}
-    assert hit and all(("<secret>" in new[i]["text"]) == (i in hit) for i in new) and all(new[i] == old[i] for i in new if i not in hit)
+    assert len(hit) >= 4 and all(("<secret>" in new[i]["text"]) == (i in hit) for i in new) and all(new[i] == old[i] for i in new if i not in hit)
     assert all(new[i]["n_chars"] == len(new[i]["text"]) for i in hit)
 
     before, after = stages["packing"]

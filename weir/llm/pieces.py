@@ -143,17 +143,18 @@ def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
     return spark.createDataFrame([(p, n, order[p], s) for p, n, s in v.pieces], "piece string, id int, rank int, score double")
 
 
+# Shifts to the right are functions here: the parser takes `>>` for the end of a type once it has read `array` or `struct`.
 # An edge is one number: rank, start, end and id, from the highest bits to the lowest, so edges sort as merges are tried.
 _EDGE = "(cast(rank AS BIGINT) << 32) | (cast(start AS BIGINT) << 26) | (cast(start + length(piece) AS BIGINT) << 20) | cast(id AS BIGINT)"
-_START, _END, _ID = "cast((e >> 26) & 63 AS INT)", "cast((e >> 20) & 63 AS INT)", "cast(e & 1048575 AS INT)"
+_START, _END, _ID = "cast(shiftright(e, 26) & 63 AS INT)", "cast(shiftright(e, 20) & 63 AS INT)", "cast(e & 1048575 AS INT)"
 _INNER = f"(((1L << ({_END} - {_START} - 1)) - 1L) << ({_START} + 1))"
 #: One merge: the first edge whose ends are cuts of the path m with exactly one cut between them; that cut goes.
 _MERGE = (
-    f"coalesce(m & ~get(transform(filter(edges, e -> {_END} - {_START} > 1 AND ((m >> {_START}) & 1L) = 1L AND ((m >> {_END}) & 1L) = 1L "
+    f"coalesce(m & ~get(transform(filter(edges, e -> {_END} - {_START} > 1 AND (shiftright(m, {_START}) & 1L) = 1L AND (shiftright(m, {_END}) & 1L) = 1L "
     f"AND bit_count(m & {_INNER}) = 1), e -> {_INNER}), 0), m)"
 )
 #: The positions of the cuts of a path m. It is the last step of the fold itself, so that the fold is not done again for each position.
-_PARTS = "m -> filter(sequence(0, n), i -> ((m >> i) & 1L) = 1L)"
+_PARTS = "m -> filter(sequence(0, n), i -> (shiftright(m, i) & 1L) = 1L)"
 _MERGED = f"CASE WHEN n > 1 THEN aggregate(sequence(2, n), (1L << (n + 1)) - 1L, (m, i) -> {_MERGE}, {_PARTS}) ELSE array(0, 1) END"
 
 
@@ -163,7 +164,7 @@ def _viterbi(unknown: float) -> str:
     plain = f"struct(get(best, i - 1).score + {unknown}D AS score, 1 - i AS back)"
     step = f"concat(best, array(array_max(concat(array({plain}), transform(filter(edges, e -> {_END} = i), e -> {way})))))"
     back = "CASE WHEN s.at = 0 THEN s ELSE struct(s.m | (1L << (-get(best, s.at).back)) AS m, -get(best, s.at).back AS at) END"
-    ways = f"aggregate(sequence(1, n), struct(1L << n AS m, n AS at), (s, i) -> {back}, s -> filter(sequence(0, n), i -> ((s.m >> i) & 1L) = 1L))"
+    ways = f"aggregate(sequence(1, n), struct(1L << n AS m, n AS at), (s, i) -> {back}, s -> filter(sequence(0, n), i -> (shiftright(s.m, i) & 1L) = 1L))"
     return f"aggregate(sequence(1, n), array(struct(0D AS score, 0 AS back)), (best, i) -> {step}, best -> {ways})"
 
 
