@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that one Python worker keeps hashes of; beyond it the memory is emptied and filled again.
-HASHED_WORDS = 400_000
+HASHED_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from weir.llm.text import HASHED_WORDS, need
 
 #: Labelled documents of each class that the machine is fitted on, at most: those with the least hashes of their ids.
-SAMPLE = 2_000
+SAMPLE = 1_500
 LANDMARKS = 160
 #: A document is judged by so many of its worst distinct words.
 WORST = 3
