@@ -89,3 +89,23 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {n: 0 for n in range(1, 41)} | {75: 50, 100: 50, 201: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_links_in_a_bucket_full_of_singletons(spark):
+    """One bucket holds 60 documents that link with nothing, a group of three and a pair: a hub drawn at random seldom is one of these."""
+    rng, hashes = random.Random(5), WordHashes()
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = min(([word() for _ in range(20)] for _ in range(3000)), key=lambda p: shingles(p_bytes(p), hashes)[0])
+    texts = [passage + [word() for _ in range(30)] for _ in range(62)]
+    texts += [texts[-1][:-3 * k] + [word() for _ in range(3 * k)] for k in (1, 2)] + [texts[-2][:-2] + [word()]]
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    least = shingles(p_bytes(passage), hashes)[0]
+    assert all(shingles(words_of(t), hashes)[0] == least for _, t in rows)
+    want = brute(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()
+    assert len({c for _, c in want.values()}) == 62
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def p_bytes(words):
+    return words_of(" ".join(words))

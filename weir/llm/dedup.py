@@ -28,8 +28,8 @@ THRESHOLD_PERCENT = 75
 BANDS, ROWS_PER_BAND = 32, 4
 #: Attempts of the densification before an empty bin takes the next filled one to its right.
 ATTEMPTS = 512
-#: Rounds after the first that look for links which stars missed; more follow as long as a round finds some.
-LEAST_ROUNDS = 3
+#: Counters that tell rare shingles from common ones; shingles may share one, since any order of the shingles that is the same for all sets is exact.
+COUNTERS = 1 << 18
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -145,7 +145,7 @@ def near_duplicates(
     id takes no part in linking and is kept. Empty input gives no rows.
 
     Links are found with a probability above 1 - (1 - (percent/100)**rows)**bands (0.999995 at the threshold itself with the
-    defaults) for pairs that share a hub or are compared in later rounds; none is confirmed by estimate.
+    defaults): two linked documents that share a band end in one component; none is confirmed by estimate.
     """
     texts = _texts(df, id, text)
     signed = cut_lineage(signatures(texts, "doc_id", "text", bands, rows, size), "signatures")
@@ -171,20 +171,15 @@ def near_duplicates(
     links = cut_lineage(_confirm(tried, sets, percent), "confirmed")
     joined = components(links)
 
-    extra = 0
-    while True:
-        open_pairs = _missed(shared, joined, percent, extra).join(tried, ["u", "v"], "left_anti")
-        pairs = cut_lineage(open_pairs, "pairs")
-        if pairs.isEmpty():
-            break
+    tried, links, joined = _stars(shared, tried, links, joined, sets, percent, 2)
+    apart = cut_lineage(_open(_labelled(shared, joined)).select("class_id", "n").distinct(), "open")
+    if not apart.isEmpty():
+        rarest = _rarest(apart, sets, percent)
+        rarest = cut_lineage(rarest.join(_open(_labelled(rarest, joined)).select("key").distinct(), "key", "left_semi"), "rarest")
+        tried, links, joined = _stars(rarest, tried, links, joined, sets, percent, 1)
+        pairs = cut_lineage(_all_pairs(rarest, joined, percent).join(tried, ["u", "v"], "left_anti"), "pairs")
         found = cut_lineage(_confirm(pairs, sets, percent), "confirmed")
-        tried, extra = tried.unionAll(pairs), extra + 1
-        if found.isEmpty():
-            if extra >= LEAST_ROUNDS:
-                break
-            continue
-        links = links.unionAll(found)
-        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found))
+        links, joined = links.unionAll(found), _merged(joined, found)
 
     degree = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     placed = (
@@ -198,17 +193,98 @@ def near_duplicates(
     )
 
 
-def _missed(shared: DataFrame, joined: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Star-shaped pairs of buckets whose members lie in several components: one of the smallest component against the others."""
-    labelled = shared.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+def _merged(joined: DataFrame, found: DataFrame) -> DataFrame:
+    """The components after new links."""
+    return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found))
+
+
+def _stars(
+    groups: DataFrame, tried: DataFrame, links: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, patience: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rounds of stars over groups of sets until so many in a row find nothing: tried pairs, links and components after them."""
+    turn = idle = 0
+    while idle < patience:
+        pairs = cut_lineage(_missed(groups, joined, percent, turn).join(tried, ["u", "v"], "left_anti"), "pairs")
+        turn, idle = turn + 1, idle + 1
+        if pairs.isEmpty():
+            continue
+        found = cut_lineage(_confirm(pairs, sets, percent), "confirmed")
+        tried = tried.unionAll(pairs)
+        if not found.isEmpty():
+            links, joined, idle = links.unionAll(found), _merged(joined, found), 0
+    return tried, links, joined
+
+
+def _labelled(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    return groups.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "key", "class_id", "n", F.coalesce("component", "class_id").alias("component")
     )
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows of the groups that hold several components."""
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return labelled.join(several.select("key"), "key", "left_semi")
+
+
+def _missed(groups: DataFrame, joined: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Star-shaped pairs of groups whose members lie in several components: one of the largest (odd turns: the smallest) against the others."""
+    labelled = _labelled(groups, joined)
     order = F.xxhash64("class_id", "key", F.lit(turn))
-    groups = labelled.groupBy("key", "component").agg(F.count("*").alias("many"), F.min(F.struct(order.alias("o"), "class_id", "n")).alias("hub"))
+    parts = labelled.groupBy("key", "component").agg((F.count("*") * F.lit(1 if turn % 2 else -1)).alias("many"), F.min(F.struct(order.alias("o"), "class_id", "n")).alias("hub"))
     hubs = (
-        groups.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("many", "hub.o", "hub.class_id", "hub.n", "component")).alias("hub"))
+        parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("many", "hub.o", "hub.class_id", "hub.n", "component")).alias("hub"))
         .where("parts > 1").select("key", "hub")
     )
     fits = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent) & (F.col("component") != F.col("hub.component"))
     ends = [F.col("hub.class_id"), F.col("class_id")]
     return labelled.join(hubs, "key").where(fits).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct()
+
+
+def _rarest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles (key) of each set and their places (at), so many that two linked sets share one: class_id, n, key, at.
+
+    A linked set has at least `percent` of the shingles in common with the other, so in any order of all shingles one of the
+    common ones is among its first n - ceil(n * percent / 100) + 1. Rare ones come first, so passages of many texts seldom count.
+    """
+    chosen = cut_lineage(apart.join(sets.withColumnRenamed("doc_id", "class_id"), "class_id"), "sets")
+    mask = np.uint64(COUNTERS - 1)
+
+    def count(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for part in batch.column(0):
+                np.add.at(total, (np.frombuffer(part.as_buffer(), dtype=np.uint64) & mask).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["counter", "many"])
+
+    counted = chosen.select("hashes").mapInArrow(count, "counter long, many long").groupBy("counter").agg(F.sum("many").alias("many")).toArrow()
+    total = np.zeros(COUNTERS, dtype=np.int64)  # bounded, whatever the input
+    total[counted.column("counter").to_numpy()] = counted.column("many").to_numpy()
+    known = apart.sparkSession.sparkContext.broadcast(total)
+
+    def cut(batches):
+        common = known.value
+        for batch in batches:
+            parts = [np.empty(0, dtype=np.uint64)]
+            for part in batch.column(2):
+                h = np.frombuffer(part.as_buffer(), dtype=np.uint64)
+                first = np.argsort(common[(h & mask).astype(np.int64)], kind="stable")  # equally common ones stay in the order of their hashes
+                parts.append(h[first[: len(h) + percent * len(h) // -100 + 1]])
+            lengths = [len(p) for p in parts[1:]]
+            owner = [pa.array(np.repeat(batch.column(k).to_numpy(), lengths), pa.int64()) for k in (0, 1)]
+            places = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *map(np.arange, lengths)]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*owner, pa.array(np.concatenate(parts).view(np.int64), pa.int64()), places], names=["class_id", "n", "key", "at"])
+
+    return cut_lineage(chosen.select("class_id", "n", "hashes").mapInArrow(cut, "class_id long, n long, key long, at long"), "rarest")
+
+
+def _all_pairs(rarest: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different components that share one of their rarest shingles, where it and all later ones could be enough for a link.
+
+    The first shingle that two sets share has all the others that they share behind it in both, so no linked pair is lost.
+    """
+    labelled = rarest.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    left, right = (labelled.select("key", F.col("class_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "component", "at")]) for x in "uv")
+    enough = F.least(F.col("u_n") - F.col("u_at"), F.col("v_n") - F.col("v_at")) * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent
+    return left.join(right, "key").where(enough & (F.col("u_component") != F.col("v_component")) & (F.col("u") < F.col("v"))).select("u", "v").distinct()
