@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.llm.collocations import collocations
 from weir.llm.dedup import near_duplicates
 from weir.llm.language import language_scores
 from weir.llm.media import read_media, store_media
@@ -140,3 +141,29 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", "ids", decode(F.col("ids")).alias("text")).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256")
     )
+
+
+@query(
+    """
+    WITH w AS (
+        SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+        FROM (SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+    ), grams AS (
+        SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS g FROM w, (VALUES (1), (2), (3)) s(size)
+    ), f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+    candidates AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+    cuts AS (
+        SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+        FROM candidates c JOIN (VALUES (1), (2)) t(k) ON k < len(c.g) JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)]
+    ), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts),
+    inside AS (
+        SELECT c.lang, p.g FROM candidates c, (VALUES (1), (2)) t(i) JOIN candidates p ON p.lang = c.lang AND p.g = c.g[i:i + 1] WHERE len(c.g) = 3 AND 100 * c.a >= 50 * p.a
+    ), kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM lowest ANTI JOIN inside USING (lang, g) WHERE place = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+    FROM ranked JOIN (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang) USING (lang) WHERE rank <= 2000
+    """
+)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations(table(spark, folder, "documents"))
