@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weir.llm.collocations import collocations
 from weir.llm.dedup import near_duplicates
 from weir.llm.language import language_scores
+from weir.llm.licenses import PERCENT, SMALLEST_BLOCK, TEMPLATES, find_licenses
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.personal import find_personal, joined
@@ -167,3 +168,44 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The 2000 best phrases of each language."""
     return collocations(table(spark, folder, "documents"))
+
+
+def _license_sql() -> str:
+    """Every block against every template, from the definition."""
+    templates = ",\n".join(f"({number}, '{label}', '{body}')" for number, (label, body) in enumerate(TEMPLATES))
+    return f"""
+    WITH t AS (
+        SELECT label, list_distinct(w) AS words, greatest({SMALLEST_BLOCK}, pow(2, ceil(log2(2 * len(w))))::BIGINT) AS level
+        FROM (SELECT number, label, regexp_extract_all(lower(body), '[0-9a-z]+') AS w FROM (VALUES {templates}) v(number, label, body))
+    ), d AS (
+        SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
+        FROM documents
+    ), blocks AS (
+        SELECT doc_id, level, list_distinct(w[s + 1:s + level]) AS words
+        FROM (SELECT doc_id, w, level, unnest(range(0, greatest(len(w) - level, 0) + level // 2, level // 2)) AS s FROM d, (SELECT DISTINCT level FROM t))
+    ), met AS (
+        SELECT doc_id, label, len(list_intersect(b.words, t.words)) / len(t.words) AS share FROM blocks b JOIN t USING (level)
+        WHERE 100 * len(list_intersect(b.words, t.words)) >= {PERCENT} * len(t.words)
+    ), more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY doc_id),
+    phrases AS (SELECT label, string_split(body, ' ') AS p FROM (VALUES ('mit license', 'mit'), ('apache license', 'apache'), ('general public license', 'gpl')) v(body, label)),
+    places AS (
+        SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS at FROM d, phrases
+    ), base AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+    FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+    """
+
+
+@query(_license_sql())
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and license texts in every document; the score is the largest share of a template or phrase found."""
+    base, more = F.col("places"), F.col("blocks")
+    return find_licenses(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(base["label"]))).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(base["label"], more["label"])))).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(more["share"]), F.lit(0.0))).alias("score"),
+    )
