@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weir.llm.collocations import collocations
 from weir.llm.dedup import near_duplicates
+from weir.llm.infill import fill_in_middle, restored
 from weir.llm.language import language_scores
 from weir.llm.licenses import PERCENT, SMALLEST_BLOCK, TEMPLATES, find_licenses
 from weir.llm.media import read_media, store_media
@@ -209,3 +210,29 @@ def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(base["label"], more["label"])))).alias("labels"),
         F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(more["share"]), F.lit(0.0))).alias("score"),
     )
+
+
+@query(
+    """
+    WITH x AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+    u AS (
+        SELECT doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u,
+            [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN [0, 1, 2, 3]] AS h
+        FROM x
+    ), c AS (
+        SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM u
+    ), p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+    SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM p
+    """
+)
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text rearranged for filling in the middle, and what is restored of it."""
+    made = fill_in_middle(table(spark, folder, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
