@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from conftest import rows_of
@@ -65,6 +66,59 @@ def test_reachability_with_cycle(spark):
         reachable(edges, starts, "sideways")
 
 
+def _edges(spark, pairs):
+    return spark.createDataFrame([("dataset", f, "dataset", t) for f, t in pairs], "from_type STRING, from_id STRING, to_type STRING, to_id STRING")
+
+
+def _breadth_first(pairs, start):
+    distance, frontier = {start: 0}, [start]
+    while frontier:
+        ahead = []
+        for node in frontier:
+            for a, b in pairs:
+                if a == node and b not in distance:
+                    distance[b] = distance[node] + 1
+                    ahead.append(b)
+        frontier = ahead
+    return sorted((n, d) for n, d in distance.items() if d)
+
+
+def test_reachability_of_a_long_chain(spark, monkeypatch):
+    """100 nodes in a row: few rounds, and no round's plan is larger than that of another."""
+    import weir.lineage.reach as reach
+
+    sizes = []
+
+    def add(df, folder, turn):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return kept(df, folder, turn)
+
+    kept = reach._add
+    monkeypatch.setattr(reach, "_add", add)
+    pairs = [(f"n{k}", f"n{k + 1}") for k in range(100)] + [(f"ring{k}", f"ring{(k + 1) % 3}") for k in range(3)]
+    got = rows_of(reachable(_edges(spark, pairs), spark.createDataFrame([("dataset", "n0")], "type STRING, id STRING")), "id", "distance")
+    assert got == _breadth_first(pairs, "n0")
+    assert len(sizes) <= 10 and len(set(sizes[1:])) == 1
+
+
+def test_reachability_of_deep_graphs(spark):
+    """Chains that branch, meet again by ways of different lengths, lead back, and end."""
+    rng = random.Random(4)
+    for _ in range(3):
+        pairs, last = [("s", "c0_0")], 0
+        for chain in range(14):
+            length = rng.randint(1, 12)
+            pairs += [(f"c{chain}_{k}", f"c{chain}_{k + 1}") for k in range(length)]
+            pairs += [(f"c{chain}_{length}", f"c{rng.randint(0, chain + 2)}_{rng.randint(0, 4)}") for _ in range(rng.randint(1, 3))]
+        pairs = sorted(set(pairs) | {("far0", "far1"), ("far1", "far0"), ("far1", "far2")})
+        for direction, start in (("down", "s"), ("up", "c3_1")):
+            turned = pairs if direction == "down" else [(b, a) for a, b in pairs]
+            got = rows_of(reachable(_edges(spark, pairs), spark.createDataFrame([("dataset", start)], "type STRING, id STRING"), direction), "id", "distance")
+            assert got == _breadth_first(turned, start)
+    none = spark.createDataFrame([], "type STRING, id STRING")
+    assert reachable(_edges(spark, pairs), none).count() == 0
+
+
 def test_columns(spark):
     spark.createDataFrame([(1, 2, "x")], "a INT, b INT, c STRING").createOrReplaceTempView("lineage_t")
     described = describe_select(spark.sql("SELECT a + b AS total, upper(c) AS c, 1 AS one FROM lineage_t WHERE a > 0 ORDER BY c LIMIT 3"))
