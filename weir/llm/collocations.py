@@ -30,9 +30,11 @@ LEAST = 10
 COVERED_PERCENT = 50
 #: Phrases reported for each language.
 TOP = 2000
+#: Shares that a language's phrases are ranked in first.
+SHARES = 64
 #: Text bytes of one sorted range, and words of one sorted run: the memory of a task, not what is counted.
 RANGE_BYTES = 8 << 20
-RUN_WORDS = 2_000_000
+RUN_WORDS = 1_000_000
 #: Text bytes looked at for the bounds of one range, and the distance of the words taken from them; the sample moves bounds, not counts.
 BOUND_BYTES = 64 << 10
 BOUND_STEP = 97
@@ -350,8 +352,11 @@ def collocations(
     kept = found.where((F.col("level") == 3) | (F.col("longer") * 100 < F.col("a") * covered_percent)).select(
         "lang", F.concat_ws(" ", "first", "previous", "last").alias("phrase"), "a", cut.alias("cut")
     ).select("lang", "phrase", "a", "cut.*")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    ranked = kept.withColumn("rank", place)
+    best_first = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    if top is not None:  # the best of each share of a language's phrases, so that the last ranking sees at most SHARES * top
+        share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+        kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", share).orderBy(*best_first))).where(F.col("place") <= top).drop("place")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("long"))
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
     words = counted.where("level = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
