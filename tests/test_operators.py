@@ -12,6 +12,7 @@ from weir.operators import (
     aggregate, capped, count_by_state, distinct_rows, flatten_once, join, join_cardinality, keyset_page, limit_offset, look_back, merge_rows,
     order_by, parse_keys, parse_measures, record_path,
 )
+from weir.operators.keyed import sliced_rows
 from weir.operators.sort import decode_cursor, encode_cursor
 
 
@@ -161,8 +162,8 @@ def test_count_by_state(spark):
     assert rows_of(count_by_state(df, "s", ["A", "B", "C"])) == [("A", 2), ("B", 1), ("C", 0)]
 
 
-@pytest.mark.parametrize("slice_rows", [7, 40, 10_000])
-def test_look_back_slices_change_nothing(spark, slice_rows):
+@pytest.mark.parametrize("slices", [57, 10, 1, None])
+def test_look_back_slices_change_nothing(spark, slices):
     random.seed(5)
     # One hot key with most rows, ties in time, NULL times, and some cold keys.
     data = [(1 if random.random() < 0.7 else random.randint(2, 6), random.choice([None, *range(50)]), i, random.randint(0, 9)) for i in range(400)]
@@ -172,7 +173,7 @@ def test_look_back_slices_change_nothing(spark, slice_rows):
         frame = window.rowsBetween(-3, -1)
         return {"total": F.sum("v").over(frame), "ids": F.collect_list("id").over(window.rowsBetween(-3, 0))}
 
-    got = {r.id: (r.total, list(r.ids)) for r in look_back(df, ["k"], ["at", "id"], 3, build, slice_rows).collect()}
+    got = {r.id: (r.total, list(r.ids)) for r in look_back(df, ["k"], ["at", "id"], 3, build, slices).collect()}
     want = {}
     for key in {d[0] for d in data}:
         ordered = sorted([d for d in data if d[0] == key], key=lambda d: (d[1] is not None, d[1] or 0, d[2]))
@@ -182,6 +183,18 @@ def test_look_back_slices_change_nothing(spark, slice_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("times", ["one far off", "all the same"])
+def test_slices_are_even(spark, times):
+    """A hot key whose times are all alike, or all but one: no slice has twice the rows it should have."""
+    at = F.when(F.col("id") == 0, F.lit(10**12)).otherwise(F.col("id") % 7) if times == "one far off" else F.lit(5)
+    df = spark.range(24_000, numPartitions=6).select(F.lit("hot").alias("k"), at.cast("bigint").alias("at"), "id")
+    sizes = [r["count"] for r in sliced_rows(df, ["k"], ["at", "id"], 12).groupBy("__slice").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 24_000 / 12
+    seen = look_back(df, ["k"], ["at", "id"], 2, lambda w: {"before": F.sum("id").over(w.rowsBetween(-2, -1))}, 12)
+    ordered = [r.id for r in df.orderBy("at", "id").collect()]
+    assert {r.id: r.before for r in seen.collect()} == {d: (sum(ordered[max(0, i - 2) : i]) if i else None) for i, d in enumerate(ordered)}
+
+
 # ---- projection
 
 

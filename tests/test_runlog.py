@@ -37,10 +37,10 @@ def test_top_failing_sorts_by_number(spark):
     assert analytics.top_failing(tasks, runs, until=T0).count() == 1
 
 
-@pytest.mark.parametrize("slice_rows", [2, 1_000_000])
-def test_repeated_failure(spark, slice_rows):
+@pytest.mark.parametrize("slices", [4, 1, None])
+def test_repeated_failure(spark, slices):
     runs = make_runs(spark, [("p", s, i, 1) for i, s in enumerate(["FAILED", "FAILED", "FAILED", "FAILED", "SUCCESS", "FAILED", "FAILED"])] + [("q", "FAILED", 3, 1)])
-    found = incidents.repeated_failure(runs, slice_rows=slice_rows)
+    found = incidents.repeated_failure(runs, slices=slices)
     assert rows_of(found, "run_id", "fingerprint", "title") == [
         ("r2", "repeated_failure:p", "pipe p failed 3 consecutive times"), ("r3", "repeated_failure:p", "pipe p failed 3 consecutive times"),
     ]
@@ -56,8 +56,8 @@ def test_duration_spike(spark):
     assert incidents.duration_spike(runs.where("id <> 'r7'")).count() == 0
 
 
-@pytest.mark.parametrize("slice_rows", [3, 1_000_000])
-def test_missing_data_of_other_runs(spark, slice_rows):
+@pytest.mark.parametrize("slices", [27, 1, None])
+def test_missing_data_of_other_runs(spark, slices):
     import random
 
     random.seed(11)
@@ -70,7 +70,7 @@ def test_missing_data_of_other_runs(spark, slice_rows):
         earlier = [reads[j] for j in range(i) if states[j] == "SUCCESS"]
         if reads[i] == 0 and any(earlier[-(4 if states[i] == "SUCCESS" else 5) :]):
             want.append((f"r{i}",))
-    assert rows_of(incidents.missing_data(tasks, runs, slice_rows), "run_id") == sorted(want)
+    assert rows_of(incidents.missing_data(tasks, runs, slices), "run_id") == sorted(want)
 
 
 def test_missing_data(spark):

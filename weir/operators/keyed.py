@@ -1,7 +1,7 @@
 """Operators that work per key: latest row, keyed merge, look-back windows, counts by state.
 
 A key may hold a third of all rows. The latest row and the dedupe before a merge rank within the
-map tasks first (Spark's window group limit), and look-back windows cut hot keys into time slices.
+map tasks first (Spark's window group limit), and look-back windows cut keys into slices of equal size.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from weir.errors import ConfigError
 from weir.functions.ordering import sort_columns
 from weir.session import cut_lineage
 
-# Time bins a hot key is cut into before neighbouring bins are merged; bounds what the driver sees.
-MAX_BINS = 65_536
-
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence, n: int = 1) -> DataFrame:
     """The first `n` rows of each key in the given order, e.g. `[("queued_at", "desc"), ("id", "desc")]`."""
@@ -60,40 +57,24 @@ def look_back(
     order_by: Sequence[str],
     rows: int,
     build: Callable[[WindowSpec], dict[str, Column]],
-    slice_rows: int = 5_000_000,
+    slices: int | None = None,
     relevant: Column | None = None,
     then: Callable[[list[str]], dict[str, Column]] | None = None,
 ) -> DataFrame:
     """Adds window columns that depend on at most `rows` earlier rows of each key.
 
-    `order_by` starts with a time or number column. Keys of up to `slice_rows` rows are one window
-    partition each. A larger key is cut into slices of about that many rows along the first order
-    column, and each slice gets the last `rows` rows before it as a prefix, so the result is the same
-    as with one window and no task sees the whole key. With `relevant` only the rows it holds for are looked
-    back at. `then` gets the partition columns and may build on the columns of the first step.
+    All rows are dealt by ranges of keys and order columns, whose bounds Spark takes from a sample of the rows, so a key
+    of any size is cut into slices with about the same number of rows (`slices` in all; by default as many as there are
+    shuffle partitions), wherever its times lie. Only the key that a slice begins with can have earlier rows elsewhere: the
+    last `rows` of these are carried over as a prefix. So the result is that of one window per key, and no task sees more of
+    a key than a slice. With `relevant` only the rows it holds for are looked back at. `then` gets the partition
+    columns and may build on the columns of the first step.
     """
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    largest = per_key.agg(F.max("__rows")).head()[0] or 0
-    if largest <= slice_rows:
-        return _with_windows(df, keys, order_by, build, then)
-
-    # The slices are planned from the data, so it is read several times; computed once.
-    df = cut_lineage(df, "look-back")
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    names = [f"__hot_{i}" for i in range(len(keys))]
-    hot_keys = per_key.where(F.col("__rows") > slice_rows).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(True).alias("__hot")
-    )
-    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
-    flagged = df.join(hot_keys, same_key, "left").drop(*names)
-    cold = flagged.where("__hot IS NULL").drop("__hot")
-    hot = flagged.where("__hot").drop("__hot")
-    sliced = _slice(hot, order_by[0], slice_rows)
-    prefixes = _prefixes(sliced, keys, order_by, rows, F.lit(True) if relevant is None else relevant)
+    sliced = sliced_rows(df, keys, order_by, slices)
+    prefixes = _prefixes(_split_keys(sliced, keys), keys, order_by, rows, F.lit(True) if relevant is None else relevant)
     prefixed = sliced.withColumn("__prefix", F.lit(False)).unionByName(prefixes)
     done = _with_windows(prefixed, [*keys, "__slice"], order_by, build, then)
-    rest = _with_windows(cold, keys, order_by, build, then)
-    return rest.unionByName(done.where("NOT __prefix").drop("__prefix", "__slice"))
+    return done.where("NOT __prefix").drop("__prefix", "__slice")
 
 
 def _with_windows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], build, then) -> DataFrame:
@@ -102,31 +83,19 @@ def _with_windows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], b
     return first if then is None else first.withColumns(then(list(keys)))
 
 
-def _slice(df: DataFrame, column: str, slice_rows: int) -> DataFrame:
-    """Adds `__slice`: neighbouring time bins merged until they hold `slice_rows` rows."""
-    spark = df.sparkSession
-    number = _as_number(df, column)
-    low, high = df.agg(F.min(number), F.max(number)).head()
-    if low is None or low == high:
-        return df.withColumn("__slice", F.when(F.col(column).isNull(), -1).otherwise(0))
-    bin_of = F.coalesce(F.width_bucket(number, F.lit(low), F.lit(high), F.lit(MAX_BINS)).cast("int"), F.lit(-1))
-    histogram = df.groupBy(bin_of.alias("bin")).count().orderBy("bin").collect()
-    slices, current, held = [], 0, 0
-    for entry in histogram:
-        if held and held + entry["count"] > slice_rows:
-            current, held = current + 1, 0
-        slices.append((entry["bin"], current))
-        held += entry["count"]
-    # At most MAX_BINS + 2 rows of two integers.
-    mapping = spark.createDataFrame(slices, "__bin INT, __slice INT")
-    return df.withColumn("__bin", bin_of).join(F.broadcast(mapping), "__bin").drop("__bin")
-
-
-def _as_number(df: DataFrame, column: str) -> Column:
-    name = df.schema[column].dataType.typeName()
-    if name in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+def sliced_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], slices: int | None = None) -> DataFrame:
+    """The rows with `__slice`, the number of their range of keys and order columns; written out, since it is read more than once."""
+    columns = [F.col(c) for c in [*keys, *order_by]]
+    ranged = df.repartitionByRange(*columns) if slices is None else df.repartitionByRange(slices, *columns)
+    return cut_lineage(ranged.withColumn("__slice", F.spark_partition_id()), "slices")
+
+
+def _split_keys(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the keys that some slice begins with; no other key is in two slices."""
+    names = [f"__first_{i}" for i in range(len(keys))]
+    first = sliced.groupBy("__slice").agg(F.min(F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names)])).alias("first")).where("__slice > 0")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return sliced.join(F.broadcast(first.select("first.*").distinct()), same, "left_semi")  # at most one row for each slice
 
 
 def _prefixes(sliced: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int, relevant: Column) -> DataFrame:

@@ -38,7 +38,7 @@ def _fixed(number: Column, digits: int) -> Column:
     return F.call_function("format_number", number, F.lit("0." + "0" * digits))
 
 
-def repeated_failure(runs: DataFrame, threshold: int = FAILURE_THRESHOLD, slice_rows: int = 5_000_000) -> DataFrame:
+def repeated_failure(runs: DataFrame, threshold: int = FAILURE_THRESHOLD, slices: int | None = None) -> DataFrame:
     """Runs that failed and whose `threshold - 1` predecessors failed too."""
     columns = runs.select("id", "pipeline_id", "pipeline_name", "state", "queued_at", "error")
 
@@ -51,7 +51,7 @@ def repeated_failure(runs: DataFrame, threshold: int = FAILURE_THRESHOLD, slice_
             "first_failure_at": F.min("queued_at").over(frame),
         }
 
-    seen = look_back(columns, ["pipeline_id"], ["queued_at", "id"], threshold - 1, build, slice_rows)
+    seen = look_back(columns, ["pipeline_id"], ["queued_at", "id"], threshold - 1, build, slices)
     hits = seen.where((F.col("state") == "FAILED") & (F.col("failures") == threshold))
     evidence = F.struct(
         F.col("failures").alias("consecutiveFailures"), F.reverse("run_ids").alias("runIds"),
@@ -62,7 +62,7 @@ def repeated_failure(runs: DataFrame, threshold: int = FAILURE_THRESHOLD, slice_
 
 
 def duration_spike(
-    runs: DataFrame, multiplier: float = SPIKE_MULTIPLIER, floor_ms: int = SPIKE_FLOOR_MS, slice_rows: int = 5_000_000
+    runs: DataFrame, multiplier: float = SPIKE_MULTIPLIER, floor_ms: int = SPIKE_FLOOR_MS, slices: int | None = None
 ) -> DataFrame:
     """Successful runs far slower than the mean of the successful runs just before them."""
     succeeded = runs.where(F.col("state") == "SUCCESS").select("id", "pipeline_id", "pipeline_name", "queued_at", "duration_ms")
@@ -71,7 +71,7 @@ def duration_spike(
         frame = window.rowsBetween(-SPIKE_HISTORY, -1)
         return {"recent_average": F.avg("duration_ms").over(frame), "samples": F.count("duration_ms").over(frame)}
 
-    seen = look_back(succeeded, ["pipeline_id"], ["queued_at", "id"], SPIKE_HISTORY, build, slice_rows)
+    seen = look_back(succeeded, ["pipeline_id"], ["queued_at", "id"], SPIKE_HISTORY, build, slices)
     duration, average = F.col("duration_ms"), F.col("recent_average")
     hits = seen.where((duration > floor_ms) & (F.col("samples") >= SPIKE_MIN_SAMPLES) & (duration > average * multiplier))
     evidence = F.struct(
@@ -85,7 +85,7 @@ def duration_spike(
     return hits.select(*_incident("duration_spike", "medium", title, [F.col("pipeline_id")], F.col("id"), evidence, F.col("queued_at")))
 
 
-def missing_data(tasks: DataFrame, runs: DataFrame, slice_rows: int = 5_000_000) -> DataFrame:
+def missing_data(tasks: DataFrame, runs: DataFrame, slices: int | None = None) -> DataFrame:
     """Sources that read nothing although one of the five newest successful runs read something.
 
     A successful run is one of the five itself, so it looks four runs back, and a run of another
@@ -115,7 +115,7 @@ def missing_data(tasks: DataFrame, runs: DataFrame, slice_rows: int = 5_000_000)
         }
 
     seen = look_back(
-        reads, ["pipeline_id", "node_id"], ["queued_at", "run_id"], MISSING_DATA_HISTORY + 1, build, slice_rows, good, then
+        reads, ["pipeline_id", "node_id"], ["queued_at", "run_id"], MISSING_DATA_HISTORY + 1, build, slices, good, then
     )
     hits = seen.where((F.col("rows_read") <= 0) & (F.col("recent_rows") > 0))
     evidence = F.struct(F.col("node_id").alias("nodeId"), F.col("node_type").alias("nodeType"), F.lit(0).alias("rowsRead"), F.col("run_id").alias("runId"))
