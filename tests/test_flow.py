@@ -1,3 +1,4 @@
+import shutil
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -32,6 +33,35 @@ def test_demo(spark, folder):
     assert datasets.catalog().head().quality_status == "PASSED"
 
 
+def test_checked_data_is_written_once(spark, folder):
+    """Two check nodes, a gate and a sink: one folder of files, and no source is computed for a second time."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        ran.add(1)
+        return row
+
+    flow = spec(
+        [
+            ("src", "dataset.source", {"dataset": "t"}), ("py", "python.transform", {}), ("one", "quality.check", {"checks": [{"id": "a", "type": "not_null", "column": "id"}]}),
+            ("two", "quality.check", {"checks": [{"id": "b", "type": "unique", "column": "id"}]}), ("gate", "quality.gate", {}), ("out", "dataset.destination", {"dataset": "d"}),
+        ],
+        [("src", "py"), ("py", "one"), ("one", "two"), ("two", "gate"), ("gate", "out")],
+    )
+    rows = spark.range(50, numPartitions=3).select("id")  # the function gets each of the three partitions once
+    datasets = Datasets(spark, folder)
+    result = run_flow(spark, flow, {"t": rows}, datasets, {"py": (count, rows.schema)})
+    assert datasets.read("d").count() == 50 and ran.value == 3 and result.metrics("out") == {"rows_in": 50, "rows_out": 50}
+    assert len(list(Path(folder).glob("_parts/stage=*"))) == 1 and datasets.snapshot("d").parts[0].stage == result.staged["one"].stage
+    result.release()
+
+
+def test_http_source_opens_landed_responses(spark):
+    bodies = spark.createDataFrame([("a", 1, '{"items": [{"id": 1}, {"id": 2}]}'), ("a", 2, '{"items": []}')], "source STRING, page INT, body STRING")
+    flow = spec([("api", "http.source", {"recordPath": "items", "pagination": "page"}), ("keep", "filter.transform", {"predicates": [{"column": "id", "op": "gt", "value": 1}]})], [("api", "keep")])
+    assert rows_of(run_flow(spark, flow, {"api": bodies}).outputs["keep"], "id") == [(2,)]
+
+
 def test_row_metrics_after_decisions(spark, folder):
     """A branch and an onEmpty filter look at the data before the sink does, and the counts are still those of the whole run."""
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
@@ -220,6 +250,33 @@ def test_gated_stream(spark, folder):
     assert rows_of(datasets.read("good"), "k") == [(1,)] and rows_of(datasets.read("bad").select(F.array_join("failed_checks", ","))) == [("k",), ("v",)]
     gated_stream(stream(), datasets, "all", checks, folder + "/c2").awaitTermination()
     assert datasets.read("all_blocked").count() == 3 and not Path(f"{folder}/out/all").exists()
+
+def test_repeated_batches_and_keys(spark, folder):
+    """A key that an earlier batch published fails `unique`; batches that run again change nothing."""
+    schema = "k BIGINT, v BIGINT"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    datasets = Datasets(spark, folder + "/out")
+    checks = [{"id": "one", "type": "unique", "column": "k"}, {"id": "v", "type": "range", "column": "v", "min": 0}]
+
+    def run(checkpoint="/ck"):
+        stream = event_feed(spark, folder + "/in", spark.createDataFrame([], schema).schema, 1)
+        gated_stream(stream, datasets, "good", checks, folder + checkpoint, quarantine_name="bad").awaitTermination()
+
+    put([(1, 1), (2, 2), (7, -7)])
+    run()
+    put([(2, 3), (3, 3), (8, -8)])
+    run()
+    assert rows_of(datasets.read("good"), "k", "batch_id") == [(1, 0), (2, 0)]
+    assert rows_of(datasets.read("good_blocked"), "k", "batch_id") == [(2, 1), (3, 1)] and rows_of(datasets.read("bad"), "k") == [(7,), (8,)]
+    put([(4, 4)])
+    run()
+    assert rows_of(datasets.read("good"), "k") == [(1,), (2,), (4,)]
+    shutil.rmtree(folder + "/ck/commits")  # the engine does not know that its batches ended
+    run()
+    assert rows_of(datasets.read("good"), "k") == [(1,), (2,), (4,)] and datasets.read("bad").count() == 2 and datasets.read("good_blocked").count() == 2
+
+
+def test_feeds(spark):
     events = spark.createDataFrame([("r", 1), ("r", 2), ("q", 1)], "run_id STRING, sequence BIGINT")
     assert rows_of(events_after(events, 1, "r")) == [("r", 2)]
     assert rows_of(events_after(events, spark.createDataFrame([("r", 2)], "run_id STRING, last_sequence BIGINT"))) == [("q", 1)]

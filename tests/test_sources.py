@@ -1,3 +1,4 @@
+import random
 import json
 from datetime import datetime, timezone
 from pathlib import Path
@@ -234,7 +235,7 @@ def test_datasets(spark, folder):
     # Reading and replacing the same dataset in one step is safe.
     datasets.write("d", datasets.read("d").withColumn("v", F.lower("v")), now=at(5))
     assert rows_of(datasets.read("d")) == [(1, "a"), (3, "c")]
-    assert not list(Path(folder).glob("_staged/*")) and datasets.preview("d", 1).count() == 1
+    assert datasets.preview("d", 1).count() == 1
     with pytest.raises(ConfigError):
         datasets.write("Bad Name", rows)
 
@@ -244,11 +245,11 @@ def test_partitioned_datasets(spark, folder):
     rows = spark.createDataFrame([(1, "01", "a"), (2, "01", "b"), (3, "02", "c"), (4, None, "n")], "id BIGINT, p STRING, v STRING")
     datasets.write("d", rows, partition_by=["p"])
     assert dict(datasets.read("d").dtypes) == {"id": "bigint", "p": "string", "v": "string"}
-    untouched = {f.name: f.stat().st_mtime_ns for f in Path(f"{folder}/d/p=02").glob("part-*")}
+    untouched = {str(f): f.stat().st_mtime_ns for f in Path(folder).glob("_parts/*/side=rows/p=*/part-*")}
     incoming = spark.createDataFrame([(2, "01", "B"), (9, "03", "new"), (5, None, "m")], rows.schema)
     datasets.write("d", incoming, "upsert", ["id", "p"])
     assert rows_of(datasets.read("d")) == [(1, "01", "a"), (2, "01", "B"), (3, "02", "c"), (4, None, "n"), (5, None, "m"), (9, "03", "new")]
-    assert {f.name: f.stat().st_mtime_ns for f in Path(f"{folder}/d/p=02").glob("part-*")} == untouched
+    assert untouched.items() <= {str(f): f.stat().st_mtime_ns for f in Path(folder).glob("_parts/*/side=rows/p=*/part-*")}.items()
     datasets.write("d", incoming.where("id = 9"), "append")
     assert datasets.read("d").count() == 7 and datasets.catalog().head().row_count == 7
     with pytest.raises(ConfigError):
@@ -261,7 +262,7 @@ def test_publish_checked(spark, folder):
     checks = [{"id": "pos", "type": "range", "column": "v", "min": 0}, {"id": "n", "type": "row_count", "min": 1}]
     with pytest.raises(GateBlocked) as blocked:
         publish_checked(datasets, "d", rows, checks)
-    assert blocked.value.failed_checks == ["pos"] and not Path(f"{folder}/d").exists() and not list(Path(folder).glob("_staged/*"))
+    assert blocked.value.failed_checks == ["pos"] and not Path(f"{folder}/d").exists() and not list(Path(folder).glob("_parts/*"))
     done = publish_checked(datasets, "d", rows, checks, quarantine_name="d_bad")
     assert done.rows_written == 2 and done.quarantined == 1 and not done.decision.blocked
     assert rows_of(datasets.read("d")) == [(1, 5), (3, 7)] and rows_of(datasets.read("d_bad"), "id") == [(2,)]
@@ -269,6 +270,112 @@ def test_publish_checked(spark, folder):
     assert warned.rows_written == 3 and rows_of(datasets.catalog(), "name", "quality_status")[0] == ("d", "FAILED")
 
 
+def _upserts(spark, datasets, rows, **more):
+    datasets.write("d", spark.createDataFrame(rows, "k BIGINT, at BIGINT, v STRING"), "upsert", ["k"], order_by=[("at", "desc")], **more)
+
+
+def test_late_rows_lose(spark, folder):
+    datasets = Datasets(spark, folder)
+    _upserts(spark, datasets, [(1, 9, "new"), (2, 1, "a"), (None, 1, "x")])
+    _upserts(spark, datasets, [(1, 3, "late"), (2, 2, "b"), (3, 5, "c"), (3, 4, "older"), (None, 1, "x")])
+    want = [(1, 9, "new"), (2, 2, "b"), (3, 5, "c"), (None, 1, "x"), (None, 1, "x")]
+    assert rows_of(datasets.read("d")) == want and datasets.catalog().head().row_count == 5
+    _upserts(spark, datasets, [(3, 5, "same time, later write")])
+    assert rows_of(datasets.read("d").where("k = 3"), "v") == [("same time, later write",)]
+    assert rows_of(datasets.read("d", version=2)) == want  # an older version stays readable
+
+
+def test_repeated_batches_change_nothing(spark, folder):
+    datasets = Datasets(spark, folder)
+    for _ in range(2):
+        _upserts(spark, datasets, [(1, 1, "a"), (None, 1, "loose")], transaction=("feed", 0))
+    _upserts(spark, datasets, [(1, 2, "b")], transaction=("feed", 1))
+    _upserts(spark, datasets, [(1, 3, "replayed")], transaction=("feed", 0))
+    _upserts(spark, datasets, [(2, 1, "other feed")], transaction=("other", 0))
+    assert rows_of(datasets.read("d")) == [(1, 2, "b"), (2, 1, "other feed"), (None, 1, "loose")]
+    assert datasets.snapshot("d").version == 3
+
+
+def test_changes_are_merged_and_compacted(spark, folder):
+    """Many upserts with an append between them: the same rows before and after their parts are brought together."""
+    datasets, state, loose = Datasets(spark, folder), {}, 0
+    rng = random.Random(7)
+    for turn in range(12):
+        batch = {rng.randint(0, 30): rng.randint(0, 50) for _ in range(6)}
+        _upserts(spark, datasets, [(k, at, f"{turn}") for k, at in batch.items()])
+        for k, at in batch.items():
+            if k not in state or at >= state[k][0]:
+                state[k] = (at, f"{turn}")
+    want = sorted((k, at, v) for k, (at, v) in state.items())
+    assert rows_of(datasets.read("d")) == want and len(datasets.snapshot("d").parts) < 12
+    before = datasets.snapshot("d").version
+    assert len(datasets.compact("d").parts) == 1 and rows_of(datasets.read("d")) == want
+    assert rows_of(datasets.read("d", version=before)) == want
+    assert datasets.history("d").where("change_rows > 0").count() > 5
+    assert datasets.vacuum("d", 1) > 5 and rows_of(datasets.read("d")) == want
+    assert len(list(Path(folder).glob("_parts/stage=*"))) == 1
+
+
+def test_writers_do_not_lose_each_other(spark, folder):
+    """A writer that commits between another one's look and its commit, and one that fails half way."""
+    datasets = Datasets(spark, folder)
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id BIGINT")
+    datasets.write("d", rows(1))
+    staged = datasets.stage(rows(2))
+    slow = Datasets(spark, folder)
+    seen = []
+
+    import weir.sources.snapshots as snapshots
+
+    claim = snapshots._claim
+
+    def claim_after_another(*args):
+        if not seen:
+            seen.append(1)
+            datasets.write("d", rows(3), "append")
+        return claim(*args)
+
+    snapshots._claim = claim_after_another
+    try:
+        slow.commit("d", staged, "append")
+    finally:
+        snapshots._claim = claim
+    assert rows_of(datasets.read("d")) == [(1,), (2,), (3,)] and datasets.catalog().head().row_count == 3
+    with pytest.raises(PySparkException):
+        datasets.write("d", rows(4).withColumn("id", F.raise_error(F.lit("lost")).cast("bigint")))
+    assert rows_of(datasets.read("d")) == [(1,), (2,), (3,)]
+    assert not list(Path(folder).glob("d/_commits/_draft*"))
+
+
+def test_columns_and_empty_writes(spark, folder):
+    datasets = Datasets(spark, folder)
+    datasets.write("d", spark.createDataFrame([(1, "a")], "id BIGINT, v STRING"))
+    datasets.write("d", spark.createDataFrame([(2, 5.0)], "id BIGINT, w DOUBLE"), "append")
+    assert rows_of(datasets.read("d")) == [(1, "a", None), (2, None, 5.0)]
+    datasets.write("d", spark.createDataFrame([(1, 9.0), (3, 1.0)], "id BIGINT, w DOUBLE"), "upsert", ["id"])
+    assert rows_of(datasets.read("d")) == [(1, "a", 9.0), (2, None, 5.0), (3, None, 1.0)]
+    with pytest.raises(ConfigError, match="another type"):
+        datasets.write("d", spark.createDataFrame([("x",)], "id STRING"), "append")
+    datasets.write("d", datasets.read("d").limit(0), "replace")
+    assert datasets.read("d").count() == 0 and datasets.read("d").columns == ["id", "v", "w"]
+    with pytest.raises(ConfigError, match="no version 99"):
+        datasets.read("d", version=99)
+
+
+def test_publishing_again_changes_nothing(spark, folder):
+    datasets = Datasets(spark, folder)
+    rows = spark.createDataFrame([(1, 5), (2, -5), (3, 7)], "id BIGINT, v BIGINT")
+    checks = [{"id": "pos", "type": "range", "column": "v", "min": 0}, {"id": "many", "type": "row_count", "min": 3}]
+    for _ in range(2):
+        with pytest.raises(GateBlocked):
+            publish_checked(datasets, "d", rows, checks, quarantine_name="bad", run_id="r1")
+    assert datasets.names() == [] and not list(Path(folder).glob("_parts/*"))
+    more = rows.unionAll(spark.createDataFrame([(4, 4)], rows.schema))
+    first, again = (publish_checked(datasets, "d", more, checks, mode="append", quarantine_name="bad", run_id="r2") for _ in range(2))
+    assert (first.rows_written, first.quarantined, again.rows_written, again.quarantined) == (3, 1, 0, 0)
+    assert rows_of(datasets.read("d")) == [(1, 5), (3, 7), (4, 4)] and datasets.read("bad").count() == 1
+
+
 def test_partitioned_csv_keeps_blanks_times_and_nested_values(spark, folder):
     rows = [("x", "  a ", datetime(2024, 1, 2, 3, 4, 5), [1, 2]), ("y", "b", None, None)]
     df = spark.createDataFrame(rows, "k STRING, t STRING, at TIMESTAMP_NTZ, list ARRAY<INT>")

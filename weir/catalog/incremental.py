@@ -252,3 +252,16 @@ def stream_gate(t):
     started.awaitTermination()
     good = datasets.read("events_good").select("event_id", F.lit("good").alias("side"))
     return good.unionByName(datasets.read("events_bad").select("event_id", F.lit("bad").alias("side")))
+
+
+@query("SELECT c_custkey AS k, 'published' AS side FROM customer UNION ALL SELECT s_suppkey, 'blocked' FROM supplier")
+def stream_unique(t):
+    """Customer keys pass; a later batch with supplier keys, which are customer keys too, does not."""
+    root = scratch_path(t.spark, "stream")
+    datasets = Datasets(t.spark, root)
+    for keys in (t.customer.select(F.col("c_custkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k"))):
+        keys.write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(keys.schema).parquet(f"{root}/in")
+        gated_stream(stream, datasets, "keys", [{"id": "once", "type": "unique", "column": "k"}], f"{root}/_checkpoint").awaitTermination()
+    published = datasets.read("keys").select("k", F.lit("published").alias("side"))
+    return published.unionByName(datasets.read("keys_blocked").select("k", F.lit("blocked").alias("side")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weir.catalog.registry import query
 from weir.contracts.infer import ColumnSpec
+from weir.errors import GateBlocked
 from weir.operators import flatten_once, latest_per_key, merge_rows, record_path
 from weir.session import scratch_path
 from weir.sources import Datasets, generate_for, incremental, landed_records, next_watermark, publish_checked, read_csv, read_json, read_ndjson, render, write_csv, write_ndjson, write_object
@@ -187,6 +188,66 @@ def dataset_catalog(t):
     return datasets.catalog().select("name", "write_mode", "rows_written", "row_count", "run_id")
 
 
+@query(
+    """
+    SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
+    """
+)
+def upsert_late_rows(t):
+    """Events arrive by type, so most batches bring rows that are older than what is there; one batch comes twice."""
+    datasets = Datasets(t.spark, scratch_path(t.spark, "datasets"))
+    order = [("ts", "desc"), ("event_id", "desc")]
+    batches = [t.events.where("event_type = 'click'"), t.events.where("event_type = 'view'"), t.events.where("event_type NOT IN ('click', 'view')")]
+    for number, batch in enumerate([*batches, batches[0]]):
+        rows = batch.select("user_id", "event_id", "event_type", "value", "ts")
+        datasets.write("last_seen", rows, "upsert", ["user_id"], order_by=order, transaction=("events", number % 3))
+    return datasets.read("last_seen").drop("ts")
+
+
+@query(
+    """
+    WITH n AS (SELECT count(*) AS o, count(DISTINCT o_custkey) AS k FROM orders), c AS (SELECT count(*) AS c FROM customer),
+         b AS (SELECT count(*) AS b FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders))
+    SELECT 1::BIGINT AS version, 'replace' AS write_mode, c AS rows_written, c AS row_count, 0::BIGINT AS change_rows, c AS rows_read FROM c
+    UNION ALL SELECT 2, 'upsert', k, b, k, b FROM n, b UNION ALL SELECT 3, 'upsert', k, b, 0, b FROM n, b
+    UNION ALL SELECT 4, 'append', c, b + c, 0, b + c FROM b, c
+    """
+)
+def dataset_snapshots(t):
+    """Customers, the last order of each, the same brought together, and customers once more: every version stays readable."""
+    datasets = Datasets(t.spark, scratch_path(t.spark, "datasets"))
+    customers = t.customer.select(F.col("c_custkey").alias("k"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("c_acctbal").alias("v"))
+    datasets.write("accounts", customers)
+    orders = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"), F.col("o_totalprice").alias("v"))
+    datasets.write("accounts", orders, "upsert", ["k"], order_by=[("at", "desc", "last"), ("v", "desc")])
+    datasets.compact("accounts")
+    datasets.write("accounts", customers, "append")
+    counts = [datasets.read("accounts", version=v).agg(F.lit(v).cast("bigint").alias("version"), F.count(F.lit(1)).alias("rows_read")) for v in (1, 2, 3, 4)]
+    read = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    return datasets.history("accounts").drop("run_id", "parts").join(read, "version")
+
+
+@query(
+    """
+    SELECT o_orderkey, o_totalprice, 'published' AS side FROM orders WHERE o_totalprice >= 5000
+    UNION ALL SELECT o_orderkey, o_totalprice, 'quarantined' FROM orders WHERE o_totalprice < 5000
+    """
+)
+def publish_retry(t):
+    """A load that a gate blocks leaves nothing behind, and one that is published twice under one run id counts once."""
+    datasets = Datasets(t.spark, scratch_path(t.spark, "datasets"))
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    price, impossible = {"id": "price", "type": "range", "column": "o_totalprice", "min": 5000}, {"id": "none", "type": "row_count", "max": 0}
+    try:
+        publish_checked(datasets, "orders", rows, [price, impossible], mode="append", quarantine_name="orders_bad", run_id="run-1")
+    except GateBlocked:
+        pass
+    for _ in range(2):
+        publish_checked(datasets, "orders", rows, [price], mode="append", quarantine_name="orders_bad", run_id="run-2")
+    good = datasets.read("orders").withColumn("side", F.lit("published"))
+    return good.unionByName(datasets.read("orders_bad").drop("failed_checks").withColumn("side", F.lit("quarantined")))
+
+
 @query(
     """
     SELECT l_returnflag, l_orderkey, l_quantity FROM lineitem WHERE l_returnflag <> 'R' UNION ALL

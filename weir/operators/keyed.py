@@ -25,9 +25,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence, n: in
 def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence = ()) -> DataFrame:
     """The target after an upsert of the source: known keys are replaced, new keys are added.
 
-    Of several source rows with one key the first in `order_by` wins (pass the newest first). Rows
-    with a NULL in the key conflict with nothing, so they are all added. Columns that only the target has
-    keep their old values, or NULL for new keys.
+    Of all rows with one key the first in `order_by` wins (pass the newest first), so a late source row does not replace a
+    newer one of the target; the target takes part if it has all the order's columns. Between equals, and without an order, source
+    rows win over the target, and among source rows their content decides, whatever files they come from. Rows with a NULL in the
+    key conflict with nothing, so they are all added. Columns that only the target has keep their old values, or NULL for
+    new keys.
     """
     if not keys:
         raise ConfigError("Upsert requires at least one key column")
@@ -36,14 +38,24 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], order_
         raise ConfigError(f"Upsert column(s) missing on one side: {', '.join(unknown)}")
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     loose = source.where(~has_key)
-    keyed = latest_per_key(source.where(has_key), keys, order_by or [*keys])
-    kept = target.join(keyed.select(*keys), list(keys), "left_anti").select(*target.columns)
+    keyed = latest_per_key(source.where(has_key), keys, [*order_by, content_order(source)])
     carried = [c for c in target.columns if c not in source.columns]
     if carried:
         keyed = keyed.join(target.select(*keys, *carried), list(keys), "left")
+    named = [k[0] if isinstance(k, tuple) else k for k in order_by]
+    if order_by and all(isinstance(n, str) and n in source.columns for n in named):
+        old = target.join(keyed.select(*keys), list(keys), "left_semi").withColumn("__new", F.lit(False))
+        meeting = old.unionByName(keyed.withColumn("__new", F.lit(True)))
+        keyed = latest_per_key(meeting, keys, [*order_by, ("__new", "desc")]).drop("__new")
+    kept = target.join(source.where(has_key).select(*keys), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(keyed, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True).select(*target.columns)
 
 
+def content_order(df: DataFrame) -> tuple[Column, str]:
+    """A last sort key that tells rows apart by what is in them."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]))), "asc"
+
+
 def count_by_state(df: DataFrame, column: str, states: Sequence[str]) -> DataFrame:
     """One row per known state, zero where there is none, from a single aggregation."""
     counted = df.agg(*[F.count_if(F.col(column) == s).alias(f"s{i}") for i, s in enumerate(states)])

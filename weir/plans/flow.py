@@ -25,7 +25,8 @@ from weir.plans.pyfunc import map_rows
 from weir.quality.checks import run_checks
 from weir.quality.gate import GateDecision, ancestors, evaluate_gate
 from weir.session import cut_lineage
-from weir.sources.dataset import Datasets
+from weir.sources.dataset import Datasets, Staged
+from weir.sources.snapshots import load
 from weir.sources.generator import generate
 from weir.sources.jdbc import read_jdbc, write_jdbc
 from weir.sources.objects import RunInfo, read_object, render, write_object
@@ -43,6 +44,13 @@ class FlowResult:
     decisions: dict[str, GateDecision] = field(default_factory=dict)
     observations: dict[str, Observation] = field(default_factory=dict)
     inputs: dict[str, list[str]] = field(default_factory=dict)
+    #: Rows of check nodes as written, and of the nodes that pass them on.
+    staged: dict[str, Staged] = field(default_factory=dict)
+
+    def release(self) -> None:
+        """Frees what is kept for several consumers, once the outputs are not needed any more."""
+        for output in self.outputs.values():
+            output.unpersist()
 
     def rows_out(self, node: str) -> int:
         """Rows a node passed on, as counted on the way while a sink ran; no job of its own."""
@@ -98,7 +106,9 @@ def _source(ctx: FlowContext, node: str, kind: str, config: Mapping[str, Any]) -
     # A caller may bind any source node, or the dataset it names, to a DataFrame.
     for name in (node, config.get("dataset")):
         if name in ctx.inputs:
-            return _limited(ctx.inputs[name], config)
+            bound = ctx.inputs[name]
+            # Landed responses of an HTTP source are opened; records are taken as they are.
+            return _limited(landed_source(bound, config) if kind == "http.source" and "body" in bound.columns else bound, config)
     if kind == "generator.source":
         return generate(
             ctx.spark, config.get("preset", "sales"), int(config.get("rowCount", 500)), int(config.get("seed", 42)),
@@ -240,7 +250,18 @@ def _text(value: Any) -> str:
 # ---- sinks
 
 
-def _sink(ctx: FlowContext, node: str, kind: str, config: Mapping[str, Any], df: DataFrame) -> dict[str, Any]:
+def _as_written(ctx: FlowContext, node: str, live: list[str], df: DataFrame) -> DataFrame:
+    """The rows to be checked as files: those of the check node before, or written here, below the datasets if there are any."""
+    if live[0] in ctx.result.staged:
+        ctx.result.staged[node] = ctx.result.staged[live[0]]
+        return df
+    if ctx.datasets is None:
+        return cut_lineage(df)
+    ctx.result.staged[node] = staged = ctx.datasets.stage(df)
+    return ctx.datasets.staged_rows(staged)
+
+
+def _sink(ctx: FlowContext, node: str, kind: str, config: Mapping[str, Any], df: DataFrame, staged: Staged | None = None) -> dict[str, Any]:
     if kind == "dataset.destination":
         if ctx.datasets is None:
             raise ConfigError(f'Node "{node}" writes a managed dataset; pass datasets to run_flow')
@@ -248,7 +269,12 @@ def _sink(ctx: FlowContext, node: str, kind: str, config: Mapping[str, Any], df:
         mode = "append" if config.get("writeMode") == "append" else "replace"
         statuses = [r.status for t in ctx.result.results.values() for r in t.where(F.col("dataset") == name).select("status").collect()]
         quality = None if not statuses else "PASSED" if all(s == "PASSED" for s in statuses) else "FAILED"
-        rows = ctx.datasets.write(name, df, mode, run_id=ctx.run.id, quality_status=quality, now=ctx.now)
+        named = {"run_id": ctx.run.id, "quality_status": quality, "now": ctx.now}
+        known = load(ctx.spark, f"{ctx.datasets.path(name)}/_commits")
+        if staged is not None and (mode == "replace" or known is None or not known.partition_by):
+            rows = ctx.datasets.commit(name, staged, mode, **named)  # the checked files themselves
+        else:
+            rows = ctx.datasets.write(name, df, mode, **named)
         return {"rowsWritten": rows, "target": name, "writeMode": mode}
     if kind == "s3.destination":
         return {"target": write_object(df, str(config.get("path") or config.get("key")), ctx.run, config.get("format", "csv"))}
@@ -283,8 +309,8 @@ def run_flow(
     """Builds every node in dependency order and runs the sinks.
 
     A blocked gate leaves the nodes after it BLOCKED and the port a condition does not take
-    SKIPPED; neither is built, so their data is never computed. Data that is checked and then
-    written is checkpointed first, so that both see the same rows.
+    SKIPPED; neither is built, so their data is never computed. Checks look at files, written by the first
+    check node on the way; further checks and gates pass these on, and a dataset destination makes them part of its dataset.
     """
     nodes = {n["id"]: n for n in spec.get("nodes", [])}
     edges = [(e["from"], e["to"], e.get("port", "default")) for e in spec.get("edges", [])]
@@ -347,7 +373,7 @@ def run_flow(
             output = contract.df
             details = {"classification": contract.classification, "changes": len(contract.changes), "new_rows": contract.new_rows}
         elif kind == "quality.check":
-            output = cut_lineage(_one(node_id, given))
+            output = _as_written(ctx, node_id, live, _one(node_id, given))
             _check(ctx, node_id, config, output)
         elif kind == "quality.gate":
             output, looked_at = _one(node_id, given), _one(node_id, plain)
@@ -359,9 +385,11 @@ def run_flow(
             details = {"outcome": ports[node_id]}
         elif kind.endswith(".destination"):
             output = _one(node_id, given)
-            details = _sink(ctx, node_id, kind, config, output)
+            details = _sink(ctx, node_id, kind, config, output, result.staged.get(live[0]))
         else:
             raise ConfigError(f'No operator for node type "{kind}"')
+        if kind in ("quality.gate", "condition.branch") and live[0] in result.staged:
+            result.staged[node_id] = result.staged[live[0]]
         consumed = {t for s, t, _ in edges if s == node_id}
         bare[node_id] = output if looked_at is None else looked_at
         details = {"kind": kind, **details}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -189,7 +190,7 @@ def write_jdbc(
     All executors write to a staging table; one transaction then moves it into the target, so a load
     that fails half way leaves the target as it was.
     """
-    from weir.operators.keyed import latest_per_key
+    from weir.operators.keyed import content_order, latest_per_key
 
     if mode not in ("append", "replace", "upsert"):
         raise ConfigError("write mode must be append, replace or upsert")
@@ -199,7 +200,10 @@ def write_jdbc(
     for name in [*df.columns, *keys]:
         check_identifier(name, "column")
     spark, settings = df.sparkSession, dict(properties or {})
-    rows = latest_per_key(df, keys, order_by or [*keys]) if mode == "upsert" else df
+    rows = df
+    if mode == "upsert":  # rows with a NULL in the key conflict with nothing
+        has_key = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+        rows = latest_per_key(df.where(has_key), keys, [*order_by, content_order(df)]).unionByName(df.where(~has_key))
     if create_table and not table_exists(spark, url, table, settings):
         _execute(spark, url, [create_table_sql(df, url, table, keys)], settings)
     schema, _, bare = table.rpartition(".")
