@@ -8,7 +8,7 @@ from weir.errors import ConfigError
 from weir.session import cut_lineage, scratch_path
 
 #: Rounds before what is left of the graph is searched for chains.
-PLAIN_ROUNDS = 6
+PLAIN_ROUNDS = 12
 
 _NODE = ["type", "id"]
 _VISITED = "type STRING, id STRING, distance BIGINT, round INT"
@@ -32,7 +32,7 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down") -> D
         edges.select(
             F.col(f"{here}_type").alias("type"), F.col(f"{here}_id").alias("id"),
             F.col(f"{there}_type").alias("next_type"), F.col(f"{there}_id").alias("next_id"),
-        ).distinct().withColumn("length", F.lit(1).cast("bigint")),
+        ).withColumn("length", F.lit(1).cast("bigint")),
         "edges",
     )
     folder = scratch_path(spark, "reached")
@@ -82,6 +82,7 @@ def _contracted(steps: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFr
     Inner nodes have one step in and one out and are not reached yet. A ring of them that nothing leads into has no head; its
     pointers still end inside after enough rounds, and it is left out, as nothing reaches it.
     """
+    steps = steps.distinct()
     ways = F.count(F.lit(1)).alias("ways")
     once_out = steps.groupBy(*_NODE).agg(ways).where("ways = 1").select(*_NODE)
     once_in = steps.groupBy(F.col("next_type").alias("type"), F.col("next_id").alias("id")).agg(ways).where("ways = 1").select(*_NODE)
