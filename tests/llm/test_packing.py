@@ -11,16 +11,14 @@ from weir.llm.packing import END, pack
 from weir.llm.tokens import vocabulary, word_encoder
 
 ODD = [
-    "don't stop'LL  'S x²½ ÀÉß ŉ", "ééé ÿþ x", "tab\tnew\nline\r\x0b\x0c", "<|endoftext|> hi", "日本語 text", "ŒUVRE İstanbul ſ", "\x7f\x01", "...'s ''s've",
+    "don't stop'LL  'S x²½ ÀÉß ŉ", "ééé ÿþ x", "tab\tnew\nline\r\x0b\x0c", "<|endoftext|> hi", "a <|endoftext|> b<|startoftext|>", "<|ENDOFTEXT|> c <|endoftext| >", "é<|endoftext|>日本", "日本語 text", "ŒUVRE İstanbul ſ", "\x7f\x01", "...'s ''s've",
     "ª º ¹ 12345", "", " ", "é combining", "ΑΣ ας", "😀 ok", "don’t", "x" * 3000,
 ]
 
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(vocabulary())
 
 
 def ids_of(library, text):

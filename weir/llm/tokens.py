@@ -34,7 +34,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that are ids of their own wherever they stand; texts with them are left to the library.
+        self.special = tuple(token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values())
         spare = itertools.count(256)
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         #: The letter that stands for each byte in the vocabulary (a rule of the format: visible ones for themselves, then from 256 up).
@@ -55,7 +56,9 @@ class WordEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         if PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, CUT.findall(text.lower())))
+            lower = text.lower()
+            if not any(token in lower for token in self.special):
+                return b"".join(map(self.__getitem__, CUT.findall(lower)))
         return self._whole(text)
 
 
