@@ -1,3 +1,4 @@
+import csv
 import random
 import json
 from datetime import datetime, timezone
@@ -14,12 +15,14 @@ from weir.sources import (
     write_jdbc, write_object,
 )
 from weir.sources.csv import unique_header
+from weir.sources.splits import read_lines
 from weir.sources.jdbc import check_read_only, check_table, create_table_sql, upsert_sql
 from weir.sources.objects import RunInfo
 
 
 def put(folder, name, text):
     path = Path(folder) / name
+    path.parent.mkdir(exist_ok=True)
     path.write_text(text, encoding="utf-8", newline="")
     return str(path)
 
@@ -58,18 +61,60 @@ def test_csv_errors(spark, folder):
         read_csv(spark, long_row, delimiter="||")
 
 
-def test_csv_splits_unless_a_field_spans_lines(spark, folder):
+@pytest.fixture
+def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
-    try:
-        flat = put(folder, "flat.csv", "a,b\n" + "".join(f'{i},"x{i}"\n' for i in range(5000)))
-        assert read_csv(spark, flat, infer_types=False).rdd.getNumPartitions() > 3
-        spanning = put(folder, "span.csv", "a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(5000)))
-        df = read_csv(spark, spanning, infer_types=False)
-        assert df.count() == 5000 and df.rdd.getNumPartitions() == 1
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_files_are_split(spark, folder, small_splits):
+    flat = put(folder, "flat.csv", "a,b\n" + "".join(f'{i},"x{i}"\n' for i in range(5000)))
+    assert read_csv(spark, flat, infer_types=False).rdd.getNumPartitions() > 3
+    spanning = put(folder, "span.csv", "a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(5000)))
+    assert read_lines(spark, spanning).rdd.getNumPartitions() > 3
+    df = read_csv(spark, spanning, infer_types=False)
+    assert rows_of(df) == sorted((str(i), f"x\n{i}") for i in range(5000))
+
+
+def test_csv_records_over_splits(spark, folder, small_splits):
+    """Fields with line ends, quotes, delimiters and no end to them, cut in 4 KB splits, against a plain reader."""
+    rng = random.Random(8)
+    bits = ["a", "é", '"', ",", "\n", "\r\n", " ", "x" * 50, "日本", '""', '"\n,"']
+    for turn, newline in enumerate(("\n", "\r\n")):
+        rows = [[str(n), *("".join(rng.choices(bits, k=rng.choice([0, 1, 3, 8, 40]))) for _ in range(2))] for n in range(300)]
+        rows[100][1] = "long\n" * 4000  # over several splits
+        rows[200][2] = "no line end " * 1500
+        path = f"{folder}/{turn}.csv"
+        with open(path, "w", newline="") as file:
+            csv.writer(file, lineterminator=newline).writerows([["id", "one", "two\nlines"], *rows])
+        df = read_csv(spark, path, null_values=[], infer_types=False)
+        assert df.columns == ["id", "one", "two\nlines"]
+        assert rows_of(df) == sorted(tuple(r) for r in rows)
+
+
+def test_csv_quotes_inside_fields(spark, folder):
+    path = put(folder, "bare.csv", 'n,size,t\n1,5" pipe,x\n2,6",y\n3,"7""",z\n4,a"b"c,"q, r"\n')
+    assert rows_of(read_csv(spark, path)) == [(1, '5" pipe', "x"), (2, '6"', "y"), (3, '7"', "z"), (4, 'a"b"c', "q, r")]
+
+
+def test_csv_headers_per_file(spark, folder):
+    put(folder, "in/a.csv", "id,name\n1,aa\n")
+    put(folder, "in/b.csv", "name,id,more\ncc,3,x\n")
+    put(folder, "in/c.csv", 'more,name,id\n"two\nlines",dd,4\n')
+    put(folder, "in/d.csv", 'id,name\n5,"e\ne"\n')
+    put(folder, "in/empty.csv", "")
+    df = read_csv(spark, f"{folder}/in")
+    assert df.columns == ["id", "name", "more"]
+    assert rows_of(df) == [(1, "aa", None), (3, "cc", "x"), (4, "dd", "two\nlines"), (5, "e\ne", None)]
+
+
+def test_csv_partition_folders(spark, folder):
+    rows = [(1, "a", 2024, "x"), (2, "b\nb", 2024, "y"), (3, "c", 2025, "x")]
+    write_csv(spark.createDataFrame(rows, "id BIGINT, t STRING, year INT, k STRING"), f"{folder}/p", partition_by=["year", "k"])
+    assert rows_of(read_csv(spark, f"{folder}/p")) == rows
 
 
 def test_csv_write(spark, folder):

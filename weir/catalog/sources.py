@@ -39,6 +39,21 @@ def csv_multi_line(t):
     return read_csv(t.spark, path, delimiter=";", columns=columns)
 
 
+@query(
+    """
+    SELECT doc_id, text, source, lang, 'with source' AS header FROM documents UNION ALL SELECT doc_id, text, NULL, lang, 'without' FROM documents
+    """
+)
+def csv_partitioned_round_trip(t):
+    """Whole documents in folders by language, twice: files with the columns in one order, and files with fewer in another."""
+    path = scratch_path(t.spark, "csv")
+    write_csv(t.documents.select("doc_id", "text", "source", "lang"), path, partition_by=["lang"])
+    write_csv(t.documents.select("text", "doc_id", "lang"), path, mode="append", partition_by=["lang"])
+    columns = [ColumnSpec("doc_id", "integer", False), ColumnSpec("text", "string", False), ColumnSpec("source", "string", True), ColumnSpec("lang", "string", False)]
+    rows = read_csv(t.spark, path, columns=columns)
+    return rows.withColumn("header", F.when(F.col("source").isNotNull(), "with source").otherwise("without"))
+
+
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS props_k, event_type, CASE WHEN event_type <> 'view' THEN value END AS value FROM events")
 def ndjson_flatten(t):
     path = scratch_path(t.spark, "ndjson")
