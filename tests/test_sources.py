@@ -15,6 +15,7 @@ from weir.sources import (
     write_jdbc, write_object,
 )
 from weir.sources.csv import unique_header
+from weir.sources.json import array_elements
 from weir.sources.splits import read_lines
 from weir.sources.jdbc import check_read_only, check_table, create_table_sql, upsert_sql
 from weir.sources.objects import RunInfo
@@ -145,6 +146,30 @@ def test_json_array_and_path(spark, folder):
         read_json(spark, put(folder, "c.json", "{bad")).collect()
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_json_array_is_read_by_many_tasks(spark, folder, small_splits, indent):
+    """One array with braces and brackets in strings, escapes, nested and scalar elements, on one line or many."""
+    rng = random.Random(9)
+    texts = ["}", "{", "],[", '\\"', 'say "}"', "a\\\\", "é\n", ",", "x" * 30, "{" * 9000, "", "\\"]
+    rows = [{"id": n, "t": "".join(rng.choices(texts, k=rng.choice([0, 1, 2, 4]))), "o": {"l": [n, {"k": rng.choice(texts)}]}} for n in range(400)]
+    path = put(folder, "big.json", json.dumps(rows, indent=indent, ensure_ascii=False) + "\n")
+    assert read_lines(spark, path, "}").rdd.getNumPartitions() > 10
+    df = read_json(spark, path)
+    assert rows_of(df, "id", "t") == [(r["id"], r["t"]) for r in rows]
+    small = put(folder, "few/a.json", json.dumps(rows[:2]))
+    put(folder, "few/b.json", json.dumps(rows[2:], indent=indent))
+    assert rows_of(read_json(spark, str(Path(small).parent)), "id", "t") == [(r["id"], r["t"]) for r in rows]
+
+
+def test_large_json_arrays_of_scalars_and_errors(spark, folder, small_splits):
+    values = [*range(3000), [], [1, "]"], "}", None]
+    path = put(folder, "v.json", json.dumps(values))
+    got = [r["text"].strip() for r in array_elements(spark, [path]).collect()]
+    assert sorted(got) == sorted(json.dumps(v) for v in values)
+    with pytest.raises(Exception, match="Expected a JSON array"):
+        read_json(spark, put(folder, "o.json", json.dumps({"a": values}))).collect()
+
+
 def test_json_scalars(spark, folder):
     assert rows_of(read_json(spark, put(folder, "a.json", "[1, 2, 3]"))) == [(1,), (2,), (3,)]
     mixed = read_json(spark, put(folder, "b.json", '[{"id": 1}, 7]'))

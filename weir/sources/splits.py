@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 Split = tuple[str, int]
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value, file, split (where it begins in the file); lines end at line feeds only."""
-    return spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+def read_lines(spark: SparkSession, path: str | list[str], end: str = "\n") -> DataFrame:
+    """value, file, split (where it begins in the file); lines end at line feeds, or at another character."""
+    return spark.read.text(path, lineSep=end).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
 def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Split, Iterator[str]]]:
@@ -63,10 +63,10 @@ def starting_inside(lines: DataFrame, ends: Callable[[str], tuple[bool, bool]])
     return [(r["file"], r["split"]) for r in found if r["split"] >= 0], sorted(r["file"] for r in found if r["split"] < 0)
 
 
-def joined_fragments(fragments: DataFrame) -> DataFrame:
+def joined_fragments(fragments: DataFrame, between: str = "\n") -> DataFrame:
     """Whole records out of fragments (text, file, split, place, first): a tail, whole splits behind it, and a head."""
     order = Window.partitionBy("file").orderBy("split", "place")
     # places in their order within a split: 0 head or whole split, 2 tail
     chained = fragments.withColumn("chain", F.last(F.when(F.col("place") == 2, F.col("split")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = F.array_sort(F.collect_list(F.struct("split", "place", "text")))
-    return chained.groupBy("file", "chain").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.max("first").alias("first")).select("text", "file", "first")
+    return chained.groupBy("file", "chain").agg(F.array_join(F.transform(parts, lambda p: p["text"]), between).alias("text"), F.max("first").alias("first")).select("text", "file", "first")
