@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -168,3 +169,25 @@ def test_definition_diff(spark):
     ]
     assert rows_of(definitions.diff_edges(before, after), "to", "change") == [("b", "removed"), ("c", "added")]
     assert rows_of(definitions.semantically_equal(before, after)) == [("m", True), ("p", False)]
+
+
+def test_leaf_paths(spark):
+    texts = ['{"a": {"b": [1, {"c": null}, []], "d": {}}, "e": "x\\"y", "f": 1.5}', "[]", '"s"', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    assert rows_of(definitions.leaf_paths(rows, ["id"], "t")) == [
+        (0, "a.b[0]", "1"), (0, "a.b[1].c", "null"), (0, "a.b[2]", "[]"), (0, "a.d", "{}"), (0, "e", '"x\\"y"'), (0, "f", "1.5"), (1, "", "[]"), (2, "", '"s"'),
+    ]
+
+
+def test_percentile_without_groups(spark):
+    rng = random.Random(3)
+    for values in ([7], [1, 2], [rng.randint(0, 10**6) for _ in range(501)], [5] * 90 + [10**12] * 10):
+        df = spark.createDataFrame([(datetime(2026, 1, 1), v) for v in values], "queued_at TIMESTAMP_NTZ, duration_ms BIGINT")
+        for fraction in (0.0, 0.5, 0.95, 1.0):
+            ordered, at = sorted(values), fraction * (len(values) - 1)
+            low, high = ordered[int(at)], ordered[min(int(at) + (at > int(at)), len(ordered) - 1)]
+            found = analytics.duration_percentile(df, fraction)
+            assert found.head()[0] == pytest.approx(low + (high - low) * (at - int(at)))
+    assert analytics.duration_percentile(df.limit(0)).head()[0] is None
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and all("__slice" in line for line in windows)

@@ -340,6 +340,37 @@ def test_publish_checked(spark, folder):
     assert warned.rows_written == 3 and rows_of(datasets.catalog(), "name", "quality_status")[0] == ("d", "FAILED")
 
 
+def test_profiles_of_appended_data_merge(spark, folder):
+    """A second profile reads only what was appended: the first files are gone by then."""
+    datasets = Datasets(spark, folder)
+    rows = lambda a, b: spark.range(a, b).select(F.col("id"), (F.col("id") % 700).cast("string").alias("t"), F.when(F.col("id") % 10 > 0, F.col("id") / 2).alias("x"))
+    datasets.write("d", rows(0, 20_000))
+    first = {r.name: r for r in datasets.profile("d").collect()}
+    assert first["id"].row_count == 20_000 and abs(first["id"].unique_count - 20_000) < 400 and first["x"].null_count == 2_000
+    for file in Path(folder).glob("_parts/*/side=rows/part-*"):
+        file.unlink()
+    datasets.write("d", rows(10_000, 50_000).withColumn("more", F.lit("2024-01-05").cast("date")), "append")
+    both = {r.name: r for r in datasets.profile("d", (0.25, 0.5)).collect()}
+    assert both["id"].row_count == 60_000 and abs(both["id"].unique_count - 50_000) < 1_000 and (both["id"].min, both["id"].max) == ("0", "49999")
+    assert both["t"].type == "integer" and abs(both["t"].unique_count - 700) < 15 and both["x"].null_count == 6_000
+    assert (both["more"].type, both["more"].null_count, both["more"].min) == ("date", 20_000, "2024-01-05") and both["more"].quantiles is None
+    assert abs(both["id"].quantiles[1] - 20_000) < 1_500
+
+
+def test_jdbc_shares_are_even(spark, url):
+    """A key of which most rows lie in a narrow range, with one far off, repeated values and NULLs."""
+    keys = [*range(1000, 1400), *[7] * 60, 10**9, -(10**6), None, None]
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k BIGINT, n BIGINT")
+    write_jdbc(rows, url, "skewed", create_table=True)
+    df = read_jdbc(spark, url, "skewed", partition={"column": "k", "parts": 5})
+    sizes = [len(part) for part in df.rdd.glom().collect()]
+    assert rows_of(df, "n") == [(n,) for n in range(len(keys))] and len(sizes) >= 4 and max(sizes) < 2 * len(keys) / 5
+    some = read_jdbc(spark, url, query='SELECT "k", "n" FROM "skewed" WHERE "k" > 5', partition={"column": "k", "parts": 3})
+    assert some.count() == 461 and some.rdd.getNumPartitions() == 3
+    write_jdbc(rows.limit(0), url, "empty_one", create_table=True)
+    assert read_jdbc(spark, url, "empty_one", partition={"column": "k", "parts": 3}).count() == 0
+
+
 def _upserts(spark, datasets, rows, **more):
     datasets.write("d", spark.createDataFrame(rows, "k BIGINT, at BIGINT, v STRING"), "upsert", ["k"], order_by=[("at", "desc")], **more)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weir.operators.keyed import count_by_state, latest_per_key
+from weir.operators.keyed import count_by_state, latest_per_key, sliced_rows
 from weir.operators.sort import order_by, top_k
 
 # The states of a run.
@@ -46,14 +47,17 @@ def duration_percentile(
     """The interpolated percentile of durations.
 
     Exact: runs are counted per distinct duration first, in the map tasks, so what is sorted per group
-    is the distinct durations and not the runs. `exact=False` uses a sketch of fixed size instead.
+    is the distinct durations and not the runs. Without groups the durations are dealt into ranges, and only the ranges that hold
+    the position are sorted. `exact=False` uses a sketch of fixed size instead.
     """
     windowed = in_window(runs, "queued_at", since, until).where(F.col("duration_ms").isNotNull())
     if not exact:
         value = F.percentile_approx("duration_ms", F.lit(fraction), F.lit(accuracy))
         return windowed.groupBy(*by).agg(value.cast("double").alias("p_duration_ms"))
     counts = windowed.groupBy(*by, "duration_ms").agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*(by or [F.lit(0)]))
+    if not by:
+        return _selected(counts, fraction)
+    group = Window.partitionBy(*by)
     ranked = counts.select(
         *by, "duration_ms", F.sum("n").over(group.orderBy("duration_ms")).alias("upto"),
         (F.lit(fraction) * (F.sum("n").over(group) - 1)).alias("position"),
@@ -64,6 +68,24 @@ def duration_percentile(
     return ranked.groupBy(*by).agg((low + (high - low) * share).cast("double").alias("p_duration_ms"))
 
 
+def _selected(counts: DataFrame, fraction: float) -> DataFrame:
+    """The percentile of all runs; the driver sees the number of runs in each range."""
+    ranged = sliced_rows(counts, [], ["duration_ms"])
+    before, offsets = 0, {}
+    totals = ranged.groupBy("__slice").agg(F.sum("n").alias("n")).orderBy("__slice").collect()
+    for row in totals:
+        offsets[row["__slice"]] = before
+        before += row["n"]
+    position = fraction * (before - 1)
+    ranks = [math.floor(position), math.ceil(position)] if before else []
+    holding = sorted({max(s for s, o in offsets.items() if o <= rank) for rank in ranks})
+    within = Window.partitionBy("__slice").orderBy("duration_ms")
+    offset = F.create_map(*[F.lit(v) for s in holding for v in (s, offsets[s])])[F.col("__slice")] if holding else F.lit(0)
+    upto = ranged.where(F.col("__slice").isin(holding)).select("duration_ms", (offset + F.sum("n").over(within)).alias("upto"))
+    low, high = (F.min(F.when(F.col("upto") > rank, F.col("duration_ms"))) for rank in ranks or (0, 0))
+    return upto.agg((low + (high - low) * F.lit(position - math.floor(position))).cast("double").alias("p_duration_ms"))
+
+
 def daily_series(runs: DataFrame, since=None, until=None) -> DataFrame:
     """One row per UTC day that has runs."""
     return (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from weir.session import cut_lineage
 
 _NODES = (
     "nodes ARRAY<STRUCT<id: STRING, type: STRING, config: STRING, retry: STRING, timeoutSeconds: STRING, "
@@ -14,21 +15,29 @@ _NODES = (
 )
 
 
-def _leaves(value, prefix: str) -> Iterator[tuple[str, str]]:
-    if isinstance(value, dict) and value:
-        for key, item in value.items():
-            yield from _leaves(item, f"{prefix}.{key}" if prefix else key)
-    elif isinstance(value, list) and value:
-        for position, item in enumerate(value):
-            yield from _leaves(item, f"{prefix}[{position}]")
-    else:
-        yield prefix, json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-
+def leaf_paths(rows: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
+    """JSON text as one row for each leaf: the ids, path (`a.b[0].c`), value (JSON text); empty objects and arrays are leaves.
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_paths(texts: pd.Series) -> pd.Series:
-    """JSON text to `path -> value`, at any depth; arrays give `a[0]`."""
-    return texts.map(lambda text: dict(_leaves(json.loads(text), "")) if text else {})
+    Documents are opened level by level, all of them at once; the driver asks after each level whether anything is left to open.
+    """
+    level = rows.where(F.col(text).isNotNull()).select(*ids, F.lit("").alias("path"), F.parse_json(text).alias("value"))
+    leaves: list[DataFrame] = []
+    while True:
+        shape = F.schema_of_variant("value")
+        inside = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+        members = F.when(
+            shape.startswith("OBJECT"),
+            F.transform(F.map_entries(F.col("value").cast("map<string, variant>")), lambda e: F.struct(F.concat(inside, e["key"]).alias("path"), e["value"].alias("value"))),
+        ).when(
+            shape.startswith("ARRAY"),
+            F.transform(F.col("value").cast("array<variant>"), lambda v, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("value"))),
+        )
+        opened = cut_lineage(level.withColumn("members", F.coalesce(members, F.array().cast("array<struct<path: string, value: variant>>"))), "level")
+        leaves.append(opened.where(F.size("members") == 0).select(*ids, "path", F.to_json("value").alias("value")))
+        inner = opened.where(F.size("members") > 0)
+        if inner.isEmpty():
+            return reduce(DataFrame.unionAll, leaves)
+        level = inner.select(*ids, F.explode("members").alias("m")).select(*ids, "m.path", "m.value")
 
 
 def _pairs(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -67,15 +76,12 @@ def diff_settings(before: DataFrame, after: DataFrame) -> DataFrame:
 
     Both sides hold one definition (JSON text) per pipeline; pipelines on one side only are not compared.
     """
-    # Only nodes whose settings differ as text go through Python.
     edited = _explode_nodes(_pairs(before, after)).where(F.col("old.config") != F.col("new.config"))
-    maps = edited.select("pipeline_id", "node_id", flatten_paths("old.config").alias("old"), flatten_paths("new.config").alias("new"))
-    paths = F.array_union(F.map_keys("old"), F.map_keys("new"))
-    changed = F.filter(paths, lambda path: (path != "") & ~F.col("old")[path].eqNullSafe(F.col("new")[path]))
-    exploded = maps.select("pipeline_id", "node_id", "old", "new", F.explode(changed).alias("path"))
-    return exploded.select(
-        "pipeline_id", "node_id", "path", F.col("old")[F.col("path")].alias("before"), F.col("new")[F.col("path")].alias("after")
-    )
+    sides = cut_lineage(edited.select("pipeline_id", "node_id", F.col("old.config").alias("old"), F.col("new.config").alias("new")), "settings")
+    both = sides.select("pipeline_id", "node_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("config")) for s in ("old", "new")])).alias("s"))
+    found = leaf_paths(both.select("pipeline_id", "node_id", "s.side", "s.config"), ["pipeline_id", "node_id", "side"], "config").where("path <> ''")
+    values = [F.max(F.when(F.col("side") == s, F.col("value"))).alias(n) for s, n in (("old", "before"), ("new", "after"))]
+    return found.groupBy("pipeline_id", "node_id", "path").agg(*values).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def diff_nodes(before: DataFrame, after: DataFrame) -> DataFrame:

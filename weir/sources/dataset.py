@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from weir.contracts.sketches import SKETCH, merged_profile, sketch_profile
 from weir.errors import ConfigError, GateBlocked
 from weir.operators.keyed import content_order, latest_per_key
 from weir.quality.checks import run_checks
@@ -251,6 +252,24 @@ class Datasets:
             self._merge_changes(name, made)
         return written
 
+    # ---- profiles
+
+    def profile(self, name: str, quantiles: tuple[float, ...] = (0.5,)) -> DataFrame:
+        """The profile of a dataset from sketches kept for each part; only parts without one are read (see `merged_profile`).
+
+        Changes that are merged on reading have no sketches of their own, so such a dataset is read whole; compact it before.
+        """
+        snapshot = self.snapshot(name)
+        if any(p.kind == "changes" for p in snapshot.parts) or not snapshot.parts:
+            return merged_profile(sketch_profile(self._rows(snapshot)).withColumn("part", F.lit("all")), quantiles)
+        folders = {p: f"{self.root.rstrip('/')}/_profiles/stage={p.stage}/side={p.side}" for p in snapshot.parts}
+        for part, folder in folders.items():
+            if not path_exists(self.spark, f"{folder}/_SUCCESS"):
+                rows = self._files([part], snapshot.struct).drop(_NUMBER, _LAST)
+                sketch_profile(rows).coalesce(1).write.mode("overwrite").parquet(folder)
+        kept = self.spark.read.schema(SKETCH).parquet(*folders.values()).withColumn("part", F.col("_metadata.file_path"))
+        return merged_profile(kept.where(F.col("name").isin(snapshot.struct.names)), quantiles)
+
     # ---- keeping house
 
     def _merge_changes(self, name: str, seen: Snapshot) -> None:
@@ -307,6 +326,7 @@ class Datasets:
         gone = {p.stage for s in old for p in s.parts} - used
         for stage in gone:
             delete_path(self.spark, f"{self._parts}/stage={stage}")
+            delete_path(self.spark, f"{self.root.rstrip('/')}/_profiles/stage={stage}")
         return len(gone)
 
     def names(self) -> list[str]:

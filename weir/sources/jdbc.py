@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
+from itertools import pairwise
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weir.errors import ConfigError
 from weir.functions.types import JDBC_TYPES, logical_type
 
+# Stretches of values that are counted at once, and cut again where they hold too many rows.
+STRETCHES = 64
+
 # Fixed value: what a table or column may be called.
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_$]{0,62}"
 
@@ -76,13 +82,18 @@ def read_jdbc(
 ) -> DataFrame:
     """A table or a read-only query. Filters, projections and limits are pushed to the database.
 
-    `partition` holds column, lower, upper and parts, and spreads the read over that many connections.
+    `partition` holds column and parts, and spreads the read over that many connections. With lower and upper each reads an
+    equal stretch of the column's values; without them the database counts the rows of ranges, and each reads about as many rows.
     """
     if (table is None) == (query is None):
         raise ConfigError("give either a table or a query")
     # A query is passed as a derived table because only those can be read in partitions.
     source = _quote(url, check_table(table)) if table else f"({check_read_only(query)}) weir_source"
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", source).options(**dict(properties or {}))
+    if partition and "lower" not in partition:
+        shares = equal_shares(spark, url, source, check_identifier(partition["column"], "column"), int(partition["parts"]), properties)
+        df = spark.read.jdbc(url, source, predicates=shares, properties=dict(properties or {}))
+        return df if limit is None else df.limit(limit)
     if partition:
         reader = (
             reader.option("partitionColumn", check_identifier(partition["column"], "column"))
@@ -94,6 +105,53 @@ def read_jdbc(
     return df if limit is None else df.limit(limit)
 
 
+def equal_shares(
+    spark: SparkSession, url: str, source: str, column: str, parts: int, properties: Mapping[str, str] | None = None
+) -> list[str]:
+    """Conditions on a number column that cut a source into about `parts` shares with about the same number of rows.
+
+    The database counts the rows of equal stretches of values; a stretch that holds more than a quarter of a share is cut
+    again, until it is small enough or a single value. The driver sees counts of stretches only. NULLs are in the first share.
+    """
+    name = _quote(url, column)
+
+    def ask(query: str) -> list:
+        return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) weir_counts", **dict(properties or {})).load().collect()
+
+    low, high, rows = ask(f"SELECT MIN({name}) AS low, MAX({name}) AS high, COUNT({name}) AS n FROM {source}")[0]
+    if not rows or parts < 2:
+        return ["1 = 1"]
+    whole = isinstance(low, int)
+    if not whole and not isinstance(low, (float, Decimal)):
+        raise ConfigError(f'"{column}" is not a number; give lower and upper')
+    low, high = (int(low), int(high) + 1) if whole else (float(low), math.nextafter(float(high), math.inf))
+    share, done, open_ranges = rows / parts, [], [(low, high, rows)]
+    while open_ranges:
+        asked, steps = [], {}
+        for number, (a, b, _) in enumerate(open_ranges):
+            step = max(1, -(-(b - a) // STRETCHES)) if whole else (b - a) / STRETCHES
+            steps[number] = a, b, step
+            inner = f"SELECT FLOOR(({name} - {a}) / {step}) AS b FROM {source} WHERE {name} >= {a} AND {name} < {b}"
+            asked.append(f"SELECT {number} AS r, b, COUNT(*) AS n FROM ({inner}) u{number} GROUP BY b")
+        open_ranges = []
+        for number, bin, count in ask(" UNION ALL ".join(asked)):
+            a, b, step = steps[int(number)]
+            left = a + int(bin) * step
+            right = min(left + step, b)
+            finer = (right - left > 1) if whole else (left < left + step / STRETCHES < right)
+            (open_ranges if count > share / 4 and finer else done).append((left, right, count))
+    borders, held = [], 0
+    for left, _, count in sorted(done):
+        if held and held + count / 2 > share:
+            borders.append(left)
+            held = 0
+        held += count
+    if not borders:
+        return ["1 = 1"]
+    between = [f"{name} >= {a} AND {name} < {b}" for a, b in pairwise(borders)]
+    return [f"{name} < {borders[0]} OR {name} IS NULL", *between, f"{name} >= {borders[-1]}"]
+
+
 def incremental(df: DataFrame, column: str, since: Any = None) -> DataFrame:
     """Rows beyond the watermark; all rows when there is none. Works on any source and is pushed down."""
     if column not in df.columns:
