@@ -22,26 +22,24 @@ def join_left(t):
 
 @query(
     """
-    WITH d AS (SELECT doc_id, lang FROM documents WHERE lang <> 'en'), l AS (SELECT doc_id, toxic FROM labels)
+    WITH d AS (SELECT CASE WHEN lang <> 'en' THEN doc_id END AS doc_id, lang FROM documents), l AS (SELECT doc_id, toxic FROM labels)
     SELECT d.doc_id, d.lang, l.doc_id AS label_doc_id, l.toxic FROM d RIGHT JOIN l ON d.doc_id = l.doc_id
     """
 )
 def join_right(t):
-    documents = t.documents.where("lang <> 'en'").select("doc_id", "lang")
+    documents = t.documents.select(F.when(F.col("lang") != "en", F.col("doc_id")).alias("doc_id"), "lang")
     return join(documents, t.labels.select("doc_id", "toxic"), [("doc_id", "doc_id")], "right", right_prefix="label_")
 
 
 _NULL_KEYS = """
     WITH a AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1),
-         left_side AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_custkey END AS k, c_name FROM customer WHERE c_nationkey < 15),
+         left_side AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' AND c_nationkey < 15 THEN c_custkey END AS k, c_name FROM customer),
          right_side AS (SELECT CASE WHEN k % 10 = 3 THEN NULL ELSE k END AS k, orders FROM a)
 """
 
 
 def _null_key_sides(t):
-    left = t.customer.where("c_nationkey < 15").select(
-        F.when(F.col("c_mktsegment") == "BUILDING", None).otherwise(F.col("c_custkey")).alias("k"), "c_name"
-    )
+    left = t.customer.select(F.when((F.col("c_mktsegment") != "BUILDING") & (F.col("c_nationkey") < 15), F.col("c_custkey")).alias("k"), "c_name")
     counts = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"))
     return left, counts.select(F.when(F.col("k") % 10 != 3, F.col("k")).alias("k"), "orders")
 
@@ -96,9 +94,9 @@ def join_theta(t):
     return a.join(b, a.n_regionkey < b.r_regionkey).select(F.col("n_name").alias("name_a"), F.col("r_name").alias("name_b"))
 
 
-@query("SELECT doc_id, d.lang, l.quality FROM (SELECT doc_id, lang FROM documents WHERE lang = 'de') d FULL JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, d.lang, l.quality FROM (SELECT CASE WHEN lang = 'de' THEN doc_id END AS doc_id, lang FROM documents) d FULL JOIN labels l USING (doc_id)")
 def join_using(t):
-    german = t.documents.where("lang = 'de'").select("doc_id", "lang")
+    german = t.documents.select(F.when(F.col("lang") == "de", F.col("doc_id")).alias("doc_id"), "lang")
     return german.join(t.labels.select("doc_id", "quality"), on=["doc_id"], how="full")
 
 

@@ -245,15 +245,18 @@ def date_trunc_units(t):
 @query(
     """
     SELECT count(*) AS n, CAST(count_if(ts < TIMESTAMP '2026-03-31 12:00:00') AS BIGINT) AS past,
-           CAST(count_if(CAST(ts AS DATE) = DATE '2024-01-15') AS BIGINT) AS that_day
+           CAST(count_if(CAST(ts AS DATE) = DATE '2024-01-15') AS BIGINT) AS that_day,
+           CAST(count_if(ts < now()::TIMESTAMP AND ts < current_timestamp::TIMESTAMP) AS BIGINT) AS before_now, CAST(count_if(CAST(ts AS DATE) < current_date) AS BIGINT) AS before_today
     FROM events
     """
 )
 def fixed_clock(t):
     now = F.lit("2026-03-31T12:00:00").cast("timestamp_ntz")
     day = F.lit("2024-01-15").cast("date")
+    clock = [F.now().cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz")]
     return t.events.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") < now).alias("past"), F.count_if(F.col("ts").cast("date") == day).alias("that_day")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") < now).alias("past"), F.count_if(F.col("ts").cast("date") == day).alias("that_day"),
+        F.count_if((F.col("ts") < clock[0]) & (F.col("ts") < clock[1])).alias("before_now"), F.count_if(F.col("ts").cast("date") < F.current_date()).alias("before_today"),
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weir.catalog.registry import query
-from weir.contracts import coerce, diff_schemas, fingerprints, infer_columns, infer_schema, latest_changes, preview, profile, register, schema_history
+from weir.contracts import coerce, diff_schemas, fingerprints, infer_columns, infer_schema, latest_changes, preview, profile, register, schema_history, validate
 from weir.contracts.evolve import classify_type_change, worst_classification
 from weir.contracts.infer import columns_table
 
@@ -252,9 +252,9 @@ def schema_contract_check(t):
         {"name": "o_orderkey", "type": "integer", "nullable": False}, {"name": "o_orderpriority", "type": "integer", "nullable": False},
         {"name": "o_clerk", "type": "string", "nullable": True},
     ]
-    changes = diff_schemas(columns_table(t.spark, contract), infer_schema(orders))
+    found = validate(orders, "orders", expected=contract, on_breaking="warn")
     # integer to string keeps the values readable
-    return changes.select("column", "kind", "classification")
+    return t.spark.createDataFrame([(c["column"], c["kind"], c["classification"]) for c in found.changes], "column STRING, kind STRING, classification STRING")
 
 
 @query(

@@ -8,17 +8,18 @@ from weir.operators import capped, distinct_rows, keyset_page, limit_offset, ord
 
 @query(
     """
-    SELECT c_custkey, segment, c_acctbal
-    FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, nullif(c_acctbal, 1863.84) AS c_acctbal FROM customer)
-    WHERE segment IS NULL OR c_acctbal IS NULL OR c_acctbal > 5000
-    ORDER BY segment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey LIMIT 200
+    WITH c AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, nullif(c_acctbal, 1863.84) AS c_acctbal FROM customer)
+    SELECT 'last' AS side, * FROM (SELECT * FROM c ORDER BY c_acctbal ASC NULLS LAST, segment DESC NULLS FIRST, c_custkey LIMIT 200)
+    UNION ALL SELECT 'first', * FROM (SELECT * FROM c ORDER BY segment DESC NULLS FIRST, c_acctbal ASC NULLS LAST, c_custkey LIMIT 400)
     """
 )
 def order_nulls(t):
+    """The default places of NULLs: last where ascending, first where descending."""
     customers = t.customer.select(
         "c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.nullif("c_acctbal", F.lit(1863.84)).alias("c_acctbal")
-    ).where("segment IS NULL OR c_acctbal IS NULL OR c_acctbal > 5000")
-    return top_k(customers, ["segment", ("c_acctbal", "desc"), "c_custkey"], 200)
+    )
+    last = top_k(customers, ["c_acctbal", ("segment", "desc"), "c_custkey"], 200).withColumn("side", F.lit("last"))
+    return last.unionByName(top_k(customers, [("segment", "desc"), "c_acctbal", "c_custkey"], 400).withColumn("side", F.lit("first")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25")

@@ -131,7 +131,7 @@ def _pick(preset: str, field: int, words) -> str:
     WITH n AS (SELECT o_orderkey AS i, (SELECT count(*) FROM orders) AS total FROM orders)
     SELECT i + 1 AS order_id,
            CASE WHEN {_fraction('sales', 1)} >= 0.01 THEN 'c' || (CAST(floor({_fraction('sales', 0)} * greatest(1.0, total / 5)) AS BIGINT) + 1) END AS customer_id,
-           {_pick('sales', 2, ('north', 'south', 'east', 'west'))} AS region, {_pick('sales', 3, ('pending', 'paid', 'shipped', 'refunded'))} AS status,
+           {_pick('sales', 2, ('harbour', 'hills', 'plains', 'islands'))} AS region, {_pick('sales', 3, ('drafted', 'confirmed', 'fulfilled', 'returned'))} AS status,
            round({_fraction('sales', 4)} * 500, 2) AS amount, strftime(TIMESTAMP '2026-01-01' + to_hours(CAST(i AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS created_at
     FROM n
     """
@@ -173,13 +173,13 @@ def upsert_merge(t):
 
 @query(
     """
-    WITH f AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
+    WITH f AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'O'), o AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
     SELECT *, 'after_append' AS step FROM f UNION ALL SELECT *, 'after_append' FROM o UNION ALL SELECT *, 'after_replace' FROM o
     """
 )
 def dataset_append_replace(t):
     datasets = Datasets(t.spark, scratch_path(t.spark, "datasets"))
-    finished = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    finished = t.orders.where("o_orderstatus <> 'O'").select("o_orderkey", "o_totalprice")
     opened = t.orders.where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
     for name in ("grown", "replaced"):
         datasets.write(name, finished, "replace")

@@ -189,9 +189,13 @@ def stale_datasets(datasets: DataFrame, runs: DataFrame, schedules: DataFrame, n
 def roll_up(findings: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
     """Findings folded into incidents, one per fingerprint, on top of the incidents already known.
 
-    An acknowledged incident stays acknowledged and an open one stays open; a resolved one is left
-    as it is and a new one opens next to it.
+    Findings that are not newer than their incident's last one have been counted, so rolling up the same findings again
+    changes nothing. An acknowledged incident stays acknowledged and an open one stays open; a resolved one is left
+    as it is, and findings newer than it open a new one next to it.
     """
+    if incidents is not None:
+        counted = incidents.groupBy("fingerprint").agg(F.max("last_seen_at").alias("counted_to"))
+        findings = findings.join(counted, "fingerprint", "left").where(F.col("counted_to").isNull() | (F.col("seen_at") > F.col("counted_to"))).drop("counted_to")
     newest = F.struct("seen_at", "run_id")
     fresh = findings.groupBy("fingerprint").agg(
         F.max_by(F.struct("kind", "severity", "title", "pipeline_id", "run_id", "dataset", "evidence"), newest).alias("last"),
