@@ -84,6 +84,11 @@ def run_p95(t):
     return analytics.duration_percentile(runs_of(t), by=["pipeline_id"]).withColumn("p_duration_ms", F.round("p_duration_ms", 6))
 
 
+@query(f"WITH {_RUNS} SELECT round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.95), 6) AS p_duration_ms FROM runs")
+def run_p95_of_all(t):
+    return analytics.duration_percentile(runs_of(t)).withColumn("p_duration_ms", F.round("p_duration_ms", 6))
+
+
 @query(
     f"""
     WITH {_RUNS}

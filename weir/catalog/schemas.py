@@ -6,6 +6,8 @@ from weir.catalog.registry import query
 from weir.contracts import coerce, diff_schemas, fingerprints, infer_columns, infer_schema, latest_changes, preview, profile, register, schema_history, validate
 from weir.contracts.evolve import classify_type_change, worst_classification
 from weir.contracts.infer import columns_table
+from weir.session import scratch_path
+from weir.sources import Datasets
 
 # Texts of every class, made from the columns of `events`.
 _TEXTS = """
@@ -268,3 +270,34 @@ def preview_orders(t):
     ordered = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_custkey", "o_orderstatus")
     shown = preview(ordered)
     return shown.profile.select("name", "unique_count", "min", "max")
+
+
+@query(
+    """
+    WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderpriority, '5-LOW') AS priority FROM orders)
+    SELECT 'o_orderkey' AS name, 'integer' AS type, count(*) AS row_count, 0::BIGINT AS null_count, CAST(min(o_orderkey) AS VARCHAR) AS min, CAST(max(o_orderkey) AS VARCHAR) AS max, true AS close, true AS middle FROM o
+    UNION ALL SELECT 'o_custkey', 'integer', count(*), 0, CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR), true, true FROM o
+    UNION ALL SELECT 'o_totalprice', 'float', count(*), 0, CAST(min(o_totalprice) AS VARCHAR), CAST(max(o_totalprice) AS VARCHAR), true, true FROM o
+    UNION ALL SELECT 'priority', 'string', count(*), count(*) - count(priority), NULL, NULL, true, NULL FROM o
+    """
+)
+def profile_appended(t):
+    """A dataset that grows by three appends, profiled after each from what is kept of the parts before; distinct counts within 2 %, medians within 2 % of the ranks."""
+    datasets = Datasets(t.spark, scratch_path(t.spark, "datasets"))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"), "o_orderstatus")
+    for status in ("F", "O", "P"):
+        datasets.write("orders", orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), "append")
+        found = datasets.profile("orders")
+    rows = datasets.read("orders")
+    numbers = ("o_orderkey", "o_custkey", "o_totalprice")
+    exact = rows.agg(
+        *[F.count_distinct(c).alias(f"d_{c}") for c in rows.columns], *[F.percentile_approx(c, F.array(F.lit(0.48), F.lit(0.52)), F.lit(100_000)).alias(f"q_{c}") for c in numbers],
+    ).select(F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("name"), F.col(f"d_{c}").alias("distinct"),
+            *[(F.col(f"q_{c}")[k].cast("double") if c in numbers else F.lit(None).cast("double")).alias(n) for k, n in enumerate(("low", "high"))],
+        ) for c in rows.columns
+    ])))
+    close = F.abs(F.col("unique_count") - F.col("distinct")) <= F.greatest(F.lit(2), 0.02 * F.col("distinct"))
+    middle = (F.col("quantiles")[0] >= F.col("low")) & (F.col("quantiles")[0] <= F.col("high"))
+    return found.join(exact, "name").select("name", "type", "row_count", "null_count", "min", "max", close.alias("close"), middle.alias("middle"))
