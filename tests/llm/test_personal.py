@@ -57,6 +57,39 @@ def test_contexts_find_the_unseen(spark):
     assert all(found[n] == ["card"] for n in range(60)) and all(found[100 + n] == ["context"] for n in range(4)) and all("context" not in found[200 + n] for n in range(4))
 
 
+PLANTED = {
+    "email": ("mail", [f"und.{n}@mail{n % 7}.example.com" for n in range(45)] + [f"jane.doe{'x' * (n % 9)}@example.com" for n in range(45)], [f"und.{n}.mail{n % 7}.example.com" for n in range(8)]),
+    "phone": ("call", [f"+1 (017) 555-{7000 + n}" for n in range(90)], [f"017-555-{7000 + n}" for n in range(8)]),
+    "card": ("card", [" ".join(re.findall("....", str(c))) for c in range(4111111111110000, 4111111111113000) if luhn(str(c))][:90], [f"4111-1111-1111-{c}" for c in (1112, 1113, 1114, 1115, 1116, 1117, 1118, 1119)]),
+    "ip": ("host", [f"10.0.{n}.7" for n in range(90)], [f"10.0.{n}.777" for n in range(8)]),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_every_kind_teaches_contexts(spark, kind):
+    """What stands beside seeds of each kind marks candidates that no fixed pattern matches; the same candidates elsewhere stay."""
+    word, seeds, candidates = PLANTED[kind]
+    rows = [(n, f"so we say {word}: {v} and more text") for n, v in enumerate(seeds)]
+    rows += [(1000 + n, f"so we say {word}: {v} and more text") for n, v in enumerate(candidates)] + [(2000 + n, f"version {v} was built") for n, v in enumerate(candidates)]
+    found = {r["doc_id"]: r["spans"] for r in find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([s["kind"] for s in found[n]] == [kind] for n in range(90))
+    caught = [[(s["kind"], s["start"], s["end"]) for s in found[1000 + n]] for n in range(8)]
+    at = len(f"so we say {word}: ")
+    assert caught == [[("context", at, at + len(v))] for v in candidates]
+    assert all(found[2000 + n] == [] for n in range(8))
+
+
+def test_long_identifiers_are_whole(spark):
+    """No cut at any length, in a candidate or in the gap before it."""
+    value = "a" * 40 + "7" + "-x9" * 60
+    rows = [(n, f"key holder 10.1.1.{n}" + " " * 200) for n in range(40)] + [(100, "key holder" + " " * 300 + value + " end")]
+    found = {r["doc_id"]: r["spans"] for r in find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["end"] - s["start"]) for s in found[100]] in ([], [("context", len(value))])
+    letters = [(n, f"write holder {chr(97 + n % 26)}{n}@mail.com") for n in range(40)] + [(100, "write holder" + " " * 300 + value + " end")]
+    found = {r["doc_id"]: r["spans"] for r in find_personal(spark.createDataFrame(letters, "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["end"] - s["start"]) for s in found[100]] == [("context", len(value))]
+
+
 def test_bootstrap_needs_support(spark):
     rows = [("p", f"s{n}", True) for n in range(20)] + [("p", "new", False), ("rare", "s1", True), ("rare", "other", False), ("q", "new", False)] + [("q", f"o{n}", False) for n in range(5)]
     got = {r["pattern"] for r in bootstrap(spark.createDataFrame(rows, "pattern string, value string, seed boolean")).collect()}

@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and identifiers found by the company they keep.
 
-The fixed patterns give the seeds. Every identifier-like string of the corpus is an instance, and the words beside it, with its
-shape, are its patterns. Instances and patterns are the two sides of a graph with counts on its edges. In each round a pattern's confidence is
+The matches of the fixed patterns are the seeds, whole and with the words that stand before and after them. Every other
+identifier-like string of the corpus is a candidate. Seeds and candidates are instances; the word to the left or right of an instance, with its
+shape or with no more than whether it has letters, is one of its patterns. Instances and patterns are the two sides of a graph with counts on its edges. In each round a pattern's confidence is
 the share of its occurrences that are trusted, and an instance is trusted as far as the confident patterns around it say so. Patterns that
 end up confident, and were seen with several seeds, mark the unseen identifiers beside their words.
 
@@ -52,8 +53,11 @@ PATTERNS = {
     "card": Pattern(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]"),
     "phone": Pattern(r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-#: What may be an identifier: letters and digits of at least six characters, with a digit among the first nine.
-INSTANCE = Pattern(r"(?<![A-Za-z0-9])[A-Za-z]{0,8}+[0-9][A-Za-z0-9./_-]{4,38}+", "[0-9][A-Za-z0-9./_-]{4}")
+#: What may be an identifier: letters, digits and signs between them, with a digit, of any length from LEAST_LENGTH on.
+INSTANCE = Pattern(r"(?<![A-Za-z0-9@._/-])[A-Za-z@._/-]*+[0-9][A-Za-z0-9]*+(?:[@._/-]++[A-Za-z0-9]++)*+", "[0-9]")
+LEAST_LENGTH = 6
+#: White space, for the ends of words.
+_BLANKS = "\t\n\x0b\f\r"
 
 ROUNDS = 3
 LEAST_CONFIDENCE = 0.8
@@ -67,7 +71,7 @@ def _cut(text: Column, pattern: Pattern) -> Column:
 
 
 def _spans(parts: Column) -> Column:
-    """(start, end, value, left gap, right gap) of the matches in cut parts, in code points; empty for null."""
+    """(start, end, value, word before, word after) of the matches in cut parts, in code points; empty for null."""
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
     zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
@@ -75,7 +79,11 @@ def _spans(parts: Column) -> Column:
         gap, value = F.get(parts, i), F.get(parts, i + 1)
         start = state["at"] + F.length(gap)
         end = start + F.length(value)
-        span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(48)).alias("before"), F.left(F.get(parts, i + 2), F.lit(48)).alias("after"))
+        before, after = (F.translate(g, _BLANKS, " " * len(_BLANKS)) for g in (gap, F.get(parts, i + 2)))
+        span = F.struct(
+            start.alias("start"), end.alias("end"), value.alias("value"),
+            F.substring_index(F.rtrim(before), " ", -1).alias("before"), F.substring_index(F.ltrim(after), " ", 1).alias("after"),
+        )
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
     found = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 3, F.lit(2)), zero, step, lambda s: s["found"])
@@ -83,7 +91,7 @@ def _spans(parts: Column) -> Column:
 
 
 def _base(cuts: dict[str, Column]) -> Column:
-    """The valid spans of the fixed patterns by start, then by kind as listed: (start, order, end)."""
+    """The valid spans of the fixed patterns by start, then by kind as listed: (start, order, end, value, before, after)."""
     arrays = []
     for order, (kind, pattern) in enumerate(PATTERNS.items()):
         arrays.append(F.transform(_valid(_spans(cuts[kind]), kind, pattern), _placed(order)))
@@ -95,13 +103,12 @@ def _valid(spans: Column, kind: str, pattern: Pattern) -> Column:
 
 
 def _placed(order: int):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"))
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), *[s[c].alias(c) for c in ("end", "value", "before", "after")])
 
 
-def _beside(text: Column, last: bool) -> Column:
-    """The nearest word of a gap, in lower case without signs at its ends; `^` at the end of a text or beside another identifier."""
-    word = F.regexp_extract(text, r"(\S+)\s*$" if last else r"^\s*(\S+)", 1)
-    word = F.lower(F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+def _beside(word: Column) -> Column:
+    """A word beside an instance, in lower case without signs at its ends; `^` where there are no letters, as at the ends of a text."""
+    word = F.lower(F.regexp_replace(word, r"^[^\p{L}]++|[^\p{L}]++$", ""))
     return F.when(word == "", "^").otherwise(word)
 
 
@@ -114,7 +121,8 @@ def _with_spans(df: DataFrame, id: str, text: str) -> DataFrame:
     """row, doc_id, base spans and instances of each row, written so that row numbers stay."""
     rows = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = rows.select("doc_id", *[_cut(F.col("text"), p).alias(k) for k, p in PATTERNS.items()], _cut(F.col("text"), INSTANCE).alias("instance"))
-    spans = cuts.select("doc_id", _base({k: F.col(k) for k in PATTERNS}).alias("base"), _spans(F.col("instance")).alias("seen"))
+    long = F.filter(_spans(F.col("instance")), lambda s: F.length(s["value"]) >= LEAST_LENGTH)
+    spans = cuts.select("doc_id", _base({k: F.col(k) for k in PATTERNS}).alias("base"), long.alias("seen"))
     return cut_lineage(spans.select(F.monotonically_increasing_id().alias("row"), "*"), "spans")
 
 
@@ -141,18 +149,23 @@ def find_personal(df: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     say counts as often as they occur. A null id is kept. No rows give none.
     """
     rows = _with_spans(df, id, text)
-    seen = rows.where(F.size("seen") > 0).select("row", "base", F.explode("seen").alias("s")).select(
-        "row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), _shape(F.col("s.value")).alias("shape"), F.col("s.value").alias("value"),
-        F.array(F.concat(F.lit("left "), _beside(F.col("s.before"), True)), F.concat(F.lit("right "), _beside(F.col("s.after"), False))).alias("words"),
-        F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])).alias("seed"),
-    )
-    linked = seen.select("row", "start", "end", "value", "seed", F.explode("words").alias("word"), "shape").withColumn("pattern", F.concat_ws(" ", "word", "shape"))
-    linked = cut_lineage(linked.drop("word", "shape"), "occurrences")
+    free = F.filter("seen", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def occurrences(spans: Column, seed: bool) -> DataFrame:
+        one = rows.select("row", F.explode(spans).alias("s")).select("row", "s.start", "s.end", "s.value", "s.before", "s.after")
+        words = [F.concat(F.lit(f"{side} "), _beside(F.col(c))) for side, c in (("left", "before"), ("right", "after"))]
+        forms = [_shape(F.col("value")), F.when(F.col("value").rlike("[A-Za-z]"), "letters").otherwise("digits")]
+        return one.select("row", "start", "end", "value", F.lit(seed).alias("seed"), F.array(*[F.concat_ws(" ", w, f) for w in words for f in forms]).alias("patterns"))
+
+    both = occurrences(F.col("base"), True).unionAll(occurrences(free, False))
+    linked = both.select("row", "start", "end", "value", "seed", F.explode("patterns").alias("pattern"))
+    linked = cut_lineage(linked, "occurrences")
     believed = bootstrap(linked.select("pattern", "value", "seed"))
     fresh = linked.where("not seed").join(believed.select("pattern"), "pattern", "left_semi").select("row", "start", "end").distinct()
     order = F.lit(len(PATTERNS)).alias("order")
     found = fresh.groupBy("row").agg(F.collect_list(F.struct("start", order, "end")).alias("more"))
-    merged = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,order:int,end:int>>"))))
+    plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["order"].alias("order"), b["end"].alias("end")))
+    merged = F.array_sort(F.concat(plain, F.coalesce("more", F.array().cast("array<struct<start:int,order:int,end:int>>"))))
     names = F.array(*[F.lit(k) for k in KINDS])
     named = F.transform(merged, lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), F.get(names, s["order"]).alias("kind")))
     return rows.join(found, "row", "left").select("doc_id", named.alias("spans"))
