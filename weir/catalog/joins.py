@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from weir.catalog.registry import query
+from weir.errors import ValidationError
 from weir.operators import join, join_cardinality
 
 
@@ -124,3 +125,23 @@ def join_multiway(t):
     placed = join(per_customer, t.customer.select("c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")])
     named = join(join(placed, t.nation, [("c_nationkey", "n_nationkey")]), t.region, [("n_regionkey", "r_regionkey")])
     return named.groupBy("r_name").agg(F.sum("lines").alias("lines"), F.sum("quantity").cast("double").alias("quantity"))
+
+
+@query(
+    """
+    WITH n AS (SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT 'as many as there are' AS bound, n, true AS joined FROM n UNION ALL SELECT 'one less', n, false FROM n
+    """
+)
+def join_fan_out_guard(t):
+    """A bound on the rows of a join lets it through, or stops it before it is built."""
+    lines, orders = t.lineitem.select("l_orderkey", "l_linenumber"), t.orders.select("o_orderkey", "o_orderdate")
+    on = [("l_orderkey", "o_orderkey")]
+    size = join_cardinality(lines, orders, on).head()[0]
+    found = []
+    for name, bound in (("as many as there are", size), ("one less", size - 1)):
+        try:
+            found.append((name, join(lines, orders, on, max_output_rows=bound).count(), True))
+        except ValidationError:
+            found.append((name, size, False))
+    return t.spark.createDataFrame(found, "bound STRING, n BIGINT, joined BOOLEAN")

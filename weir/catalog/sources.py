@@ -5,11 +5,11 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from weir.catalog.registry import query
-from weir.contracts.infer import ColumnSpec
+from weir.contracts.infer import ColumnSpec, columns_table, probe
 from weir.errors import GateBlocked
 from weir.operators import flatten_once, latest_per_key, merge_rows, record_path
 from weir.session import scratch_path
-from weir.sources import Datasets, generate_for, incremental, landed_records, next_watermark, publish_checked, read_csv, read_json, read_ndjson, render, write_csv, write_ndjson, write_object
+from weir.sources import Datasets, generate_for, incremental, landed_records, next_watermark, publish_checked, read_csv, read_json, read_ndjson, read_object, render, write_csv, write_ndjson, write_object
 from weir.sources.objects import RunInfo
 
 
@@ -297,3 +297,33 @@ def publish_with_quarantine(t):
     good = datasets.read("orders").withColumn("side", F.lit("published"))
     bad = datasets.read("orders_bad").drop("failed_checks").withColumn("side", F.lit("quarantined"))
     return good.unionByName(bad)
+
+
+@query(
+    """
+    SELECT 'csv' AS kind, c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT 'json', c_custkey, c_name, c_acctbal FROM customer
+    UNION ALL SELECT 'ndjson', c_custkey, c_name, c_acctbal FROM customer
+    """
+)
+def object_reads(t):
+    """The same table under templated keys in each format, read back by key."""
+    run = RunInfo("r1", "customers", 1)
+    root = scratch_path(t.spark, "objects")
+    parts = []
+    for kind in ("csv", "json", "ndjson"):
+        key = write_object(t.customer.select("c_custkey", "c_name", "c_acctbal"), root + "/{{ run.pipeline }}/" + kind, run, kind)
+        parts.append(read_object(t.spark, key, kind).select(F.lit(kind).alias("kind"), F.col("c_custkey").cast("bigint"), "c_name", F.col("c_acctbal").cast("double")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    """
+    SELECT 'o_orderkey' AS name, 'integer' AS type, false AS nullable UNION ALL SELECT 'o_totalprice', 'float', false
+    UNION ALL SELECT 'status', 'string', true UNION ALL SELECT 'day', 'date', false
+    """
+)
+def source_probe(t):
+    """Columns and types of a CSV source, as all its rows show them."""
+    path = scratch_path(t.spark, "csv")
+    write_csv(t.orders.select("o_orderkey", "o_totalprice", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_orderdate").cast("date").alias("day")), path)
+    return columns_table(t.spark, probe(read_csv(t.spark, path, infer_types=False))).drop("position")
