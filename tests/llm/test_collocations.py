@@ -79,6 +79,17 @@ def test_counts_do_not_depend_on_ranges(spark):
     assert tables[0] == tables[1] == tables[2]
 
 
+def test_few_long_texts_are_cut_into_ranges(spark):
+    """Two long texts, neither of which a sample of rows need hold: ranges all the same, and the counts of a plain version."""
+    from weir.llm.collocations import _bounds, _texts
+
+    rng = random.Random(6)
+    rows = [("en", " ".join(rng.choices([f"w{n}" for n in range(50)], k=6000))) for _ in range(2)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert len(_bounds(_texts(df, "text", "lang"), 2000)) > 8
+    assert sorted(tuple(r) for r in collocations(df, least=4, range_bytes=2000).collect()) == plain(rows, 4)
+
+
 def test_long_words_and_slices(spark, monkeypatch):
     import weir.llm.collocations as module
 

@@ -38,6 +38,7 @@ RUN_WORDS = 1_000_000
 #: Text bytes looked at for the bounds of one range, and the distance of the words taken from them; the sample moves bounds, not counts.
 BOUND_BYTES = 64 << 10
 BOUND_STEP = 97
+LEAST_KEYS = 20
 #: Texts are taken apart in slices of about so many bytes.
 SLICE = 4 << 20
 
@@ -155,20 +156,28 @@ def _bounds(texts: DataFrame, range_bytes: int) -> list[tuple]:
     if ranges == 1:
         return []
 
-    def take(batches):
-        for batch in batches:
-            rows, skip = [], 0
-            for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                words = [w for part in slices(text) for w in part] + [_MARK, _MARK]
-                for k in range(skip, len(words) - 2, BOUND_STEP):
-                    if words[k] != _MARK:
-                        x, y, z = words[k : k + 3]
-                        rows.append((lang, x, y if y != _MARK else b"", z if y != _MARK and z != _MARK else b""))
-                skip = (skip + 31) % BOUND_STEP  # short texts count too
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), *[pa.binary()] * 3))], names=["lang", "x", "y", "z"])
-
-    seen = texts.sample(min(1.0, ranges * BOUND_BYTES / total), 7).mapInArrow(take, "lang string, x binary, y binary, z binary")
-    keys = sorted((r["lang"], bytes(r["x"]), bytes(r["y"]), bytes(r["z"])) for r in seen.collect())  # some hundred for each range
+    def taken(rows: DataFrame, distance: int) -> list[tuple]:
+        def take(batches):
+            skip = 0  # short texts count too: the distance runs on from one text to the next
+            for batch in batches:
+                found = []
+                for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                    words = [w for part in slices(text) for w in part] + [_MARK, _MARK]
+                    for k in range(skip, len(words) - 2, distance):
+                        if words[k] != _MARK:
+                            x, y, z = words[k : k + 3]
+                            found.append((lang, x, y if y != _MARK else b"", z if y != _MARK and z != _MARK else b""))
+                    skip = (skip - len(words) + 2) % distance
+                columns = zip(*found) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.binary()] * 3))], names=["lang", "x", "y", "z"])
+
+        seen = rows.mapInArrow(take, "lang string, x binary, y binary, z binary")
+        return sorted((r["lang"], bytes(r["x"]), bytes(r["y"]), bytes(r["z"])) for r in seen.collect())  # about a hundred for each range
+
+    share = min(1.0, ranges * BOUND_BYTES / total)
+    keys = taken(texts.sample(share, 7), BOUND_STEP)
+    if len(keys) < LEAST_KEYS * ranges:  # few and long texts: some words of each
+        keys = taken(texts, max(1, int(BOUND_STEP / share)))
     return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
 
 
