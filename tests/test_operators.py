@@ -149,7 +149,17 @@ def test_merge_rows(spark):
     newest = merge_rows(target, source.withColumn("extra", F.lit("x")).drop("at"), ["k"])
     assert newest.where("k = 2").count() == 1
     first = merge_rows(target, source.orderBy("at").drop("at"), ["k"], [("v", "asc")])
-    assert rows_of(first) == [(1, "a", "keep"), (2, "new", "keep"), (3, "c", None), (None, "m", None), (None, "n", "keep"), (None, "o", None)]
+    # the row that is there comes before both of the source's, so it stays
+    assert rows_of(first) == [(1, "a", "keep"), (2, "b", "keep"), (3, "c", None), (None, "m", None), (None, "n", "keep"), (None, "o", None)]
+    last = merge_rows(target, source.drop("at"), ["k"], [("v", "desc")])
+    assert rows_of(last.where("k = 2")) == [(2, "old", "keep")]
+    spark.conf.unset("spark.sql.unionOutputPartitioning")  # as in a session that knows nothing of it
+    assert rows_of(merge_rows(target, source.drop("at"), ["k"], [("v", "desc")]).where("k = 2")) == [(2, "old", "keep")]
+    timed = spark.createDataFrame([(1, 9, "there"), (2, 1, "there")], "k BIGINT, at BIGINT, v STRING")
+    late = spark.createDataFrame([(1, 3, "late"), (2, 5, "newer"), (2, 4, "between")], timed.schema)
+    assert rows_of(merge_rows(timed, late, ["k"], [("at", "desc")])) == [(1, 9, "there"), (2, 5, "newer")]
+    without_order = [rows_of(merge_rows(timed, late.repartition(n), ["k"])) for n in (1, 3)]
+    assert without_order[0] == without_order[1]
     keyed = source.where("k IS NOT NULL").drop("at")
     once = merge_rows(target, keyed, ["k"], ["v"])
     assert rows_of(merge_rows(once, keyed, ["k"], ["v"])) == rows_of(once)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from weir.errors import ConfigError
-from weir.session import cut_lineage, scratch_path
+from weir.session import cut_lineage, plain_unions, scratch_path
 
 #: Rounds before what is left of the graph is searched for chains.
 PLAIN_ROUNDS = 12
@@ -26,6 +26,7 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down") -> D
     """
     if direction not in ("up", "down"):
         raise ConfigError("direction must be up or down")
+    plain_unions(edges.sparkSession)
     here, there = ("from", "to") if direction == "down" else ("to", "from")
     spark = edges.sparkSession
     steps = cut_lineage(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from weir.errors import ConfigError, ValidationError
 from weir.functions.types import logical_type
 from weir.operators.project import rename_collisions
+from weir.session import plain_unions
 
 # Join kinds.
 KINDS = ("inner", "left", "right", "full")
@@ -70,6 +71,7 @@ def join(
     if kind != "full":
         return left.join(renamed, condition, kind)
 
+    plain_unions(left.sparkSession)
     matched = left.join(renamed, condition, "left")
     keys = left.select(*[F.col(f"`{l}`").alias(f"__k{i}") for i, (l, _) in enumerate(on)]).distinct()
     unmatched_condition = reduce(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from weir.errors import ConfigError
 from weir.functions.ordering import sort_columns
-from weir.session import cut_lineage
+from weir.session import cut_lineage, plain_unions
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence, n: int = 1) -> DataFrame:
@@ -33,6 +33,7 @@ def merge_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], order_
     """
     if not keys:
         raise ConfigError("Upsert requires at least one key column")
+    plain_unions(target.sparkSession)
     unknown = sorted((set(keys) - set(source.columns)) | (set(source.columns) - set(target.columns)))
     if unknown:
         raise ConfigError(f"Upsert column(s) missing on one side: {', '.join(unknown)}")

@@ -23,7 +23,7 @@ from weir.operators.keyed import content_order, latest_per_key
 from weir.quality.checks import run_checks
 from weir.quality.gate import GateDecision, evaluate_gate
 from weir.quality.quarantine import quarantine
-from weir.session import delete_path, hadoop_fs, path_exists
+from weir.session import delete_path, hadoop_fs, path_exists, plain_unions
 from weir.sources.snapshots import Part, Snapshot, commit, load, versions
 
 # What a dataset may be called, and rows kept for a preview.
@@ -104,6 +104,7 @@ class Datasets:
         rows = self._files(plain, snapshot.struct)
         if not changed:
             return rows.select(*names)
+        plain_unions(self.spark)
         changes = self._files(changed, snapshot.struct)
         keys = list(snapshot.keys)
         has_key = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
