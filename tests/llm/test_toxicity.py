@@ -64,6 +64,20 @@ def test_gapped_insults(bags):
     assert judge(["thering", "m-oron", "s.t.u.p.i.d"]) >= 0.3 > judge(["thering", "onaner", "stouer"])
 
 
+def test_lookalike_digits_and_other_scripts(bags):
+    rng = random.Random(4)
+    parts = ["ка", "ро", "сте", "ни", "ло", "во", "при", "го", "та", "мен"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    insults = ["дурак", "идиот", "тупица", "сволочь"]
+    other = [(n % 4 == 0, n % 10 < 3, sorted({word() for _ in range(40)} | (set(rng.sample(insults, 2)) if n % 4 == 0 else set()))) for n in range(400)]
+    model = fit([*bags, *other])
+    judge = lambda words: float(model.probability([model.worst(model.words(words).tolist())])[0])
+    bad = [*insults, "ду-рак", "с.в.о.л.о.ч.ь", "1d10t", "5tup1d", "m0r0n"]
+    assert min(model.words(bad)) > 0.5 and all(judge([word(), one, two, word()]) >= 0.3 for one, two in zip(bad, bad[1:]))
+    assert sum(judge([word() for _ in range(30)]) >= 0.3 for _ in range(50)) <= 1
+    assert judge(["2024", "10", "31415"]) < 0.3 and len(coded(["2024", "$5", "ab"])[1]) == 0 and coded(["дa", "你好"])[1].tolist() == [0, 1]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted", "score").collect()

@@ -41,8 +41,8 @@ FLOOR = -0.5
 DECAY = 0.85
 #: Longer words are scored in overlapping windows of so many characters.
 WINDOW = 24
-#: a to z, the start of a word, ß to ÿ, and 0 for any other sign.
-ALPHABET = 61
+#: a to z, the start of a word, ß to ÿ, codes that the letters of all other scripts share by their code points, and 0 for any other sign.
+ALPHABET = 96
 ROUNDS = 4
 #: A word that is in so many toxic documents, and in so many times the share of clean ones, is a witness wherever it stands.
 LEAST_SUPPORT, LEAST_RATIO = 4, 8
@@ -59,10 +59,13 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 #: Signs at the ends of words that say nothing.
 MARKS = ".,;:!?%&*#|()\"'-"
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
-_CODES = np.zeros(0x110000, dtype=np.uint8)
+_START, _OTHER = 27, 61
+_CODES = np.where(np.fromiter((chr(n).isalpha() for n in range(0x110000)), dtype=bool, count=0x110000), _OTHER + np.arange(0x110000) % (ALPHABET - _OTHER), 0).astype(np.uint8)
 _CODES[97:123] = np.arange(1, 27)
-_START = 27
-_CODES[0xDF:0x100] = np.arange(28, ALPHABET)
+_CODES[0xDF:0x100] = np.arange(28, _OTHER)
+_ALIKE = _CODES.copy()
+for _sign, _letter in LOOKALIKES.items():
+    _ALIKE[ord(_sign)] = _CODES[ord(_letter)]
 
 
 def tokens(text: str | None) -> set[str]:
@@ -74,16 +77,24 @@ def tokens(text: str | None) -> set[str]:
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers of the windows of all words (0: no letter), one row each, and each row's word."""
+    """Letter numbers of the windows of all words (0: no letter), one row each, and each row's word.
+
+    Digits and signs count as the letters they look like in words that have a letter. Words of fewer than three letters have no row; two are enough in scripts other than Latin.
+    """
     if not words:
         return np.zeros((0, WINDOW), dtype=np.uint8), np.empty(0, dtype=np.int64)
-    flat = _CODES[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    points = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    ends = np.cumsum(sizes)
+    spelt = np.logical_or.reduceat(_CODES[points] > 0, ends - sizes)
+    flat = np.where(np.repeat(spelt, sizes), _ALIKE[points], 0)
     letters = np.flatnonzero(flat)
     of = np.searchsorted(ends, letters, side="right")
     word, at, many = np.unique(of, return_index=True, return_counts=True)
     first, last = letters[at], letters[at + many - 1]
-    enough = many >= 3
+    if not len(letters):
+        return np.zeros((0, WINDOW), dtype=np.uint8), np.empty(0, dtype=np.int64)
+    enough = (many >= 3) | ((many == 2) & (flat[letters[at]] >= _OTHER))
     word, first, length = word[enough], first[enough], (last - first + 2)[enough]  # with the sign of the start
     windows = np.maximum(1, -(-(length - WINDOW // 2) // (WINDOW // 2)))
     owner = np.repeat(word, windows)
@@ -355,7 +366,7 @@ def scorer(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "te
 def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    A null or empty text, or one without a word of three letters, has the score of the least toxic words possible. Without labels
+    Letters of every script are scored. A null or empty text, or one without a word of three letters (two in scripts other than Latin), has the score of the least toxic words possible. Without labels
     of both classes all scores are the same. Repeated rows get equal scores; a null id is scored and not held out. No rows give none.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
