@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and strings that look random to a pair of character Markov models.
 
 One model stands for random strings, the other for ordinary identifiers; a run of identifier characters is a secret if the first
-explains it better by a margin for each character. Both learn from the corpus: the values that the fixed patterns find are the samples
-labelled secret; the other runs of all texts, but for those that are themselves up for judgement, are labelled ordinary. The model of
-random strings is half its samples and half a fair draw of characters, so that it also knows alphabets that no sample has.
+explains it better, by a margin that grows with its length. Both learn from the corpus: the values that the fixed patterns find are the samples
+labelled secret, all other runs are labelled ordinary. Both are chains over letters without case, where a change of case or between
+letters and digits starts anew, and over the kinds of characters, so that camelCase and numbered names are ordinary however seldom one pair
+of characters is. The model of random strings is half its samples and half fair draws from the smallest alphabet that holds the run.
 """
 
 from __future__ import annotations
@@ -28,17 +29,31 @@ HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_VALUE = 8
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-SIZE = len(ALPHABET) + 1
-_CODES = np.zeros(256, dtype=np.int32)
-_CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(1, SIZE)
-
-#: Runs that the models judge have at least so many characters, so many different ones, and a digit or both cases.
-LEAST_RUN, LEAST_DIFFERENT = 20, 10
-#: Natural logarithm of the likelihood ratio, for each character, from which a run is a secret.
-MARGIN = 1.0
-#: Observations that the frequency of a character alone stands for beside those of the pair.
-BACK_OFF = 20.0
+#: Kinds of characters of a run; 0 is any byte outside of runs. `/`, `-` and `.` stand between runs.
+OUTSIDE, LOWER, UPPER, DIGIT, OTHER = range(5)
+_SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+_"
+LETTERS, SHAPES = len(_SYMBOLS) + 1, 5
+_FOLD, _SHAPE = np.zeros(256, dtype=np.int16), np.zeros(256, dtype=np.int16)
+for _n, _c in enumerate(_SYMBOLS, 1):
+    _FOLD[ord(_c)] = _FOLD[ord(_c.upper())] = _n
+    _SHAPE[ord(_c)] = LOWER if _c.isalpha() else DIGIT if _c.isdigit() else OTHER
+    _SHAPE[ord(_c.upper())] = UPPER if _c.isalpha() else _SHAPE[ord(_c)]
+_JOINED = (_SHAPE > 0) | (np.arange(256) == ord("/"))
+_BEYOND_HEX = np.zeros(256, dtype=bool)
+_BEYOND_HEX[[*b"ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"]] = True
+#: Signs that may lie within one secret, between two runs that are both judged to be one.
+JOINTS = b"/-+=."
+#: Identifiers of 32 hexadecimal digits in this form are names, not secrets.
+UUID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+
+#: The models judge runs of so many characters and learn from runs of so many.
+LEAST_RUN, LEAST_LEARNT = 12, 5
+#: A run is a secret from this natural logarithm of the likelihood ratio on: one part for its being a secret at all, one for each character.
+PRIOR, RATE = 6.0, 0.45
+#: Observations that the frequency of a character alone stands for beside those of the pair, and the share of a fair draw in both models.
+BACK_OFF, FAIR = 20.0, 0.05
+#: What both models know before they have seen anything: a kind of character tends to last.
+STAYING = 200
 #: Bytes of text handled at once.
 CHUNK = 2_000_000
 
@@ -60,87 +75,157 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
-def pair_counts(data: bytes) -> np.ndarray:
-    """How often each code follows each other one; 0 is any byte outside the alphabet."""
-    codes = _CODES[np.frombuffer(b"\0" + data + b"\0", dtype=np.uint8)]
-    return np.bincount(codes[:-1] * SIZE + codes[1:], minlength=SIZE * SIZE)
+def _within(starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray, size: int) -> np.ndarray:
+    """Whether each byte lies in one of the chosen ranges, which do not overlap."""
+    change = np.zeros(size + 1, dtype=np.int8)
+    change[starts[chosen]] += 1
+    change[ends[chosen]] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
-def long_runs(data: bytes) -> list[tuple[int, int]]:
-    """Byte ranges of runs of the alphabet of at least LEAST_RUN characters."""
-    inside = np.concatenate(([False], _CODES[np.frombuffer(data, dtype=np.uint8)] > 0, [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    wide = ends - starts >= LEAST_RUN
-    return list(zip(starts[wide].tolist(), ends[wide].tolist()))
-
-
-def ratios(secret: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each pair of codes, from the pair counts of secret values and of all text."""
-    size = len(ALPHABET)
-
-    def chances(counts: np.ndarray) -> np.ndarray:
-        counts = counts.reshape(SIZE, SIZE)[:, 1:]
-        alone = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * size)
-        counts = counts + BACK_OFF * alone
-        return counts / counts.sum(axis=1, keepdims=True)
-
-    ordinary = chances(np.maximum(every - secret, 0).astype(float))
-    return np.log((0.5 * chances(secret.astype(float)) + 0.5 / size) / ordinary)
-
+def steps(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte: the letter before it (0 where a word starts), its letter, the kind before it, its kind. Runs without small letters count as small ones."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    fold, shape = _FOLD[raw], _SHAPE[raw]
+    starts, ends = runs(shape, 1)
+    small = np.concatenate(([0], np.cumsum(shape == LOWER, dtype=np.int32)))
+    shape[_within(starts, ends, small[starts] == small[ends], len(shape)) & (shape == UPPER)] = LOWER
+    before, kind = np.zeros_like(fold), np.zeros_like(shape)
+    before[1:], kind[1:] = fold[:-1], shape[:-1]
+    fresh = (shape != kind) & ~((kind == UPPER) & (shape == LOWER))
+    before[fresh] = 0
+    return before, fold, kind, shape
 
-def judged(run: bytes) -> bool:
-    """Whether a long run is not too plain to be a secret."""
-    return len(set(run)) >= LEAST_DIFFERENT and (any(48 <= c <= 57 for c in run) or (run.upper() != run and run.lower() != run))
 
-
-def margin(run: bytes, table: np.ndarray) -> float:
-    """The log-likelihood ratio for each character of a run."""
-    codes = np.concatenate(([0], _CODES[np.frombuffer(run, dtype=np.uint8)]))
-    return float(table[codes[:-1], codes[1:] - 1].mean())
-
-
-def model_spans(text: str, taken: list[Span], table: np.ndarray) -> list[Span]:
-    """Runs that the models call secret and that no fixed pattern touches."""
+def runs(shape: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of at least so many characters."""
+    inside = np.concatenate(([False], shape > 0, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    wide = ends - starts >= least
+    return starts[wide], ends[wide]
+
+
+def step_counts(data: bytes, least: int = LEAST_LEARNT) -> np.ndarray:
+    """How often each letter follows each other one in runs, and then the same of the kinds of characters."""
+    before, letter, kind, shape = steps(data)
+    starts, ends = runs(shape, least)
+    used = _within(starts, ends, np.ones(len(starts), dtype=bool), len(data))
+    letters = np.bincount(before[used] * LETTERS + letter[used], minlength=LETTERS**2)
+    return np.concatenate([letters, np.bincount(kind[used] * SHAPES + shape[used], minlength=SHAPES**2)])
+
+
+def chances(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the chance of each letter after each other one, within its kind of character, and of each kind after each other one."""
+
+    def smooth(table: np.ndarray, groups: list[slice]) -> np.ndarray:
+        out = np.zeros(table.shape)
+        for group in groups:
+            part = table[:, group].astype(float)
+            alone = (part.sum(axis=0) + 0.5) / (part.sum() + 0.5 * part.shape[1])
+            part = part + BACK_OFF * alone
+            out[:, group] = np.log((1 - FAIR) * part / part.sum(axis=1, keepdims=True) + FAIR / part.shape[1])
+        return out
+
+    letters = counts[: LETTERS**2].reshape(LETTERS, LETTERS)
+    shapes = counts[LETTERS**2 :].reshape(SHAPES, SHAPES) + STAYING * np.eye(SHAPES, dtype=np.int64)
+    return smooth(letters, [slice(1, 27), slice(27, 37), slice(37, LETTERS)]), smooth(shapes, [slice(1, SHAPES)])
+
+
+class Judge:
+    """The two models: one learnt from ordinary runs, one from secrets, both given as step counts."""
+
+    def __init__(self, ordinary: np.ndarray, secret: np.ndarray):
+        self.ordinary, self.secret = chances(ordinary), chances(secret)
+
+    def ratios(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the runs that are long enough, then of those with `/` within, and the log-likelihood ratio of each."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        wide = runs(_JOINED[raw], LEAST_RUN)
+        if not len(wide[0]):
+            return *wide, np.empty(0)
+        places = np.flatnonzero(_within(wide[0], np.minimum(wide[1] + 1, len(raw)), np.ones(len(wide[0]), dtype=bool), len(raw)))
+        starts, ends, ratios = self._of_runs(raw[places])  # the wide runs alone, each with the byte behind it
+        return places[starts], places[ends - 1] + 1, ratios
+
+    def _of_runs(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slash = raw == 47
+        starts, ends = runs(_SHAPE[raw], LEAST_RUN)
+        wide = runs(_JOINED[raw], LEAST_RUN)
+        slashes = np.concatenate(([0], np.cumsum(slash)))
+        joined = slashes[wide[1]] > slashes[wide[0]]
+        starts, ends = np.concatenate((starts, wide[0][joined])), np.concatenate((ends, wide[1][joined]))
+        before, letter, kind, shape = steps(raw.tobytes())
+
+        def total(of: np.ndarray) -> np.ndarray:
+            sums = np.concatenate(([0], np.cumsum(of)))
+            return sums[ends] - sums[starts]
+
+        plain, drawn = (total(letters[before, letter] + shapes[kind, shape]) for letters, shapes in (self.ordinary, self.secret))
+        has = {k: total(_SHAPE[raw] == k) > 0 for k in (LOWER, UPPER, DIGIT, OTHER)}
+        beyond = total(_BEYOND_HEX[raw]) > 0
+        letters = np.where(beyond, 26, 6) * (has[LOWER].astype(int) + has[UPPER])
+        size = np.maximum(letters + 10 * (has[DIGIT] | has[OTHER]) + 2 * has[OTHER], 10)
+        fair = -(ends - starts) * np.log(size)
+        return starts, ends, np.logaddexp(drawn, fair) - np.log(2) - plain
+
+
+def model_spans(text: str, taken: list[Span], judge: Judge) -> list[Span]:
+    """Runs that the models call secret and that no fixed pattern touches; those with one joint between them are one.
+
+    Runs with `/` within are secrets only where none of their parts is one, so a random part of a path does not take the path with it.
+    """
     data = text.encode()
+    starts, ends, ratios = judge.ratios(data)
+    parts: list[list[int]] = []
+    wide: list[list[int]] = []
+    for n in np.flatnonzero(ratios >= PRIOR + RATE * (ends - starts)):
+        start, end = int(starts[n]), int(ends[n])
+        if end - start == 12 and UUID.fullmatch(data, max(0, start - 24), end):
+            continue
+        if b"/" in data[start:end]:
+            wide.append([start, end])
+        elif parts and start == parts[-1][1] + 1 and data[start - 1] in JOINTS:
+            parts[-1][1] = end
+        else:
+            parts.append([start, end])
+    apart = {start for start, _ in parts}
+    parts = sorted(parts + [[a, b] for a, b in wide if not any(a <= x < b for x in apart)])
     found = []
-    for start, end in long_runs(data):
-        if judged(data[start:end]) and margin(data[start:end], table) >= MARGIN:
-            at = len(data[:start].decode())
-            if not any(a < at + end - start and at < b for _, a, b, _ in taken):
-                found.append((3, at, at + end - start, at))
+    for start, end in parts:
+        at = len(data[:start].decode())
+        if not any(a < at + end - start and at < b for _, a, b, _ in taken):
+            found.append((3, at, at + end - start, at))
     return found
 
 
-def _learn(texts: DataFrame) -> np.ndarray:
-    """Ratios from the pair counts of all texts; the driver gets one row for each pair of characters."""
+def _learn(texts: DataFrame) -> Judge:
+    """Both models from the steps of all texts; the driver gets one row for each pair of letters or kinds."""
 
     def count(batches):
-        every, secret = np.zeros(SIZE * SIZE, dtype=np.int64), np.zeros(SIZE * SIZE, dtype=np.int64)
+        size = LETTERS**2 + SHAPES**2
+        ordinary, secret = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         for batch in batches:
-            waiting, size = [], 0
+            waiting, held = [], 0
             for value in batch.column(0):
                 text = value.as_py() or ""
-                data = text.encode()
                 for _, _, end, start in base_spans(text):
-                    secret += pair_counts(text[start:end].encode())
-                for start, end in long_runs(data):
-                    if judged(data[start:end]):
-                        every -= pair_counts(data[start:end])
-                waiting.append(data)
-                size += len(data)
-                if size >= CHUNK:
-                    every += pair_counts(b"\0".join(waiting))
-                    waiting, size = [], 0
-            every += pair_counts(b"\0".join(waiting))
-        used = np.flatnonzero(every + secret)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (used, every[used], secret[used])], names=["pair", "every", "secret"])
-
-    rows = texts.select("text").mapInArrow(count, "pair long, every long, secret long").groupBy("pair").agg(F.sum("every"), F.sum("secret")).collect()
-    every, secret = np.zeros(SIZE * SIZE, dtype=np.int64), np.zeros(SIZE * SIZE, dtype=np.int64)
-    for pair, a, b in rows:
-        every[pair], secret[pair] = a, b
-    return ratios(secret, every)
+                    secret += step_counts(text[start:end].encode(), 1)
+                    text = text[:start] + "\0" * (end - start) + text[end:]
+                waiting.append(text.encode())
+                held += len(waiting[-1])
+                if held >= CHUNK:
+                    ordinary += step_counts(b"\0".join(waiting))
+                    waiting, held = [], 0
+            ordinary += step_counts(b"\0".join(waiting))
+        used = np.flatnonzero(ordinary + secret)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (used, ordinary[used], secret[used])], names=["step", "ordinary", "secret"])
+
+    rows = texts.select("text").mapInArrow(count, "step long, ordinary long, secret long").groupBy("step").agg(F.sum("ordinary"), F.sum("secret")).collect()
+    counts = np.zeros((2, LETTERS**2 + SHAPES**2), dtype=np.int64)
+    for step, plain, drawn in rows:
+        counts[:, step] = plain, drawn
+    return Judge(*counts)
 
 
 def finder(df: DataFrame, text: str = "text") -> Callable[[Column], Column]:
@@ -149,12 +234,12 @@ def finder(df: DataFrame, text: str = "text") -> Callable[[Column], Column]:
     shared = df.sparkSession.sparkContext.broadcast(_learn(texts))
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
+        judge = shared.value
         for texts in batches:
             rows = []
             for text in texts:
                 spans = base_spans(text or "")
-                spans = sorted(spans + model_spans(text or "", spans, table), key=lambda s: (s[1], s[0]))
+                spans = sorted(spans + model_spans(text or "", spans, judge), key=lambda s: (s[1], s[0]))
                 rows.append([{"kind": KINDS[k], "start": a, "end": b, "value": v} for k, a, b, v in spans])
             yield pd.Series(rows, dtype=object)
 
@@ -164,7 +249,7 @@ def finder(df: DataFrame, text: str = "text") -> Callable[[Column], Column]:
 def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, text, spans (kind, start, end, value: where the secret itself starts).
 
-    Spans are in code points, end exclusive, by start and then in the order of KINDS. A null text is an empty one and has no spans;
+    Spans are in code points, end exclusive, by start and then in the order of KINDS. UUIDs and runs of decimal digits are not called secret by the models. A null text is an empty one and has no spans;
     repeated rows have equal spans; a null id is kept. No rows give none.
     """
     texts = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
