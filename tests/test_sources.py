@@ -340,6 +340,18 @@ def test_publish_checked(spark, folder):
     assert warned.rows_written == 3 and rows_of(datasets.catalog(), "name", "quality_status")[0] == ("d", "FAILED")
 
 
+def test_merged_distinct_counts_are_close(spark):
+    """Two parts of 900,000 keys; a sketch of the size kept before merges with a new one."""
+    from weir.contracts import sketches
+
+    keys = spark.range(900_000).select("id")
+    parts = [sketches.sketch_profile(keys.where(f"id % 2 = {k}")).withColumn("part", F.lit(str(k))) for k in (0, 1)]
+    found = sketches.merged_profile(parts[0].unionByName(parts[1])).head().unique_count
+    assert abs(found - 900_000) <= 0.01 * 900_000
+    small = parts[0].withColumn("distinct", F.lit(keys.where("id % 2 = 0").agg(F.hll_sketch_agg(F.xxhash64("id"), 14)).head()[0]))
+    assert abs(sketches.merged_profile(small.unionByName(parts[1])).head().unique_count - 900_000) <= 0.04 * 900_000
+
+
 def test_profiles_of_appended_data_merge(spark, folder):
     """A second profile reads only what was appended: the first files are gone by then."""
     datasets = Datasets(spark, folder)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from weir.contracts.infer import _class_bit, _type_of_bits
 from weir.functions.types import as_text, is_blank, is_text, logical_type
 
-#: Size of the distinct-count sketch (2^14 registers: a standard error of 0.8 %) and of the quantile sketch (rank error about 1 %).
-DISTINCT_BITS, QUANTILE_SIZE = 14, 400
+#: Size of the distinct-count sketch (2^17 registers: a standard error of 0.3 %) and of the quantile sketch (rank error about 1 %).
+DISTINCT_BITS, QUANTILE_SIZE = 17, 400
 
 SKETCH = (
     "position INT, name STRING, kind STRING, rows BIGINT, filled BIGINT, classes BIGINT, distinct BINARY, quantiles BINARY, "
@@ -49,7 +49,8 @@ def merged_profile(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5,)) -
     sizes = sketches.groupBy("part").agg(F.max("rows").alias("rows")).agg(F.sum("rows").alias("all_rows"))
     merged = sketches.groupBy("name").agg(
         F.min("position").alias("position"), F.min("kind").alias("kind"), F.max("kind").alias("other"), F.sum("filled").alias("filled"), F.bit_or("classes").alias("classes"),
-        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("unique_count"), F.kll_merge_agg_double("quantiles").alias("merged"),
+        # sketches kept by an earlier release are smaller
+        F.hll_sketch_estimate(F.hll_union_agg("distinct", True)).alias("unique_count"), F.kll_merge_agg_double("quantiles").alias("merged"),
         *[F.min(c).alias(c) for c in ("low_number", "low_text", "low_whole")], *[F.max(c).alias(c) for c in ("high_number", "high_text", "high_whole")],
     )
     kind = F.when(F.col("kind") != F.col("other"), "string").when(F.col("kind") == "text", _type_of_bits(F.col("classes"))).otherwise(F.when(F.col("filled") == 0, "unknown").otherwise(F.col("kind")))
