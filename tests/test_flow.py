@@ -280,3 +280,19 @@ def test_feeds(spark):
     events = spark.createDataFrame([("r", 1), ("r", 2), ("q", 1)], "run_id STRING, sequence BIGINT")
     assert rows_of(events_after(events, 1, "r")) == [("r", 2)]
     assert rows_of(events_after(events, spark.createDataFrame([("r", 2)], "run_id STRING, last_sequence BIGINT"))) == [("q", 1)]
+
+
+def test_missing_dates_of_ranges_are_found_in_their_rows(spark):
+    """As the dates of the ranges without a run, but no date is shuffled: repeated runs, runs beside the dates, two ranges of one schedule, no schedule."""
+    from weir.plans import missing_in_ranges
+    from weir.plans.backfill import expand_ranges
+
+    day = lambda n: datetime(2024, 1, n)
+    ranges = spark.createDataFrame([("s", day(1), day(9)), ("s", day(2), day(5)), ("s", day(2), day(5)), ("t", day(3), day(3)), (None, day(1), day(4))], "schedule_id STRING, range_start TIMESTAMP_NTZ, range_end TIMESTAMP_NTZ")
+    runs = spark.createDataFrame(
+        [("s", day(1)), ("s", day(4)), ("s", day(4)), ("s", day(5)), ("s", datetime(2024, 1, 7, 1)), ("s", day(30)), ("t", day(3)), (None, day(1)), ("s", None)], "schedule_id STRING, logical_date TIMESTAMP_NTZ"
+    )
+    found = missing_in_ranges(ranges, runs, 3 * 86_400)
+    assert rows_of(found, "logical_date", "schedule_id") == rows_of(missing_dates(expand_ranges(ranges, 3 * 86_400), runs), "logical_date", "schedule_id")
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Generate explode" in lines[0] or "Generate explode" in lines[1]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weir.catalog.registry import query
 from weir.plans import map_rows, run_flow
-from weir.plans.backfill import backfill_progress, expand_ranges, missing_dates, run_backfill, unique_runs
+from weir.plans.backfill import backfill_progress, expand_ranges, missing_in_ranges, run_backfill, unique_runs
 from weir.session import scratch_path
 from weir.sources import Datasets
 from weir.streaming import events_after, gated_stream, upsert_stream
@@ -149,9 +149,12 @@ _PLAN = """
 """
 
 
+def _ranges(t):
+    return t.orders.groupBy(F.col("o_custkey").alias("schedule_id")).agg(F.min("o_orderdate").alias("range_start"), F.max("o_orderdate").alias("range_end"))
+
+
 def _planned(t):
-    ranges = t.orders.groupBy(F.col("o_custkey").alias("schedule_id")).agg(F.min("o_orderdate").alias("range_start"), F.max("o_orderdate").alias("range_end"))
-    return expand_ranges(ranges, 7 * 86_400)
+    return expand_ranges(_ranges(t), 7 * 86_400)
 
 
 def _order_runs(t):
@@ -169,7 +172,7 @@ def _order_runs(t):
     """
 )
 def backfill_missing(t):
-    missing = missing_dates(_planned(t), _order_runs(t))
+    missing = missing_in_ranges(_ranges(t), _order_runs(t), 7 * 86_400)
     return missing.groupBy("schedule_id").agg(F.count(F.lit(1)).alias("missing"), F.date_format(F.min("logical_date"), "yyyy-MM-dd").alias("first_missing"))
 
 

@@ -52,6 +52,21 @@ def missing_dates(dates: DataFrame, runs: DataFrame) -> DataFrame:
     return dates.join(runs.select("schedule_id", "logical_date"), ["schedule_id", "logical_date"], "left_anti")
 
 
+def missing_in_ranges(ranges: DataFrame, runs: DataFrame, interval_seconds: int = DEFAULT_INTERVAL_SECONDS) -> DataFrame:
+    """`missing_dates` of `expand_ranges`, without a shuffle of the dates: they are made and compared inside the row of their range.
+
+    The runs that fall on a date of a range are gathered first, each date once, so a row holds no more than the dates of its range.
+    """
+    key = ["schedule_id", "range_start", "range_end"]
+    step, place = F.make_dt_interval(secs=F.lit(interval_seconds)), F.timestamp_diff("MICROSECOND", F.col("range_start"), F.col("logical_date"))
+    planned = F.col("logical_date").between(F.col("range_start"), F.col("range_end")) & (place % (interval_seconds * 1_000_000) == 0)
+    met = ranges.select(*key).distinct().join(runs.select("schedule_id", "logical_date"), "schedule_id").where(planned)
+    seen = met.groupBy(*key).agg(F.collect_set("logical_date").alias("__seen"))
+    dates = F.sequence("range_start", "range_end", step)
+    missing = F.when(F.col("__seen").isNull(), dates).otherwise(F.array_except(dates, "__seen"))
+    return ranges.join(seen, key, "left").select("schedule_id", F.explode(missing).alias("logical_date"))
+
+
 def unique_runs(runs: DataFrame) -> DataFrame:
     """At most one run per schedule and logical date: the first one queued."""
     scheduled = runs.where(F.col("schedule_id").isNotNull() & F.col("logical_date").isNotNull())
