@@ -282,3 +282,12 @@ def test_redact_structure(spark):
     assert out.cfg.password == "[REDACTED]" and out.cfg.host == "h" and out.cfg.deep[0].token == "[REDACTED]" and out.cfg.deep[0].n == 1
     assert out.extra == {"cookie": "[REDACTED]", "note": "Bearer [REDACTED]"}
     assert is_sensitive_name("userPasswd") and is_sensitive_name("X-Api-Key") and not is_sensitive_name("secretRef") and not is_sensitive_name("amount")
+
+
+def test_join_cardinality_is_one_grouping(spark):
+    left = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-01"), (2, "2024-01-02"), (None, "2024-01-01"), (3, None)], "k INT, d STRING")
+    right = spark.sql("SELECT * FROM VALUES (1L, DATE '2024-01-01'), (1L, DATE '2024-01-01'), (1L, DATE '2024-01-01'), (2L, DATE '2024-01-03'), (NULL, NULL) AS t(k, d)")
+    found = join_cardinality(left, right, [("k", "k"), ("d", "d")])
+    assert found.head()[0] == 6 and join_cardinality(left, right.limit(0), [("k", "k")]).head()[0] == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from weir.errors import ConfigError, ValidationError
-from weir.functions.types import logical_type
+from weir.functions.types import is_text, logical_type
 from weir.operators.project import rename_collisions
 from weir.session import plain_unions
 
@@ -85,15 +85,20 @@ def join(
 def join_cardinality(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """One row, `estimated_rows`: the exact size of the inner join, without building it."""
     _check_keys(left, right, on)
+    plain_unions(left.sparkSession)
     names = [f"__k{i}" for i in range(len(on))]
-    per_left = (
-        left.select(*[F.col(f"`{l}`").alias(n) for n, (l, _) in zip(names, on)])
-        .dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("__left"))
-    )
-    per_right = (
-        right.select(*[F.col(f"`{r}`").alias(n) for n, (_, r) in zip(names, on)])
-        .dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("__right"))
-    )
-    return per_left.join(per_right, names).agg(
+
+    def side(df: DataFrame, keys: Sequence[str], others: Sequence[Any], counts: tuple[int, int]) -> DataFrame:
+        # text meets a date or time as one, as it does in a comparison
+        typed = [F.col(f"`{k}`").cast(o) if is_text(df.schema[k].dataType) and not is_text(o) else F.col(f"`{k}`") for k, o in zip(keys, others)]
+        picked = df.select(*[c.alias(n) for n, c in zip(names, typed)]).dropna(subset=names)
+        return picked.select(*names, *[F.lit(c).cast("bigint").alias(n) for n, c in zip(("__left", "__right"), counts)])
+
+    left_keys, right_keys = zip(*on)
+    types = [[df.schema[k].dataType for k in keys] for df, keys in ((left, left_keys), (right, right_keys))]
+    both = side(left, left_keys, types[1], (1, 0)).unionByName(side(right, right_keys, types[0], (0, 1)))
+    # one grouping of both sides: half the tables of counts in memory, and nothing to sort
+    per_key = both.groupBy(*names).agg(F.sum("__left").alias("__left"), F.sum("__right").alias("__right"))
+    return per_key.agg(
         F.coalesce(F.sum(F.col("__left") * F.col("__right")), F.lit(0)).cast("bigint").alias("estimated_rows")
     )
