@@ -173,6 +173,28 @@ def test_definition_diff(spark):
     assert rows_of(definitions.semantically_equal(before, after)) == [("m", True), ("p", False)]
 
 
+def test_definitions_are_compared_in_one_pass(spark):
+    """Settings that are deep, hold brackets and quotes in text, or give one path twice; one join, and no shuffle behind the write."""
+    deep = {"a": {"b": [[{"c": [1, {"d": "x"}]}]]}, "text": 'one " and ]}[{ \\', "k.l": 1, "k": {"l": 2}, "e": {}, "gone": []}
+    other = json.loads(json.dumps(deep))
+    other["a"]["b"][0][0]["c"][1]["d"], other["e"], other["k"]["l"] = "y", {"new": None}, 1
+    del other["gone"]
+    turned = dict(reversed(deep.items()))
+
+    def table(config):
+        return spark.createDataFrame([("p", json.dumps({"nodes": [{"id": "a", "type": "x", "config": config}], "edges": None}))], "pipeline_id STRING, definition STRING")
+
+    found = definitions.compare(table(deep), table(other))
+    assert rows_of(found.select(F.inline("settings"))) == [
+        ("a", "a.b[0][0].c[1].d", '"x"', '"y"'), ("a", "e", "{}", None), ("a", "e.new", None, "null"), ("a", "gone", "[]", None), ("a", "k.l", "2", "1"),
+    ]
+    assert not found.head().equal and definitions.compare(table(deep), table(turned)).head().equal
+    assert rows_of(definitions.diff_settings(table(deep), table(other))) == rows_of(found.select("pipeline_id", F.inline("settings")))
+    for df in (found, definitions.semantically_equal(table(deep), table(other)), definitions.diff_settings(table(deep), table(other))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_leaf_paths(spark):
     texts = ['{"a": {"b": [1, {"c": null}, []], "d": {}}, "e": "x\\"y", "f": 1.5}', "[]", '"s"', None]
     rows = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")

@@ -404,13 +404,14 @@ def definition_setting_diff(t):
     """
 )
 def definition_structure_diff(t):
-    before, after = definitions_of(t, False), definitions_of(t, True)
-    nodes = definitions.diff_nodes(before, after).select("pipeline_id", F.lit("node").alias("item"), F.col("node_id").alias("name"), "change")
-    edges = definitions.diff_edges(before, after).select("pipeline_id", F.lit("edge").alias("item"), F.concat("from", F.lit("->"), "to").alias("name"), "change")
-    equal = definitions.semantically_equal(before, after).select(
-        "pipeline_id", F.lit("equal").alias("item"), F.lit("").alias("name"), F.when(F.col("equal"), "same").otherwise("different").alias("change")
-    )
-    return nodes.unionByName(edges).unionByName(equal)
+    def entry(item, name, change):
+        return F.struct(F.lit(item).alias("item"), name.alias("name"), change.alias("change"))
+
+    found = definitions.compare(definitions_of(t, False), definitions_of(t, True))
+    nodes = F.transform("nodes", lambda n: entry("node", n["node_id"], n["change"]))
+    edges = F.transform("edges", lambda e: entry("edge", F.concat(e["from"], F.lit("->"), e["to"]), e["change"]))
+    equal = F.array(entry("equal", F.lit(""), F.when(F.col("equal"), F.lit("same")).otherwise(F.lit("different"))))
+    return found.select("pipeline_id", F.inline(F.concat(nodes, edges, equal)))
 
 
 @query(
