@@ -120,6 +120,20 @@ def test_reachability_of_deep_graphs(spark):
     assert reachable(_edges(spark, pairs), none).count() == 0
 
 
+def test_rounds_read_only_the_types_they_can_have_come_to(spark, monkeypatch):
+    import weir.lineage.reach as reach
+
+    tried = []
+    monkeypatch.setattr(reach, "_next", lambda steps, frontier, visited, kept=reach._next: (tried.append((rows_of(steps.select("type").distinct()), rows_of(visited.select("type").distinct()))), kept(steps, frontier, visited))[1])
+    rows = [("a", "1", "b", "1"), ("b", "1", "c", "1"), ("c", "1", "d", "1"), ("d", "2", "d", "3"), ("x", "1", "a", "1")]
+    schema = "from_type STRING, from_id STRING, to_type STRING, to_id STRING"
+    starts = spark.createDataFrame([("a", "1")], "type STRING, id STRING")
+    assert rows_of(reachable(spark.createDataFrame(rows, schema), starts)) == [("b", "1", 1), ("c", "1", 2), ("d", "1", 3)]
+    assert tried == [([("a",)], []), ([("b",)], []), ([("c",)], []), ([("d",)], [("d",)])]
+    unnamed = [*rows, ("c", "1", None, "1"), ("a", "1", None, "1")]
+    assert rows_of(reachable(spark.createDataFrame(unnamed, schema), starts), "id", "distance") == [("1", 1), ("1", 1), ("1", 2), ("1", 3)]
+
+
 def test_columns(spark):
     spark.createDataFrame([(1, 2, "x")], "a INT, b INT, c STRING").createOrReplaceTempView("lineage_t")
     described = describe_select(spark.sql("SELECT a + b AS total, upper(c) AS c, 1 AS one FROM lineage_t WHERE a > 0 ORDER BY c LIMIT 3"))

@@ -10,6 +10,9 @@ from weir.session import cut_lineage, plain_unions, scratch_path
 #: Rounds before what is left of the graph is searched for chains.
 PLAIN_ROUNDS = 12
 
+#: Pairs of node types that a round's steps are picked by; a graph with more of them is searched whole in every round.
+KINDS = 400
+
 _NODE = ["type", "id"]
 _VISITED = "type STRING, id STRING, distance BIGINT, round INT"
 
@@ -39,13 +42,24 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "down") -> D
     folder = scratch_path(spark, "reached")
     first = starts.select(*_NODE).distinct().withColumn("distance", F.lit(0).cast("bigint"))
     turn, found, chains = 0, _add(first, folder, 0), None
+    # a round reads only the steps from the types it can have come to, and the visited nodes of the types these lead to
+    kinds, begun = _kinds(steps), [r["type"] for r in first.select("type").distinct().limit(KINDS).collect()]
+    types = set(begun) if len(begun) < KINDS else None
     while found:
         if turn == PLAIN_ROUNDS:
             steps, chains = _contracted(steps, _nearest(_visited(spark, folder)))
-        fresh = _next(steps, spark.read.schema("type STRING, id STRING, distance BIGINT").parquet(f"{folder}/round={turn}"), _visited(spark, folder))
+            kinds = _kinds(steps)
+        tried, known, ahead = steps, _visited(spark, folder), None
+        if kinds is not None and types is not None:
+            ahead = {there for here, there in kinds if here in types}
+            tried, known = steps.where(F.col("type").isin(*types)), known.where(F.col("type").isin(*ahead))
+        fresh = _next(tried, spark.read.schema("type STRING, id STRING, distance BIGINT").parquet(f"{folder}/round={turn}"), known)
+        types = ahead
         turn += 1
         found = _add(fresh, folder, turn)
-    reached = _nearest(_visited(spark, folder))
+    reached = _visited(spark, folder).select(*_NODE, "distance")
+    if chains is not None:  # before, steps are of one length and no node is found again
+        reached = _nearest(reached)
     if chains is not None:
         heads = reached.select(F.col("type").alias("head_type"), F.col("id").alias("head_id"), F.col("distance").alias("before"))
         inner = chains.join(heads, ["head_type", "head_id"]).select(*_NODE, (F.col("before") + F.col("depth")).alias("distance"))
@@ -60,6 +74,12 @@ def _add(df: DataFrame, folder: str, turn: int) -> int:
     return seen.get["rows"]
 
 
+def _kinds(steps: DataFrame) -> set[tuple[str, str]] | None:
+    """The types that steps lead from and to; None if there are too many, or unnamed ones."""
+    pairs = steps.select("type", "next_type").distinct().limit(KINDS).collect()
+    return {(r["type"], r["next_type"]) for r in pairs} if len(pairs) < KINDS and all(r["next_type"] is not None for r in pairs) else None
+
+
 def _visited(spark, folder: str) -> DataFrame:
     return spark.read.schema(_VISITED).parquet(folder)
 
