@@ -495,3 +495,26 @@ def test_partitioned_csv_keeps_blanks_times_and_nested_values(spark, folder):
     write_object(df, f"{folder}/out", RunInfo(), "csv", ["k"])
     back = read_csv(spark, f"{folder}/out/k=x", infer_types=False)
     assert [tuple(r) for r in back.collect()] == [("  a ", "2024-01-02T03:04:05.000", "[1,2]")]
+
+
+def test_few_lines_of_a_batch_are_python_objects_at_once():
+    import pyarrow as pa
+    from weir.sources import splits
+
+    taken = []
+
+    class Batch:
+        def __init__(self, batch):
+            self.batch, self.num_rows = batch, batch.num_rows
+
+        def slice(self, at, length):
+            return Batch(self.batch.slice(at, length))
+
+        @property
+        def columns(self):
+            taken.append(self.num_rows)
+            return self.batch.columns
+
+    batch = Batch(pa.RecordBatch.from_pydict({"value": [str(n) for n in range(5000)], "file": ["f"] * 5000, "split": [n // 3000 for n in range(5000)]}))
+    assert [(key, list(lines)) for key, lines in splits.by_split([batch])] == [(("f", 0), [str(n) for n in range(3000)]), (("f", 1), [str(n) for n in range(3000, 5000)])]
+    assert max(taken) <= 256

@@ -20,6 +20,9 @@ NULL_VALUES = ("", "NULL", "null", "\\N")
 
 _RAW = "__raw_record"
 
+#: Characters of the records that a task gives on at once.
+BATCH_CHARACTERS = 1 << 20
+
 
 def unique_header(names: Sequence[str | None]) -> list[str]:
     """Blank names become `column_N`, repeats get `_2`, `_3`, ..., the first that no column has."""
@@ -177,7 +180,7 @@ def _records(spark: SparkSession, paths: list[str], delimiter: str) -> tuple[Dat
 
     def cut(batches):
         for (file, split), values in by_split(batches):
-            rows, held, fresh = [], [], split == 0
+            rows, held, fresh, size = [], [], split == 0, 0
             state = within = (file, split) in begun  # `within`: the held lines began in an earlier split
             for value in values:
                 if fresh and not state:
@@ -189,10 +192,10 @@ def _records(spark: SparkSession, paths: list[str], delimiter: str) -> tuple[Dat
                 if not state:
                     text = "\n".join(held)
                     rows.append((text.removesuffix("\r"), 0 if within else 1, fresh and not within))
-                    held, within, fresh = [], False, False
-                    if len(rows) == 4096:
+                    held, within, fresh, size = [], False, False, size + len(text)
+                    if len(rows) == 4096 or size >= BATCH_CHARACTERS:
                         yield _batch(file, split, rows)
-                        rows = []
+                        rows, size = [], 0
             if held:
                 rows.append(("\n".join(held), 0 if within else 2, fresh and not within))
             if rows:

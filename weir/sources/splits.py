@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 Split = tuple[str, int]
 
+#: Lines of a batch that are Python objects at once.
+LINES = 256
+
 
 def read_lines(spark: SparkSession, path: str | list[str], end: str = "\n") -> DataFrame:
     """value, file, split (where it begins in the file); lines end at line feeds, or at another character."""
@@ -23,8 +26,9 @@ def read_lines(spark: SparkSession, path: str | list[str], end: str = "\n") -> D
 
 
 def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Split, Iterator[str]]]:
-    """The lines of each split in order."""
-    rows = ((file, split, value) for batch in batches for value, file, split in zip(*(c.to_pylist() for c in batch.columns)))
+    """The lines of each split in order; a few of a batch at a time become Python objects."""
+    parts = (batch.slice(at, LINES) for batch in batches for at in range(0, batch.num_rows, LINES))
+    rows = ((file, split, value) for part in parts for value, file, split in zip(*(c.to_pylist() for c in part.columns)))
     for key, part in groupby(rows, lambda r: (r[0], r[1])):
         yield key, (value for _, _, value in part)
 
