@@ -6,6 +6,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_file
 
+from weir.llm import pieces
 from weir.llm.pieces import decode, encode, vocabulary
 
 TEXTS = [
@@ -65,3 +66,19 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert got.where("doc_id in (1, 2)").where("octet_length(ids) = 0").count() == 2
     assert encode(no_docs).collect() == []
     assert vocabulary().longest == 16
+
+
+def test_nothing_is_stored_or_shuffled(spark, sf):
+    plan = encode(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Exchange hashpartitioning" not in physical and "Aggregate" not in physical and "units-" not in physical
+
+
+def test_small_chunks_and_long_units_equal_library(spark, unigram, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(pieces, "CHUNK_UNITS", 5)
+    texts = [*TEXTS, "abc." * 50, "é" * 150 + "ab", "(a)b.c, abc\n\nca 日.本", "cab" * 70]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for path in (public_tokenizers.path("piece_bpe_32k.model"), unigram):
+        assert encoded(df, path) == {n: library_ids(path, t) for n, t in enumerate(texts)}

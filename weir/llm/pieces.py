@@ -1,9 +1,11 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-A text is cut where no piece of the vocabulary can lie across: before each run of spaces, which are written as `▁`. Texts are kept in chunks of
-bounded size, each with its distinct units, so a unit is looked at once for each chunk and nothing has to be brought together over all texts.
-Every substring of a unit that is no longer than the longest piece is exploded and joined to the table of pieces; those that match are the
-edges of the unit's lattice. Edges are grouped by unit, and a path is folded over them by a higher-order aggregate:
+A text is cut where no piece of the vocabulary can lie across: before each run of spaces, which are written as `▁`, and between characters that no chain
+of neighbours in pieces connects, such as letters and full stops. Each task takes its texts in chunks of
+bounded size and passes on the texts of a chunk as numbers of its distinct units, then these units, so a unit is looked at once for each chunk.
+The substrings of a unit that are no longer than the longest piece are exploded and joined to the table of pieces (broadcast), longer ones only where a
+piece begins as they do; those that match are the edges of the unit's lattice. Explode and join keep the order of rows, so the edges of a unit come
+one after the other behind the texts that hold it: nothing is shuffled or stored. A path is folded over the edges, for all units of a batch at once:
 
 * for a unigram model the best sum of scores over positions from left to right (Viterbi);
 * for a byte-pair model the merges in the order of their scores, where an edge that spans exactly two parts of the present path is a merge. Viterbi over
@@ -16,26 +18,30 @@ from __future__ import annotations
 
 import functools
 import heapq
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.text import need
-from weir.session import scratch_path
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Longer units are encoded by the same rule in one function, as a path is kept in the bits of one number.
 LONGEST = 60
-CHUNK_BYTES = 16_000_000
-CHUNKS = "chunk long, doc_ids array<long>, lengths array<int>, numbers binary, units array<string>"
+#: A chunk ends with the text that brings it to so many distinct units or characters.
+CHUNK_UNITS, CHUNK_CHARACTERS = 200_000, 16_000_000
+UNITS = "number long, unit string, texts binary"
+#: Longest beginning of a piece that a substring is joined to before it is joined to longer pieces.
+HEAD = 4
+#: So many kinds of characters are told apart where texts are cut, the rest is one.
+CLASSES = 8
+#: Edges that are folded at once, and bytes of ids in one batch of results.
+FOLDED, BATCH_BYTES = 200_000, 4_000_000
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BYTE_PAIR = 1, 2
@@ -51,7 +57,7 @@ class Vocabulary:
     data: tuple[bytes, ...]
     first_byte: int
     kind: int
-    newline_apart: bool
+    cut: re.Pattern
     prefix: bool
 
     @property
@@ -59,6 +65,26 @@ class Vocabulary:
         return max(len(p) for p, _, _ in self.pieces)
 
 
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """What cuts texts into units: signs for spaces with the characters of one kind behind them. Characters are of one kind if they stand side by side in a piece."""
+    leads: dict[str, str] = {}
+
+    def lead(char: str) -> str:
+        while leads.setdefault(char, char) != char:
+            leads[char] = char = leads[leads[char]]
+        return char
+
+    for piece in pieces:
+        word = piece.lstrip(SPACE)
+        for a, b in zip(word, word[1:]):
+            leads[lead(a)] = lead(b)
+    kinds: dict[str, list[str]] = {}
+    for char in sorted(leads):
+        kinds.setdefault(lead(char), []).append(re.escape(char))
+    sets = ["".join(kind) for kind in sorted(kinds.values(), key=len, reverse=True)[:CLASSES]]
+    return re.compile(f"{SPACE}*(?:{''.join(f'[{kind}]+|' for kind in sets)}[^{SPACE}{''.join(sets)}]+)|{SPACE}+")
+
+
 @functools.cache
 def vocabulary(path: str | None = None) -> Vocabulary:
     """The vocabulary of a model file without normalisation and with bytes for unknown characters; others raise ValueError."""
@@ -80,124 +106,193 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     if byte_ids != [*range(byte_ids[0], byte_ids[0] + 256)]:
         raise ValueError(f"{path} does not have its bytes in order")
     pieces = tuple((p.piece, n, p.score) for n, p in enumerate(model.pieces) if p.type == NORMAL)
+    if len(model.pieces) > _ID:
+        raise ValueError(f"{path} has more pieces than an edge can name")
     if any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces):
         raise ValueError(f"{path} has pieces over several words")
     data = [b"" if p.type in (UNKNOWN, CONTROL) else bytes([n - byte_ids[0]]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for n, p in enumerate(model.pieces)]
-    return Vocabulary(pieces, tuple(data), byte_ids[0], kind, not any("\n" in p for p, _, _ in pieces), normal.add_dummy_prefix)
+    return Vocabulary(pieces, tuple(data), byte_ids[0], kind, unit_pattern([p for p, _, _ in pieces]), normal.add_dummy_prefix)
+
+
+def units(text: str | None, cut: re.Pattern, prefix: bool) -> list[str]:
+    """The text cut where no piece can cross, spaces as signs and one in front if the model asks for it."""
+    return cut.findall((SPACE if prefix else "") + text.replace(" ", SPACE)) if text else []
+
 
+class _Places(dict):
+    """Numbers for units in the order in which they are first seen."""
 
-def units(text: str | None, newline_apart: bool, prefix: bool) -> list[str]:
-    """The text cut where no piece can cross, spaces as signs and one in front if the model asks for it; a line's end stands alone if no piece has one."""
-    if not text:
-        return []
-    escaped = (SPACE if prefix else "") + text.replace(" ", SPACE)
-    if not newline_apart or "\n" not in escaped:
-        return UNIT.findall(escaped)
-    lines = escaped.split("\n")
-    found = UNIT.findall(lines[0])
-    for line in lines[1:]:
-        found.append("\n")
-        found += UNIT.findall(line)
-    return found
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        return number
 
 
-def _chunks(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
-    """Texts as numbers of their chunk's distinct units, written to the shared folder."""
+def _units(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
+    """For each chunk one row with the texts as numbers of its distinct units and these units, then a row for each unit of two to LONGEST characters."""
 
     def split(batches):
-        task, number, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
-        place: dict[str, int] = {}
-        ids, lengths, parts, size = [], [], [], 0
+        place, ids, parts, size = _Places(), [], [], 0
 
         def chunk():
-            numbers = packer.compress(np.concatenate([np.empty(0, dtype=np.uint32), *parts]).tobytes())
-            return pa.RecordBatch.from_pylist([dict(chunk=(task << 32) + number, doc_ids=ids, lengths=lengths, numbers=numbers, units=list(place))], schema=schema)
+            names, numbers = list(place), parts
+            place.clear()
+            sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+            if len(names) and sizes.max() > LONGEST:  # longer units have the last numbers
+                order = np.argsort(sizes > LONGEST, kind="stable")
+                moved = np.empty(len(names), dtype=np.uint32)
+                moved[order] = np.arange(len(names), dtype=np.uint32)
+                names, numbers, sizes = [names[n] for n in order], [moved[n] for n in parts], sizes[order]
+            short = int((sizes <= LONGEST).sum())
+            chars = np.frombuffer("".join(names[:short]).encode("utf-32-le"), dtype=np.uint32)
+            texts = pickle.dumps((ids, numbers, names[short:], sizes[:short], chars))
+            del numbers, chars
+            parts.clear()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([texts], pa.binary())], schema=schema)
+            del texts
+            for first in range(0, short, 10_000):
+                some = [n for n in range(first, min(first + 10_000, short)) if len(names[n]) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([names[n] for n in some], pa.string()), pa.nulls(len(some), pa.binary())], schema=schema)
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = units(value.as_py(), apart, prefix)
-                for unit in set(found).difference(place):
-                    place[unit] = len(place)
+                found = units(value.as_py(), cut, prefix)
                 parts.append(np.fromiter(map(place.__getitem__, found), dtype=np.uint32, count=len(found)))
                 ids.append(doc)
-                lengths.append(len(found))
                 size += sum(map(len, found))
-                if size >= CHUNK_BYTES:
-                    yield chunk()
-                    number += 1
-                    place, ids, lengths, parts, size = {}, [], [], [], 0
+                if len(place) >= CHUNK_UNITS or size >= CHUNK_CHARACTERS:
+                    yield from chunk()
+                    place, ids, parts, size = _Places(), [], [], 0
         if ids:
-            yield chunk()
-
-    apart, prefix = v.newline_apart, v.prefix
-    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("numbers", pa.binary()), ("units", pa.list_(pa.string()))])
-    texts = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    path = scratch_path(df.sparkSession, "units")
-    texts.mapInArrow(split, CHUNKS).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(CHUNKS).parquet(path)
-
-
-def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    """piece, id, rank (0 is the best score), score."""
-    order = {p: n for n, (p, _, _) in enumerate(sorted(v.pieces, key=lambda p: (-p[2], p[1])))}
-    return spark.createDataFrame([(p, n, order[p], s) for p, n, s in v.pieces], "piece string, id int, rank int, score double")
-
-
-# Shifts to the right are functions here: the parser takes `>>` for the end of a type once it has read `array` or `struct`.
-# An edge is one number: rank, start, end and id, from the highest bits to the lowest, so edges sort as merges are tried.
-_EDGE = "(cast(rank AS BIGINT) << 32) | (cast(start AS BIGINT) << 26) | (cast(start + length(piece) AS BIGINT) << 20) | cast(id AS BIGINT)"
-_START, _END, _ID = "cast(shiftright(e, 26) & 63 AS INT)", "cast(shiftright(e, 20) & 63 AS INT)", "cast(e & 1048575 AS INT)"
-_INNER = f"(((1L << ({_END} - {_START} - 1)) - 1L) << ({_START} + 1))"
-#: One merge: the first edge whose ends are cuts of the path m with exactly one cut between them; that cut goes.
-_MERGE = (
-    f"coalesce(m & ~get(transform(filter(edges, e -> {_END} - {_START} > 1 AND (shiftright(m, {_START}) & 1L) = 1L AND (shiftright(m, {_END}) & 1L) = 1L "
-    f"AND bit_count(m & {_INNER}) = 1), e -> {_INNER}), 0), m)"
-)
-#: The positions of the cuts of a path m. It is the last step of the fold itself, so that the fold is not done again for each position.
-_PARTS = "m -> filter(sequence(0, n), i -> (shiftright(m, i) & 1L) = 1L)"
-_MERGED = f"CASE WHEN n > 1 THEN aggregate(sequence(2, n), (1L << (n + 1)) - 1L, (m, i) -> {_MERGE}, {_PARTS}) ELSE array(0, 1) END"
-
-
-def _viterbi(unknown: float) -> str:
-    """The cuts of the path of greatest score: at each position the best way to it, and from the end the ways back."""
-    way = f"struct(get(best, {_START}).score + get(scores, {_ID}) AS score, -{_START} AS back)"
-    plain = f"struct(get(best, i - 1).score + {unknown}D AS score, 1 - i AS back)"
-    step = f"concat(best, array(array_max(concat(array({plain}), transform(filter(edges, e -> {_END} = i), e -> {way})))))"
-    back = "CASE WHEN s.at = 0 THEN s ELSE struct(s.m | (1L << (-get(best, s.at).back)) AS m, -get(best, s.at).back AS at) END"
-    ways = f"aggregate(sequence(1, n), struct(1L << n AS m, n AS at), (s, i) -> {back}, s -> filter(sequence(0, n), i -> (shiftright(s.m, i) & 1L) = 1L))"
-    return f"aggregate(sequence(1, n), array(struct(0D AS score, 0 AS back)), (best, i) -> {step}, best -> {ways})"
-
-
-def _byte_ids(char: str, first_byte: int) -> str:
-    code = f"hex(encode({char}, 'UTF-8'))"
-    return f"transform(sequence(1, length({code}), 2), k -> {first_byte} + cast(conv(substring({code}, k, 2), 16, 10) AS INT))"
-
-
-def lattice(units: DataFrame, v: Vocabulary, *keys: str) -> DataFrame:
-    """Units (keys and `unit`, not empty and of LONGEST characters at most) with the sorted edges of their lattice; those without any are left out."""
-    table = F.broadcast(piece_table(units.sparkSession, v))  # as large as the vocabulary file
-    starts = units.select(*keys, "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
-    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("unit") - F.col("start") + 1))).alias("many"))
-    parts = spans.select(*keys, "unit", (F.col("start") - 1).alias("start"), F.expr("substring(unit, start, many)").alias("piece"))
-    edges = parts.join(table, "piece").select(*keys, "unit", F.expr(_EDGE).alias("edge"))
-    return edges.groupBy(*keys, "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-
-def folded(units: DataFrame, v: Vocabulary) -> DataFrame:
-    """Adds `ids` to rows with `unit` and its lattice's `edges`."""
-    ready = units.withColumn("n", F.length("unit"))
+            yield from chunk()
+
+    cut, prefix = v.cut, v.prefix
+    schema = pa.schema([("number", pa.int64()), ("unit", pa.string()), ("texts", pa.binary())])
+    return need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, UNITS)
+
+
+def piece_tables(spark: SparkSession, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """Beginnings of pieces of 2 to HEAD characters: head, head_id if it is a piece, tries (0 for the head itself, and the lengths of longer pieces from HEAD on); the longer pieces: piece, id."""
+    heads: dict[str, tuple[int | None, list[int]]] = {p: (n, [0]) for p, n, _ in v.pieces if 2 <= len(p) <= HEAD}
+    longer = [(p, n) for p, n, _ in v.pieces if len(p) > HEAD]
+    for p, _ in longer:
+        heads.setdefault(p[:HEAD], (None, []))[1].append(len(p))
+    rows = [(h, n, sorted({*tries})) for h, (n, tries) in heads.items()]
+    return spark.createDataFrame(rows, "head string, head_id long, tries array<int>"), spark.createDataFrame(longer, "piece string, id long")
+
+
+#: An edge is one number: its unit's number, start (6 bits) and id (21 bits).
+_START, _ID = 21, (1 << 21) - 1
+_EDGE = f"shiftleft(number, {_START + 6}) | cast((start - 1) * {1 << _START} AS BIGINT) | if(try = 0, head_id, id)"
+
+
+def lattice(units: DataFrame, v: Vocabulary) -> DataFrame:
+    """The edges of over one character of units, in their order. Rows with `texts` pass."""
+    heads, longer = (F.broadcast(t) for t in piece_tables(units.sparkSession, v))  # as large as the vocabulary file
+    starts = units.select("*", F.explode_outer(F.sequence(F.lit(1), F.length("unit") - 1)).alias("start"))
+    left = F.length("unit") - F.col("start") + 1
+    spans = starts.select("*", F.explode_outer(F.when(F.col("texts").isNull(), F.sequence(F.lit(2), F.least(F.lit(HEAD), left)))).alias("many"))
+    parts = spans.withColumn("part", F.expr("substring(unit, start, many)"))
+    begun = parts.join(heads, F.col("part") == F.col("head"), "left").where("head IS NOT NULL OR texts IS NOT NULL")
+    tried = begun.select("number", "unit", "start", "head_id", "texts", F.explode_outer("tries").alias("try"))
+    whole = tried.withColumn("part", F.when((F.col("try") > 0) & (F.col("try") <= left), F.expr("substring(unit, start, try)")))
+    edges = whole.join(longer, F.col("part") == F.col("piece"), "left").where("id IS NOT NULL OR try = 0 OR texts IS NOT NULL")
+    return edges.select(F.expr(_EDGE).alias("edge"), "texts")
+
+
+def _merges(unit: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which edges of over one character are parts of the units' paths: of each unit the first edge by rank and place that spans two parts is merged, until none is left."""
+    one = np.uint64(1)
+    bits = lambda n: one << n.astype(np.uint64)
+    path = bits(sizes + 1) - one  # the cuts of each unit
+    ends, inner = bits(start) | bits(end), bits(end) - bits(start + 1)
+    left = np.lexsort((start, rank, unit))
+    while len(left):
+        own, between = path[unit[left]], inner[left]
+        between &= own
+        whole = ((own & ends[left]) == ends[left]) & (between != 0)  # cuts only go: what fails here fails for good
+        left, between = left[whole], between[whole]
+        ready = left[(between & (between - one)) == 0]
+        first = ready[np.flatnonzero(np.diff(unit[ready], prepend=-1))]
+        path[unit[first]] &= ~inner[first]
+        merged = np.zeros(len(sizes), dtype=bool)
+        merged[unit[first]] = True
+        left = left[merged[unit[left]]]
+    own = path[unit]
+    return ((own & ends) == ends) & ((own & inner) == 0)
+
+
+def _best(unit: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which edges are on the units' paths of greatest score; of equal ones the longer last edge."""
+    base = np.cumsum(sizes + 1) - sizes - 1
+    best, way = np.zeros(int((sizes + 1).sum())), np.zeros(int((sizes + 1).sum()), dtype=np.int64)
+    order = np.lexsort((start, unit, end))
+    for step in np.split(order, np.flatnonzero(np.diff(end[order])) + 1):
+        sums = best[base[unit[step]] + start[step]] + score[step]
+        heads = np.flatnonzero(np.diff(unit[step], prepend=-1))
+        most = np.maximum.reduceat(sums, heads)
+        hits = np.flatnonzero(sums == np.repeat(most, np.diff(heads, append=len(step))))
+        hits = hits[np.flatnonzero(np.diff(unit[step[hits]], prepend=-1))]
+        at = (base[unit[step]] + end[step])[hits]
+        best[at], way[at] = sums[hits], step[hits]
+    taken = np.zeros(len(unit), dtype=bool)
+    here, at = np.arange(len(sizes)), sizes.copy()
+    while len(here):
+        last = way[base[here] + at]
+        taken[last] = True
+        at = start[last]
+        here, at = here[at > 0], at[at > 0]
+    return taken
+
+
+@dataclass
+class _Tables:
+    """By id: how many characters a piece has, its rank (0 is the best score), its score. By code point: the id of the piece of one character, or -1. What a character without a piece scores."""
+
+    lengths: np.ndarray
+    ranks: np.ndarray
+    scores: np.ndarray
+    single: np.ndarray
+    unknown: float
+
+    @classmethod
+    def of(cls, v: Vocabulary) -> _Tables:
+        lengths, ranks, scores = (np.zeros(len(v.data), dtype=kind) for kind in (np.int64, np.int64, np.float64))
+        single = np.full(0x110000, -1, dtype=np.int32)
+        for rank, (piece, n, score) in enumerate(sorted(v.pieces, key=lambda p: (-p[2], p[1]))):
+            lengths[n], ranks[n], scores[n] = len(piece), rank, score
+            if len(piece) == 1:
+                single[ord(piece)] = n
+        return cls(lengths, ranks, scores, single, min(score for _, _, score in v.pieces) - UNKNOWN_PENALTY)
+
+
+def folded(edges: np.ndarray, first: int, sizes: np.ndarray, chars: np.ndarray, v: Vocabulary, t: _Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Of units from number `first` on, with their sizes and code points and their edges: how many ids each has, and the ids one after the other."""
+    base = np.cumsum(sizes) - sizes
+    unit, start, ids = (edges >> (_START + 6)) - first, (edges >> _START) & 63, edges & _ID
+    length, code = t.lengths[ids], t.single[chars].astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     if v.kind == BYTE_PAIR:
-        cut = ready.withColumn("at", F.expr(_MERGED))
+        used = np.flatnonzero(_merges(unit, start, start + length, t.ranks[ids], sizes))
     else:
-        scores = {n: s for _, n, s in v.pieces}
-        worst = min(scores.values()) - UNKNOWN_PENALTY
-        listed = F.array(*[F.lit(float(scores.get(n, worst))) for n in range(len(v.data))])
-        cut = ready.withColumn("scores", listed).withColumn("at", F.expr(_viterbi(worst))).drop("scores")
-    found = f"get(transform(filter(edges, e -> {_START} = get(at, j) AND {_END} = get(at, j + 1)), e -> {_ID}), 0)"
-    raw = cut.withColumn("ids", F.expr(f"transform(sequence(0, size(at) - 2), j -> {found})"))
-    char = "substring(unit, get(at, j) + 1, 1)"
-    whole = f"flatten(transform(sequence(0, size(at) - 2), j -> CASE WHEN get(ids, j) IS NULL THEN {_byte_ids(char, v.first_byte)} ELSE array(get(ids, j)) END))"
-    return raw.withColumn("ids", F.expr(f"CASE WHEN exists(ids, x -> x IS NULL) THEN {whole} ELSE ids END")).drop("edges", "n", "at")
+        place = np.arange(len(chars)) - base[owner]
+        scores = np.where(code < 0, t.unknown, t.scores[code])
+        used = np.flatnonzero(_best(*map(np.concatenate, ((owner, unit), (place, start), (place + 1, start + length), (scores, t.scores[ids]))), sizes)) - len(chars)
+        used = used[used >= 0]
+    at = base[unit[used]] + start[used]
+    covered = np.zeros(len(chars) + 1, dtype=np.int8)
+    covered[at + 1] += 1  # parts share neither starts nor ends
+    covered[at + length[used]] -= 1
+    begins = np.cumsum(covered, dtype=np.int8)[:-1] == 0
+    code[at] = ids[used]
+    owner, code, chars = owner[begins], code[begins], chars[begins]
+    odd = code < 0
+    if odd.any():
+        data = [chr(c).encode() for c in chars[odd].tolist()]
+        many = np.ones(len(code), dtype=np.int64)
+        many[odd] = [*map(len, data)]
+        owner, code, odd = np.repeat(owner, many), np.repeat(code, many), np.repeat(odd, many)
+        code[odd] = v.first_byte + np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64)
+    return np.bincount(owner, minlength=len(sizes)), code.astype(np.uint32)
 
 
 def long_unit(text: str, ranks: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
@@ -231,59 +326,99 @@ def long_unit(text: str, ranks: dict[str, tuple[int, int]], first_byte: int) ->
     return out
 
 
+def long_unit_of_scores(text: str, scores: dict[str, tuple[float, int]], longest: int, unknown: float, first_byte: int) -> list[int]:
+    """The rule of scores for a unit of any length: the best way to each place, then the ways back."""
+    best, way = [0.0], [0]
+    for end in range(1, len(text) + 1):
+        top, back = best[end - 1] + unknown, end - 1
+        for start in range(max(0, end - longest), end):
+            if (hit := scores.get(text[start:end])) and (best[start] + hit[0], -start) > (top, -back):
+                top, back = best[start] + hit[0], start
+        best.append(top)
+        way.append(back)
+    parts, end = [], len(text)
+    while end:
+        parts.append(text[way[end] : end])
+        end = way[end]
+    return [n for part in reversed(parts) for n in ([scores[part][1]] if part in scores else [first_byte + x for x in part.encode()])]
+
+
 def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """One row for each row of `df`: doc_id, ids (32-bit little-endian) of its pieces, as the library gives them.
 
     A null or empty text has no ids. A null id is kept, repeated rows are encoded alike. No rows give none. Units of over LONGEST
-    characters are not in the lattice of a byte-pair model but merged by the same rule in a function; a unigram model raises for them.
+    characters are not in the lattice but take the same rule in a function.
     """
     v = vocabulary(model)
-    spark = df.sparkSession
-    chunks = _chunks(df, id, text, v)
-    held = chunks.repartition("chunk")
-    each = held.select("chunk", F.posexplode("units").alias("number", "unit"))
-    short = each.where(F.length("unit") <= LONGEST)
-    paths = folded(lattice(short, v, "chunk", "number"), v).select("chunk", "number", "ids")
-    known = paths.groupBy("chunk").agg(F.collect_list(F.struct("number", "ids")).alias("k")).select("chunk", F.col("k.number").alias("at"), F.col("k.ids").alias("ids"))
-    placed = held.join(known, "chunk", "left").select("doc_ids", "lengths", "numbers", "units", "at", "ids")
     order = {p: n for n, (p, _, _) in enumerate(sorted(v.pieces, key=lambda p: (-p[2], p[1])))}
-    shared = spark.sparkContext.broadcast({p: (order[p], n) for p, n, _ in v.pieces})
-    first_byte, byte_pair = v.first_byte, v.kind == BYTE_PAIR
+    # As large as the vocabulary file.
+    shared = df.sparkSession.sparkContext.broadcast((v, {p: (order[p] if v.kind == BYTE_PAIR else s, n) for p, n, s in v.pieces}))
 
     def gather(batches):
+        v, pieces = shared.value
+        tables, longest = _Tables.of(v), v.longest
+        chunk: tuple = ()  # the texts' ids, their numbers of units, the longer units; of the others sizes, code points and where each begins
+        held, many, first, done = [], 0, 0, []
+
+        def fold(finished: bool) -> None:
+            """Folds the edges held; without `finished` those of the last unit stay, as more may come."""
+            nonlocal held, many, first
+            sizes, chars, begin = chunk[3:]
+            edges = np.concatenate([np.empty(0, dtype=np.int64), *held])
+            number = edges >> (_START + 6)
+            until = len(sizes) if finished or not len(edges) else int(number[-1])
+            stop = int(np.searchsorted(number, until))
+            if len(edges) and (number[0] < first or (np.diff(number) < 0).any()):
+                raise RuntimeError("edges came in another order than they were made in")
+            done.append(folded(edges[:stop], first, sizes[first:until], chars[begin[first] : begin[until]], v, tables))
+            held, many, first = [edges[stop:]], len(edges) - stop, until
+
+        def long(unit: str) -> np.ndarray:
+            return np.array(
+                long_unit(unit, pieces, v.first_byte) if v.kind == BYTE_PAIR else long_unit_of_scores(unit, pieces, longest, tables.unknown, v.first_byte), dtype=np.uint32
+            )
+
+        def results():
+            if not chunk:
+                return
+            fold(True)
+            docs, parts, longer = chunk[:3]
+            for unit in longer:
+                ids = long(unit)
+                done.append((np.array([len(ids)]), ids))
+            sizes, flat = (np.concatenate(both) for both in zip(*done))
+            starts = np.cumsum(sizes) - sizes
+            found, out, size = [], [], 0
+            for doc, mine in zip(docs, parts):
+                each = sizes[mine]
+                ends = np.cumsum(each)
+                total = int(ends[-1]) if len(ends) else 0
+                found.append(doc)
+                out.append(flat[np.repeat(starts[mine] - (ends - each), each) + np.arange(total)].astype("<u4").tobytes())
+                size += 4 * total
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                    found, out, size = [], [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+
         for batch in batches:
-            for row in (batch.slice(n, 1) for n in range(len(batch))):
-                names = row.column(3)[0]
-                many = len(names)
-                sizes = np.zeros(many, dtype=np.int64)
-                starts = np.zeros(many, dtype=np.int64)
-                flat_ids = np.empty(0, dtype=np.uint32)
-                seen = np.zeros(many, dtype=bool)
-                if row.column(4)[0].is_valid:
-                    at = row.column(4)[0].values.to_numpy()
-                    lists = row.column(5)[0].values
-                    flat_ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-                    lengths = lists.value_lengths().to_numpy().astype(np.int64)
-                    sizes[at], starts[at], seen[at] = lengths, np.cumsum(lengths) - lengths, True
-                for n in np.flatnonzero(~seen):  # long ones, and those without any edge
-                    if not byte_pair and len(names[int(n)].as_py()) > LONGEST:
-                        raise ValueError(f"a unit has over {LONGEST} characters")
-                    extra = np.array(long_unit(names[int(n)].as_py(), shared.value, first_byte), dtype=np.uint32)
-                    sizes[n], starts[n] = len(extra), len(flat_ids)
-                    flat_ids = np.concatenate([flat_ids, extra])
-                flat = np.frombuffer(zstandard.decompress(row.column(2)[0].as_py()), dtype=np.uint32)
-                lengths = np.array(row.column(1)[0].as_py(), dtype=np.int64)
-                ends = np.cumsum(lengths)
-                docs = []
-                for length, end in zip(lengths, ends):
-                    mine = flat[end - length : end]
-                    size = sizes[mine]
-                    stop = np.cumsum(size)
-                    total = int(stop[-1]) if len(stop) else 0
-                    docs.append(flat_ids[np.repeat(starts[mine] - (stop - size), size) + np.arange(total)].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([row.column(0)[0].values, pa.array(docs, pa.binary())], names=["doc_id", "ids"])
-
-    return placed.mapInArrow(gather, "doc_id long, ids binary")
+            edges, texts, begin = batch.column(0), batch.column(1), 0
+            for at in [*np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
+                if at > begin:
+                    held.append(edges.slice(begin, at - begin).to_numpy(zero_copy_only=False).copy())
+                    many += at - begin
+                if at < len(batch):
+                    yield from results()
+                    held, many, first, done, chunk = [], 0, 0, [], ()
+                    found_texts = pickle.loads(texts[at].as_py())
+                    chunk = (*found_texts, np.concatenate([[0], np.cumsum(found_texts[3])]))
+                elif many >= FOLDED:
+                    fold(False)
+                begin = at + 1
+        yield from results()
+
+    return lattice(_units(df, id, text, v), v).mapInArrow(gather, "doc_id long, ids binary")
 
 
 def decoder(model: str | None = None):
