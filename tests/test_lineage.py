@@ -6,7 +6,7 @@ from conftest import rows_of
 
 from weir.errors import ConfigError
 from weir.lineage import (
-    column_lineage, describe_select, lineage_edges, lineage_nodes, merge_edges, merge_nodes, parse_definitions, producers, reachable, unresolved, unused_columns,
+    column_lineage, describe_select, first_nodes, lineage_edges, lineage_nodes, merge_edges, merge_nodes, parse_definitions, producers, reachable, unresolved, unused_columns,
 )
 
 SPEC = {
@@ -56,6 +56,13 @@ def test_nodes_and_gaps(parsed):
     assert merge_edges(edges, edges).count() == edges.count() == 7
 
 
+def test_first_nodes_equal_merged_nodes_in_one_grouping(parsed):
+    first, merged = first_nodes(parsed), merge_nodes(lineage_nodes(parsed))
+    assert first.columns == merged.columns and rows_of(first) == rows_of(merged)
+    assert first_nodes(parsed)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert "Window" not in merge_nodes(lineage_nodes(parsed))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reachability_with_cycle(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "a"), ("d", "d")]
     edges = spark.createDataFrame([("dataset", f, "dataset", t) for f, t in pairs], "from_type STRING, from_id STRING, to_type STRING, to_id STRING")

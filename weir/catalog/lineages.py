@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from weir.catalog.registry import query
-from weir.lineage import column_lineage, describe_select, lineage_edges, lineage_nodes, merge_edges, merge_nodes, parse_definitions, producers, reachable, unresolved, unused_columns
+from weir.lineage import column_lineage, describe_select, first_nodes, lineage_edges, merge_edges, parse_definitions, producers, reachable, unresolved, unused_columns
 
 
 def definitions_of(t, orders="true"):
@@ -67,7 +67,7 @@ def lineage_unresolved(t):
     """
 )
 def lineage_merged_datasets(t):
-    merged = merge_nodes(lineage_nodes(parse_definitions(definitions_of(t))))
+    merged = first_nodes(parse_definitions(definitions_of(t)))
     return merged.where("type = 'dataset'").select("id", F.col("pipeline_id").alias("first_pipeline"), "node_type")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weir.operators.keyed import latest_per_key
+from weir.session import plain_unions
 
 # The part each node type plays.
 SOURCES = (
@@ -84,16 +84,20 @@ def lineage_edges(parsed: DataFrame) -> DataFrame:
     return known.select(*WHO, F.inline(all_edges))
 
 
-def lineage_nodes(parsed: DataFrame) -> DataFrame:
-    """One row per pipeline node, and one per dataset and pipeline with the type of a node that names it."""
+def _node_rows(parsed: DataFrame) -> DataFrame:
+    """A row for each node of each definition, and one for each dataset that a node names."""
     own = parsed.select(*WHO, "pipeline_name", F.inline("nodes"))
     touching = F.col("dataset").isNotNull() & (F.col("node_type").isin(*SOURCES) | F.col("published").isNotNull())
     entry = F.array(
         F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("label").alias("label")),
         F.when(touching, F.struct(F.lit("dataset").alias("type"), F.col("dataset").alias("id"), F.col("dataset").alias("label"))),
     )
-    rows = own.select("pipeline_id", "pipeline_name", "node_type", "node_id", F.inline(F.array_compact(entry)))
-    return rows.groupBy("type", "id", "pipeline_id", "pipeline_name").agg(
+    return own.select("pipeline_id", "pipeline_name", "node_type", "node_id", F.inline(F.array_compact(entry)))
+
+
+def lineage_nodes(parsed: DataFrame) -> DataFrame:
+    """One row per pipeline node, and one per dataset and pipeline with the type of a node that names it."""
+    return _node_rows(parsed).groupBy("type", "id", "pipeline_id", "pipeline_name").agg(
         F.min_by("label", "node_id").alias("label"), F.min_by("node_type", "node_id").alias("node_type")
     ).select("type", "id", "label", "node_type", "pipeline_id", "pipeline_name")
 
@@ -115,12 +119,27 @@ def merge_edges(*tables: DataFrame) -> DataFrame:
     return merged.dropDuplicates([*EDGE_KEY, "pipeline_id"])
 
 
+def _firsts(rows: DataFrame, *order: str) -> DataFrame:
+    """Of each node or dataset the row that is first in an order with NULLs last; map tasks keep one row of each before anything is shuffled."""
+    rest = [c for c in rows.columns if c not in ("type", "id")]
+    ranked = [x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    first = F.min(F.struct(*ranked, F.struct(*rest).alias("row"))).alias("first")
+    return rows.groupBy("type", "id").agg(first).select("type", "id", *[F.col(f"first.row.{c}").alias(c) for c in rest])
+
+
 def merge_nodes(*tables: DataFrame) -> DataFrame:
     """The nodes of several graphs; a dataset shared by pipelines keeps its first producer."""
     merged = tables[0]
     for table in tables[1:]:
         merged = merged.unionByName(table)
-    return latest_per_key(merged, ["type", "id"], ["pipeline_id", "label"])
+    if len(tables) > 1:
+        plain_unions(merged.sparkSession)
+    return _firsts(merged, "pipeline_id", "label")
+
+
+def first_nodes(parsed: DataFrame) -> DataFrame:
+    """`merge_nodes(lineage_nodes(parsed))` in one grouping: the first pipeline decides, and within it the first node."""
+    return _firsts(_node_rows(parsed), "pipeline_id", "node_id").select("type", "id", "label", "node_type", "pipeline_id", "pipeline_name")
 
 
 def producers(edges: DataFrame, dataset: str | None = None) -> DataFrame:
