@@ -82,3 +82,26 @@ def test_small_chunks_and_long_units_equal_library(spark, unigram, monkeypatch):
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
     for path in (public_tokenizers.path("piece_bpe_32k.model"), unigram):
         assert encoded(df, path) == {n: library_ids(path, t) for n, t in enumerate(texts)}
+
+
+def test_no_row_holds_the_texts_of_a_chunk(spark):
+    """Texts of few distinct units, four million numbers in one chunk: they once came as one row of 16 MB, which every operator behind it copied."""
+    docs = spark.range(0, 100, 1, 1).select("id", F.expr("repeat(concat('a b', id, ' '), 20000)").alias("text"))
+    rows = pieces._units(docs, "id", "text", vocabulary()).toDF("number", "unit", "note")
+    assert rows.select(F.max(F.octet_length("note"))).first()[0] < 4_000_000
+
+
+def test_small_notes_equal_library(spark, unigram, monkeypatch):
+    import public_tokenizers
+
+    for name, value in (("FOLDED", 3), ("NOTE_NUMBERS", 4), ("BATCH_BYTES", 8)):
+        monkeypatch.setattr(pieces, name, value)
+    texts = [*TEXTS, None, "abc." * 50, "(a)b.c, abc\n\nca 日.本"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for path in (public_tokenizers.path("piece_bpe_32k.model"), unigram):
+        assert encoded(df, path) == {n: library_ids(path, t or "") for n, t in enumerate(texts)}
+
+
+def test_texts_given_back_are_those_of_decode(spark, odd_docs):
+    got = encode(odd_docs, back=True)
+    assert got.columns == ["doc_id", "ids", "text"] and got.where(~F.col("text").eqNullSafe(decode(F.col("ids")))).count() == 0

@@ -2,10 +2,11 @@
 
 A text is cut where no piece of the vocabulary can lie across: before each run of spaces, which are written as `▁`, and between characters that no chain
 of neighbours in pieces connects, such as letters and full stops. Each task takes its texts in chunks of
-bounded size and passes on the texts of a chunk as numbers of its distinct units, then these units, so a unit is looked at once for each chunk.
+bounded size and passes on the distinct units of a chunk, so a unit is looked at once for each chunk, then its texts as numbers of these units.
 The substrings of a unit that are no longer than the longest piece are exploded and joined to the table of pieces (broadcast), longer ones only where a
 piece begins as they do; those that match are the edges of the unit's lattice. Explode and join keep the order of rows, so the edges of a unit come
-one after the other behind the texts that hold it: nothing is shuffled or stored. A path is folded over the edges, for all units of a batch at once:
+one after the other, and before the texts that hold it: nothing is shuffled or stored, and what folds the edges holds the ids of one chunk's units and
+a few texts. A path is folded over the edges, for some thousand units at once:
 
 * for a unigram model the best sum of scores over positions from left to right (Viterbi);
 * for a byte-pair model the merges in the order of their scores, where an edge that spans exactly two parts of the present path is a merge. Viterbi over
@@ -35,13 +36,17 @@ SPACE = "▁"
 LONGEST = 60
 #: A chunk ends with the text that brings it to so many distinct units or characters.
 CHUNK_UNITS, CHUNK_CHARACTERS = 200_000, 16_000_000
-UNITS = "number long, unit string, texts binary"
+UNITS = "number long, unit string, note binary"
+#: Units that are folded at once, and numbers of units after which a note of texts ends with its text.
+FOLDED, NOTE_NUMBERS = 10_000, 500_000
 #: Longest beginning of a piece that a substring is joined to before it is joined to longer pieces.
 HEAD = 4
 #: So many kinds of characters are told apart where texts are cut, the rest is one.
 CLASSES = 8
-#: Edges that are folded at once, and bytes of ids in one batch of results.
-FOLDED, BATCH_BYTES = 200_000, 4_000_000
+#: Bytes of ids after which a batch of results ends with its text.
+BATCH_BYTES = 2_000_000
+#: Kinds of notes: sizes and code points of the units whose edges follow; the chunk's longer units; ids and numbers of units of some of its texts.
+SHORT, LONG, ROWS = range(3)
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BYTE_PAIR = 1, 2
@@ -128,30 +133,40 @@ class _Places(dict):
 
 
 def _units(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
-    """For each chunk one row with the texts as numbers of its distinct units and these units, then a row for each unit of two to LONGEST characters."""
+    """For each chunk its distinct units of up to LONGEST characters, FOLDED behind a note on them (a row for each that has two characters or more), then notes of the longer units and of the texts."""
 
     def split(batches):
         place, ids, parts, size = _Places(), [], [], 0
 
+        def rows(note, numbers=(), names=()):
+            none = len(numbers)
+            columns = pa.array([None, *numbers], pa.int64()), pa.array([None, *names], pa.string()), pa.array([pickle.dumps(note, protocol=5), *[None] * none], pa.binary())
+            return pa.RecordBatch.from_arrays([*columns], schema=schema)
+
         def chunk():
-            names, numbers = list(place), parts
+            names = list(place)
             place.clear()
-            sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+            sizes, moved = np.fromiter(map(len, names), dtype=np.int64, count=len(names)), None
             if len(names) and sizes.max() > LONGEST:  # longer units have the last numbers
                 order = np.argsort(sizes > LONGEST, kind="stable")
                 moved = np.empty(len(names), dtype=np.uint32)
                 moved[order] = np.arange(len(names), dtype=np.uint32)
-                names, numbers, sizes = [names[n] for n in order], [moved[n] for n in parts], sizes[order]
+                names, sizes = [names[n] for n in order], sizes[order]
             short = int((sizes <= LONGEST).sum())
-            chars = np.frombuffer("".join(names[:short]).encode("utf-32-le"), dtype=np.uint32)
-            texts = pickle.dumps((ids, numbers, names[short:], sizes[:short], chars))
-            del numbers, chars
-            parts.clear()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([texts], pa.binary())], schema=schema)
-            del texts
-            for first in range(0, short, 10_000):
-                some = [n for n in range(first, min(first + 10_000, short)) if len(names[n]) > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([names[n] for n in some], pa.string()), pa.nulls(len(some), pa.binary())], schema=schema)
+            for first in range(0, short, FOLDED):
+                some = names[first : min(first + FOLDED, short)]
+                chars = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
+                wider = [n for n, name in enumerate(some) if len(name) > 1]
+                yield rows((SHORT, sizes[first : first + len(some)], chars), [first + n for n in wider], [some[n] for n in wider])
+            yield rows((LONG, names[short:]))
+            del names
+            begin = many = 0
+            for end, numbers in enumerate(parts, 1):
+                many += len(numbers)
+                if many >= NOTE_NUMBERS or end == len(parts):
+                    yield rows((ROWS, ids[begin:end], [n if moved is None else moved[n] for n in parts[begin:end]]))
+                    parts[begin:end] = [None] * (end - begin)
+                    begin, many = end, 0
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -162,11 +177,12 @@ def _units(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
                 if len(place) >= CHUNK_UNITS or size >= CHUNK_CHARACTERS:
                     yield from chunk()
                     place, ids, parts, size = _Places(), [], [], 0
+            batch = value = found = None  # else two batches are held while the next one is read
         if ids:
             yield from chunk()
 
     cut, prefix = v.cut, v.prefix
-    schema = pa.schema([("number", pa.int64()), ("unit", pa.string()), ("texts", pa.binary())])
+    schema = pa.schema([("number", pa.int64()), ("unit", pa.string()), ("note", pa.binary())])
     return need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, UNITS)
 
 
@@ -186,17 +202,17 @@ _EDGE = f"shiftleft(number, {_START + 6}) | cast((start - 1) * {1 << _START} AS
 
 
 def lattice(units: DataFrame, v: Vocabulary) -> DataFrame:
-    """The edges of over one character of units, in their order. Rows with `texts` pass."""
+    """The edges of over one character of units, in their order. Rows with a `note` pass."""
     heads, longer = (F.broadcast(t) for t in piece_tables(units.sparkSession, v))  # as large as the vocabulary file
     starts = units.select("*", F.explode_outer(F.sequence(F.lit(1), F.length("unit") - 1)).alias("start"))
     left = F.length("unit") - F.col("start") + 1
-    spans = starts.select("*", F.explode_outer(F.when(F.col("texts").isNull(), F.sequence(F.lit(2), F.least(F.lit(HEAD), left)))).alias("many"))
+    spans = starts.select("*", F.explode_outer(F.when(F.col("note").isNull(), F.sequence(F.lit(2), F.least(F.lit(HEAD), left)))).alias("many"))
     parts = spans.withColumn("part", F.expr("substring(unit, start, many)"))
-    begun = parts.join(heads, F.col("part") == F.col("head"), "left").where("head IS NOT NULL OR texts IS NOT NULL")
-    tried = begun.select("number", "unit", "start", "head_id", "texts", F.explode_outer("tries").alias("try"))
+    begun = parts.join(heads, F.col("part") == F.col("head"), "left").where("head IS NOT NULL OR note IS NOT NULL")
+    tried = begun.select("number", "unit", "start", "head_id", "note", F.explode_outer("tries").alias("try"))
     whole = tried.withColumn("part", F.when((F.col("try") > 0) & (F.col("try") <= left), F.expr("substring(unit, start, try)")))
-    edges = whole.join(longer, F.col("part") == F.col("piece"), "left").where("id IS NOT NULL OR try = 0 OR texts IS NOT NULL")
-    return edges.select(F.expr(_EDGE).alias("edge"), "texts")
+    edges = whole.join(longer, F.col("part") == F.col("piece"), "left").where("id IS NOT NULL OR try = 0 OR note IS NOT NULL")
+    return edges.select(F.expr(_EDGE).alias("edge"), "note")
 
 
 def _merges(unit: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -343,11 +359,11 @@ def long_unit_of_scores(text: str, scores: dict[str, tuple[float, int]], longest
     return [n for part in reversed(parts) for n in ([scores[part][1]] if part in scores else [first_byte + x for x in part.encode()])]
 
 
-def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """One row for each row of `df`: doc_id, ids (32-bit little-endian) of its pieces, as the library gives them.
+def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | None = None, back: bool = False) -> DataFrame:
+    """One row for each row of `df`: doc_id, ids (32-bit little-endian) of its pieces, as the library gives them; with `back` also the text that `decode` makes of the ids.
 
     A null or empty text has no ids. A null id is kept, repeated rows are encoded alike. No rows give none. Units of over LONGEST
-    characters are not in the lattice but take the same rule in a function.
+    characters are not in the lattice but take the same rule in a function. With `back`, ids are decoded where they are made and do not go to Python again.
     """
     v = vocabulary(model)
     order = {p: n for n, (p, _, _) in enumerate(sorted(v.pieces, key=lambda p: (-p[2], p[1])))}
@@ -356,38 +372,31 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | N
 
     def gather(batches):
         v, pieces = shared.value
-        tables, longest = _Tables.of(v), v.longest
-        chunk: tuple = ()  # the texts' ids, their numbers of units, the longer units; of the others sizes, code points and where each begins
-        held, many, first, done = [], 0, 0, []
-
-        def fold(finished: bool) -> None:
-            """Folds the edges held; without `finished` those of the last unit stay, as more may come."""
-            nonlocal held, many, first
-            sizes, chars, begin = chunk[3:]
-            edges = np.concatenate([np.empty(0, dtype=np.int64), *held])
-            number = edges >> (_START + 6)
-            until = len(sizes) if finished or not len(edges) else int(number[-1])
-            stop = int(np.searchsorted(number, until))
-            if len(edges) and (number[0] < first or (np.diff(number) < 0).any()):
-                raise RuntimeError("edges came in another order than they were made in")
-            done.append(folded(edges[:stop], first, sizes[first:until], chars[begin[first] : begin[until]], v, tables))
-            held, many, first = [edges[stop:]], len(edges) - stop, until
+        tables, longest, text_of = _Tables.of(v), v.longest, _decoding(v.data, v.prefix)
+        held, first, short, done = [], 0, None, []  # edges since the last note, the first of its units' numbers, their sizes and code points; sizes and ids of the units before them
+        sizes, flat, starts = None, None, None  # of all units of the chunk
+
+        def fold() -> None:
+            nonlocal held, first, short
+            if short is not None:
+                edges = np.concatenate([np.empty(0, dtype=np.int64), *held])
+                number, until = edges >> (_START + 6), first + len(short[0])
+                if len(edges) and (number[0] < first or number[-1] >= until or (np.diff(number) < 0).any()):
+                    raise RuntimeError("edges came in another order than they were made in")
+                done.append(folded(edges, first, *short, v, tables))
+                first = until
+            held, short = [], None
 
         def long(unit: str) -> np.ndarray:
             return np.array(
                 long_unit(unit, pieces, v.first_byte) if v.kind == BYTE_PAIR else long_unit_of_scores(unit, pieces, longest, tables.unknown, v.first_byte), dtype=np.uint32
             )
 
-        def results():
-            if not chunk:
-                return
-            fold(True)
-            docs, parts, longer = chunk[:3]
-            for unit in longer:
-                ids = long(unit)
-                done.append((np.array([len(ids)]), ids))
-            sizes, flat = (np.concatenate(both) for both in zip(*done))
-            starts = np.cumsum(sizes) - sizes
+        def result(docs, out):
+            columns = [pa.array(docs, pa.int64()), pa.array(out, pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(map(text_of, out), pa.string())] if back else columns, names=names)
+
+        def results(docs, parts):
             found, out, size = [], [], 0
             for doc, mine in zip(docs, parts):
                 each = sizes[mine]
@@ -397,28 +406,45 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | N
                 out.append(flat[np.repeat(starts[mine] - (ends - each), each) + np.arange(total)].astype("<u4").tobytes())
                 size += 4 * total
                 if size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                    yield result(found, out)
                     found, out, size = [], [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                yield result(found, out)
 
         for batch in batches:
-            edges, texts, begin = batch.column(0), batch.column(1), 0
-            for at in [*np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
+            edges, notes, begin = batch.column(0), batch.column(1), 0
+            for at in [*np.flatnonzero(notes.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
                 if at > begin:
                     held.append(edges.slice(begin, at - begin).to_numpy(zero_copy_only=False).copy())
-                    many += at - begin
-                if at < len(batch):
-                    yield from results()
-                    held, many, first, done, chunk = [], 0, 0, [], ()
-                    found_texts = pickle.loads(texts[at].as_py())
-                    chunk = (*found_texts, np.concatenate([[0], np.cumsum(found_texts[3])]))
-                elif many >= FOLDED:
-                    fold(False)
                 begin = at + 1
-        yield from results()
+                if at == len(batch):
+                    break
+                kind, *note = pickle.loads(notes[at].as_buffer())
+                if kind == ROWS:
+                    yield from results(*note)
+                    continue
+                fold()
+                if kind == SHORT:
+                    short = note
+                else:
+                    for ids in map(long, note[0]):
+                        done.append((np.array([len(ids)]), ids))
+                    sizes, flat = (np.concatenate([np.empty(0, dtype=kind), *both]) for kind, both in zip((np.int64, np.uint32), [*zip(*done)] or [(), ()]))
+                    starts, first, done = np.cumsum(sizes) - sizes, 0, []
+            batch = edges = notes = note = None  # else two batches are held while the next one is read
+
+    names = ["doc_id", "ids", *["text"] * back]
+    return lattice(_units(df, id, text, v), v).mapInArrow(gather, "doc_id long, ids binary" + ", text string" * back)
+
+
+def _decoding(data: tuple[bytes, ...], prefix: bool):
+    """The function that turns ids (32-bit little-endian) into text; ids of no text give nothing, broken bytes a replacement sign."""
+
+    def text_of(ids: bytes) -> str:
+        text = b"".join(map(data.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return (text[1:] if prefix and text[:1] == b" " else text).decode(errors="replace")
 
-    return lattice(_units(df, id, text, v), v).mapInArrow(gather, "doc_id long, ids binary")
+    return text_of
 
 
 def decoder(model: str | None = None):
@@ -427,12 +453,8 @@ def decoder(model: str | None = None):
     data, prefix = v.data, v.prefix
 
     def decode(column):
-        out = []
-        for value in column:
-            ids = value.as_py()
-            text = b"".join(map(data.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
-            out.append(None if ids is None else (text[1:] if prefix and text[:1] == b" " else text).decode(errors="replace"))
-        return pa.array(out, pa.string())
+        text_of = _decoding(data, prefix)
+        return pa.array((text_of(value.as_py()) if value.is_valid else None for value in column), pa.string())
 
     return F.arrow_udf(decode, T.StringType())
 

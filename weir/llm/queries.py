@@ -13,7 +13,7 @@ from weir.llm.licenses import PERCENT, SMALLEST_BLOCK, TEMPLATES, find_licenses
 from weir.llm.media import read_media, store_media
 from weir.llm.packing import pack
 from weir.llm.personal import find_personal, joined
-from weir.llm.pieces import decode, encode
+from weir.llm.pieces import encode
 from weir.llm.registry import ORACLES, QUERIES, query, table
 from weir.llm.search import top_k
 from weir.llm.secrets import find_secrets, joined_spans
@@ -139,8 +139,7 @@ def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as ids of pieces, and the text that they give back."""
-    encoded = encode(table(spark, folder, "documents"))
-    return encoded.select("doc_id", "ids", decode(F.col("ids")).alias("text")).select(
+    return encode(table(spark, folder, "documents"), back=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256")
     )
 
