@@ -105,3 +105,17 @@ def test_small_notes_equal_library(spark, unigram, monkeypatch):
 def test_texts_given_back_are_those_of_decode(spark, odd_docs):
     got = encode(odd_docs, back=True)
     assert got.columns == ["doc_id", "ids", "text"] and got.where(~F.col("text").eqNullSafe(decode(F.col("ids")))).count() == 0
+
+
+def test_units_of_earlier_chunks_are_not_looked_at_again(spark, unigram, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(pieces, "CHUNK_CHARACTERS", 10)
+    texts = [*TEXTS, "", "cab" * 70, "abc ab", *TEXTS, "abc ab " + "cab" * 70]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = [r[0] for r in pieces._units(df, "doc_id", "text", vocabulary()).where("unit IS NOT NULL").select("unit").collect()]
+    assert len(rows) == len({*rows})
+    for remembered in (16_000_000, 300):
+        monkeypatch.setattr(pieces, "REMEMBERED_CHARACTERS", remembered, raising=False)
+        for path in (public_tokenizers.path("piece_bpe_32k.model"), unigram):
+            assert encoded(df, path) == {n: library_ids(path, t) for n, t in enumerate(texts)}

@@ -2,11 +2,11 @@
 
 A text is cut where no piece of the vocabulary can lie across: before each run of spaces, which are written as `▁`, and between characters that no chain
 of neighbours in pieces connects, such as letters and full stops. Each task takes its texts in chunks of
-bounded size and passes on the distinct units of a chunk, so a unit is looked at once for each chunk, then its texts as numbers of these units.
+bounded size and passes on the units of a chunk that it has not seen before, then the chunk's texts as numbers of units. It remembers a bounded number of units.
 The substrings of a unit that are no longer than the longest piece are exploded and joined to the table of pieces (broadcast), longer ones only where a
 piece begins as they do; those that match are the edges of the unit's lattice. Explode and join keep the order of rows, so the edges of a unit come
-one after the other, and before the texts that hold it: nothing is shuffled or stored, and what folds the edges holds the ids of one chunk's units and
-a few texts. A path is folded over the edges, for some thousand units at once:
+one after the other, and before the texts that hold it: nothing is shuffled or stored, and what folds the edges holds the ids of the units
+remembered and a few texts. A path is folded over the edges, for some thousand units at once:
 
 * for a unigram model the best sum of scores over positions from left to right (Viterbi);
 * for a byte-pair model the merges in the order of their scores, where an edge that spans exactly two parts of the present path is a merge. Viterbi over
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import pickle
 import re
 from dataclasses import dataclass
@@ -34,8 +35,10 @@ from weir.llm.text import need
 SPACE = "▁"
 #: Longer units are encoded by the same rule in one function, as a path is kept in the bits of one number.
 LONGEST = 60
-#: A chunk ends with the text that brings it to so many distinct units or characters.
-CHUNK_UNITS, CHUNK_CHARACTERS = 200_000, 16_000_000
+#: A chunk ends with the text that brings it to so many characters, or the units remembered to so many.
+CHUNK_UNITS, CHUNK_CHARACTERS = 400_000, 4_000_000
+#: After a chunk that brings the units remembered to CHUNK_UNITS, or to so many characters, they are forgotten.
+REMEMBERED_CHARACTERS = 16_000_000
 UNITS = "number long, unit string, note binary"
 #: Units that are folded at once, and numbers of units after which a note of texts ends with its text.
 FOLDED, NOTE_NUMBERS = 10_000, 500_000
@@ -45,7 +48,7 @@ HEAD = 4
 CLASSES = 8
 #: Bytes of ids after which a batch of results ends with its text.
 BATCH_BYTES = 2_000_000
-#: Kinds of notes: sizes and code points of the units whose edges follow; the chunk's longer units; ids and numbers of units of some of its texts.
+#: Kinds of notes: first number, sizes and code points of the units whose edges follow; first number of the chunk's units (0: forget others) and the longer ones; ids and numbers of units of some texts.
 SHORT, LONG, ROWS = range(3)
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -133,10 +136,10 @@ class _Places(dict):
 
 
 def _units(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
-    """For each chunk its distinct units of up to LONGEST characters, FOLDED behind a note on them (a row for each that has two characters or more), then notes of the longer units and of the texts."""
+    """For each chunk its new units of up to LONGEST characters, FOLDED behind a note on them (a row for each that has two characters or more), then notes of the longer units and of the texts."""
 
     def split(batches):
-        place, ids, parts, size = _Places(), [], [], 0
+        place, known, kept, ids, parts, size = _Places(), 0, 0, [], [], 0  # known, kept: units of earlier chunks and their characters
 
         def rows(note, numbers=(), names=()):
             none = len(numbers)
@@ -144,27 +147,29 @@ def _units(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
             return pa.RecordBatch.from_arrays([*columns], schema=schema)
 
         def chunk():
-            names = list(place)
-            place.clear()
-            sizes, moved = np.fromiter(map(len, names), dtype=np.int64, count=len(names)), None
+            nonlocal kept
+            names = [*itertools.islice(place, known, None)]
+            sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
             if len(names) and sizes.max() > LONGEST:  # longer units have the last numbers
                 order = np.argsort(sizes > LONGEST, kind="stable")
-                moved = np.empty(len(names), dtype=np.uint32)
-                moved[order] = np.arange(len(names), dtype=np.uint32)
-                names, sizes = [names[n] for n in order], sizes[order]
+                moved = np.arange(known + len(names), dtype=np.uint32)
+                moved[known + order] = np.arange(known, known + len(names), dtype=np.uint32)
+                names, sizes, parts[:] = [names[n] for n in order], sizes[order], [moved[n] for n in parts]
+                place.update(zip(names, range(known, known + len(names))))
+            kept += int(sizes.sum())
             short = int((sizes <= LONGEST).sum())
             for first in range(0, short, FOLDED):
                 some = names[first : min(first + FOLDED, short)]
                 chars = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)
                 wider = [n for n, name in enumerate(some) if len(name) > 1]
-                yield rows((SHORT, sizes[first : first + len(some)], chars), [first + n for n in wider], [some[n] for n in wider])
-            yield rows((LONG, names[short:]))
+                yield rows((SHORT, known + first, sizes[first : first + len(some)], chars), [known + first + n for n in wider], [some[n] for n in wider])
+            yield rows((LONG, known, names[short:]))
             del names
             begin = many = 0
             for end, numbers in enumerate(parts, 1):
                 many += len(numbers)
                 if many >= NOTE_NUMBERS or end == len(parts):
-                    yield rows((ROWS, ids[begin:end], [n if moved is None else moved[n] for n in parts[begin:end]]))
+                    yield rows((ROWS, ids[begin:end], parts[begin:end]))
                     parts[begin:end] = [None] * (end - begin)
                     begin, many = end, 0
 
@@ -176,7 +181,9 @@ def _units(df: DataFrame, id: str, text: str, v: Vocabulary) -> DataFrame:
                 size += sum(map(len, found))
                 if len(place) >= CHUNK_UNITS or size >= CHUNK_CHARACTERS:
                     yield from chunk()
-                    place, ids, parts, size = _Places(), [], [], 0
+                    if len(place) >= CHUNK_UNITS or kept >= REMEMBERED_CHARACTERS:
+                        place, kept = _Places(), 0
+                    known, ids, parts, size = len(place), [], [], 0
             batch = value = found = None  # else two batches are held while the next one is read
         if ids:
             yield from chunk()
@@ -373,18 +380,17 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | N
     def gather(batches):
         v, pieces = shared.value
         tables, longest, text_of = _Tables.of(v), v.longest, _decoding(v.data, v.prefix)
-        held, first, short, done = [], 0, None, []  # edges since the last note, the first of its units' numbers, their sizes and code points; sizes and ids of the units before them
-        sizes, flat, starts = None, None, None  # of all units of the chunk
+        held, short, done = [], None, []  # edges since the last note; its first number, sizes and code points; sizes and ids of the chunk's units before them
+        sizes, flat, starts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint32), None  # of all units remembered
 
         def fold() -> None:
-            nonlocal held, first, short
+            nonlocal held, short
             if short is not None:
                 edges = np.concatenate([np.empty(0, dtype=np.int64), *held])
-                number, until = edges >> (_START + 6), first + len(short[0])
+                number, first, until = edges >> (_START + 6), short[0], short[0] + len(short[1])
                 if len(edges) and (number[0] < first or number[-1] >= until or (np.diff(number) < 0).any()):
                     raise RuntimeError("edges came in another order than they were made in")
-                done.append(folded(edges, first, *short, v, tables))
-                first = until
+                done.append(folded(edges, *short, v, tables))
             held, short = [], None
 
         def long(unit: str) -> np.ndarray:
@@ -427,10 +433,11 @@ def encode(df: DataFrame, id: str = "doc_id", text: str = "text", model: str | N
                 if kind == SHORT:
                     short = note
                 else:
-                    for ids in map(long, note[0]):
-                        done.append((np.array([len(ids)]), ids))
-                    sizes, flat = (np.concatenate([np.empty(0, dtype=kind), *both]) for kind, both in zip((np.int64, np.uint32), [*zip(*done)] or [(), ()]))
-                    starts, first, done = np.cumsum(sizes) - sizes, 0, []
+                    known, longer = note
+                    done = [(sizes, flat)] * (known > 0) + done + [(np.array([len(ids)]), ids) for ids in map(long, longer)]
+                    if done:  # else all texts are empty
+                        sizes, flat = map(np.concatenate, zip(*done))
+                    starts, done = np.cumsum(sizes) - sizes, []
             batch = edges = notes = note = None  # else two batches are held while the next one is read
 
     names = ["doc_id", "ids", *["text"] * back]
