@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weir.llm.components import components
 from weir.llm.text import WordHashes, mixed, need, words_of
-from weir.session import cut_lineage
+from weir.session import cut_lineage, small_batches
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
@@ -147,6 +147,7 @@ def near_duplicates(
     Links are found with a probability above 1 - (1 - (percent/100)**rows)**bands (0.999995 at the threshold itself with the
     defaults): two linked documents that share a band end in one component; none is confirmed by estimate.
     """
+    small_batches(df.sparkSession)
     texts = _texts(df, id, text)
     signed = cut_lineage(signatures(texts, "doc_id", "text", bands, rows, size), "signatures")
     classes = cut_lineage(signed.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weir.llm.text import need
 from weir.llm.tokens import word_encoder
-from weir.session import scratch_path
+from weir.session import scratch_path, small_batches
 
 #: The id that ends a document.
 END = 1
@@ -48,6 +48,7 @@ def stage_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", vocabula
                 names=["task", "doc_id", "n_tokens", "start_in_task", "ids"],
             )
 
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, "tokens")
     source = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     source.mapInArrow(encode, STAGED).write.option("compression", "zstd").parquet(path)
@@ -61,7 +62,9 @@ def with_offsets(staged: DataFrame, amount: str, start_in_task: str, name: str)
     """
     totals = sorted(staged.groupBy("task").agg(F.sum(amount).alias("total")).collect())
     starts = [*accumulate((r["total"] for r in totals), initial=0)]
-    bases = staged.sparkSession.createDataFrame([(r["task"], start) for r, start in zip(totals, starts)], "task int, base long")
+    # as a table: rows would pass through Python workers of another kind, which executors then keep beside those of the operators
+    bases = pa.table({"task": pa.array([r["task"] for r in totals], pa.int32()), "base": pa.array(starts[:-1], pa.int64())})
+    bases = staged.sparkSession.createDataFrame(bases)
     return staged.join(F.broadcast(bases), "task").withColumn(name, F.col("base") + F.col(start_in_task)).drop("base"), starts[-1]
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.text import HASHED_WORDS, need
+from weir.session import small_batches
 
 #: Labelled documents of each class that the machine is fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 1_500
@@ -51,6 +52,8 @@ CLEAN_WEIGHT = 16
 #: Words of clean documents that the machine sees: the commonest, and a quarter as many of those that it scores highest.
 NEGATIVES = 12_000
 THRESHOLD = 0.3
+#: Cells of the letter tables (a word's letters against themselves) that a worker fills at once; there are about six tables of 4 bytes a cell.
+CELLS = 1 << 18
 #: Bytes of text that a worker splits at once.
 CHUNK = 1_000_000
 
@@ -121,7 +124,8 @@ def by_length(codes: np.ndarray):
 def norms(codes: np.ndarray) -> np.ndarray:
     """The square root of each row's kernel with itself, by the kernel's recursion over prefixes."""
     out = np.ones(len(codes), dtype=np.float32)
-    for rows, c in by_length(codes):
+    parts = ((rows[at : at + step], c[at : at + step]) for rows, c in by_length(codes) for step in [CELLS // c.shape[1] ** 2] for at in range(0, len(rows), step))
+    for rows, c in parts:
         size = c.shape[1]
         same = ((c[:, :, None] == c[:, None, :]) & (c[:, :, None] > 0)).astype(np.float32)
         steps = np.arange(size)
@@ -340,6 +344,7 @@ def sample_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
 
 def scorer(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Callable[[Column], Column]:
     """The function that scores a text column, fitted on the labelled rows of `df`; it can be used beside any other columns."""
+    small_batches(df.sparkSession)
     docs = need(df, id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     shared = df.sparkSession.sparkContext.broadcast(fit(sample_bags(docs, labels, sample)))
 

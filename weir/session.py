@@ -32,6 +32,21 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+#: Bytes of rows in one Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has rows handed to Python workers in batches of bounded size, unless the session names a bound of its own.
+
+    The default of 10,000 rows or 64 MB is held several times over, in the executor's buffers and in each worker, and neither
+    gives all of it back while the session lasts.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir`, or a local one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
