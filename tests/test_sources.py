@@ -1,4 +1,5 @@
 import csv
+import importlib
 import random
 import json
 from datetime import datetime, timezone
@@ -518,3 +519,29 @@ def test_few_lines_of_a_batch_are_python_objects_at_once():
     batch = Batch(pa.RecordBatch.from_pydict({"value": [str(n) for n in range(5000)], "file": ["f"] * 5000, "split": [n // 3000 for n in range(5000)]}))
     assert [(key, list(lines)) for key, lines in splits.by_split([batch])] == [(("f", 0), [str(n) for n in range(3000)]), (("f", 1), [str(n) for n in range(3000, 5000)])]
     assert max(taken) <= 256
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_records_when_executors_come_between_passes(spark, folder, monkeypatch, fmt):
+    """Spark cuts files by the cores it has; a file is read twice, and each time there are others."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "17")
+    module = importlib.import_module(f"weir.sources.{fmt}")
+
+    def later(df, label="step", plain=module.cut_lineage):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "5")
+        return plain(df, label)
+
+    monkeypatch.setattr(module, "cut_lineage", later)
+    try:
+        if fmt == "csv":
+            path = put(folder, "a.csv", "a,b\n" + "".join(f'{i},"x\n{i},\n,"\n' for i in range(9000)))
+            assert rows_of(read_csv(spark, path, infer_types=False)) == sorted((str(i), f"x\n{i},\n,") for i in range(9000))
+        else:
+            path = put(folder, "a.json", json.dumps([{"t": f"}}{i}{{"} for i in range(9000)]))
+            assert sorted(json.loads(r["text"])["t"] for r in array_elements(spark, [path]).collect()) == sorted(f"}}{i}{{" for i in range(9000))
+        assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    finally:
+        for key in ("files.maxPartitionBytes", "files.openCostInBytes", "leafNodeDefaultParallelism"):
+            spark.conf.unset(f"spark.sql.{key}")

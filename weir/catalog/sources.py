@@ -34,9 +34,9 @@ def csv_round_trip(t):
 def csv_multi_line(t):
     path = scratch_path(t.spark, "csv")
     documents = t.documents.select("doc_id", "text", "lang")
-    write_csv(documents, path, delimiter=";")
+    write_csv(documents, path, delimiter=";", quote_empty=True)
     columns = [ColumnSpec("doc_id", "integer", False), ColumnSpec("text", "string", False), ColumnSpec("lang", "string", False)]
-    return read_csv(t.spark, path, delimiter=";", columns=columns)
+    return read_csv(t.spark, path, delimiter=";", columns=columns, null_values=None)
 
 
 @query(

@@ -13,13 +13,16 @@ from weir.contracts.infer import ColumnSpec, coerce, infer_columns
 from weir.errors import ConfigError, ValidationError
 from weir.functions.types import is_nested
 from weir.session import cut_lineage
-from weir.sources.splits import by_split, joined_fragments, read_lines, starting_inside
+from weir.sources.splits import by_split, cut_alike, joined_fragments, read_lines, starting_inside
 
 # Texts read as NULL.
 NULL_VALUES = ("", "NULL", "null", "\\N")
 
 _RAW = "__raw_record"
 
+#: What Spark's reader is told to take as NULL where quotes decide: fields without any character become this text.
+_NOTHING = "\ufdd0nothing\ufdd0"
+
 #: Characters of the records that a task gives on at once.
 BATCH_CHARACTERS = 1 << 20
 
@@ -37,8 +40,9 @@ def unique_header(names: Sequence[str | None]) -> list[str]:
     return header
 
 
-def _options(delimiter: str, multi_line: bool) -> dict:
-    return {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8"}
+def _options(delimiter: str, multi_line: bool, null_values: Sequence[str] | None) -> dict:
+    quotes_decide = {"nullValue": _NOTHING, "emptyValue": ""} if null_values is None else {}
+    return {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8", **quotes_decide}
 
 
 def line_ends(delimiter: str):
@@ -76,15 +80,15 @@ def line_ends(delimiter: str):
 
 
 def _files(spark: SparkSession, path: str, delimiter: str) -> tuple[list, list[str]]:
-    """One row for each file (file, first line, whether some line may end inside quotes, partition values), and the partition columns.
+    """One row for each file (file, first line, whether a line end may lie inside quotes, partition values), and the partition columns.
 
-    One scan of the text. Without a line that ends inside quotes every line is a record, so the file can be split anywhere.
+    One scan of the text. Without a line end inside quotes, be it a carriage return, every line is a record, so the file can be split anywhere.
     """
     text = spark.read.text(path, lineSep="\n")
     partitions = [c for c in text.columns if c != "value"]
     value = F.rtrim(F.col("value"), F.lit("\r"))
     # pairs of quotes change nothing; of the others the last one opens a field that does not end
-    may_span = F.replace("value", F.lit('""'), F.lit("")).rlike(f'(^|[{_in_class(delimiter)}])"[^"]*$')
+    may_span = F.replace("value", F.lit('""'), F.lit("")).rlike(f'(^|[{_in_class(delimiter)}])"[^"]*(\\r|$)')
     lines = text.select(
         F.col("_metadata.file_path").alias("file"), *partitions, F.when((F.col("_metadata.file_block_start") == 0) & (value != ""), value).alias("line"),
         F.monotonically_increasing_id().alias("at"), may_span.alias("spans"),
@@ -102,7 +106,7 @@ def read_csv(
     path: str,
     delimiter: str = ",",
     has_header: bool = True,
-    null_values: Sequence[str] = NULL_VALUES,
+    null_values: Sequence[str] | None = NULL_VALUES,
     infer_types: bool = True,
     limit: int | None = None,
     columns: Sequence[ColumnSpec] | None = None,
@@ -113,7 +117,8 @@ def read_csv(
     finds the headers and the files with quoted fields that span lines. All files are split over tasks: those without such fields
     by Spark's reader, the others at line feeds, with the state of the quotes at each split worked out before. Records of the latter are
     written to the shared folder once. With `columns` given the types are taken from there and the inference scan is skipped.
-    Values of partition folders are columns at the end.
+    Values of partition folders are columns at the end. With `null_values` None only a field without any character is NULL:
+    a quoted empty field is empty text, and no text stands for NULL (see `write_csv` with `quote_empty`).
     """
     if len(delimiter) != 1:
         raise ConfigError(f'CSV delimiter must be a single character, got "{delimiter}"')
@@ -127,7 +132,7 @@ def read_csv(
             schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAW]])
             rows = spark.read.schema(schema).options(**base).csv(
                 [unquote(f["file"]) for f in members], header=has_header, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW, enforceSchema=True,
-                **_options(delimiter, False),
+                **_options(delimiter, False, null_values),
             )
             parts.append(_cleaned(rows, names, partitions, delimiter, null_values))
     if spanning:
@@ -140,9 +145,12 @@ def read_csv(
                 types = spark.read.text(path).schema
                 place = T.StructType([T.StructField("file", T.StringType()), *[types[p] for p in partitions]])
                 rows = rows.join(F.broadcast(spark.createDataFrame(table, place)), "file")
-            ddl = ", ".join(f"c{i} STRING" for i in range(len(names))) + f", {_RAW} STRING"
-            opened = F.from_csv("text", ddl, {**{k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(delimiter, True).items()}, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW})
-            rows = rows.select(opened.alias("r"), *partitions).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], F.col(f"r.{_RAW}").alias(_RAW), *partitions)
+            # a field before the others, as the parser takes a byte order mark off the first text that it sees
+            lead = f"0{delimiter}"
+            ddl = f"lead STRING, {', '.join(f'c{i} STRING' for i in range(len(names)))}, {_RAW} STRING"
+            options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(delimiter, True, null_values).items()}
+            opened = F.from_csv(F.concat(F.lit(lead), "text"), ddl, {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW})
+            rows = rows.select(opened.alias("r"), *partitions).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], F.expr(f"substring(r.{_RAW}, {len(lead) + 1})").alias(_RAW), *partitions)
             parts.append(_cleaned(rows, names, partitions, delimiter, null_values))
     if not parts:
         return spark.createDataFrame([], T.StructType([]))
@@ -173,10 +181,7 @@ def _by_header(files: Sequence, delimiter: str, has_header: bool) -> list[tuple[
 def _records(spark: SparkSession, paths: list[str], delimiter: str) -> tuple[DataFrame, list]:
     """Records (text, file, first) of files whose quoted fields may span lines, and the first record of each file."""
     ends, lines = line_ends(delimiter), read_lines(spark, paths)
-    inside, broken = starting_inside(lines, ends)
-    if broken:
-        raise ValidationError(f"CSV ended inside a quoted field: {broken[0]}")
-    begun = set(inside)
+    begun: set = set()
 
     def cut(batches):
         for (file, split), values in by_split(batches):
@@ -201,7 +206,12 @@ def _records(spark: SparkSession, paths: list[str], delimiter: str) -> tuple[Dat
             if rows:
                 yield _batch(file, split, rows)
 
-    staged = cut_lineage(lines.mapInArrow(cut, "text string, file string, split long, place int, first boolean"), "records")
+    with cut_alike(spark):
+        inside, broken = starting_inside(lines, ends)
+        if broken:
+            raise ValidationError(f"CSV ended inside a quoted field: {broken[0]}")
+        begun.update(inside)
+        staged = cut_lineage(lines.mapInArrow(cut, "text string, file string, split long, place int, first boolean"), "records")
     joined = joined_fragments(staged.where("place <> 1")).withColumn("text", F.rtrim("text", F.lit("\r")))
     records = staged.where("place = 1").select("text", "file", "first").unionByName(joined)
     return records, records.where("first").select("file", "text").orderBy("file").collect()
@@ -215,8 +225,10 @@ def _batch(file: str, split: int, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _cleaned(rows: DataFrame, header: Sequence[str], partitions: Sequence[str], delimiter: str, null_values: Sequence[str]) -> DataFrame:
+def _cleaned(rows: DataFrame, header: Sequence[str], partitions: Sequence[str], delimiter: str, null_values: Sequence[str] | None) -> DataFrame:
     checked = _reject_long_rows(rows, header, delimiter, partitions)
+    if null_values is None:
+        return checked.select(*[F.col(f"`{name}`") for name in header], *partitions)
     empty_is_null = "" in null_values
     projected = []
     for name in header:
@@ -249,9 +261,9 @@ def _reject_long_rows(rows: DataFrame, header: Sequence[str], delimiter: str, pa
 
 
 def write_csv(
-    df: DataFrame, path: str, delimiter: str = ",", header: bool = True, mode: str = "overwrite", partition_by: Sequence[str] = ()
+    df: DataFrame, path: str, delimiter: str = ",", header: bool = True, mode: str = "overwrite", partition_by: Sequence[str] = (), quote_empty: bool = False
 ) -> None:
-    """Quotes only where needed; NULL and empty text are both empty fields; nested values are JSON.
+    """Quotes only where needed; NULL and empty text are both empty fields, unless `quote_empty` has empty text in quotes; nested values are JSON.
 
     With `partition_by` an overwrite replaces only the partitions that the data has.
     """
@@ -262,6 +274,6 @@ def write_csv(
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.csv(
-        path, sep=delimiter, header=header, quote='"', escape='"', nullValue="", emptyValue="",
+        path, sep=delimiter, header=header, quote='"', escape='"', nullValue="", emptyValue='""' if quote_empty else "",
         timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSXXX", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weir.errors import ValidationError
 from weir.operators.project import flatten_once
 from weir.session import cut_lineage
-from weir.sources.splits import by_split, joined_fragments, read_lines
+from weir.sources.splits import by_split, cut_alike, joined_fragments, read_lines
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str | None = None, flatten: bool = True) -> DataFrame:
@@ -138,9 +138,6 @@ def array_elements(spark: SparkSession, files: list[str]) -> DataFrame:
     sums = pieces.mapInArrow(sum_up, "file string, split long, a boolean, low long, b boolean, high long")
     starts: dict[tuple[str, int], tuple[bool, int]] = {}
     state: dict[str, tuple[bool, int]] = {}
-    for row in sums.orderBy("file", "split").toLocalIterator():  # a few numbers for each split
-        within, depth = starts[row["file"], row["split"]] = state.get(row["file"], (False, 0))
-        state[row["file"]] = (row["b"], depth + row["high"]) if within else (row["a"], depth + row["low"])
 
     def cut(batches):
         for (file, split), values in by_split(batches):
@@ -155,7 +152,11 @@ def array_elements(spark: SparkSession, files: list[str]) -> DataFrame:
             if rows:
                 yield _batch(file, split, rows)
 
-    staged = cut_lineage(pieces.mapInArrow(cut, "text string, file string, split long, place int, first boolean"), "elements")
+    with cut_alike(spark):
+        for row in sums.orderBy("file", "split").toLocalIterator():  # a few numbers for each split
+            within, depth = starts[row["file"], row["split"]] = state.get(row["file"], (False, 0))
+            state[row["file"]] = (row["b"], depth + row["high"]) if within else (row["a"], depth + row["low"])
+        staged = cut_lineage(pieces.mapInArrow(cut, "text string, file string, split long, place int, first boolean"), "elements")
     joined = joined_fragments(staged.where("place <> 1"), "").where("trim(text) <> ''")
     return staged.where("place = 1").select("text", "file").unionByName(joined.select("text", "file"))
 

@@ -9,6 +9,7 @@ border of two splits is given as fragments, at most two for each split, which ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import pyarrow as pa
@@ -25,6 +26,23 @@ def read_lines(spark: SparkSession, path: str | list[str], end: str = "\n") -> D
     return spark.read.text(path, lineSep=end).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
+@contextmanager
+def cut_alike(spark: SparkSession) -> Iterator[None]:
+    """Has all jobs inside cut their files into the same splits, also if executors come or go between them.
+
+    Spark sizes the splits of a job by the cores that it has when the job is planned, unless the session names a number.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Split, Iterator[str]]]:
     """The lines of each split in order; a few of a batch at a time become Python objects."""
     parts = (batch.slice(at, LINES) for batch in batches for at in range(0, batch.num_rows, LINES))
