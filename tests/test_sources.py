@@ -10,6 +10,7 @@ from conftest import rows_of
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from weir.catalog import QUERIES
 from weir.errors import ConfigError, GateBlocked, ValidationError
 from weir.sources import (
     Datasets, generate, incremental, landed_records, next_watermark, publish_checked, read_csv, read_jdbc, read_json, read_ndjson, read_object, render, write_csv,
@@ -545,3 +546,27 @@ def test_records_when_executors_come_between_passes(spark, folder, monkeypatch,
     finally:
         for key in ("files.maxPartitionBytes", "files.openCostInBytes", "leafNodeDefaultParallelism"):
             spark.conf.unset(f"spark.sql.{key}")
+
+
+ODD_TEXTS = [
+    "plain", None, "", "NULL", "null", "\\N", "a\rb", "a\r\nb", "end\r", " lead", '"start', 'say "x" y', "a;b", "a,b", "﻿mark", "nul\0", '""', "x\n\ny", "\n", "\r", "\n\"", " ", "q\"\nq",
+]
+
+
+@pytest.mark.parametrize("files", [1, len(ODD_TEXTS)])
+def test_csv_queries_give_odd_texts_back(spark, folder, files):
+    """Empty text is not NULL, words for NULL are text, and a carriage return in quotes ends no record, whatever else is in its file."""
+    rows = [(n, t, ("en", "de", "7")[n % 3], "s" if n % 2 else None) for n, t in enumerate(ODD_TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    df.repartitionByRange(files, "doc_id").write.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")  # about a file of documents
+    spark.conf.set("spark.sql.files.openCostInBytes", "1500")
+    try:
+        multi = [(r["doc_id"], r["text"], r["lang"]) for r in QUERIES["csv_multi_line"](spark, folder).collect()]
+        names = ("doc_id", "text", "source", "lang", "header")
+        twice = [tuple(r[n] for n in names) for r in QUERIES["csv_partitioned_round_trip"](spark, folder).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(multi) == [r[:3] for r in rows]
+    assert sorted(twice, key=lambda r: (r[0], r[4])) == [x for n, t, lang, s in rows for x in ((n, t, s, lang, "with source"), (n, t, None, lang, "without"))]

@@ -47,11 +47,11 @@ def csv_multi_line(t):
 def csv_partitioned_round_trip(t):
     """Whole documents in folders by language, twice: files with the columns in one order, and files with fewer in another."""
     path = scratch_path(t.spark, "csv")
-    write_csv(t.documents.select("doc_id", "text", "source", "lang"), path, partition_by=["lang"])
-    write_csv(t.documents.select("text", "doc_id", "lang"), path, mode="append", partition_by=["lang"])
-    columns = [ColumnSpec("doc_id", "integer", False), ColumnSpec("text", "string", False), ColumnSpec("source", "string", True), ColumnSpec("lang", "string", False)]
-    rows = read_csv(t.spark, path, columns=columns)
-    return rows.withColumn("header", F.when(F.col("source").isNotNull(), "with source").otherwise("without"))
+    write_csv(t.documents.select("doc_id", "text", "source", F.lit("with source").alias("header"), "lang"), path, partition_by=["lang"], quote_empty=True)
+    write_csv(t.documents.select("text", "doc_id", "lang"), path, mode="append", partition_by=["lang"], quote_empty=True)
+    names = {"doc_id": "integer", "text": "string", "source": "string", "header": "string", "lang": "string"}
+    rows = read_csv(t.spark, path, columns=[ColumnSpec(name, kind, name in ("source", "header")) for name, kind in names.items()], null_values=None)
+    return rows.withColumns({"header": F.coalesce("header", F.lit("without")), "lang": F.col("lang").cast("string")})
 
 
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS props_k, event_type, CASE WHEN event_type <> 'view' THEN value END AS value FROM events")
