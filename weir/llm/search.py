@@ -6,11 +6,12 @@ Every vector is held in slices: a node is one slice of a block of vectors, and k
    best k + 1 of these is its cutoff: the true answers score no less.
 2. The cutoff goes out with the queries. A score that reaches it has, in at least one of m slices, a partial score of at least a
    m-th of it, so each node sends all entries that reach this, and no answer can be missing.
-3. Entries are added up. A vector that was sent by all slices has its score; one whose missing parts, being below the threshold, cannot
-   lift it to the cutoff is dropped; the rest are scored exactly.
+3. Entries are added up, those of a block of queries and a block of vectors in one place. A vector that was sent by all slices has its
+   score; one whose missing parts, being below the threshold, cannot lift it to the cutoff is dropped; the missing parts of the rest are
+   worked out. Only what reaches the cutoff goes on.
 
 Equal vectors form a class that is searched once, with its k + 1 smallest ids. Blocks of queries meet blocks of vectors, so a task holds two
-blocks at a time, whatever the number of either.
+blocks at a time, whatever the number of either, and nothing that grows with the rows goes through the driver.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir.llm.text import need
-from weir.session import cut_lineage
+from weir.session import cut_lineage, small_batches
 
 SCALE = 1024
 SLICES = 2
-#: Vectors of a block, about.
+#: Vectors of a block, and queries of a block, about.
 BLOCK = 4096
+QUERIES = 512
 #: Sums of products below this are exact as doubles.
 EXACT = 2.0**52
 
@@ -42,83 +44,165 @@ def _inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _blocks(vectors: DataFrame, slices: int, width: int, name: str, *extra: str) -> tuple[DataFrame, int]:
-    """Vectors (class_id, q) as blocks of one slice each: block, slice, ids, the slice's components end to end."""
-    many = max(1, -(-vectors.count() // BLOCK))
+def _blocks(vectors: DataFrame, slices: int, width: int, name: str, size: int, *extra: str) -> tuple[DataFrame, int]:
+    """Vectors (class_id, q) as blocks of one slice each, in the order of their ids: block, slice, ids, the slice's components end to end.
+
+    Numbers are packed, components in as few bytes as the block needs. Also gives the number of blocks.
+    """
+    many = max(1, -(-vectors.count() // size))
     step = -(-width // slices)
-    parts = [F.struct(F.lit(s).alias("slice"), F.slice("q", s * step + 1, step).alias("part")) for s in range(slices)]
-    cut = vectors.select(F.pmod(F.xxhash64("class_id"), F.lit(many)).alias("block"), "class_id", *extra, F.explode(F.array(*parts)).alias("p"))
-    packed = cut.groupBy("block", F.col("p.slice").alias("slice")).agg(F.collect_list(F.struct("class_id", F.col("p.part").alias("part"), *extra)).alias("rows"))
-    fields = [F.col("rows.class_id").alias("ids"), F.flatten("rows.part").alias("parts"), *[F.col(f"rows.{e}").alias(e) for e in extra]]
-    return packed.select(F.col("block").alias(f"{name}_block"), "slice", *[f.alias(f"{name}_{n}") for f, n in zip(fields, ("ids", "parts", *extra))]), many
+    block = vectors.select(F.pmod(F.xxhash64("class_id"), F.lit(many)).alias("block"), "class_id", F.col("q").cast("array<long>").alias("q"), *extra)
+    packed = block.groupBy("block").agg(F.collect_list(F.struct("class_id", "q", *extra)).alias("rows"))
+    packed = packed.select("block", "rows.class_id", F.flatten("rows.q").alias("q"), *[F.col(f"rows.{e}").alias(e) for e in extra])
+    names = [f"{name}_{n}" for n in ("block", "ids", "bytes", "parts", *extra)]
 
+    def pack(batches):
+        for batch in batches:
+            for n in range(len(batch)):
+                ids = batch.column("class_id")[n].values.to_numpy()
+                order = np.argsort(ids)
+                full = batch.column("q")[n].values.to_numpy().reshape(len(ids), width)[order]
+                kind = next(t for t in (np.int16, np.int32, np.int64) if not full.size or (full.min() >= np.iinfo(t).min and full.max() <= np.iinfo(t).max))
+                more = [batch.column(e)[n].values.to_numpy()[order].tobytes() for e in extra]
+                for part in range(slices):
+                    cut = full[:, part * step : (part + 1) * step].astype(kind).tobytes()
+                    row = [batch.column("block")[n].as_py(), ids[order].tobytes(), np.dtype(kind).itemsize, cut, *more]
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([part], pa.int32()), **{m: [x] for m, x in zip(names, row)}})
 
-def _meet(queries: DataFrame, query_blocks: int, vectors: DataFrame, vector_blocks: int) -> DataFrame:
-    """Every block of queries beside every block of vectors of the same slice, spread over all pairs of blocks."""
-    left = queries.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)).cast("array<long>")))
-    right = vectors.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-    return left.join(right, ["q_block", "v_block", "slice"])
+    kinds = ("long", "binary", "long", "binary", *["binary"] * len(extra))
+    return cut_lineage(packed.mapInArrow(pack, f"slice int, {', '.join(f'{n} {t}' for n, t in zip(names, kinds))}"), "blocks"), many
 
 
-def _partial(row: dict) -> np.ndarray:
-    """Partial scores of a block of queries against a block of vectors: exact, by doubles where they suffice."""
-    q = np.array(row["q_parts"], dtype=np.int64).reshape(len(row["q_ids"]), -1)
-    v = np.array(row["v_parts"], dtype=np.int64).reshape(len(row["v_ids"]), -1)
-    if not q.size or not v.size:
-        return np.zeros((len(q), len(v)), dtype=np.int64)
-    if float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < EXACT:
-        return (q.astype(float) @ v.T.astype(float)).astype(np.int64)
-    return q @ v.T
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """A join that is sorted and merged: a small file may hold many vectors, so its size must not have it sent through the driver."""
+    return left.join(right.hint("merge"), on)
 
 
-ENTRIES = "query_class long, class_id long, slice int, part long"
+def _spread(queries: DataFrame, vector_blocks: int) -> DataFrame:
+    """A copy of every block of queries for each block of vectors."""
+    return queries.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)).cast("array<long>")))
 
 
-def _entries(row: dict, mask_rows: np.ndarray, mask_columns: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    q, v = np.array(row["q_ids"], dtype=np.int64), np.array(row["v_ids"], dtype=np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(q[mask_rows]), pa.array(v[mask_columns]), pa.array(np.full(len(mask_rows), row["slice"], dtype=np.int32)), pa.array(scores[mask_rows, mask_columns])],
-        names=["query_class", "class_id", "slice", "part"],
-    )
+def _meet(queries: DataFrame, vectors: DataFrame, vector_blocks: int) -> DataFrame:
+    """Every block of queries beside every block of vectors of the same slice; blocks of vectors are sent once, the smaller blocks of queries to each."""
+    return _joined(_spread(queries, vector_blocks), vectors, ["v_block", "slice"])
+
+
+def _numbers(packed: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(packed, dtype=kind)
+
+
+def _side(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and components of a block of one slice."""
+    ids = _numbers(row[f"{name}_ids"])
+    parts = _numbers(row[f"{name}_parts"], {2: np.int16, 4: np.int32, 8: np.int64}[row[f"{name}_bytes"]])
+    return ids, parts.reshape(len(ids), len(parts) // len(ids))
+
+
+def _largest(parts: np.ndarray) -> int:
+    return max(-int(parts.min()), int(parts.max()), 0) if parts.size else 0
+
+
+def _partial(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Partial scores of a block of queries against a block of vectors: exact, by doubles where they suffice."""
+    if _largest(q) * _largest(v) * q.shape[1] < EXACT:
+        return (q.astype(float) @ v.T.astype(float)).astype(np.int64)
+    return q.astype(np.int64) @ v.T.astype(np.int64)
+
+
+def _rows(batches):
+    """One row at a time as a dictionary."""
+    for batch in batches:
+        for n in range(len(batch)):
+            yield batch.slice(n, 1).to_pylist()[0]
 
 
 def _best(met: DataFrame, k: int) -> DataFrame:
     """Each node's k best partial scores of each query."""
 
     def best(batches):
-        for batch in batches:
-            for n in range(len(batch)):
-                row = batch.slice(n, 1).to_pylist()[0]
-                scores = _partial(row)
-                keep = min(k, scores.shape[1])
-                columns = np.argpartition(-scores, keep - 1, axis=1)[:, :keep].ravel()
-                yield _entries(row, np.repeat(np.arange(len(scores)), keep), columns, scores)
+        for row in _rows(batches):
+            (q_ids, q), (v_ids, v) = _side(row, "q"), _side(row, "v")
+            scores = _partial(q, v)
+            keep = min(k, scores.shape[1])
+            columns = np.argpartition(-scores, keep - 1, axis=1)[:, :keep].ravel()
+            lines = np.repeat(np.arange(len(q_ids)), keep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[lines]), pa.array(v_ids[columns]), pa.array(np.full(len(lines), row["slice"], dtype=np.int32)), pa.array(scores[lines, columns])],
+                names=["query_class", "class_id", "slice", "part"],
+            )
 
-    return met.mapInArrow(best, ENTRIES)
+    return met.mapInArrow(best, "query_class long, class_id long, slice int, part long")
 
 
 def _reaching(met: DataFrame, slices: int) -> DataFrame:
-    """Each node's entries that reach the m-th part of the query's cutoff."""
+    """Each node's entries that reach the m-th part of the query's cutoff, packed: places in the table of the two blocks, and partial scores."""
 
     def reach(batches):
-        for batch in batches:
-            for n in range(len(batch)):
-                row = batch.slice(n, 1).to_pylist()[0]
-                scores = _partial(row)
-                least = np.array(row["q_cutoff"], dtype=np.int64)
-                for at in range(0, len(scores), 256):
-                    part = scores[at : at + 256] * slices >= least[at : at + 256, None]
-                    rows, columns = np.nonzero(part)
-                    yield _entries(row, rows + at, columns, scores)
-
-    return met.mapInArrow(reach, ENTRIES)
+        for row in _rows(batches):
+            (_, q), (_, v) = _side(row, "q"), _side(row, "v")
+            scores = _partial(q, v)
+            least = -(-_numbers(row["q_cutoff"]) // slices)
+            at = np.flatnonzero(scores >= least[:, None])
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["q_block"]]), pa.array([row["v_block"]]), pa.array([row["slice"]], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([scores.ravel()[at].tobytes()])],
+                    names=["q_block", "v_block", "slice", "at", "part"],
+                )
+
+    return met.mapInArrow(reach, "q_block long, v_block long, slice int, at binary, part binary")
+
+
+#: Pairs whose missing parts are worked out at once.
+PAIRS = 1 << 14
+
+
+def _resolved(sent: DataFrame, queries: DataFrame, vectors: DataFrame, vector_blocks: int, slices: int, k: int) -> DataFrame:
+    """The entries of all slices added up within their two blocks, missing parts worked out where the cutoff can still be reached; each query's k best."""
+    slice_of = lambda name: F.sort_array(F.collect_list(F.struct("slice", f"{name}_bytes", f"{name}_parts"))).alias(f"{name}_slices")
+    entries = sent.groupBy("q_block", "v_block").agg(F.sort_array(F.collect_list(F.struct("slice", "at", "part"))).alias("sent"))
+    q = queries.groupBy("q_block").agg(F.first("q_ids").alias("q_ids"), F.first("q_cutoff").alias("q_cutoff"), slice_of("q"))
+    v = vectors.groupBy("v_block").agg(F.first("v_ids").alias("v_ids"), slice_of("v"))
+    met = _joined(_joined(entries, _spread(q, vector_blocks), ["q_block", "v_block"]), v, "v_block")
+
+    def resolve(batches):
+        for row in _rows(batches):
+            q_ids, v_ids, cutoff = _numbers(row["q_ids"]), _numbers(row["v_ids"]), _numbers(row["q_cutoff"])
+            lists = [(e["slice"], _numbers(e["at"], np.int32), _numbers(e["part"])) for e in row["sent"]]
+            at = np.unique(np.concatenate([e[1] for e in lists]))
+            seen, parts, has = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), {}
+            for number, places, values in lists:
+                found = np.searchsorted(at, places)
+                seen[found] += values
+                parts[found] += 1
+                has[number] = np.zeros(len(at), dtype=bool)
+                has[number][found] = True
+            line, column = np.divmod(at, len(v_ids))
+            least = cutoff[line]
+            # a missing part times the number of slices is below the cutoff
+            possible = (parts == slices) | (seen * slices + (slices - parts) * (least - 1) >= least * slices)
+            for number in range(slices):
+                lacking = np.flatnonzero(possible & ~has[number]) if number in has else np.flatnonzero(possible)
+                if len(lacking):
+                    qs, vs = (_side({f"{n}_ids": row[f"{n}_ids"], **row[f"{n}_slices"][number]}, n)[1] for n in ("q", "v"))
+                    for start in range(0, len(lacking), PAIRS):
+                        some = lacking[start : start + PAIRS]
+                        seen[some] += np.einsum("ij,ij->i", qs[line[some]].astype(np.int64), vs[column[some]].astype(np.int64))
+            good = np.flatnonzero(possible & (seen >= least))
+            order = good[np.lexsort((column[good], -seen[good], line[good]))]
+            first = np.searchsorted(line[order], line[order])  # where the query's own begin
+            order = order[np.arange(len(order)) - first < k]
+            if len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[line[order]]), pa.array(v_ids[column[order]]), pa.array(seen[order])], names=["query_class", "class_id", "score"])
+
+    return met.mapInArrow(resolve, "query_class long, class_id long, score long")
 
 
 def _score(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
     """Exact scores of pairs of classes."""
     v = classes.select("class_id", F.col("q").alias("v"))
     q = queries.select(F.col("class_id").alias("query_class"), "q")
-    return pairs.join(v, "class_id").join(q, "query_class").select("query_class", "class_id", _inner(F.col("q"), F.col("v")).alias("score"))
+    return _joined(_joined(pairs, v, "class_id"), q, "query_class").select("query_class", "class_id", _inner(F.col("q"), F.col("v")).alias("score"))
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -137,6 +221,7 @@ def top_k(
     is not finite, take no part, nor do rows with a null id. Vectors of different lengths count as filled up with zeros.
     Repeated rows of an id with the same vector are one; if their vectors differ, each is a candidate and the id is named for each.
     """
+    small_batches(df.sparkSession)
     rows = need(df, id, vector).toDF("vec_id", "vector")
     rows = rows.select(F.col("vec_id").cast("long"), whole_numbers(F.col("vector"), scale).alias("q")).where("vec_id is not null and q is not null")
     width = rows.agg(F.max(F.size("q"))).first()[0] or 0
@@ -145,36 +230,29 @@ def top_k(
     # the k + 1 smallest ids of each class; the window limits groups within each task before it shuffles
     ranked = rows.selectExpr("*", "row_number() over (partition by q order by vec_id) as place").where(F.col("place") <= k + 1)
     classes = cut_lineage(ranked.groupBy("q").agg(F.min("vec_id").alias("class_id"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
-    asked = rows.where(queries).join(classes.select("q", "class_id"), "q").select(F.col("vec_id").alias("query_id"), "class_id", "q")
+    asked = _joined(rows.where(queries), classes.select("q", "class_id"), "q").select(F.col("vec_id").alias("query_id"), "class_id", "q")
     asked = cut_lineage(asked, "asked")
     wanted = cut_lineage(asked.select("class_id", "q").dropDuplicates(["class_id"]), "queries")
 
-    vector_side, vector_blocks = _blocks(classes.select("class_id", "q"), slices, width, "v")
-    vector_side = cut_lineage(vector_side, "blocks")
-    query_side, query_blocks = _blocks(wanted, slices, width, "q")
-    near = _best(_meet(query_side, query_blocks, vector_side, vector_blocks), k + 1)
+    vector_side, vector_blocks = _blocks(classes.select("class_id", "q"), slices, width, "v", BLOCK)
+    query_side, _ = _blocks(wanted, slices, width, "q", QUERIES)
+    near = _best(_meet(query_side, vector_side, vector_blocks), k + 1)
     order = "row_number() over (partition by query_class, slice order by part desc, class_id) as place"
     listed = near.selectExpr("*", order).where(F.col("place") <= k + 1).select("query_class", "class_id").distinct()
     first = _top(_score(listed, wanted, classes), k + 1)
     cutoffs = first.groupBy("query_class").agg(F.min("score").alias("cutoff"))
-    with_cutoff = cut_lineage(wanted.join(cutoffs.withColumnRenamed("query_class", "class_id"), "class_id"), "cutoffs")
-
-    query_side, query_blocks = _blocks(with_cutoff, slices, width, "q", "cutoff")
-    sent = _reaching(_meet(query_side, query_blocks, vector_side, vector_blocks), slices)
-    added = sent.groupBy("query_class", "class_id").agg(F.sum("part").alias("seen"), F.count("*").alias("parts"))
-    added = cut_lineage(added.join(with_cutoff.select(F.col("class_id").alias("query_class"), "cutoff"), "query_class"), "entries")
-    # a missing part times the number of slices is below the cutoff
-    possible = F.col("seen") * slices + (slices - F.col("parts")) * (F.col("cutoff") - 1) >= F.col("cutoff") * slices
-    done = added.where(F.col("parts") == slices).select("query_class", "class_id", F.col("seen").alias("score"))
-    rest = added.where((F.col("parts") < slices) & possible).select("query_class", "class_id")
-    best = _top(done.unionAll(_score(rest, wanted, classes)), k + 1)
+    with_cutoff = cut_lineage(_joined(wanted, cutoffs.withColumnRenamed("query_class", "class_id"), "class_id"), "cutoffs")
+
+    query_side, _ = _blocks(with_cutoff, slices, width, "q", QUERIES, "cutoff")
+    sent = _reaching(_meet(query_side, vector_side, vector_blocks), slices)
+    best = _top(_resolved(sent, query_side, vector_side, vector_blocks, slices, k + 1), k + 1)
 
     # k + 1 classes, each with its k + 1 smallest ids, hold the k + 1 best rows of a query class; its own row is one of them at most
-    named = best.join(classes.select("class_id", "ids"), "class_id").select("query_class", "score", F.explode("ids").alias("vec_id"))
+    named = _joined(best, classes.select("class_id", "ids"), "class_id").select("query_class", "score", F.explode("ids").alias("vec_id"))
     heads = (
         named.selectExpr("*", "row_number() over (partition by query_class order by score desc, vec_id) as place").where(F.col("place") <= k + 1)
         .groupBy("query_class").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))).alias("list"))
     )
     others = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    found = asked.select("query_id", F.col("class_id").alias("query_class")).join(heads, "query_class").select("query_id", F.posexplode(others).alias("at", "x"))
+    found = _joined(asked.select("query_id", F.col("class_id").alias("query_class")), heads, "query_class").select("query_id", F.posexplode(others).alias("at", "x"))
     return found.select("query_id", (F.col("at") + 1).cast(T.IntegerType()).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.down")).alias("score"))
