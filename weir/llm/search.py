@@ -30,8 +30,8 @@ SLICES = 2
 #: Vectors of a block, and queries of a block, about.
 BLOCK = 4096
 QUERIES = 512
-#: Sums of products below this are exact as doubles.
-EXACT = 2.0**52
+#: Sums of products below this are exact as floats of the kind.
+EXACT = {np.float32: 2.0**23, np.float64: 2.0**52}
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
@@ -99,15 +99,16 @@ def _side(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, parts.reshape(len(ids), len(parts) // len(ids))
 
 
-def _largest(parts: np.ndarray) -> int:
-    return max(-int(parts.min()), int(parts.max()), 0) if parts.size else 0
-
-
 def _partial(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Partial scores of a block of queries against a block of vectors: exact, by doubles where they suffice."""
-    if _largest(q) * _largest(v) * q.shape[1] < EXACT:
-        return (q.astype(float) @ v.T.astype(float)).astype(np.int64)
-    return q.astype(np.int64) @ v.T.astype(np.int64)
+    """Partial scores of a block of queries against a block of vectors: exact whole numbers, as floats where they suffice.
+
+    No sum of products, nor a part of one, is larger than the lengths of the two vectors multiplied.
+    """
+    if not q.size or not v.size:
+        return np.zeros((len(q), len(v)), dtype=np.int64)
+    bound = float(np.prod([np.sqrt(np.square(x.astype(float)).sum(axis=1).max()) for x in (q, v)]))
+    kind = next((t for t, most in EXACT.items() if bound < most), np.int64)
+    return q.astype(kind) @ v.astype(kind).T
 
 
 def _rows(batches):
@@ -125,10 +126,10 @@ def _best(met: DataFrame, k: int) -> DataFrame:
             (q_ids, q), (v_ids, v) = _side(row, "q"), _side(row, "v")
             scores = _partial(q, v)
             keep = min(k, scores.shape[1])
-            columns = np.argpartition(-scores, keep - 1, axis=1)[:, :keep].ravel()
+            columns = np.argpartition(scores, scores.shape[1] - keep, axis=1)[:, -keep:].ravel()
             lines = np.repeat(np.arange(len(q_ids)), keep)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[lines]), pa.array(v_ids[columns]), pa.array(np.full(len(lines), row["slice"], dtype=np.int32)), pa.array(scores[lines, columns])],
+                [pa.array(q_ids[lines]), pa.array(v_ids[columns]), pa.array(np.full(len(lines), row["slice"], dtype=np.int32)), pa.array(scores[lines, columns].astype(np.int64))],
                 names=["query_class", "class_id", "slice", "part"],
             )
 
@@ -142,11 +143,11 @@ def _reaching(met: DataFrame, slices: int) -> DataFrame:
         for row in _rows(batches):
             (_, q), (_, v) = _side(row, "q"), _side(row, "v")
             scores = _partial(q, v)
-            least = -(-_numbers(row["q_cutoff"]) // slices)
+            least = -(-_numbers(row["q_cutoff"]) // slices).astype(scores.dtype)  # what this rounds is beyond all scores
             at = np.flatnonzero(scores >= least[:, None])
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["q_block"]]), pa.array([row["v_block"]]), pa.array([row["slice"]], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([scores.ravel()[at].tobytes()])],
+                    [pa.array([row["q_block"]]), pa.array([row["v_block"]]), pa.array([row["slice"]], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([scores.ravel()[at].astype(np.int64).tobytes()])],
                     names=["q_block", "v_block", "slice", "at", "part"],
                 )
 
