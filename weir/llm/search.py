@@ -34,6 +34,10 @@ QUERIES = 512
 EXACT = {np.float32: 2.0**23, np.float64: 2.0**52}
 
 
+#: Kinds of packed numbers by their bytes.
+KINDS = {2: np.int16, 4: np.int32, 8: np.int64}
+
+
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     """Each component as floor(scale * x), x as double; null for a vector that is null or holds a null or a number that is not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -62,7 +66,7 @@ def _blocks(vectors: DataFrame, slices: int, width: int, name: str, size: int, *
                 ids = batch.column("class_id")[n].values.to_numpy()
                 order = np.argsort(ids)
                 full = batch.column("q")[n].values.to_numpy().reshape(len(ids), width)[order]
-                kind = next(t for t in (np.int16, np.int32, np.int64) if not full.size or (full.min() >= np.iinfo(t).min and full.max() <= np.iinfo(t).max))
+                kind = _kind(full, *KINDS.values())
                 more = [batch.column(e)[n].values.to_numpy()[order].tobytes() for e in extra]
                 for part in range(slices):
                     cut = full[:, part * step : (part + 1) * step].astype(kind).tobytes()
@@ -95,7 +99,7 @@ def _numbers(packed: bytes, kind: type = np.int64) -> np.ndarray:
 def _side(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and components of a block of one slice."""
     ids = _numbers(row[f"{name}_ids"])
-    parts = _numbers(row[f"{name}_parts"], {2: np.int16, 4: np.int32, 8: np.int64}[row[f"{name}_bytes"]])
+    parts = _numbers(row[f"{name}_parts"], KINDS[row[f"{name}_bytes"]])
     return ids, parts.reshape(len(ids), len(parts) // len(ids))
 
 
@@ -136,8 +140,16 @@ def _best(met: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(best, "query_class long, class_id long, slice int, part long")
 
 
+def _kind(values: np.ndarray, *kinds: type) -> type:
+    """The first kind that holds all values."""
+    return next(t for t in kinds if not values.size or (values.min() >= np.iinfo(t).min and values.max() <= np.iinfo(t).max))
+
+
 def _reaching(met: DataFrame, slices: int) -> DataFrame:
-    """Each node's entries that reach the m-th part of the query's cutoff, packed: places in the table of the two blocks, and partial scores."""
+    """Each node's entries that reach the m-th part of the query's cutoff, packed: places in the table of the two blocks, and partial scores.
+
+    The slice of the queries comes along, also without entries, as another slice's entries may lack its parts.
+    """
 
     def reach(batches):
         for row in _rows(batches):
@@ -145,47 +157,51 @@ def _reaching(met: DataFrame, slices: int) -> DataFrame:
             scores = _partial(q, v)
             least = -(-_numbers(row["q_cutoff"]) // slices).astype(scores.dtype)  # what this rounds is beyond all scores
             at = np.flatnonzero(scores >= least[:, None])
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["q_block"]]), pa.array([row["v_block"]]), pa.array([row["slice"]], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([scores.ravel()[at].astype(np.int64).tobytes()])],
-                    names=["q_block", "v_block", "slice", "at", "part"],
-                )
+            part = scores.ravel()[at]
+            kind = _kind(part, np.int32, np.int64)
+            sent = {"at": at.astype(np.int32).tobytes(), "part_bytes": np.dtype(kind).itemsize, "part": part.astype(kind).tobytes()}
+            once = {n: row[n] if row["slice"] == 0 else b"" for n in ("q_ids", "q_cutoff")}
+            same = {n: row[n] for n in ("q_block", "v_block", "slice", "q_bytes", "q_parts")}
+            yield pa.RecordBatch.from_pylist([same | sent | once], schema=schema)
 
-    return met.mapInArrow(reach, "q_block long, v_block long, slice int, at binary, part binary")
+    fields = [(n, pa.int64()) for n in ("q_block", "v_block", "slice", "q_bytes")] + [("q_parts", pa.binary()), ("at", pa.binary()), ("part_bytes", pa.int64())]
+    schema = pa.schema([*fields, *[(n, pa.binary()) for n in ("part", "q_ids", "q_cutoff")]])
+    ddl = "q_block long, v_block long, slice long, q_bytes long, q_parts binary, at binary, part_bytes long, part binary, q_ids binary, q_cutoff binary"
+    return met.mapInArrow(reach, ddl)
 
 
 #: Pairs whose missing parts are worked out at once.
 PAIRS = 1 << 14
 
 
-def _resolved(sent: DataFrame, queries: DataFrame, vectors: DataFrame, vector_blocks: int, slices: int, k: int) -> DataFrame:
+def _resolved(sent: DataFrame, vectors: DataFrame, slices: int, k: int) -> DataFrame:
     """The entries of all slices added up within their two blocks, missing parts worked out where the cutoff can still be reached; each query's k best."""
-    slice_of = lambda name: F.sort_array(F.collect_list(F.struct("slice", f"{name}_bytes", f"{name}_parts"))).alias(f"{name}_slices")
-    entries = sent.groupBy("q_block", "v_block").agg(F.sort_array(F.collect_list(F.struct("slice", "at", "part"))).alias("sent"))
-    q = queries.groupBy("q_block").agg(F.first("q_ids").alias("q_ids"), F.first("q_cutoff").alias("q_cutoff"), slice_of("q"))
-    v = vectors.groupBy("v_block").agg(F.first("v_ids").alias("v_ids"), slice_of("v"))
-    met = _joined(_joined(entries, _spread(q, vector_blocks), ["q_block", "v_block"]), v, "v_block")
+    gathered = F.sort_array(F.collect_list(F.struct("slice", *[c for c in sent.columns if c not in ("q_block", "v_block", "slice")])))
+    # dealt by the block of vectors alone, so that entries move once
+    entries = sent.repartition("v_block").groupBy("v_block", "q_block").agg(gathered.alias("sent"))
+    v = vectors.groupBy("v_block").agg(F.first("v_ids").alias("v_ids"), F.sort_array(F.collect_list(F.struct("slice", "v_bytes", "v_parts"))).alias("v_slices"))
+    met = _joined(entries, v, "v_block")
 
     def resolve(batches):
         for row in _rows(batches):
-            q_ids, v_ids, cutoff = _numbers(row["q_ids"]), _numbers(row["v_ids"]), _numbers(row["q_cutoff"])
-            lists = [(e["slice"], _numbers(e["at"], np.int32), _numbers(e["part"])) for e in row["sent"]]
-            at = np.unique(np.concatenate([e[1] for e in lists]))
-            seen, parts, has = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), {}
-            for number, places, values in lists:
+            sent, v_ids = row["sent"], _numbers(row["v_ids"])
+            q_ids, cutoff = _numbers(sent[0]["q_ids"]), _numbers(sent[0]["q_cutoff"])
+            lists = [_numbers(e["at"], np.int32) for e in sent]
+            at = np.unique(np.concatenate(lists))
+            seen, has = np.zeros(len(at), dtype=np.int64), np.zeros((slices, len(at)), dtype=bool)
+            for own, places, e in zip(has, lists, sent):
                 found = np.searchsorted(at, places)
-                seen[found] += values
-                parts[found] += 1
-                has[number] = np.zeros(len(at), dtype=bool)
-                has[number][found] = True
+                seen[found] += _numbers(e["part"], KINDS[e["part_bytes"]])
+                own[found] = True
+            parts = has.sum(axis=0)
             line, column = np.divmod(at, len(v_ids))
             least = cutoff[line]
             # a missing part times the number of slices is below the cutoff
             possible = (parts == slices) | (seen * slices + (slices - parts) * (least - 1) >= least * slices)
-            for number in range(slices):
-                lacking = np.flatnonzero(possible & ~has[number]) if number in has else np.flatnonzero(possible)
+            for own, q_slice, v_slice in zip(has, sent, row["v_slices"]):
+                lacking = np.flatnonzero(possible & ~own)
                 if len(lacking):
-                    qs, vs = (_side({f"{n}_ids": row[f"{n}_ids"], **row[f"{n}_slices"][number]}, n)[1] for n in ("q", "v"))
+                    (_, qs), (_, vs) = _side(q_slice | {"q_ids": sent[0]["q_ids"]}, "q"), _side(v_slice | {"v_ids": row["v_ids"]}, "v")
                     for start in range(0, len(lacking), PAIRS):
                         some = lacking[start : start + PAIRS]
                         seen[some] += np.einsum("ij,ij->i", qs[line[some]].astype(np.int64), vs[column[some]].astype(np.int64))
@@ -246,7 +262,7 @@ def top_k(
 
     query_side, _ = _blocks(with_cutoff, slices, width, "q", QUERIES, "cutoff")
     sent = _reaching(_meet(query_side, vector_side, vector_blocks), slices)
-    best = _top(_resolved(sent, query_side, vector_side, vector_blocks, slices, k + 1), k + 1)
+    best = _top(_resolved(sent, vector_side, slices, k + 1), k + 1)
 
     # k + 1 classes, each with its k + 1 smallest ids, hold the k + 1 best rows of a query class; its own row is one of them at most
     named = _joined(best, classes.select("class_id", "ids"), "class_id").select("query_class", "score", F.explode("ids").alias("vec_id"))
